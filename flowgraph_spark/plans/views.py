@@ -15,6 +15,19 @@ PARAM_CLASSES = 8
 PARAM_ROW_WIDTH = 6
 
 
+# Rounding for comparisons: the shift keeps exact decimal ties from depending on
+# how an engine stores them.
+TIE_SHIFT = 1e-9
+
+
+def rounded(column, digits):
+    return F.round(column + F.lit(TIE_SHIFT), digits)
+
+
+def rounded_sql(expression, digits):
+    return f"round({expression} + CAST({TIE_SHIFT!r} AS DOUBLE), {digits})"
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

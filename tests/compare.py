@@ -62,8 +62,9 @@ def check(spark, con, sf_dir, name, run, sql):
     if columns != want_columns:
         return "COLUMNS", took, len(rows), f"{columns} != {want_columns}"
     if rows != want:
-        missing = [r for r in want if r not in set(rows)][:3]
-        extra = [r for r in rows if r not in set(want)][:3]
+        got_set, want_set = set(rows), set(want)
+        missing = [r for r in want if r not in got_set][:3]
+        extra = [r for r in rows if r not in want_set][:3]
         return "VALUES", took, len(rows), f"{len(rows)} vs {len(want)} rows; oracle {missing}; spark {extra}"
     return ("ok" if rows else "EMPTY"), took, len(rows), ""
 
