@@ -174,14 +174,14 @@ def running_max(df, keys, order, bucket, value, name, exclusive=False):
     """Running maximum of ``value`` along ``order`` within ``keys``."""
     keys = list(keys)
     rows = df.withColumn("__bucket", bucket)
-    per_bucket = rows.groupBy(*keys, "__bucket").agg(F.max(value).alias("__max"))
+    per_bucket = rows.groupBy(*keys, "__bucket").agg(F.max(value).alias("__bucket_max"))
     earlier = (
         Window.partitionBy(*keys)
         .orderBy("__bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = per_bucket.select(
-        *keys, "__bucket", F.max("__max").over(earlier).alias("__before")
+        *keys, "__bucket", F.max("__bucket_max").over(earlier).alias("__earlier_max")
     )
     joined = _attach(rows, offsets, [*keys, "__bucket"])
     inside = (
@@ -190,8 +190,8 @@ def running_max(df, keys, order, bucket, value, name, exclusive=False):
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
     return joined.withColumn(
-        name, F.greatest(F.max(value).over(inside), F.col("__before"))
-    ).drop("__bucket", "__before")
+        name, F.greatest(F.max(value).over(inside), F.col("__earlier_max"))
+    ).drop("__bucket", "__earlier_max")
 
 
 def previous_value(df, keys, order, bucket, value, name):

@@ -30,9 +30,11 @@ def scoped_counts(df: DataFrame, taxonomy, client="scenario", label="detailed_la
     base = df.groupBy(client, "split", label).agg(F.count(F.lit(1)).alias("n"))
     rolled = base.groupingSets(
         [[client, "split", label], [client, label], ["split", label], [label]], client, "split", label
-    ).agg(F.sum("n").alias("n"))
+    ).agg(F.sum("n").alias("n"), F.grouping(client).alias("__c"), F.grouping("split").alias("__s"))
     known = rolled.select(
-        F.coalesce(client, F.lit(GLOBAL)).alias("scope"), F.coalesce("split", F.lit("all")).alias("split"), label, "n"
+        F.when(F.col("__c") == 1, GLOBAL).otherwise(F.col(client)).alias("scope"),
+        F.when(F.col("__s") == 1, "all").otherwise(F.col("split")).alias("split"),
+        label, "n",
     )
     splits = F.array(*[F.lit(s) for s in ("all", *SPLITS)])
     classes = F.array(*[F.lit(c) for c in taxonomy])
@@ -135,8 +137,8 @@ def severe_classes(scoped: DataFrame, label="detailed_label") -> DataFrame:
 def feature_distribution(df: DataFrame, features, client="scenario") -> DataFrame:
     """Per scope and feature: moments, zero rate, near-constancy, flag rate.
 
-    Features are unpivoted inside each row and combined before the shuffle; the
-    global scope sums the client sums, so rows are read once.
+    Features are unpivoted inside each row and every scope is combined before
+    the shuffle, so one scan serves the clients and the global scope.
     """
     long = df.select(
         client,
@@ -151,10 +153,10 @@ def feature_distribution(df: DataFrame, features, client="scenario") -> DataFram
     rows = long.groupingSets([[client, "feature"], ["feature"]], client, "feature").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(~finite).alias("nonfinite"),
         F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        (F.count_if(x == 0) / F.count(x)).alias("zero_rate"),
+        (F.count_if(x == 0) / F.count(x)).alias("zero_rate"), F.grouping(client).alias("__c"),
     )
     return rows.select(
-        F.coalesce(client, F.lit(GLOBAL)).alias("scope"), "feature", "rows", "nonfinite", "mean", "std", "min", "max",
+        F.when(F.col("__c") == 1, GLOBAL).otherwise(F.col(client)).alias("scope"), "feature", "rows", "nonfinite", "mean", "std", "min", "max",
         "zero_rate",
         F.coalesce(F.col("std") <= NEAR_CONSTANT_STD, F.lit(False)).alias("near_constant"),
         F.when(F.endswith(F.col("feature"), F.lit("_missing")), F.col("mean")).alias("missing_rate"),

@@ -117,8 +117,8 @@ def _labels(spark, sf_dir):
     return round_all(balance.label_distribution(views.labelled_flows(spark, sf_dir)))
 
 
-_LABELS_SQL = f"""{LABELLED} SELECT scenario, detailed_label, count(*) AS n,
-  {rounded_sql('100 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY scenario)', 6)} AS percent FROM labelled_flows GROUP BY ALL"""
+_LABELS_SQL = f"""{LABELLED}, c AS (SELECT scenario, detailed_label, count(*) AS n FROM labelled_flows GROUP BY ALL)
+SELECT scenario, detailed_label, n, {rounded_sql('100 * CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY scenario)', 6)} AS percent FROM c"""
 
 
 def _presence(spark, sf_dir):
