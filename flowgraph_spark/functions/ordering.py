@@ -13,6 +13,8 @@ comes before every row of a higher one.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HASH_BUCKET_DIGITS = 3
 SPLITTER_COUNT = 64
 
@@ -214,31 +216,28 @@ def previous_value(df, keys, order, bucket, value, name):
     ).drop("__bucket", "__carry")
 
 
-def value_counts_cumulative(df, keys, value, cuts=None):
-    """Distinct values per group with counts and cumulative counts.
+def value_counts(df, keys, value):
+    """Distinct values per group with their row counts, materialised.
 
     Rows are counted per value first, so a value shared by a third of all rows
-    is one row here.
+    is one row here. The table has several readers.
     """
-    keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    if cuts is None:
-        cuts = splitters(counts.select(value).distinct(), value)
-    return running_sums(
-        counts, keys, [value], splitter_bucket(F.col(value), cuts), {"cum": F.col("n")}
-    )
+    rows = df.where(F.col(value).isNotNull())
+    return cut_lineage(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
 
 
-def exact_quantiles(df, keys, value, fractions, nearest=False):
-    """Exact quantiles per group without gathering a group in one task.
+def exact_quantiles(counts, keys, value, fractions, nearest=False):
+    """Exact quantiles per group from ``value_counts``; no group meets in one task.
 
     ``fractions`` maps output names to numbers in [0, 1]. Linear interpolation
     between neighbouring ranks by default; ``nearest`` takes the rank
     ``round((n - 1) * f)`` with ties to even. Groups without values are absent.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    ranked = value_counts_cumulative(rows, keys, value)
+    cuts = splitters(counts.select(value).distinct(), value)
+    ranked = running_sums(
+        counts, keys, [value], splitter_bucket(F.col(value), cuts), {"cum": F.col("n")}
+    )
     first = F.col("cum") - F.col("n")
     outputs, partial = [], []
     for name, fraction in fractions.items():

@@ -27,7 +27,7 @@ def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
     The order is cut into ranges by sampled splitters, so one scenario with
     tens of millions of addresses is numbered by many tasks.
     """
-    nodes = endpoints(df, by, ends).distinct()
+    nodes = cut_lineage(endpoints(df, by, ends).distinct())
     cuts = splitters(nodes.select("node").distinct(), "node")
     ranked = rank_in_groups(nodes, by, ["node"], splitter_bucket(F.col("node"), cuts), rank="node_id")
     return ranked.withColumn("node_id", F.col("node_id") - 1)
@@ -170,8 +170,8 @@ def weak_components(df: DataFrame, by, ends=ENDS, max_rounds=100) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is a grouped
     minimum (combined before the shuffle) and an equi join, and long chains
-    shrink in logarithmically many rounds. Each round is checkpointed to the
-    shared folder; the driver sees one fingerprint row per round.
+    shrink in logarithmically many rounds. Each round is written to the shared
+    folder; the driver sees one fingerprint row per round.
     """
     first, second = ends
     nodes = endpoints(df, by, ends).distinct()

@@ -14,7 +14,9 @@ from ..functions.ordering import (
     running_sums,
     splitter_bucket,
     splitters,
+    value_counts,
 )
+from ..session import cut_lineage
 
 
 def class_frame(df: DataFrame, by, num_classes) -> DataFrame:
@@ -173,8 +175,10 @@ def ranking_scores(df: DataFrame, by, score, target) -> DataFrame:
     task. Null unless both classes are present.
     """
     positive = F.col(target).cast("int") == 1
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(
-        F.count_if(positive).alias("__pos"), F.count_if(~positive).alias("__neg")
+    counts = cut_lineage(
+        df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(
+            F.count_if(positive).alias("__pos"), F.count_if(~positive).alias("__neg")
+        )
     )
     cuts = splitters(counts.select("__s").distinct(), "__s")
     rows = running_sums(
@@ -195,13 +199,23 @@ def ranking_scores(df: DataFrame, by, score, target) -> DataFrame:
 
 
 def describe(df: DataFrame, by, value, extremes=()) -> DataFrame:
-    """Count, mean, population deviation, quartiles, extremes per group."""
+    """Count, mean, population deviation, quartiles, extremes per group.
+
+    All of it comes from the distinct values and their counts. The deviation is
+    taken around the group mean, not as a difference of squares.
+    """
+    by = list(by)
     fractions = {"q25": 0.25, "median": 0.5, "q75": 0.75, **dict(extremes)}
-    moments = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
+    counts = value_counts(df, by, value)
+    n, x = F.col("n"), F.col(value)
+    first = counts.groupBy(*by).agg(
+        F.sum("n").alias("count"), (F.sum(x * n) / F.sum("n")).alias("mean"),
+        F.min(x).alias("min"), F.max(x).alias("max"),
+    )
+    spread = counts.join(first, by).groupBy(*by).agg(
+        F.sqrt(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))) / F.sum("n")).alias("std")
     )
-    return moments.join(exact_quantiles(df, by, value, fractions), list(by))
+    return first.join(spread, by).join(exact_quantiles(counts, by, value, fractions), by)
 
 
 def entropy_memberships(df: DataFrame, five=True, benign_idx=0) -> DataFrame:
@@ -314,15 +328,18 @@ def adjacent_agreement(df: DataFrame, client, order, bucket, pred="pred_idx", by
 
 def numeric_summary(df: DataFrame, by, value) -> DataFrame:
     """Min, mean, median, 95th percentile and max; percentiles are actual values."""
-    base = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")
+    by = list(by)
+    counts = value_counts(df, by, value)
+    n, x = F.col("n"), F.col(value)
+    base = counts.groupBy(*by).agg(
+        F.min(x).alias("min"), (F.sum(x * n) / F.sum("n")).alias("mean"), F.max(x).alias("max")
     )
-    ranks = exact_quantiles(df, by, value, {"p50": 0.5, "p95": 0.95}, nearest=True)
+    ranks = exact_quantiles(counts, by, value, {"p50": 0.5, "p95": 0.95}, nearest=True)
     if not by:
         return base.select(
             "min", "mean", ranks.select("p50").scalar().alias("p50"), ranks.select("p95").scalar().alias("p95"), "max"
         )
-    return base.join(ranks, list(by)).select(*by, "min", "mean", "p50", "p95", "max")
+    return base.join(ranks, by).select(*by, "min", "mean", "p50", "p95", "max")
 
 
 def row_normalised(matrix: DataFrame, by=()) -> DataFrame:

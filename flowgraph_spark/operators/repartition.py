@@ -12,6 +12,7 @@ from ..functions.ordering import (
     splitter_bucket,
     splitters,
 )
+from ..session import cut_lineage
 
 
 def shard_of_rank(rank, n, shards):
@@ -86,7 +87,7 @@ def reindex_nodes(df: DataFrame, client, order, source="scenario", ends=("src",
     nodes = appearances.groupBy(client, source, F.col("end.node").alias("node")).agg(
         F.min(F.struct(F.col("__o").alias("o"), F.col("end.side").alias("side"))).alias("seen")
     )
-    flat = nodes.select(client, source, "node", F.col("seen.o").alias("__o"), F.col("seen.side").alias("__s"))
+    flat = cut_lineage(nodes.select(client, source, "node", F.col("seen.o").alias("__o"), F.col("seen.side").alias("__s")))
     kind = dict(flat.dtypes)["__o"]
     if kind in ("int", "bigint"):
         bucket = position_bucket(F.col("__o"), width)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph, neighbors, repartition, sampling
+from ..session import cut_lineage
 from . import views
 from .flow_queries import BASE
 from .split_queries import EDGES, IID, iid_edges
@@ -179,7 +180,7 @@ def _namespace(spark, sf_dir):
 
 
 def _reindex(spark, sf_dir):
-    moved = iid_edges(spark, sf_dir).withColumn("order", F.concat_ws("|", "scenario", "edge_key"))
+    moved = cut_lineage(iid_edges(spark, sf_dir)).withColumn("order", F.concat_ws("|", "scenario", "edge_key"))
     return repartition.reindex_nodes(moved, "destination", "order", "scenario", ("orig_h", "resp_h"))
 
 
@@ -378,7 +379,7 @@ def _all_heads(spark, sf_dir):
 
 
 def _validate(spark, sf_dir):
-    rows = views.split_edges(spark, sf_dir)
+    rows = cut_lineage(views.split_edges(spark, sf_dir))
     nodes = graph.node_dictionary(rows, BY)
     edges = graph.build_edges(rows, nodes, BY)
     sizes = nodes.groupBy(*BY).agg(F.count(F.lit(1)).alias("num_nodes"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import repartition, sampling, splitting
+from ..session import cut_lineage
 from . import views
 from .feature_queries import LOSO
 from .flow_queries import LABELLED
@@ -183,7 +184,8 @@ def _heldout(spark, sf_dir):
 
 
 def iid_edges(spark, sf_dir):
-    kept = repartition.drop_and_remap_class(views.split_edges(spark, sf_dir), 3)
+    # Train rows and held-out rows read the split; it is written once.
+    kept = cut_lineage(repartition.drop_and_remap_class(views.split_edges(spark, sf_dir), 3))
     return repartition.repartition_iid(kept, CLIENTS, "edge_key", 11)
 
 

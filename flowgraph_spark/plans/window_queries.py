@@ -7,6 +7,7 @@ from ..functions import vectors as vx
 from ..functions.ordering import position_bucket
 from ..operators import metrics
 from ..operators.neighbors import scored
+from ..session import cut_lineage
 from ..streaming import alerts, detect, rolling
 from . import views
 from .metric_queries import (
@@ -162,7 +163,8 @@ def _grid_rows(spark, sf_dir):
         "sensor_id", "seq", "ts", "duration", "max_flows", "context", "true_idx",
         F.transform(vx.softmax(logits), lambda p: F.round(p, 9)).alias("probabilities"),
     )
-    return scored(packed)
+    # Four reports read the scored grid.
+    return cut_lineage(scored(packed))
 
 
 def _grid(spark, sf_dir):
@@ -319,7 +321,7 @@ def _predicted_counts(spark, sf_dir):
 
 
 def _graph_features(spark, sf_dir):
-    edges = detect.window_graph(windows(spark, sf_dir), ["duration", "resp_pkts"], keep=["flow_seq"])
+    edges = detect.window_graph(cut_lineage(windows(spark, sf_dir)), ["duration", "resp_pkts"], keep=["flow_seq"])
     return edges.select("window_id", "flow_seq", "src", "dst", "duration", "resp_pkts")
 
 

@@ -17,6 +17,7 @@ duration holds.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions.ordering import (
     position_bucket,
     rank_in_groups,
@@ -54,23 +55,35 @@ def accept(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", widt
     ).withColumnRenamed("ordinal_total", "accepted_total")
 
 
-def _ranked(accepted, duration, sensor, seq, ts):
-    """Rank of each accepted flow by (ts, seq) within its sensor."""
-    return rank_in_groups(
-        accepted, [sensor], [ts, seq], position_bucket(F.col(ts), float(duration)), rank="__rank"
+def accept_ranked(df: DataFrame, duration, lateness, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH) -> DataFrame:
+    """Accepted flows with ordinal and ``rank`` by (ts, seq), materialised.
+
+    Emissions, reach and buffer contents all read this table, and each step
+    below it reads its input twice (rows and bucket totals). It is written to
+    the shared folder after the late rule and after ranking, so nothing is
+    computed again for every reader.
+    """
+    flagged = cut_lineage(flag_late(df, lateness, sensor, seq, ts, width))
+    kept = flagged.where(~F.col("late")).drop("late")
+    counted = running_sums(
+        kept, [sensor], [seq], position_bucket(F.col(seq), width), {"ordinal": F.lit(1)}
+    ).withColumnRenamed("ordinal_total", "accepted_total")
+    ranked = rank_in_groups(
+        counted, [sensor], [ts, seq], position_bucket(F.col(ts), float(duration)), rank="rank"
     )
+    return cut_lineage(ranked)
 
 
-def contexts(accepted: DataFrame, emissions: DataFrame, duration, max_flows, payload, sensor="sensor_id", seq="seq", ts="ts", bucket=None) -> DataFrame:
+def contexts(ranked: DataFrame, emissions: DataFrame, duration, max_flows, payload, sensor="sensor_id", seq="seq", ts="ts", bucket=None) -> DataFrame:
     """Long form ``(emission columns..., payload, __ts, __seq, __ordinal, newest)``.
 
     One row per emission and flow in its buffer; ``newest`` counts from 1 for the
-    newest flow. ``emissions`` are accepted rows with ``ordinal``, ``max_seen``.
+    newest flow. ``ranked`` comes from :func:`accept_ranked`; ``emissions`` are
+    rows of it with ``ordinal`` and ``max_seen``.
     """
     width = bucket or max_flows
-    ranked = _ranked(accepted, duration, sensor, seq, ts)
     reach = ranked.groupBy(F.col(sensor).alias("__s"), F.col(ts).alias("__t")).agg(
-        F.max("__rank").alias("__hi")
+        F.max("rank").alias("__hi")
     )
     bounded = emissions.join(
         reach, (F.col(sensor) == F.col("__s")) & (F.col("max_seen") == F.col("__t"))
@@ -79,8 +92,8 @@ def contexts(accepted: DataFrame, emissions: DataFrame, duration, max_flows, pay
     first, last = F.floor(low / F.lit(width)), F.floor((F.col("__hi") - 1) / F.lit(width))
     probes = bounded.withColumn("__lo", low).withColumn("__rb", F.explode(F.sequence(first, last)))
     flows = ranked.select(
-        F.col(sensor).alias("__fs"), F.floor((F.col("__rank") - 1) / F.lit(width)).alias("__frb"),
-        F.col("__rank").alias("__frank"), F.col(seq).alias("__seq"), F.col(ts).alias("__ts"),
+        F.col(sensor).alias("__fs"), F.floor((F.col("rank") - 1) / F.lit(width)).alias("__frb"),
+        F.col("rank").alias("__frank"), F.col(seq).alias("__seq"), F.col(ts).alias("__ts"),
         F.col("ordinal").alias("__ordinal"), *[F.col(c).alias(f"flow_{c}") for c in payload],
     )
     joined = probes.join(
@@ -130,7 +143,7 @@ def rolling_windows(df: DataFrame, duration, max_flows, stride, lateness, payloa
     flows this window emits for the first time.
     """
     check_config(duration, max_flows, stride, lateness)
-    accepted = accept(df, lateness, sensor, seq, ts, width)
+    accepted = accept_ranked(df, duration, lateness, sensor, seq, ts, width)
     emissions = emission_rows(accepted, stride, flush, sensor).select(
         sensor, seq, "ordinal", "max_seen", "window_no", "window_id"
     )
@@ -170,7 +183,7 @@ def window_counters(df: DataFrame, duration, max_flows, lateness, sensor="sensor
     counts = flagged.groupBy(sensor).agg(
         F.count_if(~F.col("late")).alias("accepted"), F.count_if(F.col("late")).alias("late_dropped")
     )
-    accepted = accept(df, lateness, sensor, seq, ts, width)
+    accepted = accept_ranked(df, duration, lateness, sensor, seq, ts, width)
     arrivals = accepted.where(F.col(ts) >= F.col("max_seen") - F.lit(float(duration))).select(
         sensor, seq, "ordinal", "max_seen"
     )
@@ -218,7 +231,7 @@ def grid_contexts(df: DataFrame, durations, limits, lateness, aggregates, payloa
     Returns one row per flow and candidate.
     """
     longest, largest = max(durations), max(limits)
-    accepted = accept(df, lateness, sensor, seq, ts, width)
+    accepted = accept_ranked(df, longest, lateness, sensor, seq, ts, width)
     kept = [c for c in df.columns if c not in (sensor, seq, ts)]
     emissions = accepted.select(sensor, seq, ts, "ordinal", "max_seen", *kept)
     rows = contexts(accepted, emissions, longest, largest, payload, sensor, seq, ts, bucket=min(limits))
