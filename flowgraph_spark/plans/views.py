@@ -142,9 +142,15 @@ def labelled_flows(spark, sf_dir):
     """Narrow flow view for class-based operators: row id, scenario and label."""
     from ..functions.flows import canonical_label
 
-    return raw_flows(spark, sf_dir).select(
-        "seq", "scenario", "orig_h", "resp_h",
-        canonical_label(F.col("detailed_label")).alias("detailed_label"),
+    user, kind = F.col("user_id"), F.col("event_type")
+    private = (kind == "purchase") & (F.pmod(user, F.lit(6)) != 3)
+    label = F.when(kind == "view", " - ").when(private, "click").otherwise(kind)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("sensor-"), _digit_text(F.pmod(user, F.lit(6)))).alias("scenario"),
+        F.concat(F.lit("u"), _digit_text(user)).alias("orig_h"),
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("resp_h"),
+        canonical_label(label).alias("detailed_label"),
     )
 
 
