@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-HASH_BUCKET_DIGITS = 3
+# Input size in bytes up to which so many leading hex digits make the buckets.
+HASH_DIGITS_BY_SIZE = ((1 << 28, 1), (1 << 36, 2), (1 << 44, 3))
+HASH_DIGITS_MAX = 4
 SPLITTER_COUNT = 64
 
 
@@ -27,7 +29,24 @@ def hash_order(seed, *columns) -> Column:
     )
 
 
-def hash_bucket(order: Column, digits=HASH_BUCKET_DIGITS) -> Column:
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a frame; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits that make hash buckets of a size one task sorts easily.
+
+    Ranks do not depend on it: it only decides how finely a group is cut.
+    """
+    size = estimated_bytes(df)
+    for limit, digits in HASH_DIGITS_BY_SIZE:
+        if size <= limit:
+            return digits
+    return HASH_DIGITS_MAX
+
+
+def hash_bucket(order: Column, digits) -> Column:
     """Leading hex digits of a hash; near-equal buckets by construction."""
     return F.substring(order, 1, digits)
 
@@ -141,9 +160,8 @@ def rank_in_groups(df, keys, order, bucket, rank="rank", total=None, limit=None)
 def hash_rank(df, keys, order_hash, rank="rank", total=None, limit=None):
     """``rank_in_groups`` for a hash order; the hash column is dropped after."""
     rows = df.withColumn("__order", order_hash)
-    return rank_in_groups(
-        rows, keys, ["__order"], hash_bucket(F.col("__order")), rank, total, limit
-    ).drop("__order")
+    bucket = hash_bucket(F.col("__order"), hash_digits(df))
+    return rank_in_groups(rows, keys, ["__order"], bucket, rank, total, limit).drop("__order")
 
 
 def running_sums(df, keys, order, bucket, sums, exclusive=False):

@@ -8,12 +8,55 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
-    """Stable softmax; the largest logit is subtracted first."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = array_sum(powers)
-    return F.transform(powers, lambda x: x / total)
+    """Stable softmax of an array; the largest logit is subtracted first."""
+
+    def shifted(top):
+        return F.transform(logits, lambda x: F.exp(x - top))
+
+    def scaled(powers):
+        return let(array_sum(powers), lambda total: F.transform(powers, lambda x: x / total))
+
+    return let(F.array_max(logits), lambda top: let(shifted(top), scaled))
+
+
+def softmax_scalars(df, kept, groups):
+    """Softmax over groups of scalar columns, all inside generated code.
+
+    ``groups`` maps an output name to the list of its logits' column names. Each
+    step is its own projection, so no power is computed twice.
+    """
+    every = [c for logits in groups.values() for c in logits]
+    tops = [
+        (F.greatest(*logits) if len(logits) > 1 else F.col(logits[0])).alias(f"__top_{name}")
+        for name, logits in groups.items()
+    ]
+    powers = df.select(*kept, *every, *tops).select(
+        *kept,
+        *[F.exp(F.col(c) - F.col(f"__top_{name}")).alias(c) for name, logits in groups.items() for c in logits],
+    )
+
+    def total(logits):
+        result = F.col(logits[0])
+        for c in logits[1:]:
+            result = result + F.col(c)
+        return result
+
+    sums = powers.select(
+        *kept, *every, *[total(logits).alias(f"__sum_{name}") for name, logits in groups.items()]
+    )
+    return sums.select(
+        *kept,
+        *[
+            F.array(*[F.col(c) / F.col(f"__sum_{name}") for c in logits]).alias(name)
+            for name, logits in groups.items()
+        ],
+    )
 
 
 def entropy_epsilon(probabilities: Column) -> Column:

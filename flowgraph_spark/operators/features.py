@@ -98,14 +98,31 @@ def _values(df, column):
 
 
 def fit_features(train: DataFrame) -> FittedFeatures:
-    """Learn vocabularies, scaler and flags from train rows only."""
-    moments = {r["column_name"]: r for r in scaler_moments(train).collect()}
+    """Learn vocabularies, scaler and flags from train rows only, in two jobs.
+
+    One aggregation gives the moments, the flags and the two vocabularies; the
+    other counts services, whose share needs the total.
+    """
+    flags = sorted(c for c in train.columns if c.endswith("_missing"))
+    columns = []
+    for c in SCALED_COLUMNS:
+        logged = F.log1p(F.col(c))
+        columns += [F.avg(logged).alias(f"{c}__mean"), F.stddev_pop(logged).alias(f"{c}__std")]
+    row = train.agg(
+        *columns,
+        *[F.max(c).alias(c) for c in flags],
+        F.collect_set("proto").alias("proto"),
+        F.collect_set("conn_state").alias("conn_state"),
+    ).first()
+    for name in ("proto", "conn_state"):
+        if len(row[name]) > MAX_CATEGORIES:
+            raise ValueError(f"More than {MAX_CATEGORIES} categories in {name}.")
     return FittedFeatures(
-        proto=_values(vocabulary(train, "proto"), "proto"),
+        proto=tuple(sorted(row["proto"])),
         service=_values(frequent_values(train), "service"),
-        conn_state=_values(vocabulary(train, "conn_state"), "conn_state"),
-        scaler=tuple((c, moments[c]["mean"], moments[c]["scale"]) for c in SCALED_COLUMNS),
-        flags=_values(used_flags(train), "flag"),
+        conn_state=tuple(sorted(row["conn_state"])),
+        scaler=tuple((c, row[f"{c}__mean"], row[f"{c}__std"] or 1.0) for c in SCALED_COLUMNS),
+        flags=tuple(c for c in flags if row[c] == 1),
     )
 
 

@@ -198,10 +198,23 @@ def edge_representation(edges, nodes, by, features, width, keep=(), src="src", d
     return both.select(*by, *keep, src, dst, *[F.col(p).alias(f"z_{i}") for i, p in enumerate(parts)])
 
 
-def head_logits(inputs, head):
-    """Two-layer head with ReLU in between."""
-    inner = [vx.relu(c) for c in vx.dense(inputs, head["w1"], head["b1"])]
-    return F.array(*vx.dense(inner, head["w2"], head["b2"]))
+def head_probabilities(repr_df: DataFrame, heads, width) -> DataFrame:
+    """Kept columns and one probability array per head, named as in ``heads``.
+
+    Two-layer heads with ReLU in between. Hidden units, logits and powers are
+    separate projections of scalar columns: nothing is computed twice and all of
+    it stays in generated code.
+    """
+    inputs = [F.col(f"z_{i}") for i in range(width)]
+    kept = [c for c in repr_df.columns if not c.startswith("z_")]
+    units, logits, groups = [], [], {}
+    for k, (name, head) in enumerate(sorted(heads.items())):
+        inner = [vx.relu(c) for c in vx.dense(inputs, head["w1"], head["b1"])]
+        units += [u.alias(f"__u{k}_{i}") for i, u in enumerate(inner)]
+        outer = vx.dense([F.col(f"__u{k}_{i}") for i in range(len(inner))], head["w2"], head["b2"])
+        groups[name] = [f"__l{k}_{i}" for i in range(len(outer))]
+        logits += [o.alias(c) for o, c in zip(outer, groups[name])]
+    return vx.softmax_scalars(repr_df.select(*kept, *units).select(*kept, *logits), kept, groups)
 
 
 def scored(df: DataFrame, probabilities="probabilities") -> DataFrame:
@@ -218,28 +231,64 @@ def scored(df: DataFrame, probabilities="probabilities") -> DataFrame:
 
 def score_edges(repr_df: DataFrame, head, width) -> DataFrame:
     """Probabilities, argmax (first maximum), confidence, entropy per edge."""
-    inputs = [F.col(f"z_{i}") for i in range(width)]
-    kept = [c for c in repr_df.columns if not c.startswith("z_")]
-    logits = repr_df.select(*kept, head_logits(inputs, head).alias("__logits"))
-    return scored(logits.select(*kept, vx.softmax(F.col("__logits")).alias("probabilities")))
+    return scored(head_probabilities(repr_df, {"probabilities": head}, width))
 
 
 def score_all_heads(repr_df: DataFrame, heads, width) -> DataFrame:
     """One row per edge and head; the representation is computed once.
 
-    ``heads`` maps a name to its weights and becomes an array of literals, so
-    nothing is joined.
+    ``heads`` maps a name to its weights, which become literals, so nothing is
+    joined.
     """
-    inputs = [F.col(f"z_{i}") for i in range(width)]
     kept = [c for c in repr_df.columns if not c.startswith("z_")]
+    names = sorted(heads)
+    wide = head_probabilities(repr_df, {f"__p{i}": heads[n] for i, n in enumerate(names)}, width)
     each = F.array(
         *[
-            F.struct(F.lit(name).alias("head"), head_logits(inputs, head).alias("logits"))
-            for name, head in sorted(heads.items())
+            F.struct(F.lit(n).alias("head"), F.col(f"__p{i}").alias("probabilities"))
+            for i, n in enumerate(names)
         ]
     )
-    rows = repr_df.select(*kept, F.inline(each))
-    return scored(rows.select(*kept, "head", vx.softmax(F.col("logits")).alias("probabilities")))
+    return scored(wide.select(*kept, F.inline(each)))
+
+
+def score_own_head(repr_df: DataFrame, heads, width, client="scenario") -> DataFrame:
+    """Each row under the head of its own client only; a missing head fails.
+
+    ``heads`` maps a client to its weights. Clients are disjoint filters of one
+    input, so every row meets one head.
+    """
+    known = F.col(client).isin(*heads)
+    checked = repr_df.withColumn(
+        client,
+        F.when(~known, F.raise_error(F.concat(F.lit("no head for client "), F.col(client))))
+        .otherwise(F.col(client)).cast("string"),
+    )
+    inputs = [F.col(f"z_{i}") for i in range(width)]
+    kept = [c for c in repr_df.columns if not c.startswith("z_")]
+    sizes = {(len(h["b1"]), len(h["b2"])) for h in heads.values()}
+    if len(sizes) != 1:
+        raise ValueError("All heads must have the same shape.")
+    hidden_size, classes = sizes.pop()
+
+    def chosen(columns_of):
+        """Unit by unit, the value of the row's own head."""
+        result = None
+        for name, head in sorted(heads.items()):
+            columns = columns_of(head)
+            if result is None:
+                result = [F.when(F.col(client) == name, c) for c in columns]
+            else:
+                result = [r.when(F.col(client) == name, c) for r, c in zip(result, columns)]
+        return result
+
+    units = chosen(lambda h: [vx.relu(c) for c in vx.dense(inputs, h["w1"], h["b1"])])
+    rows = checked.select(*kept, *[u.alias(f"__u_{i}") for i, u in enumerate(units)])
+    inner = [F.col(f"__u_{i}") for i in range(hidden_size)]
+    outer = chosen(lambda h: vx.dense(inner, h["w2"], h["b2"]))
+    names = [f"__l_{i}" for i in range(classes)]
+    logits = rows.select(*kept, *[o.alias(n) for o, n in zip(outer, names)])
+    return scored(vx.softmax_scalars(logits, kept, {"probabilities": names}))
 
 
 def score_edges_wide(repr_df: DataFrame, head, vector="z") -> DataFrame:

@@ -6,6 +6,9 @@ Runs are rows ``(protocol, model, mode, seed, scenario, metrics...)``.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from . import metrics as mx
+
 MEAN = "MEAN"
 
 
@@ -301,40 +304,39 @@ def analysable_predictions(predictions: DataFrame, runs: DataFrame, taxonomy, ru
     )
 
 
-def routed_report(df: DataFrame, num_classes, client="client"):
+def _with_total(df: DataFrame, client) -> DataFrame:
+    """Every row under its client and under ALL."""
+    return df.withColumn(client, F.explode(F.array(F.col(client), F.lit("ALL"))))
+
+
+def routed_report(df: DataFrame, num_classes, client="client") -> DataFrame:
     """Per client and merged metrics beside confidence and entropy summaries."""
-    from . import metrics as mx
-
-    matrix = mx.confusion(df, num_classes, [client])
-    merged = mx.merge_confusions(matrix).withColumn(client, F.lit("ALL"))
-    both = matrix.unionByName(merged)
-    overall = mx.overall_metrics(mx.per_class_metrics(both, [client]), [client])
-    scoped = df.select(F.explode(F.array(F.col(client), F.lit("ALL"))).alias(client), "confidence", "entropy")
-    confidence = mx.numeric_summary(scoped, [client], "confidence").select(
-        client, F.col("p50").alias("confidence_p50"), F.col("p95").alias("confidence_p95")
-    )
-    entropy = mx.numeric_summary(scoped, [client], "entropy").select(
-        client, F.col("p50").alias("entropy_p50"), F.col("p95").alias("entropy_p95")
+    rows = _with_total(
+        cut_lineage(df.select(client, "true_idx", "pred_idx", "confidence", "entropy")), client
     )
-    return overall.join(confidence, client).join(entropy, client)
+    matrix = mx.confusion(rows, num_classes, [client])
+    report = mx.overall_metrics(mx.per_class_metrics(matrix, [client]), [client])
+    for value in ("confidence", "entropy"):
+        summary = mx.numeric_summary(rows, [client], value).select(
+            client, F.col("p50").alias(f"{value}_p50"), F.col("p95").alias(f"{value}_p95")
+        )
+        report = report.join(summary, client)
+    return report
 
 
-def personalised_report(scored: DataFrame, num_classes, client="client"):
+def personalised_report(scored: DataFrame, num_classes, client="client") -> DataFrame:
     """Own-head predictions per client and merged, with the example-weighted loss.
 
-    ``scored`` holds ``probabilities`` of each client's own head.
+    ``scored`` holds ``probabilities`` of each client's own head. Weighting the
+    client losses by their examples is the mean over all rows.
     """
-    from . import metrics as mx
-
-    matrix = mx.confusion(scored, num_classes, [client])
-    merged = mx.merge_confusions(matrix).withColumn(client, F.lit("ALL"))
-    overall = mx.overall_metrics(
-        mx.per_class_metrics(matrix.unionByName(merged), [client]), [client]
-    )
     p_true = F.element_at("probabilities", F.col("true_idx") + 1)
-    per_client = scored.groupBy(client).agg(
-        F.avg(-F.log(F.greatest(p_true, F.lit(1e-12)))).alias("loss"), F.count(F.lit(1)).alias("num_examples")
+    rows = cut_lineage(
+        scored.select(
+            client, "true_idx", "pred_idx", (-F.log(F.greatest(p_true, F.lit(1e-12)))).alias("loss")
+        )
     )
-    total = mx.weighted_loss(per_client).withColumn(client, F.lit("ALL"))
-    losses = per_client.select(client, "loss").unionByName(total.select(client, "loss"))
-    return overall.join(losses, client)
+    every = _with_total(rows, client)
+    matrix = mx.confusion(every, num_classes, [client])
+    overall = mx.overall_metrics(mx.per_class_metrics(matrix, [client]), [client])
+    return overall.join(every.groupBy(client).agg(F.avg("loss").alias("loss")), client)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import flows as fx
 from ..operators import features
 from ..operators.splitting import loso_folds, split_per_class
-from ..schema import HISTORY_FLAGS, SCALED_COLUMNS, TAXONOMY
+from ..schema import HISTORY_FLAGS, SCALED_COLUMNS
+from ..session import cut_lineage
 from . import views
 from .flow_queries import CLEANED, LABELLED
 from .views import split_rule_sql
@@ -105,7 +106,7 @@ _MOMENTS_SQL = f"{SPLIT} " + " UNION ALL ".join(
 
 def _shared(spark, sf_dir):
     """One fit over all scenarios, as its table."""
-    flows = split_flows(spark, sf_dir)
+    flows = cut_lineage(split_flows(spark, sf_dir))
     fit = features.fit_shared([flows])
     table = features.fitted_table(spark, fit)
     return table.withColumn("mean", F.round("mean", 5)).withColumn("scale", F.round("scale", 5))
@@ -154,7 +155,8 @@ _FLAGS_SQL = f"{SPLIT} " + " UNION ALL ".join(
 
 
 def _assemble(spark, sf_dir):
-    flows = split_flows(spark, sf_dir)
+    # The fit and the transform read the split; it is written once.
+    flows = cut_lineage(split_flows(spark, sf_dir))
     fit = features.fit_features(flows.where(F.col("split") == "train"))
     rows = features.transform(flows, fit, keep=["seq", "split"])
     return rows.select(

@@ -330,11 +330,10 @@ SELECT * FROM o JOIN s USING (client)"""
 
 def _personalised(spark, sf_dir):
     """Each client's edges under its own head, heads shared by pairs of clients."""
-    repr_df = representation(spark, sf_dir)
-    rows = neighbors.score_all_heads(repr_df, SCORE_HEADS, REPR_WIDTH)
-    number = F.substring("scenario", -1, 1).cast("int")
-    own = _pick(tuple(SCORE_HEADS), number)
-    mine = rows.where(F.col("head") == own).withColumn("true_idx", views.edge_label_index(F.col("detailed_label")))
+    names = tuple(SCORE_HEADS)
+    heads = {c: SCORE_HEADS[names[i % len(names)]] for i, c in enumerate(views.CLIENTS)}
+    rows = neighbors.score_own_head(representation(spark, sf_dir), heads, REPR_WIDTH)
+    mine = rows.withColumn("true_idx", views.edge_label_index(F.col("detailed_label")))
     mine = mine.withColumnRenamed(GRAPH_BY[0], "client")
     return round_all(runs.personalised_report(mine, len(EDGE_CLASSES)), 4)
 

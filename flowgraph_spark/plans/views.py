@@ -41,14 +41,18 @@ def raw_flows(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     i = F.col("event_id")
     # The stored value has no zone; it is read as UTC whatever the session zone is.
-    seconds = F.expr(
+    micros = F.expr(
         "unix_micros(cast(convert_timezone('UTC', current_timezone(), ts) as timestamp))"
-    ) / F.lit(1e6)
+    )
+    seconds = F.concat(
+        F.floor(micros / 1000000).cast("string"), F.lit("."),
+        F.lpad((micros % 1000000).cast("string"), 6, "0"),
+    )
     private = (F.col("event_type") == "purchase") & (F.pmod(F.col("user_id"), F.lit(6)) != 3)
     return events.select(
         i.alias("seq"),
         F.concat(F.lit("sensor-"), _digit_text(F.pmod(F.col("user_id"), F.lit(6)))).alias("scenario"),
-        F.format_string("%.6f", seconds).alias("ts"),
+        seconds.alias("ts"),
         F.concat(F.lit("C"), _digit_text(i)).alias("uid"),
         F.concat(F.lit("u"), _digit_text(F.col("user_id"))).alias("orig_h"),
         _digit_text(i * 104729 % 65536).alias("orig_p"),
@@ -56,7 +60,7 @@ def raw_flows(spark, sf_dir):
         _digit_text(i * 7919 % 65536).alias("resp_p"),
         F.when(i % 2 == 0, "tcp").otherwise("udp").alias("proto"),
         F.when(i % 5 == 0, "-").otherwise(F.col("event_type")).alias("service"),
-        F.format_string("%.2f", F.col("value")).alias("duration"),
+        F.col("value").cast("decimal(14,2)").cast("string").alias("duration"),
         F.when(i % 11 == 0, "-").otherwise(_digit_text(i * 37 % 5000)).alias("orig_bytes"),
         F.when(i % 13 == 0, "(empty)").otherwise(_digit_text(i * 53 % 7000)).alias("resp_bytes"),
         F.when(i % 97 == 0, "-").when(i % 4 == 0, "S0").when(i % 4 == 1, "SF")
