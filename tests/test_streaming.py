@@ -160,7 +160,7 @@ def test_detection_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     packed.repartition(2).write.json(source)
     stream = spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 1).json(source)
-    windows = rolling_stream.rolling_window_stream(stream, 100, 10, 5, 100)
+    windows = rolling_stream.rolling_window_stream(stream, 100, 50, 5, 100)
     schema = spark.createDataFrame([], ", ".join(f"{n} string" for n in names)).schema
     query = detect.start_detection_stream(
         windows, schema, cleaning.clean_unlabelled, model, policy, str(tmp_path / "out"), str(tmp_path / "cp"),
@@ -170,7 +170,7 @@ def test_detection_stream(spark, tmp_path):
     finally:
         query.stop()
     stored = spark.read.json(str(tmp_path / "out"))
-    batch_rows = rolling.rolling_windows(flows.withColumn("flow_time", F.col("event_ts")), 100, 10, 5, 100, [n for n in names], flush=False, ts="flow_time")
+    batch_rows = rolling.rolling_windows(flows.withColumn("flow_time", F.col("event_ts")), 100, 50, 5, 100, list(names), flush=False, ts="flow_time")
     scored = detect.score_windows(cleaning.clean_unlabelled(batch_rows), model, policy.routes)
     expected = detect.detections(scored, model, policy)
     # Every flow is new in exactly one window and none is Benign under this head.
