@@ -25,12 +25,13 @@ def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
     """``(by..., node, node_id)``: distinct endpoints, sorted, numbered from 0.
 
     The order is cut into ranges by sampled splitters, so one scenario with
-    tens of millions of addresses is numbered by many tasks.
+    tens of millions of addresses is numbered by many tasks. Edges join the
+    dictionary twice, so it is written; its real size decides how they join.
     """
     nodes = cut_lineage(endpoints(df, by, ends).distinct())
     cuts = splitters(nodes.select("node").distinct(), "node")
     ranked = rank_in_groups(nodes, by, ["node"], splitter_bucket(F.col("node"), cuts), rank="node_id")
-    return ranked.withColumn("node_id", F.col("node_id") - 1)
+    return cut_lineage(ranked.withColumn("node_id", F.col("node_id") - 1))
 
 
 def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_label") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import vectors as vx
+from ..session import cut_lineage
 from .graph import bidirect, endpoints
 
 LEAKY_SLOPE = 0.2
@@ -56,22 +57,46 @@ def edge_sage_layer(nodes, edges, by, features, weights, width, src="src", dst="
     """``h' = relu(Wu [h, mean relu(Wm [h_src, e])])``; no in-edge means zero.
 
     ``weights`` holds ``msg_w, msg_b, upd_w, upd_b``; ``width`` is the input width.
+    ``nodes`` None stands for the constant feature 1 on every endpoint: messages
+    then depend on edge attributes alone, so the layer is one grouped average
+    without any join.
     """
     names = hidden(width)
     mp = bidirect(edges.select(*by, src, dst, *features), src, dst)
-    gathered = gather(mp, nodes, by, src, names, "s", salt)
-    inputs = [F.col(c) for c in hidden(width, "s")] + [F.col(f) for f in features]
+    if nodes is None:
+        gathered, senders = mp, [F.lit(1.0)]
+    else:
+        gathered = gather(mp, nodes, by, src, names, "s", salt)
+        senders = [F.col(c) for c in hidden(width, "s")]
+    inputs = senders + [F.col(f) for f in features]
     messages = [vx.relu(m) for m in vx.dense(inputs, weights["msg_w"], weights["msg_b"])]
     out = len(messages)
     means = gathered.groupBy(*by, F.col(dst).alias("node")).agg(
         *[F.avg(m).alias(f"m_{i}") for i, m in enumerate(messages)]
     )
-    joined = nodes.join(means, [*by, "node"], "left")
-    own = [F.col(c) for c in names] + [F.coalesce(F.col(f"m_{i}"), F.lit(0.0)) for i in range(out)]
+    if nodes is None:
+        joined, own = means, [F.lit(1.0)]
+    else:
+        joined, own = nodes.join(means, [*by, "node"], "left"), [F.col(c) for c in names]
+    own = own + [F.coalesce(F.col(f"m_{i}"), F.lit(0.0)) for i in range(out)]
     updated = [vx.relu(u) for u in vx.dense(own, weights["upd_w"], weights["upd_b"])]
     return joined.select(*by, "node", *[u.alias(f"h_{i}") for i, u in enumerate(updated)])
 
 
+def encode_nodes(edges: DataFrame, by, features, layers, src="src", dst="dst", salt=1) -> DataFrame:
+    """Stack of edge-SAGE layers over the constant node feature.
+
+    Every layer reads the previous node vectors twice, so they are written once
+    per layer; later joins also know their real size and broadcast only when it
+    is below Spark's threshold.
+    """
+    nodes, width = None, 1
+    for weights in layers:
+        nodes = cut_lineage(edge_sage_layer(nodes, edges, by, features, weights, width, src, dst, salt))
+        width = len(weights["upd_b"])
+    return nodes
+
+
 def _parallel_counts(edges, by, src, dst):
     """Directed pairs of the bidirected graph with their multiplicity.
 
@@ -137,7 +162,8 @@ def gatv2_layer(
     Heads are concatenated, or averaged when ``concat`` is False.
 
     The softmax is two grouped aggregations (maximum, then sums of shifted
-    powers) rather than a window, so a hub's edges never meet in one task.
+    powers) rather than a window, so a hub's edges never meet in one task. Both
+    read the scored edges, which cost two gathers and are written once.
     """
     names = hidden(width)
     total = len(weights["left_w"])
@@ -167,8 +193,10 @@ def gatv2_layer(
             leaky = F.when(z > 0, z).otherwise(z * LEAKY_SLOPE)
             score = score + F.lit(float(weights["att"][i])) * leaky
         scores.append(score)
-    scored = gathered.select(
-        *by, dst, *[f"x_{i}" for i in range(total)], *[s.alias(f"e_{h}") for h, s in enumerate(scores)]
+    scored = cut_lineage(
+        gathered.select(
+            *by, dst, *[f"x_{i}" for i in range(total)], *[s.alias(f"e_{h}") for h, s in enumerate(scores)]
+        )
     )
     peaks = scored.groupBy(*by, dst).agg(*[F.max(f"e_{h}").alias(f"p_{h}") for h in range(heads)])
     shifted = scored.join(peaks, [*by, dst])

@@ -203,14 +203,9 @@ def _aggregate(how):
     return run, sql
 
 
-def embeddings(spark, sf_dir, layers=2):
+def embeddings(spark, sf_dir):
     """Two layers over the constant node feature."""
-    edges = edges_of(spark, sf_dir)
-    nodes = neighbors.constant_nodes(edges, BY)
-    for depth in range(layers):
-        width = 1 if depth == 0 else WIDTH
-        nodes = neighbors.edge_sage_layer(nodes, edges, BY, EDGE_FEATURES, SAGE[depth], width)
-    return nodes
+    return neighbors.encode_nodes(edges_of(spark, sf_dir), BY, EDGE_FEATURES, SAGE)
 
 
 def _sage_sql(depth, previous, width):
@@ -239,7 +234,8 @@ def _rounded(nodes, width=WIDTH):
 def feature_nodes(spark, sf_dir):
     """Node vectors from incident edge attributes, input of the other layers."""
     rows = neighbors.edge_to_node_aggregate(edges_of(spark, sf_dir), BY, EDGE_FEATURES)
-    return rows.select("scenario", "node", *[F.col(f).alias(f"h_{i}") for i, f in enumerate(EDGE_FEATURES)])
+    # Layers read the vectors several times.
+    return cut_lineage(rows).select("scenario", "node", *[F.col(f).alias(f"h_{i}") for i, f in enumerate(EDGE_FEATURES)])
 
 
 FEATURED = LINKS + ",\nvec AS (SELECT scenario, dst AS node, " + ", ".join(

@@ -163,6 +163,12 @@ def test_layers_match_numpy(spark, salt):
     got = neighbors.edge_sage_layer(nodes, edges, ["g"], ["f0", "f1"], sage, 3, salt=salt)
     assert np.allclose(vectors(got, 2), want)
 
+    ones = {"msg_w": w(2, 3), "msg_b": v(2), "upd_w": w(2, 3), "upd_b": v(2)}
+    constant = neighbors.constant_nodes(edges, ["g"])
+    joined = neighbors.edge_sage_layer(constant, edges, ["g"], ["f0", "f1"], ones, 1, salt=salt)
+    free = neighbors.edge_sage_layer(None, edges, ["g"], ["f0", "f1"], ones, 1)
+    assert np.allclose(vectors(joined, 2), vectors(free, 2))
+
     plain = {"left_w": w(2, 3), "left_b": v(2), "root_w": w(2, 3)}
     neigh = np.array([x[s[d == i]].mean(axis=0) for i in range(n)])
     want = dense(neigh, plain["left_w"], plain["left_b"]) + dense(x, plain["root_w"], [0, 0])
