@@ -18,7 +18,8 @@ from ..session import cut_lineage
 # Input size in bytes up to which so many leading hex digits make the buckets.
 HASH_DIGITS_BY_SIZE = ((1 << 28, 1), (1 << 36, 2), (1 << 44, 3))
 HASH_DIGITS_MAX = 4
-SPLITTER_COUNT = 64
+# Ranges a sampled order is cut into, for inputs up to and beyond that size.
+SPLITTER_SMALL, SPLITTER_COUNT, SPLITTER_COUNT_LARGE = 1 << 36, 64, 255
 
 
 def hash_order(seed, *columns) -> Column:
@@ -56,13 +57,15 @@ def position_bucket(position: Column, width) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
-def splitters(df: DataFrame, column: str, count=SPLITTER_COUNT):
+def splitters(df: DataFrame, column: str, count=None):
     """Ordered cut points for a column of distinct values; at most ``count``.
 
     The values with the smallest hashes form a uniform sample that does not
     depend on partitioning. Only ``8 * count`` values reach the driver, and
     they only decide where buckets start, never which rows count.
     """
+    if count is None:
+        count = SPLITTER_COUNT if estimated_bytes(df) <= SPLITTER_SMALL else SPLITTER_COUNT_LARGE
     sample = (
         df.select(column)
         .where(F.col(column).isNotNull())

@@ -44,8 +44,8 @@ def split_per_class(df: DataFrame, keys, row_id, ratios=(0.7, 0.1, 0.2), seed=42
 
 
 def split_stratified(df: DataFrame, label, row_id, ratios=(0.7, 0.1, 0.2), seed=42, by=()) -> DataFrame:
-    """Proportional split per class; when a class other than a forced singleton
-    cannot be stratified the same rule still applies class by class."""
+    """Proportional split per class, singletons in train, by the rule of
+    :func:`split_per_class`; library tie-breaking of remainders is not kept."""
     return split_per_class(df, [*by, label], row_id, ratios, seed)
 
 

@@ -5,7 +5,7 @@ import importlib
 MODULES = (
     "flow_queries", "feature_queries", "split_queries", "graph_queries",
     "parameter_queries", "metric_queries", "balance_queries", "window_queries",
-    "run_queries",
+    "run_queries", "storage_queries",
 )
 
 

@@ -68,7 +68,7 @@ def write_labelled_replay(heldout: DataFrame, directory, client="client"):
 def read_labelled_replay(spark: SparkSession, directory, schema, client="client"):
     """Rows of a replay set and the groups whose count is not the recorded one.
 
-    ``replay_order`` gives the (ts, ordinal) sort keys; row order is the reader's.
+    Files keep no order; :func:`replay_order` sorts where order is needed.
     """
     rows = spark.read.schema(schema).json(f"{directory}/rows")
     recorded = spark.read.parquet(f"{directory}/counts")
@@ -80,6 +80,11 @@ def read_labelled_replay(spark: SparkSession, directory, schema, client="client"
     return rows, mismatches
 
 
+def replay_order(rows: DataFrame, ts="ts", ordinal="source_edge_index") -> DataFrame:
+    """Rows by time, then by their original position."""
+    return rows.orderBy(ts, ordinal)
+
+
 def write_graph_tables(nodes: DataFrame, edges: DataFrame, directory, by):
     """Graph tables partitioned by graph; existing tables are never overwritten."""
     for name, frame in (("nodes", nodes), ("edges", edges)):
