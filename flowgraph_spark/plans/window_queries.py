@@ -19,7 +19,7 @@ from .metric_queries import (
     per_class_sql,
     round_all,
 )
-from .views import CLASSES, RAW_FLOWS, SENSORS, rounded, rounded_sql
+from .views import CLASSES, RAW_FLOWS, SENSORS, rounded_sql
 
 DURATION, MAX_FLOWS, STRIDE, LATENESS = 21600.0, 12, 5, 1800.0
 WIDTH = 4096

@@ -119,4 +119,6 @@ DETECTION_EVENT = T.StructType(
         T.StructField("schema_digest", T.StringType()),
     ]
 )
+# Fixed value: the type every stored detection carries.
+DETECTION_EVENT_TYPE = "fedper_detection"
 DIGEST_FIELDS = ("entity_hash", "model_digest", "head_digest", "schema_digest")

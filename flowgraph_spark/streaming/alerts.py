@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flows as fx
-from ..schema import BENIGN, DETECTION_EVENT, DIGEST_FIELDS, FORBIDDEN_FIELDS
+from ..schema import (
+    BENIGN,
+    DETECTION_EVENT,
+    DETECTION_EVENT_TYPE,
+    DIGEST_FIELDS,
+    FORBIDDEN_FIELDS,
+)
 
 
 def literal_map(mapping):
@@ -56,7 +62,7 @@ def apply_alert_policy(
 
     events = alerts.select(
         (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"),
-        F.lit("fedper_detection").alias("event_type"),
+        F.lit(DETECTION_EVENT_TYPE).alias("event_type"),
         "sensor_id", "client_id", "window_id", "predicted_class", level.alias("severity"),
         fx.numeric_bucket(F.col("confidence"), confidence_bounds).alias("confidence_bucket"),
         fx.numeric_bucket(F.col("entropy"), entropy_bounds).alias("entropy_bucket"),
