@@ -127,6 +127,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert out.agg(F.max("capacity_evictions")).first()[0] > 0
 
 
+def test_idle_sensor_is_flushed(spark, tmp_path):
+    """The tail of a sensor goes out by timer, once."""
+    import time
+
+    rows = [("s", i, float(i), "{}") for i in range(1, 6)]
+    schema = "sensor_id string, seq long, ts double, payload string"
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(source)
+    stream = spark.readStream.schema(schema).json(source)
+    windows = rolling_stream.rolling_window_stream(stream, 60, 10, 4, 0, flush_after_ms=500)
+    query = windows.writeStream.format("memory").queryName("flushed").outputMode("append").start()
+    try:
+        # With timers there is always another batch, so the test polls.
+        deadline = time.time() + 40
+        while time.time() < deadline and spark.table("flushed").where("window_no = 2").count() == 0:
+            time.sleep(1)
+    finally:
+        query.stop()
+    tail = spark.table("flushed").where("window_no = 2").collect()
+    assert [r["flow_seq"] for r in tail if r["is_new"]] == [5] and len(tail) == 5
+    assert spark.table("flushed").where("window_no > 2").count() == 0
+
+
 def test_buffer_state_round_trip():
     one = rolling_stream.RollingBuffer(10, 3, 2, 2)
     one.offer(10.0, 1, "{}")
