@@ -2,7 +2,9 @@
 
 import public_tokenizers
 
-from . import langid, packing
+from pyspark.sql import functions as F
+
+from . import html_extract, langid, packing, quality, secrets, sentencepiece_bpe, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -23,7 +25,40 @@ def best_fit_packing(spark, sf_dir):
     return packing.pack(packing.cut_pieces(docs, _model_text("byte_bpe_50k.json")))
 
 
+def toxic_documents(spark, sf_dir):
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark, sf_dir):
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
+def secret_scans(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def exact_top_k(spark, sf_dir):
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def sentencepiece_round_trip(spark, sf_dir):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return sentencepiece_bpe.encode_documents(_table(spark, sf_dir, "documents"), model, digests_only=True)
+
+
+def html_extraction(spark, sf_dir):
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_toxicity": (toxic_documents, None),
+    "op3_quality_rules": (quality_rules, None),
+    "op5_secret_scans": (secret_scans, None),
+    "op7_exact_top_k": (exact_top_k, None),
+    "op8_sentencepiece": (sentencepiece_round_trip, None),
+    "op9_html_extraction": (html_extraction, None),
     "op6_language_id": (language_id, None),
     "op10_best_fit_packing": (best_fit_packing, None),
 }
