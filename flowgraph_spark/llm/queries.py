@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, packing, quality, secrets, sentencepiece_bpe, topk, toxicity
+from . import html_extract, langid, ngram_join, packing, quality, secrets, sentencepiece_bpe, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def best_fit_packing(spark, sf_dir):
     return packing.pack(packing.cut_pieces(docs, _model_text("byte_bpe_50k.json")))
 
 
+def ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
 def toxic_documents(spark, sf_dir):
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def html_extraction(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": (ngram_jaccard_join, None),
     "op2_toxicity": (toxic_documents, None),
     "op3_quality_rules": (quality_rules, None),
     "op5_secret_scans": (secret_scans, None),
