@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, ngram_join, packing, quality, secrets, sentencepiece_bpe, topk, toxicity
+from . import html_extract, langid, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_bpe, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -37,6 +37,10 @@ def quality_rules(spark, sf_dir):
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def deduplicated_lines(spark, sf_dir):
+    return line_dedup.summarise(_table(spark, sf_dir, "documents"))
+
+
 def secret_scans(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": (ngram_jaccard_join, None),
     "op2_toxicity": (toxic_documents, None),
     "op3_quality_rules": (quality_rules, None),
+    "op4_line_dedup": (deduplicated_lines, None),
     "op5_secret_scans": (secret_scans, None),
     "op7_exact_top_k": (exact_top_k, None),
     "op8_sentencepiece": (sentencepiece_round_trip, None),
