@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
@@ -32,8 +33,10 @@ CANDIDATE_CHARS = 16
 CANDIDATE = re.compile(rf"(?<![\w+/=.-])[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}={{0,2}}(?![\w+/=-])")
 IDENTIFIER = re.compile(r"(?<![\w+/=.-])[A-Za-z_][A-Za-z0-9_-]{7,}(?![\w+/=.-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: Ratio per symbol, in nats, from which a candidate is a span.
-MIN_RATIO = 4.5
+#: A candidate is a span from this share of the ratio per symbol that even random strings have,
+#: and from LEAST_RATIO nats in any case.
+RATIO_SHARE = 0.6
+LEAST_RATIO = 0.7
 #: Documents that the samples are taken from; more are thinned by hash.
 TRAIN_ROWS = 20_000
 #: Weight of the even distribution within the model of random strings.
@@ -115,21 +118,18 @@ def ratio(table, string):
 
 
 def samples(docs, train_rows=TRAIN_ROWS):
-    """Labelled strings of about ``train_rows`` documents sampled by hash.
+    """``secret`` and ``string``: labelled strings of about ``train_rows`` documents sampled by hash.
 
-    ``secret`` strings are what the base patterns match, less the wording;
-    ``identifier`` strings are the identifiers outside all base spans, each
-    counted once per document.
+    Secret strings are what the base patterns match, less the wording. Ordinary
+    ones are identifiers outside all base spans that two or more documents use.
     """
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    total = docs.count()
     position = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = texts.where(position < train_rows / max(1, total)).select("text")
+    chosen = texts.where(position < train_rows / max(1, docs.count())).select("text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                # Counted per part: sums of three-character counts are all the models need.
                 secret, ordinary = [], []
                 for text in texts_of(part["text"]):
                     spans = base_spans(text)
@@ -139,60 +139,60 @@ def samples(docs, train_rows=TRAIN_ROWS):
                         m.group() for m in IDENTIFIER.finditer(text)
                         if not any(a < m.end() and m.start() < b for a, _, b in spans)
                     }
-                yield from (
-                    pa.record_batch({"secret": pa.array([flag]), "counts": pa.array([counts.tobytes()], pa.binary())})
-                    for flag, counts in ((True, secret), (False, ordinary))
-                    for counts in [np.asarray(_sparse(counts), np.int64)]
-                    if counts.size
+                flags = [True] * len(secret) + [False] * len(ordinary)
+                yield pa.record_batch(
+                    {"secret": pa.array(flags, pa.bool_()), "string": pa.array(secret + ordinary, pa.string())}
                 )
 
-    return chosen.mapInArrow(run, "secret boolean, counts binary")
-
-
-def _sparse(strings):
-    """Pairs (place, count) of the non-zero three-character counts, flattened."""
-    clean = [s for s in strings if s.isascii() and (_CODE[np.frombuffer(s.encode(), np.uint8)] >= 0).all()]
-    counts = trigram_counts(clean).ravel()
-    used = np.flatnonzero(counts)
-    return np.stack([used, counts[used].astype(np.int64)], axis=1).ravel()
+    found = chosen.mapInArrow(run, "secret boolean, string string")
+    counted = found.groupBy("secret", "string").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("secret OR n > 1").select("secret", "string")
 
 
 def fit(docs, train_rows=TRAIN_ROWS):
-    """Table of log-likelihood ratios, with counts summed over the sample in Spark."""
+    """Table of log-likelihood ratios, with counts summed over the sample in Spark, and the bar.
+
+    No documents give models that do not differ, and no spans beside the base ones.
+    """
 
-    def unpack(batches):
-        totals = {}
+    def count(batches):
+        totals = {flag: np.zeros((_SIZE,) * 3) for flag in (True, False)}
         for batch in batches:
-            for secret, data in zip(batch["secret"].to_pylist(), batch["counts"].to_pylist()):
-                total = totals.setdefault(secret, np.zeros(_SIZE**3, np.int64))
-                pairs = np.frombuffer(data, np.int64).reshape(-1, 2)
-                total[pairs[:, 0]] += pairs[:, 1]
-        for secret, total in totals.items():
+            flags, strings = batch["secret"].to_pylist(), batch["string"].to_pylist()
+            for flag, total in totals.items():
+                total += trigram_counts(s for f, s in zip(flags, strings) if f == flag)
+        for flag, total in totals.items():
             used = np.flatnonzero(total)
             yield pa.record_batch(
-                {"secret": pa.array([secret] * len(used)), "place": pa.array(used), "n": pa.array(total[used])}
+                {"secret": pa.array([flag] * len(used), pa.bool_()), "place": pa.array(used),
+                 "n": pa.array(total.ravel()[used].astype(np.int64))}
             )
 
-    # Both steps run in the tasks that read the texts; the sums have a row per place at most.
+    # A row per place of the table at most.
     summed = (
-        samples(docs, train_rows).mapInArrow(unpack, "secret boolean, place long, n long")
+        samples(docs, train_rows).mapInArrow(count, "secret boolean, place long, n long")
         .groupBy("secret", "place").agg(F.sum("n").alias("n")).toArrow()
     )
     counts = {flag: np.zeros(_SIZE**3) for flag in (True, False)}
     for flag in counts:
-        part = summed.filter(pa.compute.equal(summed["secret"], flag)) if summed.num_rows else summed
+        part = summed.filter(pc.equal(summed["secret"], flag))
         counts[flag][part["place"].to_numpy()] = part["n"].to_numpy()
     shape = (_SIZE,) * 3
-    return train(counts[True].reshape(shape), counts[False].reshape(shape))
+    table = train(counts[True].reshape(shape), counts[False].reshape(shape))
+    # How far apart the models are follows the size of the samples, so the bar does as well.
+    even = np.random.default_rng(0).choice(list(ALPHABET[:62]), (200, 32))
+    usual = float(np.mean([ratio(table, "".join(row)) for row in even]))
+    return table, max(LEAST_RATIO, RATIO_SHARE * usual)
 
 
-def all_spans(text, table, min_ratio=MIN_RATIO):
+def all_spans(text, model):
     """Base spans, and candidates outside them that look random."""
+    table, least = model
     base = base_spans(text)
     found = list(base)
     for match in CANDIDATE.finditer(text):
         start, end = match.span()
-        if not any(a < end and start < b for a, _, b in base) and ratio(table, match.group()) >= min_ratio:
+        if not any(a < end and start < b for a, _, b in base) and ratio(table, match.group()) >= least:
             found.append((start, 3, end))
     return base, sorted(found)
 
@@ -201,20 +201,20 @@ def _listed(spans):
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan(docs, table, min_ratio=MIN_RATIO):
+def scan(docs, model):
     """Span counts, digest and list for every row.
 
     Positions are code points, the end exclusive. Null text counts as empty: no
     spans. Repeated rows are scanned each; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc_id, text in zip(part["doc_id"].to_pylist(), texts_of(part["text"])):
-                    base, spans = all_spans(text, shared.value, min_ratio)
+                    base, spans = all_spans(text, shared.value)
                     digest = hashlib.sha256(_listed(base).encode()).hexdigest()
                     rows.append((doc_id, *(sum(s[1] == k for s in base) for k in range(3)), digest, _listed(spans)))
                 columns = list(zip(*rows))
@@ -228,12 +228,12 @@ def scan(docs, table, min_ratio=MIN_RATIO):
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def redact(docs, table, min_ratio=MIN_RATIO, mask="[SECRET]"):
+def redact(docs, model, mask="[SECRET]"):
     """``docs`` with every span replaced by ``mask``; all rows and columns stay.
 
     ``n_chars``, where there, follows the text. Rows without a span are left as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
@@ -242,7 +242,7 @@ def redact(docs, table, min_ratio=MIN_RATIO, mask="[SECRET]"):
                 texts = part["text"].to_pylist()
                 sizes = part["n_chars"].to_pylist() if "n_chars" in names else None
                 for k, text in enumerate(texts):
-                    spans = all_spans(text, shared.value, min_ratio)[1] if text else []
+                    spans = all_spans(text, shared.value)[1] if text else []
                     if spans:
                         parts, at = [], 0
                         for start, _, end in spans:
