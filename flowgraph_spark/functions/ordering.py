@@ -1,13 +1,11 @@
 """Exact ranks and running values inside groups of any size.
 
 ``row_number() over (partition by label order by ...)`` sends a whole label to
-one task. One label can hold a third of all rows, so everything here cuts each
-group into ordered buckets first: window functions run inside ``(group,
-bucket)`` and the values of the earlier buckets are added from a small table
-with one row per ``(group, bucket)``. Results equal the plain window.
-
-A bucket column must be consistent with the order: every row of a lower bucket
-comes before every row of a higher one.
+one task. One label can hold a third of all rows, so rows are sorted into
+ranges of (group, order) first, as many as the session has shuffle partitions;
+a large group spans several. Values inside a range come from the place in it or
+from a window, those of earlier ranges from a small table with a row per group
+and range. The same steps run at every size, and results equal the plain window.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Input size in bytes up to which so many leading hex digits make the buckets.
-HASH_DIGITS_BY_SIZE = ((1 << 28, 1), (1 << 36, 2), (1 << 44, 3))
-HASH_DIGITS_MAX = 4
-# Ranges a sampled order is cut into, for inputs up to and beyond that size.
-SPLITTER_SMALL, SPLITTER_COUNT, SPLITTER_COUNT_LARGE = 1 << 36, 64, 255
+# Bits below the range number in a row's place (see monotonically_increasing_id).
+PLACE_BITS = 33
 
 
 def hash_order(seed, *columns) -> Column:
@@ -30,161 +25,144 @@ def hash_order(seed, *columns) -> Column:
     )
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def hash_digits(df: DataFrame) -> int:
-    """Hex digits that make hash buckets of a size one task sorts easily.
-
-    Ranks do not depend on it: it only decides how finely a group is cut.
-    """
-    size = estimated_bytes(df)
-    for limit, digits in HASH_DIGITS_BY_SIZE:
-        if size <= limit:
-            return digits
-    return HASH_DIGITS_MAX
-
-
-def hash_bucket(order: Column, digits) -> Column:
-    """Leading hex digits of a hash; near-equal buckets by construction."""
-    return F.substring(order, 1, digits)
-
-
-def position_bucket(position: Column, width) -> Column:
-    """Bucket of a dense integer position or of a time, ``width`` units wide."""
-    return F.floor(position / F.lit(width)).cast("long")
+def in_ranges(df: DataFrame, keys, order) -> DataFrame:
+    """Rows with ``__place``, ascending along (keys, order), and ``__range``.
 
-
-def splitters(df: DataFrame, column: str, count=None):
-    """Ordered cut points for a column of distinct values; at most ``count``.
-
-    The values with the smallest hashes form a uniform sample that does not
-    depend on partitioning. Only ``8 * count`` values reach the driver, and
-    they only decide where buckets start, never which rows count.
+    The rows are written once, since the ranges come from a sample and have to
+    be the same for every reader. Equal (keys, order) share a range.
     """
-    if count is None:
-        count = SPLITTER_COUNT if estimated_bytes(df) <= SPLITTER_SMALL else SPLITTER_COUNT_LARGE
-    sample = (
-        df.select(column)
-        .where(F.col(column).isNotNull())
-        .orderBy(F.xxhash64(column), column)
-        .limit(8 * count)
-        .collect()
-    )
-    values = sorted(row[0] for row in sample)
-    if len(values) <= count:
-        return values
-    step = len(values) / (count + 1)
-    return sorted({values[int(step * (i + 1))] for i in range(count)})
+    columns = [F.col(c) for c in (*keys, *order)]
+    dealt = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    placed = cut_lineage(dealt.withColumn("__place", F.monotonically_increasing_id()))
+    return placed.withColumn("__range", F.shiftright("__place", PLACE_BITS))
 
 
-def splitter_bucket(column: Column, cuts) -> Column:
-    """Index of the bucket a value falls in, as a balanced tree of comparisons."""
+def _earlier(keys, by="__range"):
+    return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
 
-    def node(low, high):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column < F.lit(cuts[middle]), node(low, middle)).otherwise(
-            node(middle + 1, high)
-        )
 
-    return node(0, len(cuts))
+def _inside(keys, exclusive=False):
+    frame = Window.partitionBy(*keys, "__range").orderBy("__place")
+    return frame.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
 
 
-def group_offsets(df: DataFrame, keys, bucket, sums) -> DataFrame:
-    """Per ``(keys, bucket)``: totals of earlier buckets and of the whole group.
+def group_offsets(rows: DataFrame, keys, sums) -> DataFrame:
+    """Per ``(keys, range)``: totals of earlier ranges and of the whole group.
 
     ``sums`` maps a name to an expression summed over rows. The result has the
-    columns ``<name>_before`` and ``<name>_total``; it holds one row per
-    occupied bucket, so the window over it stays small.
+    columns ``<name>_before`` and ``<name>_total`` and a row per group and range
+    it reaches into: groups plus ranges at most.
     """
-    totals = df.groupBy(*keys, bucket).agg(
-        *[F.sum(expr).alias(name) for name, expr in sums.items()]
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    totals = rows.groupBy(*keys, "__range").agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
     whole = Window.partitionBy(*keys)
     return totals.select(
         *keys,
-        bucket,
-        *[
-            F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_before")
-            for name in sums
-        ],
+        "__range",
+        *[F.coalesce(F.sum(name).over(_earlier(keys)), F.lit(0)).alias(f"{name}_before") for name in sums],
         *[F.sum(name).over(whole).alias(f"{name}_total") for name in sums],
     )
 
 
-def _attach(left: DataFrame, right: DataFrame, keys, how="left") -> DataFrame:
-    """Equi join on same-named keys. Plain equality keeps the hash partitioning
-    of ``keys`` usable for the window that follows; a left join keeps rows whose
-    key is null visible (their offsets are null)."""
+def attach(left: DataFrame, right: DataFrame, keys, how="left") -> DataFrame:
+    """Equi join on same-named keys in which null equals null."""
     renamed = right.select(
-        *[F.col(k).alias(f"__{k}") for k in keys],
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         *[c for c in right.columns if c not in keys],
     )
-    condition = None
-    for key in keys:
-        part = left[key] == renamed[f"__{key}"]
-        condition = part if condition is None else condition & part
-    return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
+    condition = F.lit(True)
+    for i, key in enumerate(keys):
+        condition = condition & left[key].eqNullSafe(renamed[f"__k{i}"])
+    return left.join(renamed, condition, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def rank_in_groups(df, keys, order, bucket, rank="rank", total=None, limit=None):
-    """Exact 1-based ``row_number`` of ``order`` within ``keys``.
+def rank_in_groups(df, keys, order, rank="rank", total=None, limit=None):
+    """Exact 1-based ``row_number`` of ``order`` within ``keys``; a null key is a group.
 
-    ``order`` is a list of sort columns and ``bucket`` an expression consistent
-    with it. With ``limit`` only the first rows are kept: buckets that start
-    beyond the limit are dropped before the shuffle.
+    With ``limit`` only the first rows are kept.
     """
     keys = list(keys)
-    rows = df.withColumn("__bucket", bucket)
-    offsets = group_offsets(rows, keys, "__bucket", {"__n": F.lit(1)})
-    if limit is not None:
-        offsets = offsets.where(F.col("__n_before") < limit)
-    joined = _attach(
-        rows, offsets, [*keys, "__bucket"], "left" if limit is None else "inner"
+    rows = in_ranges(df, keys, order)
+    ranges = rows.groupBy(*keys, "__range").agg(
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    offsets = ranges.select(
+        *keys, "__range", "__first",
+        F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    ranked = joined.withColumn(
-        rank, (F.row_number().over(inside) + F.col("__n_before")).cast("long")
+    if limit is not None:
+        offsets = offsets.where(F.col("__before") < limit)
+    # The rows of a group are next to each other in a range, so places count them.
+    ranked = attach(rows, offsets, [*keys, "__range"], "inner").withColumn(
+        rank, F.col("__before") + F.col("__place") - F.col("__first") + 1
     )
     if limit is not None:
         ranked = ranked.where(F.col(rank) <= limit)
     if total:
-        ranked = ranked.withColumn(total, F.col("__n_total").cast("long"))
-    return ranked.drop("__bucket", "__n_before", "__n_total")
+        ranked = ranked.withColumn(total, F.col("__total"))
+    return ranked.drop("__place", "__range", "__first", "__before", "__total")
+
 
+def hash_segments(df, keys, order_hash, cuts, segment="segment", total=None):
+    """Cuts every group into segments along a hash order without ranking it.
 
-def hash_rank(df, keys, order_hash, rank="rank", total=None, limit=None):
-    """``rank_in_groups`` for a hash order; the hash column is dropped after."""
+    ``cuts(n)`` gives ascending row counts for a group of ``n`` rows; a row of
+    rank r gets the number of cuts c with r > c. A count by the first 16 bits of
+    the hash shows in which of these buckets each cut lies; only the rows of
+    those buckets are ranked, which gives the hash at each cut. All other rows
+    are compared with it, so the rows of ``df`` are not shuffled by rank.
+    """
+    keys = list(keys)
     rows = df.withColumn("__order", order_hash)
-    bucket = hash_bucket(F.col("__order"), hash_digits(df))
-    return rank_in_groups(rows, keys, ["__order"], bucket, rank, total, limit).drop("__order")
+    bucket = F.conv(F.substring("__order", 1, 4), 16, 10).cast("int")
+    narrow = rows.select(*keys, "__order", bucket.alias("__b"))
+    counts = cut_lineage(_bucket_counts(narrow, keys))
+    n = F.col("__total")
+    width = len(cuts(n))
+    found = counts.select(
+        *keys, "__b", "__before", "__n", F.posexplode(F.array(*[c.cast("long") for c in cuts(n)])).alias("__i", "__c")
+    ).where((F.col("__before") < F.col("__c")) & (F.col("__c") <= F.col("__before") + F.col("__n")))
+    found = cut_lineage(found)
+    near = attach(narrow, found.select(*keys, "__b").distinct(), [*keys, "__b"], "inner")
+    ranked = rank_in_groups(near, [*keys, "__b"], ["__order"], rank="__r")
+    at = attach(ranked, found, [*keys, "__b"], "inner").where(F.col("__before") + F.col("__r") == F.col("__c"))
+    bounds = at.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__i") == i, F.col("__order"))).alias(f"__h{i}") for i in range(width)]
+    )
+    sizes = counts.groupBy(*keys).agg(F.max("__total").alias("__total"))
+    joined = attach(rows, attach(sizes, bounds, keys), keys)
+    passed = [
+        F.when(c <= 0, 1).when(F.col("__order") > F.col(f"__h{i}"), 1).otherwise(0)
+        for i, c in enumerate(cuts(n))
+    ]
+    result = joined.withColumn(segment, sum(passed[1:], passed[0]))
+    if total:
+        result = result.withColumn(total, n)
+    return result.drop("__order", "__total", *[f"__h{i}" for i in range(width)])
+
+
+def _bucket_counts(narrow, keys):
+    """Rows of each hash bucket with those of earlier buckets; 65,536 rows a group at most."""
+    counts = narrow.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    return counts.select(
+        *keys, "__b", "__n",
+        F.coalesce(F.sum("__n").over(_earlier(keys, "__b")), F.lit(0)).alias("__before"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
+    )
 
 
-def running_sums(df, keys, order, bucket, sums, exclusive=False):
+def running_sums(df, keys, order, sums, exclusive=False):
     """Running sums of expressions along ``order`` within ``keys``.
 
     ``sums`` maps output names to expressions. ``exclusive`` leaves the current
     row out. Group totals come along as ``<name>_total``.
     """
     keys = list(keys)
-    rows = df.withColumn("__bucket", bucket)
-    offsets = group_offsets(rows, keys, "__bucket", sums)
-    joined = _attach(rows, offsets, [*keys, "__bucket"])
-    inside = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    )
-    kept = [c for c in df.columns]
+    rows = in_ranges(df, keys, order)
+    joined = attach(rows, group_offsets(rows, keys, sums), [*keys, "__range"])
+    inside = _inside(keys, exclusive)
     return joined.select(
-        *kept,
+        *df.columns,
         *[
             (F.coalesce(F.sum(expr).over(inside), F.lit(0)) + F.col(f"{name}_before")).alias(name)
             for name, expr in sums.items()
@@ -193,48 +171,36 @@ def running_sums(df, keys, order, bucket, sums, exclusive=False):
     )
 
 
-def running_max(df, keys, order, bucket, value, name, exclusive=False):
+def running_max(df, keys, order, value, name, exclusive=False):
     """Running maximum of ``value`` along ``order`` within ``keys``."""
     keys = list(keys)
-    rows = df.withColumn("__bucket", bucket)
-    per_bucket = rows.groupBy(*keys, "__bucket").agg(F.max(value).alias("__bucket_max"))
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("__bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_bucket.select(
-        *keys, "__bucket", F.max("__bucket_max").over(earlier).alias("__earlier_max")
-    )
-    joined = _attach(rows, offsets, [*keys, "__bucket"])
-    inside = (
-        Window.partitionBy(*keys, "__bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    rows = in_ranges(df, keys, order)
+    per_range = rows.groupBy(*keys, "__range").agg(F.max(value).alias("__max"))
+    offsets = per_range.select(*keys, "__range", F.max("__max").over(_earlier(keys)).alias("__earlier"))
+    joined = attach(rows, offsets, [*keys, "__range"])
+    inside = _inside(keys, exclusive)
+    return joined.select(
+        *df.columns, F.greatest(F.max(value).over(inside), F.col("__earlier")).alias(name)
     )
-    return joined.withColumn(
-        name, F.greatest(F.max(value).over(inside), F.col("__earlier_max"))
-    ).drop("__bucket", "__earlier_max")
 
 
-def previous_value(df, keys, order, bucket, value, name):
-    """``lag(value)`` along ``order`` within ``keys``, across bucket borders."""
+def previous_value(df, keys, order, value, name):
+    """``lag(value)`` along ``order`` within ``keys``, across the borders of ranges."""
     keys = list(keys)
-    rows = df.withColumn("__bucket", bucket)
-    last = rows.groupBy(*keys, "__bucket").agg(
-        F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("__last")
+    rows = in_ranges(df, keys, order)
+    last = rows.groupBy(*keys, "__range").agg(
+        F.max_by(F.struct(value.alias("v")), F.col("__place")).alias("__last")
     )
     carried = last.select(
-        *keys,
-        "__bucket",
-        F.lag("__last").over(Window.partitionBy(*keys).orderBy("__bucket")).alias("__carry"),
+        *keys, "__range",
+        F.lag("__last").over(Window.partitionBy(*keys).orderBy("__range")).alias("__carry"),
     )
-    joined = _attach(rows, carried, [*keys, "__bucket"])
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    joined = attach(rows, carried, [*keys, "__range"])
+    inside = Window.partitionBy(*keys, "__range").orderBy("__place")
     first = F.row_number().over(inside) == 1
-    return joined.withColumn(
-        name, F.when(first, F.col("__carry.v")).otherwise(F.lag(value).over(inside))
-    ).drop("__bucket", "__carry")
+    return joined.select(
+        *df.columns, F.when(first, F.col("__carry.v")).otherwise(F.lag(value).over(inside)).alias(name)
+    )
 
 
 def value_counts(df, keys, value):
@@ -255,10 +221,7 @@ def exact_quantiles(counts, keys, value, fractions, nearest=False):
     ``round((n - 1) * f)`` with ties to even. Groups without values are absent.
     """
     keys = list(keys)
-    cuts = splitters(counts.select(value).distinct(), value)
-    ranked = running_sums(
-        counts, keys, [value], splitter_bucket(F.col(value), cuts), {"cum": F.col("n")}
-    )
+    ranked = running_sums(counts, keys, [value], {"cum": F.col("n")})
     first = F.col("cum") - F.col("n")
     outputs, partial = [], []
     for name, fraction in fractions.items():

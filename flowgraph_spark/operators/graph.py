@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flows import binary_label
-from ..functions.ordering import rank_in_groups, splitter_bucket, splitters
+from ..functions.ordering import rank_in_groups
 from ..session import cut_lineage
 from ..schema import SPLITS
 
@@ -24,13 +24,11 @@ def endpoints(df: DataFrame, by, ends=ENDS, name="node") -> DataFrame:
 def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
     """``(by..., node, node_id)``: distinct endpoints, sorted, numbered from 0.
 
-    The order is cut into ranges by sampled splitters, so one scenario with
-    tens of millions of addresses is numbered by many tasks. Edges join the
+    Nodes are sorted into ranges, so one scenario with tens of millions of
+    addresses is numbered by many tasks. Edges join the
     dictionary twice, so it is written; its real size decides how they join.
     """
-    nodes = cut_lineage(endpoints(df, by, ends).distinct())
-    cuts = splitters(nodes.select("node").distinct(), "node")
-    ranked = rank_in_groups(nodes, by, ["node"], splitter_bucket(F.col("node"), cuts), rank="node_id")
+    ranked = rank_in_groups(endpoints(df, by, ends).distinct(), by, ["node"], rank="node_id")
     return cut_lineage(ranked.withColumn("node_id", F.col("node_id") - 1))
 
 

@@ -12,8 +12,6 @@ from ..functions.ordering import (
     exact_quantiles,
     previous_value,
     running_sums,
-    splitter_bucket,
-    splitters,
     value_counts,
 )
 from ..session import cut_lineage
@@ -170,8 +168,8 @@ def probabilities_and_entropy(df: DataFrame, probabilities="probabilities", logi
 def ranking_scores(df: DataFrame, by, score, target) -> DataFrame:
     """Exact AUROC (ties averaged) and average precision (ties grouped).
 
-    Rows are counted per distinct score first; the running sums over scores are
-    cut into ranges, so neither a popular score nor many scores meet in one
+    Rows are counted per distinct score first; the running sums over scores run
+    in ranges, so neither a popular score nor many scores meet in one
     task. Null unless both classes are present.
     """
     positive = F.col(target).cast("int") == 1
@@ -180,11 +178,7 @@ def ranking_scores(df: DataFrame, by, score, target) -> DataFrame:
             F.count_if(positive).alias("__pos"), F.count_if(~positive).alias("__neg")
         )
     )
-    cuts = splitters(counts.select("__s").distinct(), "__s")
-    rows = running_sums(
-        counts, list(by), ["__s"], splitter_bucket(F.col("__s"), cuts),
-        {"cp": F.col("__pos"), "cn": F.col("__neg")},
-    )
+    rows = running_sums(counts, list(by), ["__s"], {"cp": F.col("__pos"), "cn": F.col("__neg")})
     pos, neg = F.col("__pos").cast("double"), F.col("__neg").cast("double")
     below = F.col("cn") - F.col("__neg")
     tp = F.col("cp_total") - F.col("cp") + F.col("__pos")
@@ -317,9 +311,9 @@ def threshold_tradeoff(df: DataFrame, thresholds, benign_idx, by=()) -> DataFram
     )
 
 
-def adjacent_agreement(df: DataFrame, client, order, bucket, pred="pred_idx", by=()) -> DataFrame:
+def adjacent_agreement(df: DataFrame, client, order, pred="pred_idx", by=()) -> DataFrame:
     """Mean over clients of the share of equal consecutive predictions."""
-    rows = previous_value(df, [*by, client], order, bucket, F.col(pred), "__previous")
+    rows = previous_value(df, [*by, client], order, F.col(pred), "__previous")
     shares = rows.where(F.col("__previous").isNotNull()).groupBy(*by, client).agg(
         F.avg((F.col(pred) == F.col("__previous")).cast("double")).alias("share")
     )

@@ -5,24 +5,16 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import (
     hash_order,
-    hash_rank,
+    hash_segments,
     membership_digest,
-    position_bucket,
     rank_in_groups,
-    splitter_bucket,
-    splitters,
 )
-from ..session import cut_lineage
 
 
-def shard_of_rank(rank, n, shards):
-    """Shard (0-based) of a 1-based rank; the first ``n mod shards`` get one more."""
-    small = F.floor(n / F.lit(shards))
-    extra = n % shards
-    edge = extra * (small + 1)
-    return F.when(rank <= edge, F.floor((rank - 1) / (small + 1))).otherwise(
-        extra + F.floor((rank - 1 - edge) / F.greatest(small, F.lit(1)))
-    ).cast("int")
+def shard_ends(n, shards):
+    """Ranks at which all shards but the last end; the first ``n mod shards`` get one more."""
+    small, extra = F.floor(n / F.lit(shards)), n % shards
+    return [small * i + F.least(extra, F.lit(i)) for i in range(1, shards)]
 
 
 def repartition_iid(df: DataFrame, clients, row_id, seed, label="label_idx", client="scenario") -> DataFrame:
@@ -33,14 +25,16 @@ def repartition_iid(df: DataFrame, clients, row_id, seed, label="label_idx", cli
     """
     k = len(clients)
     train = df.where(F.col("split") == "train")
-    ranked = hash_rank(train, [label], hash_order(seed, row_id), rank="__rank", total="__n")
-    shard = shard_of_rank(F.col("__rank"), F.col("__n"), k)
+    order = hash_order(seed, row_id)
+    # One client has no inner ends; a bound no row passes keeps the form.
+    cuts = (lambda n: shard_ends(n, k)) if k > 1 else (lambda n: [n])
+    cut = hash_segments(train, [label], order, cuts, segment="__segment", total="__n")
     names = F.array(*[F.lit(c) for c in clients])
-    dealt = ranked.withColumn(
+    dealt = cut.withColumn(
         "destination",
         F.when(F.col("__n") < k, F.raise_error(F.lit("a class has fewer rows than clients")))
-        .otherwise(F.element_at(names, shard + 1)).cast("string"),
-    ).drop("__rank", "__n")
+        .otherwise(F.element_at(names, F.col("__segment") + 1)).cast("string"),
+    ).drop("__segment", "__n")
     rest = df.where(F.col("split") != "train").withColumn("destination", F.col(client))
     return dealt.unionByName(rest)
 
@@ -70,7 +64,7 @@ def provenance_digest(derived: DataFrame, source, edge, destination) -> DataFram
     return membership_digest(derived, [], identity)
 
 
-def reindex_nodes(df: DataFrame, client, order, source="scenario", ends=("src", "dst"), width=1 << 16) -> DataFrame:
+def reindex_nodes(df: DataFrame, client, order, source="scenario", ends=("src", "dst")) -> DataFrame:
     """Node ids by first appearance along the sorted edges of each client.
 
     A node is (source, node); within an edge the origin comes before the
@@ -87,11 +81,6 @@ def reindex_nodes(df: DataFrame, client, order, source="scenario", ends=("src",
     nodes = appearances.groupBy(client, source, F.col("end.node").alias("node")).agg(
         F.min(F.struct(F.col("__o").alias("o"), F.col("end.side").alias("side"))).alias("seen")
     )
-    flat = cut_lineage(nodes.select(client, source, "node", F.col("seen.o").alias("__o"), F.col("seen.side").alias("__s")))
-    kind = dict(flat.dtypes)["__o"]
-    if kind in ("int", "bigint"):
-        bucket = position_bucket(F.col("__o"), width)
-    else:
-        bucket = splitter_bucket(F.col("__o"), splitters(flat.select("__o").distinct(), "__o"))
-    ranked = rank_in_groups(flat, [client], ["__o", "__s"], bucket, rank="__rank")
+    flat = nodes.select(client, source, "node", F.col("seen.o").alias("__o"), F.col("seen.side").alias("__s"))
+    ranked = rank_in_groups(flat, [client], ["__o", "__s"], rank="__rank")
     return ranked.select(client, source, "node", (F.col("__rank") - 1).alias("node_id"))

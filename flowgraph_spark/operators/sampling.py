@@ -1,38 +1,32 @@
 """Per-class sampling, undersampling and class weights."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hash_order, hash_rank, position_bucket, rank_in_groups
-
-POSITION_WIDTH = 1 << 16
+from ..functions.ordering import hash_order, hash_segments, rank_in_groups
 
 
 def null_label_count(df: DataFrame, label="detailed_label") -> DataFrame:
-    """Rows without a label, which no class-based sample can hold."""
+    """Rows without a label, which class-based samples take as a class of its own."""
     return df.agg(F.count_if(F.col(label).isNull()).alias("null_labels"))
 
 
 def sample_bottom_k(df: DataFrame, keys, row_id, cap, seed) -> DataFrame:
     """Uniform sample of ``cap`` rows per group: the smallest hash priorities.
 
-    ``cap`` None keeps all. Hash buckets that begin past the cap are dropped
-    before the shuffle, so about ``cap`` rows per group move.
+    ``cap`` None keeps all. A null key is a group of its own. Rows are compared
+    with the hash at the cap, so no group is sorted.
     """
-    labelled = df.dropna(subset=list(keys))
     if cap is None:
-        return labelled
-    ranked = hash_rank(labelled, keys, hash_order(seed, row_id), rank="__rank", limit=cap)
-    return ranked.drop("__rank")
+        return df
+    limit = cap if isinstance(cap, Column) else F.lit(cap)
+    cut = hash_segments(df, keys, hash_order(seed, row_id), lambda n: [limit], segment="__segment")
+    return cut.where(F.col("__segment") == 0).drop("__segment")
 
 
-def cap_first_come(df: DataFrame, keys, position, cap, width=POSITION_WIDTH) -> DataFrame:
-    """First ``cap`` rows per group in file order."""
-    labelled = df.dropna(subset=list(keys))
-    ranked = rank_in_groups(
-        labelled, keys, [position], position_bucket(F.col(position), width), rank="__rank", limit=cap
-    )
-    return ranked.drop("__rank")
+def cap_first_come(df: DataFrame, keys, position, cap) -> DataFrame:
+    """First ``cap`` rows per group in file order; a null key is a group of its own."""
+    return rank_in_groups(df, keys, [position], rank="__rank", limit=cap).drop("__rank")
 
 
 def class_counts(df: DataFrame, keys) -> DataFrame:
@@ -41,10 +35,8 @@ def class_counts(df: DataFrame, keys) -> DataFrame:
 
 def undersample_target(df: DataFrame, label="detailed_label", min_keep=None) -> DataFrame:
     """One row: the second-largest class count, or the only one, or ``min_keep``."""
-    top = F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 2)
-    target = class_counts(df, [label]).agg(top.alias("top")).select(
-        F.element_at("top", -1).alias("target")
-    )
+    largest = class_counts(df, [label]).orderBy(F.desc("n")).limit(2)
+    target = largest.agg(F.min("n").alias("target"))
     if min_keep is not None:
         target = target.select(F.least("target", F.lit(min_keep)).alias("target"))
     return target

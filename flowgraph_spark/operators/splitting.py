@@ -1,14 +1,15 @@
 """Per-class splits, split checks and leave-one-scenario-out folds.
 
 Random order is hash order: it does not depend on partitioning and gives the
-same split on every run. Ranks come from bucketed groups, so a class with a
-third of all rows is spread over many tasks.
+same split on every run. A class is cut at the hash of the rows where its parts
+meet, so rows are compared with a bound and no class is sorted. Rows without a
+label are a class of their own.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hash_order, hash_rank, membership_digest
+from ..functions.ordering import hash_order, hash_segments, membership_digest
 from ..schema import SPLITS
 from .sampling import undersample
 
@@ -33,14 +34,14 @@ def split_per_class(df: DataFrame, keys, row_id, ratios=(0.7, 0.1, 0.2), seed=42
     """Train / validation / test per class; singletons go to train."""
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("Split ratios must sum to 1.")
-    ranked = hash_rank(df, keys, hash_order(seed, row_id), rank="__rank", total="__n")
-    train, validation = split_sizes(F.col("__n"), ratios)
-    name = (
-        F.when(F.col("__rank") <= train, SPLITS[0])
-        .when(F.col("__rank") <= train + validation, SPLITS[1])
-        .otherwise(SPLITS[2])
-    )
-    return ranked.withColumn("split", name).drop("__rank", "__n")
+
+    def cuts(n):
+        train, validation = split_sizes(n, ratios)
+        return [train, train + validation]
+
+    cut = hash_segments(df, keys, hash_order(seed, row_id), cuts, segment="__segment")
+    name = F.element_at(F.array(*[F.lit(s) for s in SPLITS]), F.col("__segment") + 1)
+    return cut.withColumn("split", name).drop("__segment")
 
 
 def split_stratified(df: DataFrame, label, row_id, ratios=(0.7, 0.1, 0.2), seed=42, by=()) -> DataFrame:
@@ -54,14 +55,17 @@ def train_validation_split(df: DataFrame, label, row_id, val_ratio=0.1, seed=42,
 
     Per class ``floor(n * ratio)`` rows, at least one when the class has two.
     """
-    ranked = hash_rank(df, [*by, label], hash_order(seed, row_id), rank="__rank", total="__n")
-    n = F.col("__n")
-    validation = F.when(n == 1, 0).otherwise(
-        F.greatest(F.lit(1), F.floor(n * F.lit(float(val_ratio))))
-    )
-    return ranked.withColumn(
-        "split", F.when(F.col("__rank") <= n - validation, SPLITS[0]).otherwise(SPLITS[1])
-    ).drop("__rank", "__n")
+
+    def cuts(n):
+        validation = F.when(n == 1, 0).otherwise(
+            F.greatest(F.lit(1), F.floor(n * F.lit(float(val_ratio))))
+        )
+        return [n - validation]
+
+    cut = hash_segments(df, [*by, label], hash_order(seed, row_id), cuts, segment="__segment")
+    return cut.withColumn(
+        "split", F.when(F.col("__segment") == 0, SPLITS[0]).otherwise(SPLITS[1])
+    ).drop("__segment")
 
 
 def split_plan_checks(df: DataFrame, by, row_id, source=None) -> DataFrame:

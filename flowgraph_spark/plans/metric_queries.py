@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.ordering import position_bucket
 from ..operators import metrics
 from . import views
 from .views import CLASSES, PREDICTIONS, rounded, rounded_sql
@@ -255,7 +254,7 @@ SELECT split, {rounded_sql('t', 6)} AS confidence_threshold, CAST(a AS BIGINT) A
 def _agreement(spark, sf_dir):
     rows = views.predictions(spark, sf_dir)
     return round_all(
-        metrics.adjacent_agreement(rows, "client", ["seq"], position_bucket(F.col("seq"), 1024), by=BY)
+        metrics.adjacent_agreement(rows, "client", ["seq"], by=BY)
     )
 
 

@@ -45,7 +45,7 @@ QUALIFY row_number() OVER (PARTITION BY scenario, detailed_label ORDER BY sha256
 
 def _first_come(spark, sf_dir):
     flows = views.labelled_flows(spark, sf_dir)
-    return sampling.cap_first_come(flows, ["scenario", "detailed_label"], "seq", CAP, width=512)
+    return sampling.cap_first_come(flows, ["scenario", "detailed_label"], "seq", CAP)
 
 
 _FIRST_SQL = f"""{LABELLED} SELECT * FROM labelled_flows

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions import flows as fx
 from ..functions import vectors as vx
-from ..functions.ordering import position_bucket
 from ..operators import metrics
 from ..operators.neighbors import scored
 from ..session import cut_lineage
@@ -22,7 +21,6 @@ from .metric_queries import (
 from .views import CLASSES, RAW_FLOWS, SENSORS, rounded_sql
 
 DURATION, MAX_FLOWS, STRIDE, LATENESS = 21600.0, 12, 5, 1800.0
-WIDTH = 4096
 GRID_DURATIONS, GRID_LIMITS = (5400.0, 21600.0), (6, 12)
 ROUTES = {s: f"client-{i}" for i, s in enumerate(SENSORS)}
 SEVERITY = {"click": "low", "error": "medium", "purchase": "high"}
@@ -71,7 +69,7 @@ PAYLOAD = ("orig_h", "resp_h", "duration", "resp_pkts")
 
 def windows(spark, sf_dir):
     return rolling.rolling_windows(
-        stream_flows(spark, sf_dir), DURATION, MAX_FLOWS, STRIDE, LATENESS, PAYLOAD, width=WIDTH
+        stream_flows(spark, sf_dir), DURATION, MAX_FLOWS, STRIDE, LATENESS, PAYLOAD
     )
 
 
@@ -101,13 +99,13 @@ _SNAPSHOTS_SQL = f"""{EMITTED} SELECT window_id, count(*) AS flows, string_agg(C
 
 
 def _late(spark, sf_dir):
-    rows = rolling.flag_late(stream_flows(spark, sf_dir), LATENESS, width=WIDTH)
+    rows = rolling.flag_late(stream_flows(spark, sf_dir), LATENESS)
     return rows.select("seq", "late", F.round("max_seen", 3).alias("max_seen"))
 
 
 def _counters(spark, sf_dir):
     return round_all(
-        rolling.window_counters(stream_flows(spark, sf_dir), DURATION, MAX_FLOWS, LATENESS, width=WIDTH)
+        rolling.window_counters(stream_flows(spark, sf_dir), DURATION, MAX_FLOWS, LATENESS)
     )
 
 
@@ -121,7 +119,7 @@ SELECT sensor_id, accepted, late_dropped, coalesce(evicted, 0) AS capacity_evict
 
 def _probe(spark, sf_dir):
     return round_all(
-        rolling.late_event_probe(stream_flows(spark, sf_dir), 60.0, ts_width=86400.0, width=WIDTH)
+        rolling.late_event_probe(stream_flows(spark, sf_dir), 60.0)
     )
 
 
@@ -155,7 +153,7 @@ def _grid_rows(spark, sf_dir):
 
     rows = rolling.grid_contexts(
         flows.join(truth, "seq"), GRID_DURATIONS, GRID_LIMITS, LATENESS, aggregates,
-        ("orig_h", "flow_len", "resp_pkts"), width=WIDTH,
+        ("orig_h", "flow_len", "resp_pkts"),
     )
     inputs = [F.col("flow_len") / 500, F.col("resp_pkts") / 30, F.col("d") / 500, F.col("p") / 30]
     logits = F.array(*vx.dense(inputs, GRID_HEAD["w"], GRID_HEAD["b"]))
@@ -172,10 +170,10 @@ def _grid(spark, sf_dir):
     rows = _grid_rows(spark, sf_dir)
     overall = metrics.classification_metrics(rows, K, by)
     stability = metrics.adjacent_agreement(
-        rows, "sensor_id", ["seq"], position_bucket(F.col("seq"), WIDTH), by=by
+        rows, "sensor_id", ["seq"], by=by
     )
     size = rows.groupBy(*by).agg(F.avg("context").alias("mean_context"), F.avg("confidence").alias("confidence"))
-    expected = rolling.flag_late(stream_flows(spark, sf_dir), LATENESS, width=WIDTH).where(~F.col("late"))
+    expected = rolling.flag_late(stream_flows(spark, sf_dir), LATENESS).where(~F.col("late"))
     covered = rolling.coverage(rows, expected, by, ["sensor_id", "seq"])
     return round_all(overall.join(stability, by).join(size, by).join(covered, by), 5)
 
@@ -336,11 +334,11 @@ JOIN d b ON b.window_id = w.window_id AND b.node = sensor_id || '::' || resp_h""
 def _collector(spark, sf_dir):
     """Counters of a collection run with inference latency as an input column."""
     flows = stream_flows(spark, sf_dir)
-    counters = rolling.window_counters(flows, DURATION, MAX_FLOWS, LATENESS, width=WIDTH).agg(
+    counters = rolling.window_counters(flows, DURATION, MAX_FLOWS, LATENESS).agg(
         F.sum(F.col("accepted") + F.col("late_dropped")).alias("observations"),
         F.sum("late_dropped").alias("dropped_flows"), F.sum("capacity_evictions").alias("window_context_evictions"),
     )
-    emitted = rolling.emission_rows(rolling.accept(flows, LATENESS, width=WIDTH), STRIDE)
+    emitted = rolling.emission_rows(rolling.accept(flows, LATENESS), STRIDE)
     latency = metrics.numeric_summary(
         emitted.withColumn("latency", (F.col("seq") % 97).cast("double")), [], "latency"
     )

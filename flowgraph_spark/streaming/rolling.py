@@ -18,14 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..functions.ordering import (
-    position_bucket,
-    rank_in_groups,
-    running_max,
-    running_sums,
-)
-
-SEQ_WIDTH = 1 << 16
+from ..functions.ordering import rank_in_groups, running_max, running_sums
 
 
 def check_config(duration, max_flows, stride, lateness):
@@ -37,41 +30,31 @@ def check_config(duration, max_flows, stride, lateness):
         raise ValueError("Allowed lateness cannot be negative.")
 
 
-def flag_late(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH, by=()) -> DataFrame:
+def flag_late(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", by=()) -> DataFrame:
     """Add ``late`` and ``max_seen`` (after the row). At the watermark is accepted."""
     keys = [*by, sensor]
-    rows = running_max(
-        df, keys, [seq], position_bucket(F.col(seq), width), F.col(ts), "__before", exclusive=True
-    )
+    rows = running_max(df, keys, [seq], F.col(ts), "__before", exclusive=True)
     late = F.coalesce(F.col(ts) < F.col("__before") - F.lit(float(lateness)), F.lit(False))
     return rows.withColumns({"late": late, "max_seen": F.greatest(F.col("__before"), F.col(ts))}).drop("__before")
 
 
-def accept(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH) -> DataFrame:
+def accept(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
     """Accepted flows with their accepted ordinal (from 1) and the sensor's total."""
-    kept = flag_late(df, lateness, sensor, seq, ts, width).where(~F.col("late")).drop("late")
-    return running_sums(
-        kept, [sensor], [seq], position_bucket(F.col(seq), width), {"ordinal": F.lit(1)}
-    ).withColumnRenamed("ordinal_total", "accepted_total")
+    kept = flag_late(df, lateness, sensor, seq, ts).where(~F.col("late")).drop("late")
+    return running_sums(kept, [sensor], [seq], {"ordinal": F.lit(1)}).withColumnRenamed("ordinal_total", "accepted_total")
 
 
-def accept_ranked(df: DataFrame, duration, lateness, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH) -> DataFrame:
+def accept_ranked(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
     """Accepted flows with ordinal and ``rank`` by (ts, seq), materialised.
 
-    Emissions, reach and buffer contents all read this table, and each step
-    below it reads its input twice (rows and bucket totals). It is written to
-    the shared folder after the late rule and after ranking, so nothing is
-    computed again for every reader.
+    Emissions, reach and buffer contents all read this table. Each step below
+    sorts its rows into ranges of the sensor's order, of which a busy sensor
+    spans many.
     """
-    flagged = cut_lineage(flag_late(df, lateness, sensor, seq, ts, width))
-    kept = flagged.where(~F.col("late")).drop("late")
-    counted = running_sums(
-        kept, [sensor], [seq], position_bucket(F.col(seq), width), {"ordinal": F.lit(1)}
-    ).withColumnRenamed("ordinal_total", "accepted_total")
-    ranked = rank_in_groups(
-        counted, [sensor], [ts, seq], position_bucket(F.col(ts), float(duration)), rank="rank"
-    )
-    return cut_lineage(ranked)
+    kept = flag_late(df, lateness, sensor, seq, ts).where(~F.col("late")).drop("late")
+    counted = running_sums(kept, [sensor], [seq], {"ordinal": F.lit(1)})
+    counted = counted.withColumnRenamed("ordinal_total", "accepted_total")
+    return cut_lineage(rank_in_groups(counted, [sensor], [ts, seq], rank="rank"))
 
 
 def contexts(ranked: DataFrame, emissions: DataFrame, duration, max_flows, payload, sensor="sensor_id", seq="seq", ts="ts", bucket=None) -> DataFrame:
@@ -136,14 +119,14 @@ def window_id(sensor, number):
     return F.format_string("%s-window-%08d", sensor, number.cast("long"))
 
 
-def rolling_windows(df: DataFrame, duration, max_flows, stride, lateness, payload=(), flush=True, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH) -> DataFrame:
+def rolling_windows(df: DataFrame, duration, max_flows, stride, lateness, payload=(), flush=True, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
     """Windows in long form, one row per window and flow.
 
     ``position`` is the flow's index in (ts, seq) order; ``is_new`` marks the
     flows this window emits for the first time.
     """
     check_config(duration, max_flows, stride, lateness)
-    accepted = accept_ranked(df, duration, lateness, sensor, seq, ts, width)
+    accepted = accept_ranked(df, lateness, sensor, seq, ts)
     emissions = emission_rows(accepted, stride, flush, sensor).select(
         sensor, seq, "ordinal", "max_seen", "window_no", "window_id"
     )
@@ -172,18 +155,18 @@ def snapshots(windows: DataFrame, payload, sensor="sensor_id") -> DataFrame:
     return packed.withColumn("emission_indices", F.transform(fresh, lambda f: f["position"].cast("int")))
 
 
-def window_counters(df: DataFrame, duration, max_flows, lateness, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH) -> DataFrame:
+def window_counters(df: DataFrame, duration, max_flows, lateness, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
     """Per sensor: accepted, late, capacity evictions and both rates.
 
     An arrival evicts a flow exactly when it is itself inside the duration and
     ``max_flows + 1`` arrived flows are. Evicted flows were accepted, so they are
     not input loss.
     """
-    flagged = flag_late(df, lateness, sensor, seq, ts, width)
+    flagged = flag_late(df, lateness, sensor, seq, ts)
     counts = flagged.groupBy(sensor).agg(
         F.count_if(~F.col("late")).alias("accepted"), F.count_if(F.col("late")).alias("late_dropped")
     )
-    accepted = accept_ranked(df, duration, lateness, sensor, seq, ts, width)
+    accepted = accept_ranked(df, lateness, sensor, seq, ts)
     arrivals = accepted.where(F.col(ts) >= F.col("max_seen") - F.lit(float(duration))).select(
         sensor, seq, "ordinal", "max_seen"
     )
@@ -200,12 +183,9 @@ def window_counters(df: DataFrame, duration, max_flows, lateness, sensor="sensor
     )
 
 
-def late_event_probe(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", every=20, ts_width=3600.0, width=SEQ_WIDTH) -> DataFrame:
+def late_event_probe(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", every=20) -> DataFrame:
     """Swap every 20th adjacent pair in time order and count the flows lost."""
-    ranked = rank_in_groups(
-        df.select(sensor, seq, ts), [sensor], [ts, seq], position_bucket(F.col(ts), ts_width),
-        rank="__r", total="__n",
-    )
+    ranked = rank_in_groups(df.select(sensor, seq, ts), [sensor], [ts, seq], rank="__r", total="__n")
     offset = F.col("__r") - 1
     moved = (
         F.when((offset % every == 0) & (F.col("__r") < F.col("__n")), offset + 1)
@@ -213,7 +193,7 @@ def late_event_probe(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts=
         .otherwise(offset)
     )
     swapped = ranked.select(sensor, ts, moved.alias("arrival"))
-    flagged = flag_late(swapped, lateness, sensor, "arrival", ts, width)
+    flagged = flag_late(swapped, lateness, sensor, "arrival", ts)
     lost = F.count_if(F.col("late"))
     return flagged.groupBy(sensor).agg(
         F.count(F.lit(1)).alias("input_flows"), lost.alias("late_drop_count"),
@@ -221,7 +201,7 @@ def late_event_probe(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts=
     )
 
 
-def grid_contexts(df: DataFrame, durations, limits, lateness, aggregates, payload, sensor="sensor_id", seq="seq", ts="ts", width=SEQ_WIDTH) -> DataFrame:
+def grid_contexts(df: DataFrame, durations, limits, lateness, aggregates, payload, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
     """Context aggregates of every accepted flow under every (duration, limit).
 
     The widest window is joined once. A smaller candidate keeps the rows with
@@ -231,7 +211,7 @@ def grid_contexts(df: DataFrame, durations, limits, lateness, aggregates, payloa
     Returns one row per flow and candidate.
     """
     longest, largest = max(durations), max(limits)
-    accepted = accept_ranked(df, longest, lateness, sensor, seq, ts, width)
+    accepted = accept_ranked(df, lateness, sensor, seq, ts)
     kept = [c for c in df.columns if c not in (sensor, seq, ts)]
     emissions = accepted.select(sensor, seq, ts, "ordinal", "max_seen", *kept)
     rows = contexts(accepted, emissions, longest, largest, payload, sensor, seq, ts, bucket=min(limits))

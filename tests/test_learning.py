@@ -35,18 +35,53 @@ def test_undersample_and_weights(spark):
     assert weights == pytest.approx({"DDoS": 0.5, "C&C": 1.0, "Benign": 5 / 3, "scan": 2.5})
 
 
-@pytest.mark.parametrize("digits", [1, 2, 4])
-def test_ranks_do_not_depend_on_buckets(spark, digits, monkeypatch):
-    """One group holds nearly all rows; ranks equal the plain window."""
-    monkeypatch.setattr(ordering, "hash_digits", lambda df: digits)
-    df = spark.range(5000).withColumn("g", F.when(F.col("id") % 50 == 0, "cold").otherwise("hot"))
-    got = ordering.hash_rank(df, ["g"], ordering.hash_order(3, "id"), total="n")
-    plain = df.withColumn("want", F.expr("row_number() over (partition by g order by sha2(concat('3:', id), 256))"))
-    joined = got.join(plain.select("id", "want"), "id")
-    assert joined.count() == 5000
-    assert joined.where("rank <> want").count() == 0
-    limited = ordering.hash_rank(df, ["g"], ordering.hash_order(3, "id"), limit=70)
-    assert limited.count() == 140
+@pytest.mark.parametrize("ranges", ["1", "3", "40"])
+def test_ranks_do_not_depend_on_ranges(spark, ranges):
+    """One group holds 98 % of the rows, another has no key; ranks equal the plain window."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        group = F.when(F.col("id") % 50 == 0, F.when(F.col("id") % 100 == 0, "cold")).otherwise("hot")
+        df = spark.range(5000).select("id", group.alias("g"), F.sha2(F.concat(F.lit("3:"), "id"), 256).alias("h"))
+        got = ordering.rank_in_groups(df, ["g"], ["h"], total="n")
+        plain = df.withColumn("want", F.expr("row_number() over (partition by g order by h)"))
+        joined = got.join(plain.select("id", "want"), "id")
+        assert joined.count() == 5000 and joined.where("rank <> want").count() == 0
+        assert {(r.g, r.n) for r in got.collect()} == {("hot", 4900), ("cold", 50), (None, 50)}
+        assert ordering.rank_in_groups(df, ["g"], ["h"], limit=70).count() == 170
+        cuts = lambda n: [F.lit(0), F.floor(n * 0.3), n - 1, n]
+        cut = ordering.hash_segments(df, ["g"], ordering.hash_order(3, "id"), cuts, total="n")
+        wrong = cut.join(plain.select("id", "want"), "id").where(
+            "segment <> 1 + int(want > floor(n * 0.3)) + int(want > n - 1)"
+        )
+        assert cut.count() == 5000 and wrong.count() == 0
+        sums = ordering.running_sums(df, ["g"], ["h"], {"s": F.col("id")})
+        assert sums.exceptAll(
+            plain.selectExpr("id", "g", "h", "sum(id) over (partition by g order by h) s", "sum(id) over (partition by g) s_total")
+        ).count() == 0
+        high = ordering.running_max(df, ["g"], ["h"], F.col("id"), "m", exclusive=True)
+        windowed = "max(id) over (partition by g order by h rows between unbounded preceding and 1 preceding) m"
+        assert high.exceptAll(plain.selectExpr("id", "g", "h", windowed)).count() == 0
+        lag = ordering.previous_value(df, ["g"], ["h"], F.col("id"), "p")
+        assert lag.exceptAll(plain.selectExpr("id", "g", "h", "lag(id) over (partition by g order by h) p")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_without_label_are_a_class_of_their_own(spark):
+    df = spark.createDataFrame([(i, None if i < 10 else "a") for i in range(30)], "id long, label string")
+    split = splitting.split_per_class(df, ["label"], "id")
+    assert counts(split, "label", "split") == {
+        (None, "train"): 7, (None, "validation"): 1, (None, "test"): 2,
+        ("a", "train"): 14, ("a", "validation"): 2, ("a", "test"): 4,
+    }
+    cut = splitting.train_validation_split(df, "label", "id", 0.2)
+    assert counts(cut, "label", "split") == {
+        (None, "train"): 8, (None, "validation"): 2, ("a", "train"): 16, ("a", "validation"): 4,
+    }
+    assert counts(sampling.sample_bottom_k(df, ["label"], "id", 4, 1), "label") == {(None,): 4, ("a",): 4}
+    assert counts(sampling.cap_first_come(df, ["label"], "id", 3), "label") == {(None,): 3, ("a",): 3}
+    assert counts(sampling.undersample(df, "id", 1, "label"), "label") == {(None,): 10, ("a",): 10}
 
 
 def test_quantiles_match_numpy(spark):

@@ -90,8 +90,8 @@ def test_batch_equals_brute_force(spark, seed):
         rows += [(sensor, i + 1, float(t)) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, "sensor_id string, seq long, ts double")
     want, counters = brute_force(rows, duration, limit, stride, lateness)
-    assert windows_of(rolling.rolling_windows(df, duration, limit, stride, lateness, width=16)) == want
-    got = {r[0]: (r[1], r[2], r[3]) for r in rolling.window_counters(df, duration, limit, lateness, width=16).collect()}
+    assert windows_of(rolling.rolling_windows(df, duration, limit, stride, lateness)) == want
+    got = {r[0]: (r[1], r[2], r[3]) for r in rolling.window_counters(df, duration, limit, lateness).collect()}
     assert got == counters
 
 
