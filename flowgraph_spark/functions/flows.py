@@ -68,11 +68,12 @@ def binary_label(label: Column) -> Column:
 
 
 def numeric_bucket(value: Column, boundaries) -> Column:
-    """Text bucket: ``<b0``, ``lo-hi`` (closed-open), ``>=bn``."""
+    """Text bucket: ``<b0``, ``lo-hi`` (closed-open), ``>=bn``; null and NaN give null."""
     bounds = list(boundaries)
     if not bounds or sorted(bounds) != bounds:
         raise ValueError("Bucket boundaries must be sorted and not empty.")
-    bucket = F.when(value < bounds[0], F.lit(f"<{bounds[0]:g}"))
+    missing = value.isNull() | F.isnan(value.cast("double"))
+    bucket = F.when(missing, F.lit(None).cast("string")).when(value < bounds[0], F.lit(f"<{bounds[0]:g}"))
     for low, high in zip(bounds, bounds[1:]):
         bucket = bucket.when((value >= low) & (value < high), F.lit(f"{low:g}-{high:g}"))
     return bucket.otherwise(F.lit(f">={bounds[-1]:g}"))

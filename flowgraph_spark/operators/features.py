@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flows as fx
+from ..functions.ordering import rank_in_groups
 from ..schema import (
     BENIGN,
     HISTORY_FLAGS,
@@ -19,7 +20,8 @@ from ..schema import (
     SERVICE_MIN_SHARE,
 )
 
-# Each category becomes a column; beyond this the fit is refused, not cut.
+# One-hot columns of one field; a field with more values is refused, as it is no category.
+# ``label_index`` has no limit.
 MAX_CATEGORIES = 1000
 
 
@@ -98,10 +100,11 @@ def _values(df, column):
 
 
 def fit_features(train: DataFrame) -> FittedFeatures:
-    """Learn vocabularies, scaler and flags from train rows only, in two jobs.
+    """Learn vocabularies, scaler and flags from train rows only.
 
-    One aggregation gives the moments, the flags and the two vocabularies; the
-    other counts services, whose share needs the total.
+    One aggregation gives the moments and the flags. Vocabularies are distinct
+    values, whose number is bounded before they reach the driver. Without train
+    rows there is nothing to learn, which is an error.
     """
     flags = sorted(c for c in train.columns if c.endswith("_missing"))
     columns = []
@@ -111,16 +114,14 @@ def fit_features(train: DataFrame) -> FittedFeatures:
     row = train.agg(
         *columns,
         *[F.max(c).alias(c) for c in flags],
-        F.collect_set("proto").alias("proto"),
-        F.collect_set("conn_state").alias("conn_state"),
+        F.count(F.lit(1)).alias("train_rows"),
     ).first()
-    for name in ("proto", "conn_state"):
-        if len(row[name]) > MAX_CATEGORIES:
-            raise ValueError(f"More than {MAX_CATEGORIES} categories in {name}.")
+    if not row["train_rows"]:
+        raise ValueError("There are no train rows to fit features on.")
     return FittedFeatures(
-        proto=tuple(sorted(row["proto"])),
+        proto=_values(vocabulary(train, "proto"), "proto"),
         service=_values(frequent_values(train), "service"),
-        conn_state=tuple(sorted(row["conn_state"])),
+        conn_state=_values(vocabulary(train, "conn_state"), "conn_state"),
         scaler=tuple((c, row[f"{c}__mean"], row[f"{c}__std"] or 1.0) for c in SCALED_COLUMNS),
         flags=tuple(c for c in flags if row[c] == 1),
     )
@@ -211,18 +212,23 @@ def label_index(labels: DataFrame, mode, label="detailed_label", taxonomy=None)
 
     ``fixed``: the given taxonomy in its order. ``sorted``: sorted union of the
     labels present. ``benign_first``: Benign is 0, the others sorted after it.
-    The label set is small by nature (a taxonomy); its size is checked.
+    The index is a table ranked by Spark, of any number of labels.
     """
     if mode == "fixed":
         rows = [(name, i) for i, name in enumerate(taxonomy)]
+        return labels.sparkSession.createDataFrame(rows, f"{label} string, label_idx int")
+    present = vocabulary(labels, label)
+    if mode == "benign_first":
+        # Benign is in the index even without rows.
+        benign = labels.sparkSession.createDataFrame([(BENIGN,)], f"{label} string")
+        present = present.union(benign).distinct()
+        first = (F.col(label) != BENIGN).cast("int")
+    elif mode == "sorted":
+        first = F.lit(0)
     else:
-        present = list(_values(vocabulary(labels, label), label))
-        if mode == "benign_first":
-            present = [BENIGN] + [v for v in present if v != BENIGN]
-        elif mode != "sorted":
-            raise ValueError(f"Unknown label index mode {mode}.")
-        rows = [(name, i) for i, name in enumerate(present)]
-    return labels.sparkSession.createDataFrame(rows, f"{label} string, label_idx int")
+        raise ValueError(f"Unknown label index mode {mode}.")
+    ranked = rank_in_groups(present.withColumn("__later", first), [], ["__later", label], rank="__r")
+    return ranked.select(label, (F.col("__r") - 1).cast("int").alias("label_idx"))
 
 
 def unknown_labels(df: DataFrame, taxonomy, label="detailed_label") -> DataFrame:
@@ -235,12 +241,10 @@ def unknown_labels(df: DataFrame, taxonomy, label="detailed_label") -> DataFrame
 
 
 def with_label_index(df: DataFrame, index: DataFrame, label="detailed_label") -> DataFrame:
-    """Attach the index; an unknown label is an error, never a null."""
-    pairs = {r[0]: r[1] for r in index.collect()}
-    mapped = F.lit(None).cast("int")
-    for name, position in pairs.items():
-        mapped = F.when(F.col(label) == name, position).otherwise(mapped)
+    """Attach the index by a join; an unknown label is an error, never a null."""
+    known = index.select(F.col(label).alias("__label"), F.col("label_idx").alias("__idx"))
+    joined = df.join(known, F.col(label) == F.col("__label"), "left")
     checked = F.when(
-        mapped.isNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null"))))
-    ).otherwise(mapped)
-    return df.withColumn("label_idx", checked.cast("int"))
+        F.col("__idx").isNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null"))))
+    ).otherwise(F.col("__idx"))
+    return joined.withColumn("label_idx", checked.cast("int")).drop("__label", "__idx")

@@ -170,11 +170,13 @@ def ranking_scores(df: DataFrame, by, score, target) -> DataFrame:
 
     Rows are counted per distinct score first; the running sums over scores run
     in ranges, so neither a popular score nor many scores meet in one
-    task. Null unless both classes are present.
+    task. Null unless both classes are present. A row without a score is an error.
     """
     positive = F.col(target).cast("int") == 1
+    scored = F.when(F.col(score).isNull(), F.raise_error(F.lit("a row has no score"))).otherwise(F.col(score))
+    rows = df.withColumn("__s", scored.cast(dict(df.dtypes)[score]))
     counts = cut_lineage(
-        df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(
+        rows.groupBy(*by, "__s").agg(
             F.count_if(positive).alias("__pos"), F.count_if(~positive).alias("__neg")
         )
     )
@@ -363,9 +365,16 @@ def oracle_mapping(cross: DataFrame, head="head") -> DataFrame:
 
 
 def oracle_evaluate(df: DataFrame, mapping: DataFrame, num_classes, head="head") -> DataFrame:
-    """Confusion when each row uses the head mapped to its true class."""
-    chosen = mapping.select(F.col("class_idx").alias("true_idx"), head)
-    return confusion(df.join(chosen, ["true_idx", head]), num_classes)
+    """Confusion when each row uses the head mapped to its true class.
+
+    A class with rows but without a mapped head is an error.
+    """
+    chosen = mapping.select(F.col("class_idx").alias("true_idx"), F.col(head).alias("__chosen"))
+    rows = df.join(chosen, "true_idx", "left")
+    own = F.when(
+        F.col("__chosen").isNull(), F.raise_error(F.concat(F.lit("no head for class "), F.col("true_idx").cast("string")))
+    ).otherwise(F.col(head) == F.col("__chosen"))
+    return confusion(rows.where(own).drop("__chosen"), num_classes)
 
 
 def with_train_support(df: DataFrame, train: DataFrame, true="true_idx") -> DataFrame:

@@ -36,28 +36,46 @@ def _finite(value):
     return F.when(bad, F.raise_error(F.lit("parameter is not finite"))).otherwise(value).cast("double")
 
 
+def _complete(value, weights):
+    """``value`` of a position that every client holds exactly once; else an error."""
+    clients = weights.agg(F.count(F.lit(1))).scalar()
+    once = (F.count(F.lit(1)) == clients) & (F.count_distinct("client") == clients)
+    return F.when(once, value).otherwise(F.raise_error(F.lit("clients hold different parameters")))
+
+
+def _weight(n):
+    """The weight of a row's client; a client without one is an error."""
+    return (
+        F.when(n.isNull(), F.raise_error(F.lit("a client has no weight")))
+        .when(n <= 0, F.raise_error(F.lit("client weight must be positive"))).otherwise(n).cast("double")
+    )
+
+
 def weighted_average(params: DataFrame, weights: DataFrame, exact=()) -> DataFrame:
     """``sum(value * n) / sum(n)`` per parameter position.
 
     Parameters named in ``exact`` (counters, booleans) must agree on all
-    clients and are copied.
+    clients and are copied. Clients and weights must match, and every client
+    must hold every position once; anything else is an error.
     """
-    joined = params.join(weights, "client")
-    n = F.col("num_examples")
-    weight = F.when(n <= 0, F.raise_error(F.lit("client weight must be positive"))).otherwise(n)
-    mean = F.sum(_finite(F.col("value")) * weight.cast("double")) / F.sum(weight.cast("double"))
+    joined = params.join(weights, "client", "left")
+    weight = _weight(F.col("num_examples"))
+    mean = F.sum(_finite(F.col("value")) * weight) / F.sum(weight)
     low, high = F.min("value"), F.max("value")
     copied = F.when(low != high, F.raise_error(F.lit("exact entry differs across clients"))).otherwise(low)
     value = F.when(F.col("param").isin(*exact), copied.cast("double")).otherwise(mean) if exact else mean
-    return joined.groupBy(*POSITION).agg(value.alias("value"))
+    return joined.groupBy(*POSITION).agg(_complete(value, weights).cast("double").alias("value"))
 
 
 def weighted_average_complex(params: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted average of complex parameters kept as ``re`` and ``im``."""
-    joined = params.join(weights, "client")
-    n = F.col("num_examples").cast("double")
+    joined = params.join(weights, "client", "left")
+    n = _weight(F.col("num_examples"))
     return joined.groupBy(*POSITION).agg(
-        (F.sum(F.col("re") * n) / F.sum(n)).alias("re"), (F.sum(F.col("im") * n) / F.sum(n)).alias("im")
+        *[
+            _complete(F.sum(_finite(F.col(part)) * n) / F.sum(n), weights).cast("double").alias(part)
+            for part in ("re", "im")
+        ]
     )
 
 
@@ -71,8 +89,9 @@ def class_support_head_average(params, weights, support, heads=("head.weight", "
     s = F.coalesce(F.col("support"), F.lit(0)).cast("double")
     total = F.sum(s)
     value = F.when(total <= 0, F.raise_error(F.lit("a class has no support"))).otherwise(
-        F.sum(F.col("value") * s) / total
+        F.sum(_finite(F.col("value")) * s) / total
     )
+    value = _complete(value, weights)
     head = rows.groupBy(*POSITION).agg(value.cast("double").alias("value"))
     return trunk.unionByName(head)
 

@@ -1,9 +1,14 @@
 """Sources and cleaning over the flow view."""
 
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, features
 from ..schema import CONN_FIELDS, TAXONOMY
+from ..session import checkpoint_dir
 from ..sources import conn_log, zeek_json
 from . import views
 from .views import CLEAN_FLOWS, LABELLED_FLOWS, RAW_FLOWS
@@ -14,24 +19,47 @@ CLEANED = f"{BASE},\n{CLEAN_FLOWS}"
 LABELLED = f"{BASE},\n{LABELLED_FLOWS}"
 
 
-def _log_lines(spark, sf_dir):
-    """The flow view written as log lines; every 23rd line has a field too many
-    and every 29th lacks its last two fields."""
-    flows = views.raw_flows(spark, sf_dir)
+def _log_line(first):
+    """A flow as a log line with its first fields in the order of ``first``; every
+    23rd line has a field too many and every 29th lacks its last two fields."""
     label = F.concat_ws("   ", "tunnel_parents", "label", F.trim("detailed_label"))
-    body = F.concat_ws("\t", *CONN_FIELDS[:-3], label)
-    short = F.concat_ws("\t", *CONN_FIELDS[:-4])
-    line = (
+    body = F.concat_ws("\t", *first, CONN_FIELDS[-4], label)
+    return (
         F.when(F.col("seq") % 23 == 0, F.concat(body, F.lit("\textra")))
-        .when(F.col("seq") % 29 == 0, short).otherwise(body)
+        .when(F.col("seq") % 29 == 0, F.concat_ws("\t", *first)).otherwise(body)
     )
+
+
+def _log_lines(spark, sf_dir):
+    """The flow view as lines of one log, with comments in between."""
+    flows = views.raw_flows(spark, sf_dir)
     comment = F.when(F.col("seq") % 31 == 0, F.lit("#comment"))
-    return flows.select(F.explode(F.array_compact(F.array(comment, line))).alias("value"))
+    lines = F.array_compact(F.array(comment, _log_line(CONN_FIELDS[:-4])))
+    return flows.select(F.explode(lines).alias("value"))
+
+
+def _log_files(spark, sf_dir):
+    """The flow view written as log files by scenario; every other task writes
+    its files with another order of fields, each under its own header."""
+    orders = [CONN_FIELDS[:-4], tuple(reversed(CONN_FIELDS[:-4]))]
+    headers = ["\t".join(["#fields", *first, *HEADER[-2:]]) for first in orders]
+    lines = views.raw_flows(spark, sf_dir).select("scenario", *[_log_line(f).alias(f"line_{i}") for i, f in enumerate(orders)])
+
+    def write(batches):
+        kind = TaskContext.get().partitionId() % 2
+        for batch in batches:
+            names = batch["scenario"].unique()
+            yield pa.record_batch({"scenario": names, "value": pa.array([headers[kind]] * len(names), pa.string())})
+            yield pa.record_batch({"scenario": batch["scenario"], "value": batch[f"line_{kind}"]})
+
+    folder = f"{checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    dealt = lines.repartition(4)
+    dealt.mapInArrow(write, "scenario string, value string").write.partitionBy("scenario").text(folder)
+    return folder
 
 
 def _read_log(spark, sf_dir):
-    parsed = conn_log.parse_conn_log(_log_lines(spark, sf_dir), HEADER)
-    return parsed.select(*CONN_FIELDS)
+    return conn_log.read_conn_log(spark, f"{_log_files(spark, sf_dir)}/*").select(*CONN_FIELDS)
 
 
 _GOOD = "seq % 23 <> 0"
@@ -127,18 +155,12 @@ FROM e GROUP BY schema_error"""
 
 
 def _scan_scenarios(spark, sf_dir):
-    """One frame per scenario with its own column order, merged by name."""
-    from functools import reduce
-
-    lines = _log_lines(spark, sf_dir)
-    parsed = conn_log.parse_conn_log(lines, HEADER)
-    frames = []
-    for number, name in enumerate(views.SENSORS):
-        mine = parsed.where(F.pmod(F.substring("orig_h", 2, 12).cast("long"), F.lit(6)) == number)
-        columns = parsed.columns if number % 2 else list(reversed(parsed.columns))
-        frames.append(mine.select(*columns).withColumn("scenario", F.lit(name)))
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return merged.groupBy("scenario", "label").agg(F.count(F.lit(1)).alias("n"))
+    """All logs in one scan, each file by its own header."""
+    folder = _log_files(spark, sf_dir)
+    rows = conn_log.scan_scenarios(spark, {name: f"{folder}/scenario={name}" for name in views.SENSORS})
+    return rows.groupBy("scenario", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.try_to_number("resp_p", F.lit("99999"))).cast("long").alias("ports"),
+    )
 
 
 def _row_ids(spark, sf_dir):
@@ -311,7 +333,8 @@ QUERIES = {
     "read_zeek_json": (_read_json, _READ_JSON_SQL),
     "scan_scenarios": (
         _scan_scenarios,
-        f"{BASE} SELECT scenario, CASE WHEN {_SHORT} THEN NULL ELSE label END AS label, count(*) AS n FROM raw_flows WHERE {_GOOD} GROUP BY ALL",
+        f"""{BASE} SELECT scenario, CASE WHEN {_SHORT} THEN NULL ELSE label END AS label, count(*) AS n,
+  CAST(sum(CAST(resp_p AS BIGINT)) AS BIGINT) AS ports FROM raw_flows WHERE {_GOOD} GROUP BY ALL""",
     ),
     "stable_row_id": (
         _row_ids,

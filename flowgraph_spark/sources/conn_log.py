@@ -1,13 +1,13 @@
 """Connection logs: tab-separated text with a ``#fields`` header."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FIELD_RENAMES, LABEL_COLUMNS
 
 LABEL_COLUMN_NAMES = ("label", "detailed_label")
+# Different header names over all logs of one scan; beyond this the input is no connection log.
+MAX_FIELDS = 1000
 
 
 def header_fields(lines: DataFrame, column="value"):
@@ -75,25 +75,91 @@ def split_label_column(df: DataFrame) -> DataFrame:
     )
 
 
+def _file_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of text files with the file they come from."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"))
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """``__file, __names``: the field names of each file's first ``#fields`` line."""
+    names = F.slice(F.split(F.rtrim("value", F.lit("\r\n")), "\t", -1), 2, 1 << 20)
+    renamed = F.transform(
+        names, lambda n: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in FIELD_RENAMES.items() for x in p]), n), n)
+    )
+    # A log has one header; of several the smallest text is taken, whatever the order of reading.
+    return lines.where(F.col("value").startswith("#fields")).groupBy("__file").agg(F.min(renamed).alias("__names"))
+
+
+def parse_files(lines: DataFrame, carry=()) -> DataFrame:
+    """Rows of many log files, each read by the header of its own file.
+
+    ``lines`` has ``value`` and ``__file``. The columns are the union of all
+    header names, sorted by their first place; a field that a file lacks is
+    null. Lines with more fields than their header are skipped, shorter ones
+    padded. A file with data but no header is an error. A last field that holds
+    three labels is split in each file that has no label columns of its own.
+    """
+    headers = file_headers(lines)
+    own = F.array_contains("__names", LABEL_COLUMN_NAMES[0]) & F.array_contains("__names", LABEL_COLUMN_NAMES[1])
+    # One row per name over all files: as many as a log has fields, not as there are logs.
+    named = headers.select(own.alias("own"), F.size("__names").alias("n"), F.posexplode("__names").alias("place", "name"))
+    holds_labels = ~F.col("own") & (F.col("place") == F.col("n") - 1)
+    found = (
+        named.groupBy("name").agg(F.min("place").alias("place"), F.max(holds_labels).alias("labels"))
+        .orderBy("place", "name").limit(MAX_FIELDS + 1).collect()
+    )
+    if not found:
+        raise ValueError("The logs have no #fields header.")
+    if len(found) > MAX_FIELDS:
+        raise ValueError(f"The logs have more than {MAX_FIELDS} different fields.")
+    plain = [row["name"] for row in found if not row["labels"] and row["name"] not in LABEL_COLUMNS]
+    rows = _tokens(lines, "value").join(headers, "__file", "left")
+    width = F.size("__names")
+    known = F.when(
+        F.col("__names").isNull(), F.raise_error(F.concat(F.lit("no #fields header in "), F.col("__file")))
+    ).otherwise(F.size("__tokens") <= width)
+    rows = rows.where(known)
+
+    def field(name):
+        place = F.array_position("__names", name)
+        return F.when(place > 0, F.try_element_at("__tokens", place.cast("int")))
+
+    last = F.split(F.trim(F.try_element_at("__tokens", width)), r"\s+", 3)
+    labels = [
+        F.when(own, field(name)).otherwise(F.try_element_at(last, F.lit(i + 1))).alias(name)
+        for i, name in enumerate(LABEL_COLUMNS)
+    ]
+    return rows.select(*carry, *[field(n).alias(n) for n in plain], *labels)
+
+
 def read_conn_log(spark: SparkSession, path) -> DataFrame:
-    """All data rows of a log as text columns.
+    """All data rows of one or many log files as text columns, by each file's own header.
 
     Text is decoded as UTF-8; undecodable bytes become the replacement character.
     """
-    return parse_conn_log(spark.read.text(path))
+    return parse_files(_file_lines(spark, path))
 
 
 def scan_scenarios(spark: SparkSession, paths) -> DataFrame:
-    """Several logs in one frame, each row tagged with its scenario.
+    """Several logs in one scan, each row tagged with its scenario.
 
-    Each log is its own scan with its own header, merged by column name, so
-    scenario order and header order do not matter.
+    ``paths`` maps a scenario to a file or folder. Every file is read by its
+    own header and merged by column name, so neither the order of scenarios nor
+    that of fields matters. A file belongs to the scenario of the longest path
+    that begins its own, and to all scenarios that share this path.
     """
-    frames = [
-        read_conn_log(spark, path).withColumn("scenario", F.lit(name))
-        for name, path in paths.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    lines = _file_lines(spark, sorted(set(paths.values())))
+    tagged = []
+    for name, path in paths.items():
+        # The file's name may have another scheme or authority in front.
+        bare = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+        of = F.contains(F.col("__file"), F.lit(f"/{bare}/")) | F.endswith(F.col("__file"), F.lit(f"/{bare}"))
+        tagged.append(F.when(of, F.struct(F.lit(len(bare)).alias("size"), F.lit(name).alias("scenario"))))
+    found = F.array_compact(F.array(*tagged))
+    longest = F.array_max(F.transform("__found", lambda t: t["size"]))
+    own = F.filter("__found", lambda t: t["size"] == longest)
+    placed = lines.withColumn("__found", found).select("value", "__file", F.inline(own))
+    return parse_files(placed, ["scenario"])
 
 
 def with_file_position(lines: DataFrame, position="position") -> DataFrame:
@@ -112,8 +178,6 @@ def with_file_position(lines: DataFrame, position="position") -> DataFrame:
     blocks = tagged.groupBy("__file", "__block").agg(
         F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    from pyspark.sql import Window
-
     earlier = (
         Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     )

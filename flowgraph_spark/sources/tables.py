@@ -1,27 +1,32 @@
 """Canonical tables, replay sets and graph tables on storage."""
 
 import hashlib
+import inspect
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import membership_digest
+from ..operators import cleaning
 from ..schema import CONN_FIELDS, FLOAT_COLUMNS, MISSING_TOKENS, PORT_COLUMNS
+from . import conn_log
 
 CLEANING_VERSION = 1
 
 
 def source_fingerprint(spark: SparkSession, path):
-    """Identity of a log: file sizes and times, cleaning version, schema contract.
+    """Identity of a log: every file's path, size and time, the parsing code and the schema contract.
 
-    Only file metadata is read.
+    Only file metadata is read. The digests of the files are summed, so neither
+    their order nor their number matters to the driver.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    totals = files.agg(
-        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")
-    ).first()
+    identity = F.concat_ws("\u0001", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    totals = membership_digest(files, [], identity).first()
     contract = [CLEANING_VERSION, list(CONN_FIELDS), list(FLOAT_COLUMNS), list(PORT_COLUMNS), list(MISSING_TOKENS)]
-    text = json.dumps([*map(str, totals), contract])
+    code = "".join(inspect.getsource(module) for module in (conn_log, cleaning))
+    text = json.dumps([totals["n_rows"], totals["digest"], hashlib.sha256(code.encode()).hexdigest(), contract])
     return hashlib.sha256(text.encode()).hexdigest()
 
 

@@ -14,7 +14,8 @@ def parse_zeek_json(lines: DataFrame, column="value", carry=(), mode="quarantine
     """Parsed records with ``record_error``; ``mode='fail'`` raises instead.
 
     A record is refused when it is no JSON object, holds a label key, or lacks
-    a required field. Blank lines are skipped.
+    a required field. Blank lines are skipped. A failing run names the place of
+    the record, if ``carry`` has one, and never its content, which holds addresses.
     """
     text = F.col(column)
     keys = F.json_object_keys(text)
@@ -26,11 +27,10 @@ def parse_zeek_json(lines: DataFrame, column="value", carry=(), mode="quarantine
         .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.concat_ws(",", missing)))
     )
     if mode == "fail":
-        error = F.when(
-            error.isNotNull(), F.raise_error(F.concat(error, F.lit(" in "), F.col("__text")))
-        )
+        place = F.concat_ws(":", *[F.col(c).cast("string") for c in carry]) if carry else F.lit("the input")
+        error = F.when(error.isNotNull(), F.raise_error(F.concat(error, F.lit(" in "), place)))
     parsed = lines.where(F.trim(text) != "").select(
-        *carry, text.alias("__text"), keys.alias("__keys"),
+        *carry, keys.alias("__keys"),
         F.from_json(text, JSON_RECORD).alias("__r"),
     )
     return parsed.select(
@@ -44,7 +44,12 @@ def read_zeek_json(spark: SparkSession, path, streaming=False, mode="quarantine"
     """JSON-lines records from files, as a batch or as a stream of new files."""
     reader = spark.readStream if streaming else spark.read
     lines = reader.format("text").options(**options).load(path)
-    return parse_zeek_json(lines, mode=mode)
+    if mode != "fail":
+        return parse_zeek_json(lines, mode=mode)
+    placed = lines.select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")
+    )
+    return parse_zeek_json(placed, mode=mode, carry=["__file", "__block"]).drop("__file", "__block")
 
 
 def observed_requests_to_flows(requests: DataFrame) -> DataFrame:

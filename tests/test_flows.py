@@ -69,6 +69,25 @@ def test_header_missing(spark, tmp_path):
         conn_log.read_conn_log(spark, str(tmp_path / "x.log"))
 
 
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    lines = log_text().rstrip("\n").split("\n")
+    head = next(line for line in lines if line.startswith("#fields"))
+    data = [line for line in lines if line and not line.startswith("#")]
+    (tmp_path / "a.log").write_text("\n".join([head, *data[:3]]) + "\n")
+    order = list(reversed(range(len(data[0].split("\t")) - 1)))
+    turned = ["\t".join([line.split("\t")[i] for i in order] + [line.split("\t")[-1]]) for line in data[3:]]
+    names = head.split("\t")[1:]
+    (tmp_path / "b.log").write_text("\n".join(["\t".join(["#fields", *[names[i] for i in order], names[-1]]), *turned]) + "\n")
+    (tmp_path / "all.log").write_text("\n".join([head, *data]) + "\n")
+    both = conn_log.read_conn_log(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
+    one = conn_log.read_conn_log(spark, str(tmp_path / "all.log"))
+    columns = sorted(one.columns)
+    assert sorted(map(tuple, both.select(columns).collect())) == sorted(map(tuple, one.select(columns).collect()))
+    (tmp_path / "c.log").write_text(data[0] + "\n")
+    with pytest.raises(Exception, match="no #fields header"):
+        conn_log.read_conn_log(spark, [str(tmp_path / "a.log"), str(tmp_path / "c.log")]).collect()
+
+
 def test_scan_scenarios_and_positions(spark, log):
     rows = conn_log.scan_scenarios(spark, {"a": log, "b": log})
     assert {r["scenario"]: r["count"] for r in rows.groupBy("scenario").count().collect()} == {"a": 7, "b": 7}
