@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flows import binary_label
 from ..functions.ordering import rank_in_groups
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 from ..schema import SPLITS
 
 ENDS = ("orig_h", "resp_h")
@@ -69,8 +69,12 @@ def degree(df: DataFrame, by, ends=ENDS) -> DataFrame:
     return endpoints(df, by, ends).groupBy(*by, "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def graph_stats(df: DataFrame, by, features, num_classes, ends=ENDS, label="detailed_label") -> DataFrame:
-    """Sizes of each graph."""
+def graph_stats(df: DataFrame, by, features, num_classes, ends=ENDS, label="detailed_label", stated=None) -> DataFrame:
+    """Sizes of each graph.
+
+    ``stated(by..., stated_nodes)`` may give more nodes than the edges touch;
+    the others are isolated.
+    """
     nodes = degree(df, by, ends).groupBy(*by).agg(F.count(F.lit(1)).alias("num_nodes"))
     binary = binary_label(F.col(label))
     edges = df.groupBy(*by).agg(
@@ -79,10 +83,17 @@ def graph_stats(df: DataFrame, by, features, num_classes, ends=ENDS, label="deta
         F.count_if(binary == 0).alias("benign_edges"),
         F.count_if(binary == 1).alias("malicious_edges"),
     )
-    return edges.join(nodes, list(by)).select(
+    joined = edges.join(nodes, list(by)).withColumn("num_isolated", F.lit(0).cast("long"))
+    if stated is not None:
+        joined = joined.join(stated, list(by), "left")
+        more = F.greatest(F.col("stated_nodes") - F.col("num_nodes"), F.lit(0))
+        joined = joined.withColumn("num_isolated", F.coalesce(more, F.lit(0)).cast("long")).withColumn(
+            "num_nodes", F.col("num_nodes") + F.col("num_isolated")
+        )
+    return joined.select(
         *by, "num_nodes", "num_edges", "num_edges_mp",
         F.lit(len(features)).alias("feature_dim"), F.lit(num_classes).alias("num_classes"),
-        F.lit(0).alias("num_isolated"), "benign_edges", "malicious_edges",
+        "num_isolated", "benign_edges", "malicious_edges",
     )
 
 
@@ -164,13 +175,15 @@ def validate_graph(edges: DataFrame, by, num_classes, edge_key, sizes=None) -> D
     return rows.join(per_key, list(by))
 
 
-def weak_components(df: DataFrame, by, ends=ENDS, max_rounds=100) -> DataFrame:
+def weak_components(df: DataFrame, by, ends=ENDS) -> DataFrame:
     """``(by..., node, component)``: the smallest node reachable, ignoring direction.
 
     Alternating large-star and small-star rounds: every round is a grouped
     minimum (combined before the shuffle) and an equi join, and long chains
-    shrink in logarithmically many rounds. Each round is written to the shared
-    folder; the driver sees one fingerprint row per round.
+    shrink in logarithmically many rounds. Minima are written before they are
+    joined, so both sides of the join are shuffled for it and Spark splits a hub.
+    Rounds go on until nothing changes; the driver sees one fingerprint row of
+    each, and the tables of a round go when the next one stands.
     """
     first, second = ends
     nodes = endpoints(df, by, ends).distinct()
@@ -186,28 +199,27 @@ def weak_components(df: DataFrame, by, ends=ENDS, max_rounds=100) -> DataFrame:
     def star(pairs, keep):
         # pairs are (u, v) rows: v is a neighbour of u. The minimum of u's
         # neighbourhood becomes the neighbour of the kept members.
-        lowest = pairs.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn(
-            "m", F.least("m", "u")
+        lowest = cut_lineage(
+            pairs.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         )
         joined = pairs.join(lowest, [*by, "u"])
         return joined.where(keep).select(*by, F.col("v").alias("u"), F.col("m").alias("v")), lowest
 
     state = None
-    for _ in range(max_rounds):
+    while True:
         mirrored = bidirect(links, "u", "v")
-        large, _ = star(mirrored, F.col("v") > F.col("u"))
-        links_large = large.where(F.col("u") != F.col("v")).distinct()
+        large, minima = star(mirrored, F.col("v") > F.col("u"))
+        links_large = cut_lineage(large.where(F.col("u") != F.col("v")).distinct())
         small, lowest = star(links_large, F.lit(True))
         own = lowest.select(*by, "u", F.col("m").alias("v"))
-        links = cut_lineage(
+        before, links = links, cut_lineage(
             small.unionByName(own).where(F.col("u") != F.col("v")).distinct()
         )
+        forget(before, minima, links_large, lowest)
         current = fingerprint(links)
         if current == state:
             break
         state = current
-    else:
-        raise RuntimeError(f"Components did not settle in {max_rounds} rounds.")
     roots = links.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(roots, [*by, "node"], "left").select(
         *by, "node", F.coalesce("component", "node").alias("component")

@@ -162,8 +162,9 @@ def gatv2_layer(
     Heads are concatenated, or averaged when ``concat`` is False.
 
     The softmax is two grouped aggregations (maximum, then sums of shifted
-    powers) rather than a window, so a hub's edges never meet in one task. Both
-    read the scored edges, which cost two gathers and are written once.
+    powers) rather than a window. Both read the scored edges, which cost two
+    gathers and are written once. The maxima are written as well: the join that
+    brings them back then shuffles both sides, and Spark splits a hub's edges.
     """
     names = hidden(width)
     total = len(weights["left_w"])
@@ -198,7 +199,7 @@ def gatv2_layer(
             *by, dst, *[f"x_{i}" for i in range(total)], *[s.alias(f"e_{h}") for h, s in enumerate(scores)]
         )
     )
-    peaks = scored.groupBy(*by, dst).agg(*[F.max(f"e_{h}").alias(f"p_{h}") for h in range(heads)])
+    peaks = cut_lineage(scored.groupBy(*by, dst).agg(*[F.max(f"e_{h}").alias(f"p_{h}") for h in range(heads)]))
     shifted = scored.join(peaks, [*by, dst])
     power = [F.exp(F.col(f"e_{h}") - F.col(f"p_{h}")) for h in range(heads)]
     sums = shifted.groupBy(*by, F.col(dst).alias("node")).agg(
@@ -321,20 +322,35 @@ def score_own_head(repr_df: DataFrame, heads, width, client="scenario") -> DataF
 
 def score_edges_wide(repr_df: DataFrame, head, vector="z") -> DataFrame:
     """As :func:`score_edges` for wide array columns: one matrix product per Arrow batch."""
-    w1, b1 = np.asarray(head["w1"], dtype=float), np.asarray(head["b1"], dtype=float)
-    w2, b2 = np.asarray(head["w2"], dtype=float), np.asarray(head["b2"], dtype=float)
+    return score_clients_wide(repr_df.withColumn("__client", F.lit("")), {"": head}, "__client", vector).drop("__client")
+
+
+def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFrame:
+    """Every row under the head of its client, in one pass over the rows.
+
+    ``heads`` maps a client to its weights. They are sent to the tasks once, and
+    each Arrow batch takes one matrix product per client in it. A client without
+    a head is an error.
+    """
+    arrays = {name: {k: np.asarray(v, dtype=float) for k, v in head.items()} for name, head in heads.items()}
+    shared = repr_df.sparkSession.sparkContext.broadcast(arrays)
 
     @pandas_udf("array<double>")
-    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(batch.to_numpy())
-            yield pd.Series(list(np.maximum(x @ w1.T + b1, 0.0) @ w2.T + b2))
+    def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, vectors in batches:
+            rows = [None] * len(vectors)
+            for name in names.unique():
+                if name not in shared.value:
+                    raise ValueError(f"no head for client {name}")
+                head, own = shared.value[name], np.flatnonzero((names == name).to_numpy())
+                x = np.stack(vectors.to_numpy()[own])
+                inner = np.maximum(x @ head["w1"].T + head["b1"], 0.0)
+                for place, row in zip(own, inner @ head["w2"].T + head["b2"]):
+                    rows[place] = row
+            yield pd.Series(rows, dtype=object)
 
     kept = [c for c in repr_df.columns if c != vector]
-    rows = repr_df.select(*kept, logits(F.col(vector)).alias("__logits"))
+    rows = repr_df.select(*kept, logits(F.col(client), F.col(vector)).alias("__logits"))
     return scored(rows.select(*kept, vx.softmax(F.col("__logits")).alias("probabilities")))
 
 

@@ -55,3 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables):
+    """Deletes tables of :func:`cut_lineage` that nothing reads any more; None is skipped."""
+    for table in tables:
+        if table is None:
+            continue
+        context = table.sparkSession.sparkContext
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,6 +10,8 @@ ROUND_SCHEMA = (
     "`macro-f1` double, weighted_f1 double, `weighted-f1` double"
 )
 EVENT_MAX_ITEMS = 100
+# Levels of an event document that are looked through; deeper ones are refused.
+EVENT_MAX_DEPTH = 8
 
 
 def normalise_rounds(rounds: DataFrame) -> DataFrame:
@@ -50,33 +52,67 @@ def flatten_history(runs: DataFrame, history="history") -> DataFrame:
     )
 
 
-def parse_event_log(lines: DataFrame, column="value") -> DataFrame:
+def _document_faults():
+    """Faults of JSON texts level by level: sensitive names and large collections.
+
+    Objects and arrays are opened with Spark's JSON functions, so names are
+    compared as parsed, whatever escapes the text uses.
+    """
+    fragments = F.array(*[F.lit(f) for f in SENSITIVE_FRAGMENTS])
+
+    def opened(node):
+        """Children of one ``(name, text)`` node: of an object by key, of an array under its name."""
+        members = F.map_entries(F.from_json(node["text"], "map<string,string>"))
+        named = F.transform(members, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("text")))
+        items = F.transform(
+            F.from_json(node["text"], "array<string>"),
+            lambda v: F.struct(node["name"].alias("name"), v.alias("text")),
+        )
+        none = F.array().cast("array<struct<name:string,text:string>>")
+        text = F.coalesce(F.ltrim(node["text"]), F.lit(""))
+        return (
+            F.when(F.startswith(text, F.lit("{")), F.coalesce(named, none))
+            .when(F.startswith(text, F.lit("[")), F.coalesce(items, none)).otherwise(none)
+        )
+
+    def size_of(node):
+        return F.greatest(
+            F.coalesce(F.json_array_length(node["text"]), F.lit(0)),
+            F.coalesce(F.size(F.json_object_keys(node["text"])), F.lit(0)),
+        )
+
+    def is_sensitive(node):
+        return F.exists(fragments, lambda f: F.contains(F.lower(F.coalesce(node["name"], F.lit(""))), f))
+
+    return opened, size_of, is_sensitive
+
+
+def parse_event_log(lines: DataFrame, column="value", depth=EVENT_MAX_DEPTH) -> DataFrame:
     """Operational events ``timestamp, level, event, fields``; fields stay text.
 
     ``event_error`` names a sensitive field or a collection of more than 100
-    items, at any depth; good rows have null.
+    items, at every level; good rows have null. Documents nested beyond
+    ``depth`` levels are refused, since nothing below would be looked at.
     """
+    opened, size_of, is_sensitive = _document_faults()
     document = F.from_json(F.col(column), "timestamp string, level string, event string, fields string")
-    # Names at any depth: quoted keys of the raw document.
-    names = F.regexp_extract_all(F.col(column), F.lit(r'"([^"\\]+)"\s*:'), 1)
-    sensitive = F.filter(
-        names,
-        lambda n: F.exists(
-            F.array(*[F.lit(f) for f in SENSITIVE_FRAGMENTS]), lambda f: F.contains(F.lower(n), f)
-        ),
-    )
-    fields = F.from_json(F.col("d.fields"), "map<string,string>")
-    parsed = lines.select(document.alias("d"), sensitive.alias("__s"))
-    large = F.map_filter(
-        fields,
-        lambda k, v: (F.coalesce(F.json_array_length(v), F.lit(0)) > EVENT_MAX_ITEMS)
-        | (F.coalesce(F.size(F.json_object_keys(v)), F.lit(0)) > EVENT_MAX_ITEMS),
-    )
-    return parsed.select("d.timestamp", "d.level", "d.event", "d.fields", "__s", large.alias("__l")).select(
-        "timestamp", "level", "event", "fields",
-        F.when(F.size("__s") > 0, F.concat(F.lit("sensitive field: "), F.element_at("__s", 1)))
-        .when(F.size("__l") > 0, F.concat(F.lit("field too large: "), F.element_at(F.map_keys("__l"), 1)))
-        .alias("event_error"),
+    root = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col(column).alias("text")))
+    rows = lines.select(document.alias("d"), root.alias("__level"))
+    sensitive, large = F.lit(None).cast("string"), F.lit(None).cast("string")
+    rows = rows.withColumns({"__sensitive": sensitive, "__large": large})
+    for level in range(depth):
+        rows = rows.withColumn("__level", F.flatten(F.transform("__level", opened)))
+        first_sensitive = F.try_element_at(F.filter("__level", is_sensitive), F.lit(1))["name"]
+        first_large = F.try_element_at(F.filter("__level", lambda n: size_of(n) > EVENT_MAX_ITEMS), F.lit(1))["name"]
+        rows = rows.withColumns(
+            {"__sensitive": F.coalesce("__sensitive", first_sensitive), "__large": F.coalesce("__large", first_large)}
+        )
+    deeper = F.exists("__level", lambda n: size_of(n) > 0)
+    return rows.select(
+        "d.timestamp", "d.level", "d.event", "d.fields",
+        F.when(F.col("__sensitive").isNotNull(), F.concat(F.lit("sensitive field: "), "__sensitive"))
+        .when(F.col("__large").isNotNull(), F.concat(F.lit("field too large: "), "__large"))
+        .when(deeper, F.lit("nested too deep")).alias("event_error"),
     )
 
 

@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, neighbors
 from ..operators.features import FittedFeatures, feature_expressions
+from ..session import cut_lineage, forget
 from .alerts import apply_alert_policy, route_sensor, validate_detections
 
 WINDOW = ["sensor_id", "window_id"]
 
 
 class DetectionModel(NamedTuple):
-    """A fitted preprocessor, one head per client and the class names."""
+    """A fitted preprocessor, one head per client, the class names and encoder layers.
+
+    ``layers`` are edge-SAGE weights as in :func:`neighbors.encode_nodes`; without
+    them a node's vector is the mean of its incident edges.
+    """
 
     fit: FittedFeatures
     heads: dict
     classes: tuple
     digests: dict
+    layers: tuple = ()
 
 
 class DetectionPolicy(NamedTuple):
@@ -49,34 +55,39 @@ def window_graph(rows: DataFrame, features, by=WINDOW, sensor="sensor_id", keep=
 def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
     """Predictions of the flows each window emits for the first time.
 
-    ``rows`` are clean window rows. Node vectors are means over the window's
-    incident edges; the head is the one of the sensor's client.
+    ``rows`` are clean window rows. Every window is a graph of its own, whose
+    nodes are encoded by the model's layers; a flow is scored by the head of its
+    sensor's client. All clients are scored in one pass.
     """
-    columns = model.fit.columns
-    featured = rows.select(
-        *WINDOW, "flow_seq", "is_new", "flow_ts", "orig_h", "resp_h",
-        *feature_expressions(model.fit, rows.columns),
-    )
-    edges = graph.namespace_nodes(featured).withColumnsRenamed({"orig_h": "src", "resp_h": "dst"})
-    means = neighbors.edge_to_node_aggregate(edges, WINDOW, columns)
-    nodes = means.select(*WINDOW, "node", *[F.col(c).alias(f"h_{i}") for i, c in enumerate(columns)])
-    sizes = edges.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
-    new = edges.where("is_new").join(sizes, WINDOW).withColumn(
-        "entity", F.element_at(F.split("src", "::"), -1)
+    columns = list(model.fit.columns)
+    featured = cut_lineage(
+        rows.select(
+            *WINDOW, "flow_seq", "is_new", "flow_ts", "orig_h", "resp_h",
+            *feature_expressions(model.fit, rows.columns),
+        )
     )
-    width = len(columns)
+    kept = ["flow_seq", "is_new", "flow_ts", "entity"]
+    edges = window_graph(
+        featured.withColumn("entity", F.col("orig_h")), columns, keep=kept
+    ).select(*WINDOW, *kept, "src", "dst", *columns)
+    if model.layers:
+        nodes = neighbors.encode_nodes(edges, WINDOW, columns, model.layers)
+        width = len(model.layers[-1]["upd_b"])
+    else:
+        means = neighbors.edge_to_node_aggregate(edges, WINDOW, columns)
+        nodes = means.select(*WINDOW, "node", *[F.col(c).alias(f"h_{i}") for i, c in enumerate(columns)])
+        width = len(columns)
+    sizes = featured.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
+    new = edges.where("is_new").join(sizes, WINDOW)
     represented = neighbors.edge_representation(
         route_sensor(new, routes), nodes, WINDOW, columns, width,
         keep=["client_id", "flow_seq", "flow_ts", "flow_count", "entity"],
     )
     packed = represented.select(
         *WINDOW, "client_id", "flow_seq", "flow_ts", "flow_count", "entity",
-        F.array(*[F.col(f"z_{i}").cast("double") for i in range(3 * width)]).alias("z"),
+        F.array(*[F.col(f"z_{i}").cast("double") for i in range(2 * width + len(columns))]).alias("z"),
     )
-    scored = None
-    for client, head in sorted(model.heads.items()):
-        part = neighbors.score_edges_wide(packed.where(F.col("client_id") == client), head)
-        scored = part if scored is None else scored.unionByName(part)
+    scored = neighbors.score_clients_wide(packed, model.heads, "client_id")
     names = F.array(*[F.lit(c) for c in model.classes])
     return scored.withColumn("predicted_class", F.element_at(names, F.col("pred_idx") + 1))
 
@@ -105,9 +116,11 @@ def start_detection_stream(windows: DataFrame, schema, prepare, model, policy, p
     """
 
     def process(batch, batch_id):
-        rows = prepare(unpack_payload(batch, schema))
-        scored = score_windows(rows, model, policy.routes)
+        # Written once: every later read of the batch would run the stateful stage again.
+        held = cut_lineage(batch)
+        scored = score_windows(prepare(unpack_payload(held, schema)), model, policy.routes)
         write_detections(detections(scored, model, policy), path, batch_id)
+        forget(held)
 
     writer = windows.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if trigger:

@@ -178,6 +178,16 @@ def test_event_log(spark):
     lines = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
     errors = [r["event_error"] for r in logs.parse_event_log(lines).collect()]
     assert errors == [None, "sensitive field: my_password", "field too large: list"]
+    texts = [
+        json.dumps({"event": "e", "fields": {"a": {"b": list(range(150))}}}),
+        '{"event": "e", "fields": {"pass\\u0077ord": 1}}',
+        json.dumps({"event": "e", "fields": {"a": [{"c": {"api_token": 1}}]}}),
+        json.dumps({"event": "e", "fields": {"a": 'the word "password": in a text'}}),
+        json.dumps({"event": "e", "fields": {"a": [[[[[[[[[1]]]]]]]]]}}),
+    ]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string")
+    errors = [r["event_error"] for r in logs.parse_event_log(lines).collect()]
+    assert errors == ["field too large: b", "sensitive field: password", "sensitive field: api_token", None, "nested too deep"]
 
 
 def test_entity_hash_equals_hmac(spark):
