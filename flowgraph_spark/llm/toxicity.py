@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, cut_lineage, slices, texts_of
+from .common import bitmap_has, bitmap_of, crc_remainder, cut_lineage, slices, texts_of
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -21,6 +21,7 @@ START, END = "\x02", "\x03"
 #: Slots of the tables of sequences and contexts; their size does not follow the corpus.
 SLOT_BITS = 21
 CONTEXT_BITS = 19
+FILTER_BITS = 1 << 23
 #: Words of a window; the worst window of a text is the second feature.
 WINDOW = 24
 #: Labelled rows that the two weights and the offset are fitted on.
@@ -232,6 +233,22 @@ def logistic(features, labels, steps=60, ridge=1e-3):
     return w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()
 
 
+def _likely(rows, marked):
+    """``rows`` less most of those without a label, so that their texts are not shuffled.
+
+    A bitmap of fixed size stands for the labelled ids; the join that follows is exact.
+    """
+    bits = bitmap_of(marked.select(F.xxhash64("doc_id").alias("h")), "h", FILTER_BITS)
+    shared, names = rows.sparkSession.sparkContext.broadcast(bits), rows.columns
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1024):
+                yield part.filter(pa.array(bitmap_has(shared.value, part["h"].to_numpy()))).select(names)
+
+    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+
+
 def score(docs, labels, threshold=THRESHOLD, calibration_rows=CALIBRATION_ROWS):
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
@@ -251,7 +268,9 @@ def score(docs, labels, threshold=THRESHOLD, calibration_rows=CALIBRATION_ROWS):
         .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
     texts = docs.select("doc_id", "text", remainder.alias("part"))
-    train = texts.where("part <> 2 AND text IS NOT NULL").join(marked, "doc_id")
+    marked = cut_lineage(marked)
+    wanted = texts.where("part <> 2 AND text IS NOT NULL").select("doc_id", "text", "part")
+    train = _likely(wanted, marked).join(marked, "doc_id")
     train = cut_lineage(train.select("doc_id", "text", "part", "toxic"))
     sizes = {
         (row["counts"], row["toxic"]): row["count"]
