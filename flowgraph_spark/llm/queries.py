@@ -60,13 +60,64 @@ def html_extraction(spark, sf_dir):
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+_WORDS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+NGRAM_JOIN_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM reach JOIN both_ways ON r = a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id
+FROM n JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) ON id = doc_id"""
+
+#: The line rules of :mod:`quality` as patterns; the tables are texts without line-end characters but \\n.
+_NAVIGATION = r"' [|»›·•>] '"
+_ENDED = "'[" + quality.TERMINAL + "][" + quality.CLOSING.replace("'", "''").replace("]", r"\]") + r"\x20\x09-\x0D]*$'"
+_BOILERPLATE = "'" + "|".join(quality.BOILERPLATE) + "'"
+_ONE_SPACE = r"'[\x20\x09-\x0D]+'"
+_SYMBOLS = r"'[#*$%&|<>]'"
+QUALITY_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, {_ONE_SPACE}), lambda x: x <> '') AS ws FROM d),
+wi AS (SELECT doc_id, list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(31) || ws[i + 1] || chr(31) || ws[i + 2]) AS win FROM w),
+g AS (SELECT doc_id, unnest(win) AS g, unnest(range(1, len(win) + 1)) AS i FROM wi),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d),
+f AS (SELECT *, len(list_filter(string_split_regex(line, {_ONE_SPACE}), lambda x: x <> '')) AS n,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM l),
+r AS (SELECT doc_id, again AND n > 0 AS dup, n, again
+    OR len(regexp_extract_all(line, {_NAVIGATION})) * 4 >= n OR len(regexp_extract_all(line, {_SYMBOLS})) * 5 > n
+    OR NOT regexp_matches(line, {_ENDED}) OR (len(line) - len(replace(line, '!', ''))) * 3 > n
+    OR (n < 30 AND regexp_matches(lower(line), {_BOILERPLATE})) AS fails FROM f WHERE n > 0),
+a AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(n) FILTER (NOT fails), 0) AS left_words FROM r GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0) AS word_chars,
+    len(regexp_extract_all(t, {_SYMBOLS})) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(left_words, 0) AS left_words
+  FROM w LEFT JOIN a USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_words >= 0.5 * n_words AS kept FROM c"""
+
+TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5"""
+
 QUERIES = {
-    "op1_ngram_jaccard_join": (ngram_jaccard_join, None),
+    "op1_ngram_jaccard_join": (ngram_jaccard_join, NGRAM_JOIN_SQL),
     "op2_toxicity": (toxic_documents, None),
-    "op3_quality_rules": (quality_rules, None),
+    "op3_quality_rules": (quality_rules, QUALITY_SQL),
     "op4_line_dedup": (deduplicated_lines, None),
     "op5_secret_scans": (secret_scans, None),
-    "op7_exact_top_k": (exact_top_k, None),
+    "op7_exact_top_k": (exact_top_k, TOP_K_SQL),
     "op8_sentencepiece": (sentencepiece_round_trip, None),
     "op9_html_extraction": (html_extraction, None),
     "op6_language_id": (language_id, None),

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from flowgraph_spark.llm import line_dedup, linking, ngram_join
 from flowgraph_spark.llm.components import connect
+from pyspark.sql import functions as F
 
 
 def closure(ids, links):
@@ -82,8 +83,8 @@ def test_ngram_join_of_empty_table(empty):
 def test_cross_pairs_in_blocks_lose_nothing(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(3), k, 10 + k % 4, rng.randrange(6)) for k in range(120)]
-    frame = spark.createDataFrame(rows, "key long, id long, size int, component long")
-    fits = lambda n, m: (n - m <= 1) & (m - n <= 1)
+    frame = spark.createDataFrame(rows, "key long, id long, size int, component long").withColumn("reach", F.col("size"))
+    fits = lambda n, r, m, s: (n - m <= 1) & (m - n <= 1)
     got = linking._cross_pairs(frame, linking._open_keys(frame), fits, block_rows=7).collect()
     want = {
         (min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows
