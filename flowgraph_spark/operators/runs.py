@@ -28,7 +28,12 @@ def protocol_text(duration, max_flows, stride, lateness):
     """``rolling-window-v1:duration=...`` of a window candidate; numbers as %g."""
 
     def short(value):
-        return F.call_function("format_number", value.cast("double"), F.lit("0.######"))
+        # Six significant digits, trailing zeros cut, an exponent below -4 or from 6 on.
+        text = F.format_string("%.5e", value.cast("double"))
+        digits, exponent = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1)
+        cut = lambda number: F.regexp_replace(number, r"\.?0+$", "")
+        plain = cut(text.cast("decimal(38,12)").cast("string"))
+        return F.when(exponent.cast("int").between(-4, 5), plain).otherwise(F.concat(cut(digits), F.lit("e"), exponent))
 
     return F.concat(
         F.lit("rolling-window-v1:duration="), short(duration), F.lit("s:max-flows="),

@@ -1,12 +1,14 @@
 """Feature engineering over the clean flow view: fit on train, apply to all."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import flows as fx
 from ..operators import features
 from ..operators.splitting import loso_folds, split_per_class
 from ..schema import HISTORY_FLAGS, SCALED_COLUMNS
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 from . import views
 from .flow_queries import CLEANED, LABELLED
 from .views import split_rule_sql
@@ -112,6 +114,15 @@ def _shared(spark, sf_dir):
     return table.withColumn("mean", F.round("mean", 5)).withColumn("scale", F.round("scale", 5))
 
 
+def _saved(spark, sf_dir):
+    """The fit written to the shared folder, read back, as its table."""
+    fit = features.fit_shared([cut_lineage(split_flows(spark, sf_dir))])
+    folder = f"{checkpoint_dir(spark)}/fit-{uuid.uuid4().hex}"
+    features.save_features(spark, fit, folder)
+    table = features.fitted_table(spark, features.load_features(spark, folder))
+    return table.withColumn("mean", F.round("mean", 5)).withColumn("scale", F.round("scale", 5))
+
+
 def _ranked_values(kind, column, extra=""):
     return (
         f"SELECT '{kind}' AS kind, row_number() OVER (ORDER BY {column}) - 1 AS position, {column} AS name, "
@@ -248,6 +259,7 @@ QUERIES = {
     "history_flag_counts": (_history, _HISTORY_SQL),
     "fit_log_scaler": (_moments, _MOMENTS_SQL),
     "fit_shared_features": (_shared, _SHARED_SQL),
+    "saved_features": (_saved, _SHARED_SQL),
     "used_missing_flags": (_flags, _FLAGS_SQL),
     "assemble_features": (_assemble, _ASSEMBLE_SQL),
     "label_index_benign_first": (

@@ -389,14 +389,15 @@ _VALIDATE_SQL = f"""{EDGES} SELECT scenario, count(*) AS num_edges, 0 AS bad_nod
 
 
 def _classifier(spark, sf_dir):
-    """Weighted classifier on edge and endpoint features, scored per split."""
+    """Weighted classifier on edge and endpoint features: rows and valid scores per split and class."""
     edges = views.split_edges(spark, sf_dir).withColumnsRenamed({"orig_h": "src", "resp_h": "dst"})
     rows = neighbors.edge_classifier_rows(edges, BY, EDGE_FEATURES, keep=["split", "label_idx"])
     weights = sampling.class_weights(edges.where(F.col("split") == "train"), "label_idx")
     columns = [f"{p}_{f}" for p in ("s", "t") for f in EDGE_FEATURES] + list(EDGE_FEATURES)
     model = neighbors.fit_edge_classifier(rows, weights, columns=columns, maxIter=10)
+    known = F.col("prediction").isin(*range(len(EDGE_CLASSES)))
     return model.transform(rows).groupBy("split", "label_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("label_idx")).alias("correct")
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("scored")
     )
 
 
@@ -449,5 +450,7 @@ QUERIES = {
         f"{scored_sql(HEAD_NAMES)} SELECT scenario, head, pred_idx, count(*) AS n, {rounded_sql('avg(confidence)', 5)} AS confidence FROM scored GROUP BY ALL",
     ),
     "validate_graph": (_validate, _VALIDATE_SQL),
-    "fit_edge_classifier": (_classifier, None),
+    "fit_edge_classifier": (
+        _classifier, f"{EDGES} SELECT split, label_idx, count(*) AS n, count(*) AS scored FROM split_edges GROUP BY ALL",
+    ),
 }

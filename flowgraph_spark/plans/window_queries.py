@@ -314,6 +314,31 @@ _ROLLUP_SQL = f"""{EVENTS} SELECT CAST(floor(flow_ts / 86400) * 86400 AS BIGINT)
   confidence_bucket, entropy_bucket, head_digest, count(*) AS detections, 50 * count(*) AS flows FROM ev GROUP BY ALL"""
 
 
+def _panels(spark, sf_dir):
+    """Alert and latency panels; the age of a flow within its window stands for the latency."""
+    truth = views.predictions(spark, sf_dir).select("seq", "true_idx")
+    rows = scored_flows(spark, sf_dir).join(truth, "seq").withColumns(
+        {"timestamp": F.timestamp_seconds(F.floor("flow_ts")), "age_ms": F.pmod(F.col("seq") * 37, F.lit(1009))}
+    )
+    alerted = F.col("predicted_class").isin(*SEVERITY) & (F.col("confidence") >= 0.7)
+    panels = alerts.detection_panels(rows, alerted, F.col("true_idx") == 0, "age_ms", "1 day")
+    return panels.select(
+        F.unix_timestamp("window_start").alias("start"), "client_id", "flows", "alerts",
+        F.round("alert_rate", 6).alias("alert_rate"), F.round("benign_false_alert_rate", 6).alias("benign_false_alert_rate"),
+        "latency_p50", "latency_p95",
+    )
+
+
+_ALERTED = "predicted_class IN ('click', 'error', 'purchase') AND confidence >= 0.7"
+_PANELS_SQL = f"""{EVENTS}, x AS (SELECT CAST(floor(flow_ts / 86400) * 86400 AS BIGINT) AS start, client_id, {_ALERTED} AS alerted,
+    true_idx = 0 AS benign, (seq * 37) % 1009 AS age_ms FROM sf)
+SELECT start, client_id, count(*) AS flows, count(*) FILTER (alerted) AS alerts,
+  round(count(*) FILTER (alerted) / count(*), 6) AS alert_rate,
+  round(count(*) FILTER (alerted AND benign) / nullif(count(*) FILTER (benign), 0), 6) AS benign_false_alert_rate,
+  list_sort(list(age_ms))[CAST(round_even((count(*) - 1) * 0.5, 0) AS INTEGER) + 1] AS latency_p50,
+  list_sort(list(age_ms))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INTEGER) + 1] AS latency_p95 FROM x GROUP BY ALL"""
+
+
 def _predicted_counts(spark, sf_dir):
     return alerts.predicted_counts(scored_flows(spark, sf_dir))
 
@@ -379,6 +404,7 @@ QUERIES = {
     ),
     "window_graph": (_graph_features, _GRAPH_SQL),
     "detection_rollup": (_rollup, _ROLLUP_SQL),
+    "detection_panels": (_panels, _PANELS_SQL),
     "predicted_counts": (
         _predicted_counts, f"{EVENTS} SELECT window_id, predicted_class, count(*) AS n FROM sf GROUP BY ALL",
     ),

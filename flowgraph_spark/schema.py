@@ -25,10 +25,6 @@ FLOAT_COLUMNS = (
 )
 PORT_COLUMNS = ("orig_p", "resp_p")
 DROP_COLUMNS = ("uid", "tunnel_parents", "local_orig", "local_resp")
-STRING_COLUMNS = (
-    "orig_h", "resp_h", "proto", "service", "conn_state", "history",
-    "label", "detailed_label",
-)
 SCALED_COLUMNS = FLOAT_COLUMNS[1:]
 
 # Connection-log header in file order.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flows as fx
+from ..functions.ordering import exact_quantiles, value_counts
 from ..schema import (
     BENIGN,
     DETECTION_EVENT,
@@ -165,6 +166,30 @@ def detection_rollup(events: DataFrame, width="1 hour", watermark=None) -> DataF
     )
 
 
+def detection_panels(scored: DataFrame, alerted, benign, latency, width="1 hour") -> DataFrame:
+    """Per tumbling window and client: flows, alert rate, benign false-alert rate, latency p50 and p95.
+
+    A batch report over scored flows with ``timestamp`` and ``client_id``.
+    ``alerted`` and ``benign`` are conditions; percentiles of the ``latency``
+    column are actual values by nearest rank. Rates are null without flows.
+    """
+    rows = scored.select(
+        F.window("timestamp", width)["start"].alias("window_start"), "client_id",
+        alerted.alias("__alert"), benign.alias("__benign"), F.col(latency).alias("__latency"),
+    )
+    by = ["window_start", "client_id"]
+    false_alerts, innocent = F.count_if(F.col("__alert") & F.col("__benign")), F.count_if("__benign")
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("flows"), F.count_if("__alert").alias("alerts"),
+        (F.count_if("__alert") / F.count(F.lit(1))).alias("alert_rate"),
+        F.when(innocent > 0, false_alerts / innocent).alias("benign_false_alert_rate"),
+    )
+    ranks = exact_quantiles(
+        value_counts(rows, by, "__latency"), by, "__latency", {"latency_p50": 0.5, "latency_p95": 0.95}, nearest=True
+    )
+    return counts.join(ranks, by, "left")
+
+
 def predicted_counts(df: DataFrame) -> DataFrame:
     """Labels predicted per emitted window."""
     return df.groupBy("window_id", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
