@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut_lineage  # noqa: F401  (re-exported)
+from ..session import cut_lineage, forget  # noqa: F401  (re-exported)
 
 
 def crc_remainder(id_column, modulus):
@@ -45,14 +45,3 @@ def bitmap_has(packed, slots):
     """Boolean array: is the bit ``slot % bits`` set for each slot."""
     slots = np.asarray(slots, np.int64) % (packed.size * 8)
     return (packed.ravel()[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-
-
-def forget(*tables):
-    """Deletes tables of :func:`cut_lineage` that nothing reads any more; None is skipped."""
-    for table in tables:
-        if table is None:
-            continue
-        context = table.sparkSession.sparkContext
-        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

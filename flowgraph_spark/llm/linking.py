@@ -17,8 +17,8 @@ from .components import connect
 
 #: Rows of one key that meet in one block of the exact step.
 BLOCK_ROWS = 2048
-#: Pairs of components, per row, up to which the exact step is taken at once.
-OPEN_PAIRS_PER_ROW = 2.0
+#: Rounds of tests against leaders before the exact step.
+STAR_ROUNDS = 1
 
 _ROWS = "key long, id long, size int"
 
@@ -80,35 +80,69 @@ def with_components(rows, components):
 
 
 def _star_pairs(rows, admissible, turn):
-    """Each item of a key with the key's leader, where their components differ."""
-    rank = F.xxhash64("id", F.lit(turn))
-    leaders = cut_lineage(
-        rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "size", "component")).alias("lead"))
-    )
+    """Each item of a key with the key's leader, where their components differ.
+
+    The first leader is the item that can share most of itself, since copies
+    of one item differ less from it than from each other; later ones go by hash.
+    """
+    own = 1 - F.col("reach") / F.col("size") if turn == 0 else F.lit(0.0)
+    rank = F.struct(own.alias("own"), F.xxhash64("id", F.lit(turn)).alias("r"), "id", "size", "reach", "component")
+    leaders = cut_lineage(rows.groupBy("key").agg(F.min(rank).alias("lead")))
     pairs = (
         rows.join(leaders, "key")
-        .where((F.col("component") != F.col("lead.component")) & admissible(F.col("size"), F.col("lead.size")))
-        .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-        .distinct()
+        .where(
+            (F.col("component") != F.col("lead.component"))
+            & admissible(F.col("size"), F.col("reach"), F.col("lead.size"), F.col("lead.reach"))
+        )
+        .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), F.col("lead.id").alias("lead"))
+        .groupBy("a", "b").agg(F.min("lead").alias("lead"))
     )
     return pairs, leaders
 
 
+def _pivots(measured):
+    """``id, pivot, common``: the leader an item has most in common with, and how much.
+
+    A leader is its own pivot. Only pairs measured once count: an item with
+    several contents has no single overlap.
+    """
+    once = (
+        measured.groupBy("a", "b", "lead").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("n"))
+        .where("n = 1")
+    )
+    other = F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    own = once.select(F.col("lead").alias("id"), F.col("lead").alias("pivot"), F.lit((1 << 31) - 1).alias("common"))
+    every = once.select(other.alias("id"), F.col("lead").alias("pivot"), "common").union(own)
+    best = F.max(F.struct("common", "pivot")).alias("best")
+    return every.groupBy("id").agg(best).select("id", "best.pivot", "best.common")
+
+
 def _open_keys(rows):
-    """Keys with more than one component: rows, and pairs of different components."""
+    """Keys with more than one component, and their rows."""
     return (
         rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("key").agg(
-            F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-            F.count(F.lit(1)).alias("components"),
+            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("components"),
         )
-        .where("components > 1")
-        .select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("pairs"))
+        .where("components > 1").select("key", "rows")
     )
 
 
-def _cross_pairs(rows, open_keys, admissible, block_rows=BLOCK_ROWS):
-    """All admissible pairs of different components under a key, block against block."""
+def _cross_pairs(rows, open_keys, admissible, pivots=None, block_rows=BLOCK_ROWS):
+    """All admissible pairs of different components under a key, block against block.
+
+    With a pivot in common two items share at most what both share with it, and
+    what both can share outside it.
+    """
+    if pivots is None:
+        rows = rows.withColumns({"pivot": F.col("id"), "common": F.col("size")})
+    else:
+        rows = rows.join(pivots, "id", "left").withColumns(
+            {
+                "pivot": F.coalesce("pivot", "id"),
+                "common": F.least(F.coalesce("common", "size"), "size"),
+            }
+        )
     blocks = F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = (
@@ -120,6 +154,8 @@ def _cross_pairs(rows, open_keys, admissible, block_rows=BLOCK_ROWS):
         .sortWithinPartitions("key", "low", "high", "component", "id")
     )
 
+    names = ("key", "low", "high", "id", "size", "reach", "component", "own", "pivot", "common")
+
     def run(batches):
         held = None
         for batch in batches:
@@ -127,68 +163,86 @@ def _cross_pairs(rows, open_keys, admissible, block_rows=BLOCK_ROWS):
             if not table.num_rows:
                 continue
             batch = table.to_batches()[0]
-            where = np.stack([batch[c].to_numpy() for c in ("key", "low", "high")])
-            starts = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(axis=0)])
-            for low, high in zip(starts[:-1], starts[1:]):
-                yield from pairs(batch.slice(low, high - low))
+            rows = {name: batch[name].to_numpy().astype(np.int64) for name in names}
+            new = np.zeros(batch.num_rows, bool)
+            for name in ("key", "low", "high"):
+                new[1:] |= rows[name][1:] != rows[name][:-1]
+            starts = np.flatnonzero(np.r_[True, new[1:]])
+            # The last cell may go on in the next batch.
             held = batch.slice(starts[-1])
+            yield from pairs({name: values[: starts[-1]] for name, values in rows.items()}, starts)
         if held is not None:
-            yield from pairs(held)
-
-    def pairs(cell):
-        """Pairs of one cell, a run of equal components against what comes after it."""
-        ids, sizes, components, own = (cell[c].to_numpy() for c in ("id", "size", "component", "own"))
-        one_block = cell["low"][0] == cell["high"][0]
-        ends = np.flatnonzero(np.r_[components[1:] != components[:-1], True]) + 1
-        for low, high in zip(np.r_[0, ends[:-1]], ends):
-            for k in range(low, high):
-                fits = admissible(sizes[high:].astype(np.int64), int(sizes[k]))
-                if not one_block:
-                    fits &= own[high:] != own[k]
-                others = ids[high:][fits]
-                if len(others):
-                    yield pa.record_batch(
-                        {"a": pa.array(np.minimum(others, ids[k])), "b": pa.array(np.maximum(others, ids[k]))}
-                    )
+            rows = {name: held[name].to_numpy().astype(np.int64) for name in names}
+            yield from pairs(rows, np.array([0, held.num_rows]))
+
+    def pairs(rows, starts):
+        """Pairs of all cells at once: every row with the next of its cell, the one after it, and so on."""
+        end = np.repeat(starts[1:], np.diff(starts))
+        first, step, found = np.arange(len(rows["id"])), 0, []
+        while True:
+            step += 1
+            first = first[first + step < end[first]]
+            if not len(first):
+                break
+            second = first + step
+            fits = rows["component"][first] != rows["component"][second]
+            fits &= (rows["low"][first] == rows["high"][first]) | (rows["own"][first] != rows["own"][second])
+            r, s = rows["reach"][first], rows["reach"][second]
+            c, d = rows["common"][first], rows["common"][second]
+            # A pivot itself has all in common with itself, and nothing outside.
+            bound = np.minimum(c, d) + np.minimum(np.maximum(r - c, 0), np.maximum(s - d, 0))
+            bound[rows["pivot"][first] != rows["pivot"][second]] = (1 << 31) - 1
+            fits &= admissible(rows["size"][first], np.minimum(r, bound), rows["size"][second], np.minimum(s, bound))
+            if fits.any():
+                found.append((rows["id"][first[fits]], rows["id"][second[fits]]))
+        if found:
+            # Copies share many keys, so each pair goes out once per batch.
+            a, b = (np.concatenate(side) for side in zip(*found))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.record_batch({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
     return cells.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def link(rows, admissible, verify, extra_links=None):
+def link(rows, admissible, verify, extra_links=None, measure=None):
     """``id`` and ``component`` of every item that is linked, smallest id of its component.
 
-    ``rows`` (key, id, size) is read several times, so it should be a table.
-    ``admissible(n, m)`` says for two sizes, as columns or arrays, whether a
-    link is possible; ``verify(pairs)`` gives the links (a, b) among ``pairs``.
-    ``extra_links`` are taken as given.
+    ``rows`` (key, id, size, reach) is read several times, so it should be a
+    table; ``reach`` bounds how much of the item any other can share.
+    ``admissible(n, r, m, s)`` says for two sizes and reaches, as columns or
+    arrays, whether a link is possible; ``verify(pairs)`` gives the links (a, b)
+    among ``pairs``. ``extra_links`` are taken as given. ``measure(pairs)`` gives
+    pairs with leaders (a, b, lead), a row for each content, with ``linked`` and
+    ``common``, how much they share; it narrows down the exact step.
     """
-    total = rows.count()
     links = cut_lineage(extra_links) if extra_links is not None else None
     components = connect(links) if links is not None and not links.isEmpty() else None
-    tested, turn = None, 0
-    while True:
+    tested, measured = None, None
+    for turn in range(STAR_ROUNDS + 1):
         placed = cut_lineage(with_components(rows, components))
         open_keys = cut_lineage(_open_keys(placed))
-        pairs_open = open_keys.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs_open:
+        if open_keys.isEmpty():
             break
-        exact = turn > 0 and (pairs_open <= OPEN_PAIRS_PER_ROW * total or not progress)
-        if exact:
-            pairs = _cross_pairs(placed, open_keys, admissible)
-            leaders = None
+        leaders = None
+        if turn < STAR_ROUNDS:
+            still = placed.join(open_keys.select("key"), "key", "left_semi")
+            pairs, leaders = _star_pairs(still, admissible, turn)
         else:
-            pairs, leaders = _star_pairs(placed.join(open_keys.select("key"), "key", "left_semi"), admissible, turn)
+            pivots = cut_lineage(_pivots(measured)) if measured is not None else None
+            pairs = _cross_pairs(placed, open_keys, admissible, pivots)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        new = cut_lineage(verify(pairs))
-        progress = not new.isEmpty()
-        if progress:
+        if measure is not None and turn < STAR_ROUNDS:
+            found = cut_lineage(measure(pairs))
+            measured = found if measured is None else measured.union(found)
+            new = found.where("linked").select("a", "b").distinct()
+        else:
+            new = verify(pairs.select("a", "b"))
+        new, pairs = cut_lineage(new), pairs.select("a", "b")
+        if not new.isEmpty():
             links = cut_lineage(links.union(new)) if links is not None else new
             components = cut_lineage(connect(links))
-        forget(placed, open_keys, leaders)
-        if exact:
-            break
         tested = pairs if tested is None else cut_lineage(tested.union(pairs))
-        turn += 1
+        forget(placed, open_keys, leaders)
     return components

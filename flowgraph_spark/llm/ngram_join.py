@@ -54,9 +54,10 @@ def overlap_needed(n, m, percent=PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def admissible(n, m):
-    """Can sets of these sizes link."""
-    return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n)
+def admissible(n, r, m, s):
+    """Can sets of sizes ``n`` and ``m`` link, of which ``r`` and ``s`` shingles can be shared at all."""
+    need = PERCENT * (n + m)
+    return ((100 + PERCENT) * r >= need) & ((100 + PERCENT) * s >= need)
 
 
 def short_lists(shingle_set, frequent):
@@ -189,9 +190,11 @@ def divide_skip(query, members):
 
 
 def verifier(docs):
-    """A function that gives the links among pairs (a, b) of doc ids."""
+    """Two functions of pairs (a, b) of doc ids: ``verify`` gives the links among them,
+    ``measure`` all of them with ``linked`` and ``common``, the size of the intersection."""
 
-    def verify(pairs):
+    def with_sets(pairs):
+        """Pairs with both sets, and the table of sets."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         wanted = bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h", TABLE_BITS)
         shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -211,10 +214,35 @@ def verifier(docs):
             pairs.join(known.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a")
             .join(known.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
         )
+        return joined, known
+
+    def verify(pairs):
+        joined, known = with_sets(pairs)
         links = cut_lineage(joined.select("b", "found_b", "a", "found_a").mapInArrow(search, "a long, b long"))
         forget(known)
         return links
 
+    def measure(pairs):
+        joined, known = with_sets(pairs)
+        rows = joined.select("b", "found_b", "a", "found_a", "lead")
+        found = cut_lineage(rows.mapInArrow(count, "a long, b long, lead long, linked boolean, common int"))
+        forget(known)
+        return found
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, 512):
+                linked, common = [], []
+                for left, right in zip(part["found_a"].to_pylist(), part["found_b"].to_pylist()):
+                    left, right = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
+                    both = min(len(left), len(right)) > 0
+                    linked.append(both and bool(divide_skip(right, [left])))
+                    common.append(len(np.intersect1d(left, right, assume_unique=True)))
+                yield pa.record_batch(
+                    [part["a"], part["b"], part["lead"], pa.array(linked, pa.bool_()), pa.array(common, pa.int32())],
+                    names=["a", "b", "lead", "linked", "common"],
+                )
+
     def search(batches):
         for batch in batches:
             for part in slices(batch, 512):
@@ -237,7 +265,23 @@ def verifier(docs):
                     {"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())}
                 )
 
-    return verify
+    return verify, measure
+
+
+def with_reach(rows, rare, alone):
+    """``rows`` with ``reach``: the shingles of a document that another one can hold.
+
+    Those of its rare short lists that no other document has are left out. A
+    doc_id with several sets keeps all, as its lists are not told apart.
+    """
+    found = rare.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    lists = alone.groupBy(F.col("doc_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("sets"), F.max(F.size("rare") - F.col("late")).alias("listed")
+    )
+    lost = lists.join(found, "id", "left").select(
+        "id", F.when(F.col("sets") == 1, F.col("listed") - F.coalesce("shared", F.lit(0))).otherwise(0).alias("lost")
+    )
+    return rows.join(cut_lineage(lost), "id").select("key", "id", "size", (F.col("size") - F.col("lost")).cast("int").alias("reach"))
 
 
 def classes(docs):
@@ -263,16 +307,18 @@ def classes(docs):
         (F.size("rare") - F.col("late")).alias("rare_count"),
     )
     # Frequent shingles have many documents for sure; only the others are looked through for pairs.
-    listed_rare = shared_rows(listed.where("place < rare_count"))
-    listed_late = listed.where("place >= rare_count").select("key", "id", "size")
-    rows = cut_lineage(listed_rare.unionByName(listed_late))
+    rare = cut_lineage(shared_rows(listed.where("place < rare_count")))
+    late = listed.where("place >= rare_count").select("key", "id", "size")
+    rows = cut_lineage(with_reach(rare.unionByName(late), rare, alone))
+    forget(rare)
     # A doc_id with several texts belongs to several classes, which it links.
     several = (
         members.where("first IS NOT NULL").groupBy("doc_id")
         .agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a <> z")
     )
     extra = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b")).where("a <> b")
-    components = link(rows, admissible, verifier(docs), extra)
+    verify, measure = verifier(docs)
+    components = link(rows, admissible, verify, extra, measure)
     forget(described, rows)
     result = members
     if components is not None:
