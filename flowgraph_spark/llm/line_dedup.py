@@ -12,6 +12,7 @@ in the corpus stays.
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import bitmap_has, bitmap_of, cut_lineage, forget, slices, texts_of
@@ -22,6 +23,8 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 #: Bits of the filter for lines to be verified.
 TABLE_BITS = 1 << 23
+#: Bins of the character counts by which lines are told apart before they are compared.
+SIGNATURE_BINS = 7
 #: Name beside the columns of the documents, which may have any others.
 _REMOVED = "line_dedup_removed"
 
@@ -110,19 +113,34 @@ def within(a, b, edits=MAX_EDITS):
     return bool(rows[-1] >> end & 1)
 
 
-def _admissible(n, m):
-    return (n - m <= MAX_EDITS) & (m - n <= MAX_EDITS)
+def signature(codes):
+    """Counts of the characters of a line in SIGNATURE_BINS bins, modulo 256, as one number."""
+    counts = np.bincount(codes % SIGNATURE_BINS, minlength=SIGNATURE_BINS).astype(np.uint8)
+    return int.from_bytes(counts.tobytes(), "little")
+
+
+def _admissible(n, r, m, s):
+    """Lengths within MAX_EDITS; of arrays the signatures too, as an edit moves two counts at most by one."""
+    near = (n - m <= MAX_EDITS) & (m - n <= MAX_EDITS)
+    if isinstance(near, Column):
+        return near
+    apart = np.zeros(len(near), np.int64)
+    for k in range(SIGNATURE_BINS):
+        # Counts are known modulo 256; the shorter way round never exceeds the true difference.
+        gap = ((r >> (8 * k)) - (s >> (8 * k))) & 255
+        apart += np.minimum(gap, 256 - gap)
+    return near & (apart <= 2 * MAX_EDITS)
 
 
 def probe_rows(docs, edits=MAX_EDITS, min_chars=MIN_CHARS):
-    """Rows key, id, size, indexed of all lines; a line is listed once per part of a batch."""
+    """Rows key, id, size, reach (the signature), indexed of all lines, once per part of a batch."""
 
     def run(batches):
         known = {}
         for batch in batches:
             for part in slices(batch):
                 lines = {line for text in texts_of(part["text"]) for _, line in lines_of(text, min_chars)}
-                keys, ids, sizes, indexed = [], [], [], []
+                keys, ids, sizes, marks, indexed = [], [], [], [], []
                 for line in lines:
                     length, raw = len(line), line.encode("utf-32-le", "surrogatepass")
                     places = known.get(length)
@@ -137,53 +155,54 @@ def probe_rows(docs, edits=MAX_EDITS, min_chars=MIN_CHARS):
                         indexed.append(is_own)
                     ids.append(line_id(line))
                     sizes.append((length, len(places)))
+                    marks.append(signature(np.frombuffer(raw, "<u4")))
                 repeats = [n for _, n in sizes]
                 yield pa.record_batch(
                     {
                         "key": pa.array(np.array(keys, np.uint64).view(np.int64)),
                         "id": pa.array(np.repeat(np.array(ids, np.int64), repeats)),
                         "size": pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), repeats)),
+                        "reach": pa.array(np.repeat(np.array(marks, np.int64), repeats)),
                         "indexed": pa.array(np.array(indexed, bool)),
                     }
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, id long, size int, indexed boolean")
+    return docs.select("text").mapInArrow(run, "key long, id long, size int, reach long, indexed boolean")
+
+
+def verifier(docs, rows, edits=MAX_EDITS, min_chars=MIN_CHARS):
+    """A function that gives the pairs (a, b) of line ids within ``edits``.
+
+    The lines that share a key are read once; they are few beside all lines.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(rows, "id", TABLE_BITS))
+
+    def found(batches):
+        for batch in batches:
+            for part in slices(batch):
+                lines = list({line for text in texts_of(part["text"]) for _, line in lines_of(text, min_chars)})
+                numbers = np.array([line_id(line) for line in lines], np.int64)
+                keep = bitmap_has(wanted.value, numbers) if lines else np.zeros(0, bool)
+                yield pa.record_batch(
+                    {"id": pa.array(numbers[keep]), "line": pa.array([x for x, k in zip(lines, keep) if k], pa.string())}
+                )
 
+    lines = docs.select("text").mapInArrow(found, "id long, line string")
+    # One text per number; the copies of a line meet in partial sums first.
+    lines = cut_lineage(lines.groupBy("id").agg(F.first("line").alias("line")))
 
-def verifier(docs, edits=MAX_EDITS, min_chars=MIN_CHARS):
-    """A function that gives the pairs (a, b) of line ids within ``edits``."""
+    def compare(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                near = [within(a, b, edits) for a, b in zip(part["line_a"].to_pylist(), part["line_b"].to_pylist())]
+                yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     def verify(pairs):
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, "id", TABLE_BITS))
-
-        def found(batches):
-            for batch in batches:
-                for part in slices(batch):
-                    lines = list({line for text in texts_of(part["text"]) for _, line in lines_of(text, min_chars)})
-                    numbers = np.array([line_id(line) for line in lines], np.int64)
-                    keep = bitmap_has(wanted.value, numbers) if lines else np.zeros(0, bool)
-                    yield pa.record_batch(
-                        {"id": pa.array(numbers[keep]), "line": pa.array([x for x, k in zip(lines, keep) if k], pa.string())}
-                    )
-
-        lines = docs.select("text").mapInArrow(found, "id long, line string")
-        # One text per number; the copies of a line meet in partial sums first.
-        lines = cut_lineage(lines.groupBy("id").agg(F.first("line").alias("line")))
-
-        def compare(batches):
-            for batch in batches:
-                for part in slices(batch, 4096):
-                    near = [within(a, b, edits) for a, b in zip(part["line_a"].to_pylist(), part["line_b"].to_pylist())]
-                    yield part.filter(pa.array(near, pa.bool_())).select(["a", "b"])
-
-        links = cut_lineage(
+        return (
             pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
             .join(lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
             .select("a", "b", "line_a", "line_b").mapInArrow(compare, "a long, b long")
         )
-        forget(lines)
-        return links
 
     return verify
 
@@ -208,8 +227,9 @@ def occurrences(docs, min_chars=MIN_CHARS):
 
 def removals(docs, edits=MAX_EDITS, min_chars=MIN_CHARS):
     """doc_id and the numbers of the lines to remove, for documents that lose some."""
-    rows = cut_lineage(shared_rows(probe_rows(docs, edits, min_chars), needs_index=True))
-    components = link(rows, _admissible, verifier(docs, edits, min_chars))
+    probes = probe_rows(docs, edits, min_chars)
+    rows = cut_lineage(shared_rows(probes, needs_index=True, carry_reach=True))
+    components = link(rows, _admissible, verifier(docs, rows, edits, min_chars))
     forget(rows)
     seen = cut_lineage(occurrences(docs, min_chars))
     # The first occurrence of each line, with the number of occurrences, and of each class.

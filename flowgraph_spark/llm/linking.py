@@ -23,14 +23,15 @@ STAR_ROUNDS = 1
 _ROWS = "key long, id long, size int"
 
 
-def shared_rows(entries, needs_index=False):
-    """Rows of ``entries`` (key, id, size[, indexed]) whose key has two or more items.
+def shared_rows(entries, needs_index=False, carry_reach=False):
+    """Rows of ``entries`` (key, id, size[, reach][, indexed]) whose key has two or more items.
 
     With ``needs_index`` one of the rows of a key has to be ``indexed``. Rows of
     one key stand together after a shuffle by key and are read as a stream, of
     which the last undecided row or so is held.
     """
-    columns = ["key", "id", "size", *(["indexed"] if needs_index else [])]
+    kept = ["key", "id", "size", *(["reach"] if carry_reach else [])]
+    columns = [*kept, *(["indexed"] if needs_index else [])]
     # In this order the ids of a key show whether there are two, and an indexed row comes first.
     order = ["key", F.col("indexed").desc(), "id"] if needs_index else ["key", "id"]
     dealt = entries.select(columns).repartition("key").sortWithinPartitions(*order)
@@ -68,9 +69,9 @@ def shared_rows(entries, needs_index=False):
             else:
                 open_key, wanted = keys[-1], bool(several[last])
             if keep.any():
-                yield batch.filter(pa.array(keep)).select(["key", "id", "size"])
+                yield batch.filter(pa.array(keep)).select(kept)
 
-    return dealt.mapInArrow(run, _ROWS)
+    return dealt.mapInArrow(run, _ROWS + (", reach long" if carry_reach else ""))
 
 
 def with_components(rows, components):
@@ -191,7 +192,7 @@ def _cross_pairs(rows, open_keys, admissible, pivots=None, block_rows=BLOCK_ROWS
             c, d = rows["common"][first], rows["common"][second]
             # A pivot itself has all in common with itself, and nothing outside.
             bound = np.minimum(c, d) + np.minimum(np.maximum(r - c, 0), np.maximum(s - d, 0))
-            bound[rows["pivot"][first] != rows["pivot"][second]] = (1 << 31) - 1
+            bound[rows["pivot"][first] != rows["pivot"][second]] = np.iinfo(np.int64).max
             fits &= admissible(rows["size"][first], np.minimum(r, bound), rows["size"][second], np.minimum(s, bound))
             if fits.any():
                 found.append((rows["id"][first[fits]], rows["id"][second[fits]]))
@@ -208,7 +209,8 @@ def link(rows, admissible, verify, extra_links=None, measure=None):
     """``id`` and ``component`` of every item that is linked, smallest id of its component.
 
     ``rows`` (key, id, size, reach) is read several times, so it should be a
-    table; ``reach`` bounds how much of the item any other can share.
+    table; ``reach`` bounds how much of the item any other can share, or is
+    what else ``admissible`` compares.
     ``admissible(n, r, m, s)`` says for two sizes and reaches, as columns or
     arrays, whether a link is possible; ``verify(pairs)`` gives the links (a, b)
     among ``pairs``. ``extra_links`` are taken as given. ``measure(pairs)`` gives
