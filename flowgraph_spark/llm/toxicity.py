@@ -84,10 +84,8 @@ def sequence_table(words, order=ORDER, discount=DISCOUNT):
     for n in range(order, 1, -1):
         shorter[n - 1] = kinds.select(tail(n)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         kinds = shorter[n - 1]
-    total = shorter[1].agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("characters"))
-    backoff = shorter[1].crossJoin(F.broadcast(total)).select(
-        "gram", ((F.col("n") + 1) / (F.col("all") + F.col("characters"))).alias("p")
-    )  # one row of totals
+    total = shorter[1].agg(F.sum("n") + F.count(F.lit(1))).scalar()
+    backoff = shorter[1].select("gram", ((F.col("n") + 1) / total).alias("p"))
     for n in range(2, order):
         sums = shorter[n].groupBy(head(n)).agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("t"))
         backoff = (
