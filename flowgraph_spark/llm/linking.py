@@ -133,7 +133,7 @@ def _cross_pairs(rows, open_keys, admissible, pivots=None, block_rows=BLOCK_ROWS
     """All admissible pairs of different components under a key, block against block.
 
     With a pivot in common two items share at most what both share with it, and
-    what both can share outside it.
+    what both have outside it.
     """
     if pivots is None:
         rows = rows.withColumns({"pivot": F.col("id"), "common": F.col("size")})
@@ -188,12 +188,13 @@ def _cross_pairs(rows, open_keys, admissible, pivots=None, block_rows=BLOCK_ROWS
             second = first + step
             fits = rows["component"][first] != rows["component"][second]
             fits &= (rows["low"][first] == rows["high"][first]) | (rows["own"][first] != rows["own"][second])
+            n, m = rows["size"][first], rows["size"][second]
             r, s = rows["reach"][first], rows["reach"][second]
             c, d = rows["common"][first], rows["common"][second]
             # A pivot itself has all in common with itself, and nothing outside.
-            bound = np.minimum(c, d) + np.minimum(np.maximum(r - c, 0), np.maximum(s - d, 0))
+            bound = np.minimum(c, d) + np.minimum(n - c, m - d)
             bound[rows["pivot"][first] != rows["pivot"][second]] = np.iinfo(np.int64).max
-            fits &= admissible(rows["size"][first], np.minimum(r, bound), rows["size"][second], np.minimum(s, bound))
+            fits &= admissible(n, np.minimum(r, bound), m, np.minimum(s, bound))
             if fits.any():
                 found.append((rows["id"][first[fits]], rows["id"][second[fits]]))
         if found:
@@ -209,8 +210,8 @@ def link(rows, admissible, verify, extra_links=None, measure=None):
     """``id`` and ``component`` of every item that is linked, smallest id of its component.
 
     ``rows`` (key, id, size, reach) is read several times, so it should be a
-    table; ``reach`` bounds how much of the item any other can share, or is
-    what else ``admissible`` compares.
+    table; ``reach`` is what ``admissible`` bounds the overlap by, or what else
+    it compares.
     ``admissible(n, r, m, s)`` says for two sizes and reaches, as columns or
     arrays, whether a link is possible; ``verify(pairs)`` gives the links (a, b)
     among ``pairs``. ``extra_links`` are taken as given. ``measure(pairs)`` gives

@@ -55,9 +55,18 @@ def overlap_needed(n, m, percent=PERCENT):
 
 
 def admissible(n, r, m, s):
-    """Can sets of sizes ``n`` and ``m`` link, of which ``r`` and ``s`` shingles can be shared at all."""
+    """Can sets of sizes ``n`` and ``m`` and of reaches ``r`` and ``s`` link.
+
+    A shingle of the smaller set's short lists can lie behind the end of the
+    larger one's. What is behind is at most the larger set less its short
+    lists, so the overlap is at most the reach of the larger set, and the reach
+    of the smaller one plus the difference of what both have behind.
+    """
     need = PERCENT * (n + m)
-    return ((100 + PERCENT) * r >= need) & ((100 + PERCENT) * s >= need)
+    behind_n, behind_m = ((k - k % 100) / 100 for k in (PERCENT * n + 99, PERCENT * m + 99))
+    more = (100 + PERCENT) * (behind_m - behind_n)
+    r, s = (100 + PERCENT) * r, (100 + PERCENT) * s
+    return ((r >= need) | (r + more >= need)) & ((s >= need) | (s - more >= need))
 
 
 def short_lists(shingle_set, frequent):
@@ -269,10 +278,11 @@ def verifier(docs):
 
 
 def with_reach(rows, rare, alone):
-    """``rows`` with ``reach``: the shingles of a document that another one can hold.
+    """``rows`` with ``reach``: the shingles of a document less those it lists alone.
 
-    Those of its rare short lists that no other document has are left out. A
-    doc_id with several sets keeps all, as its lists are not told apart.
+    These are of its rare short lists and in no other document's, but others
+    can hold them behind theirs; :func:`admissible` allows for it. A doc_id with
+    several sets keeps all, as its lists are not told apart.
     """
     found = rare.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
     lists = alone.groupBy(F.col("doc_id").alias("id")).agg(

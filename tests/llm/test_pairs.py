@@ -76,6 +76,47 @@ def test_ngram_join_of_chains_repeats_and_nulls(spark):
     assert [r.component_id for r in found if r.doc_id is None] == [None]
 
 
+def test_ngram_join_of_contained_texts_of_unequal_size(spark):
+    """Texts inside longer ones, whose shared shingles can lie behind the longer one's short lists."""
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(300):
+        inner = text(84)
+        rows.append((2 * k, " ".join(inner)))
+        rows.append((2 * k + 1, " ".join(inner + text((26, 24, 20, 17)[k % 4]))))
+    for k in range(30):  # three sizes that contain each other, with a leader and a pivot in common
+        inner, more = text(84), text(22)
+        rows += [(1000 + 3 * k, " ".join(inner)), (1001 + 3 * k, " ".join(inner + more[:11])), (1002 + 3 * k, " ".join(inner + more))]
+    sizes, want = {}, {}
+    for low, high in [(2 * k, 2) for k in range(300)] + [(1000 + 3 * k, 3) for k in range(30)]:
+        own_sizes, own = jaccard_components([r for r in rows if low <= r[0] < low + high])
+        sizes.update(own_sizes)
+        want.update(own)
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (*sizes[i], want[i]) for i, _ in rows}
+    assert 200 < sum(i != c for i, c in want.items())
+
+
+def test_ngram_join_bound_holds_for_any_order():
+    """No pair that links is refused, wherever the shared shingles fall in the order of both sets."""
+    rng = random.Random(15)
+    listed = lambda s: sorted(s)[: len(s) - -(-75 * len(s) // 100) + 1]
+    links = 0
+    for _ in range(4000):
+        both = rng.sample(range(1000), rng.randrange(5, 120))
+        other = rng.sample(range(1000), rng.randrange(0, 40))
+        cut = rng.randrange(len(other) + 1) if rng.random() < 0.5 else 0
+        a, b = {*both, *other[:cut]}, {*both, *other[cut:]}
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        links += 1
+        shared = {*listed(a)} & {*listed(b)}
+        r, s = (len(x) - len({*listed(x)} - shared) for x in (a, b))
+        assert shared and ngram_join.admissible(len(a), r, len(b), s)
+    assert links > 1000
+
+
 def test_ngram_join_of_empty_table(empty):
     assert ngram_join.classes(empty).count() == 0
 
