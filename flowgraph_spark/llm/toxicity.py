@@ -4,8 +4,8 @@ Each class has discounted counts of ORDER-character sequences within words;
 both back off to one chain of continuation counts over all labelled texts. So
 a sequence that no class has seen weighs the same under both but for the back-
 off mass of its context, and an expression is told apart as soon as one class
-has seen it. Only the log-likelihood ratios are kept: a table of fixed size
-for seen sequences, and one for contexts.
+has seen it. Only the log-likelihood ratios are kept: a table of all seen
+sequences and one of all contexts, which grow with their number.
 """
 
 import numpy as np
@@ -18,9 +18,6 @@ from .common import bitmap_has, bitmap_of, crc_remainder, cut_lineage, slices, t
 ORDER = 5
 DISCOUNT = 0.75
 START, END = "\x02", "\x03"
-#: Slots of the tables of sequences and contexts; their size does not follow the corpus.
-SLOT_BITS = 21
-CONTEXT_BITS = 19
 FILTER_BITS = 1 << 23
 #: Words of a window; the worst window of a text is the second feature.
 WINDOW = 24
@@ -118,30 +115,26 @@ def sequence_table(words, order=ORDER, discount=DISCOUNT):
     return ratios, unseen
 
 
-def _slots(table, key, bits):
-    """A table of 2 ** bits slots: 16 bits that tell keys apart, and the ratio.
+def _packed(table, key):
+    """All keys of a table as sorted 64-bit hashes with their ratios, and a dict of those that share a hash.
 
-    Where two keys fall on one slot the more frequent one keeps it; the other
-    then counts as unseen.
+    12 bytes a key; the dict holds the texts of keys whose hashes are equal, so none is lost.
     """
-    h = F.xxhash64(key)
+    hashed = table.select(F.xxhash64(key).alias("h"), F.col(key).alias("text"), "ratio")
     rows = (
-        table.select(
-            h.bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"), "total", "ratio",
-            F.shiftrightunsigned(h, 48).alias("mark"),
-        )
-        .groupBy("slot").agg(F.max_by(F.struct("mark", "ratio"), F.struct("total", "mark")).alias("kept"))
-        .select("slot", "kept.mark", "kept.ratio").toArrow()
+        hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("ratio").alias("ratio"))
+        .select("h", "n", F.col("ratio").cast("float").alias("ratio"))
     )
-    marks = np.full(1 << bits, -1, np.int32)
-    ratios = np.zeros(1 << bits, np.float32)
-    slot = rows["slot"].to_numpy()
-    marks[slot], ratios[slot] = rows["mark"].to_numpy(), rows["ratio"].to_numpy()
-    return marks, ratios
+    rows = cut_lineage(rows)
+    shared = hashed.join(rows.where("n > 1").select("h"), "h").select("text", "ratio").collect()
+    found = rows.where("n = 1").select("h", "ratio").toArrow()
+    hashes, ratios = found["h"].to_numpy(), found["ratio"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], ratios[order], {row["text"]: row["ratio"] for row in shared}
 
 
 class Scorer:
-    """Log-likelihood ratios of words under the two slot tables."""
+    """Log-likelihood ratios of words under the tables of sequences and contexts."""
 
     def __init__(self, grams, contexts, order=ORDER):
         self.grams, self.contexts, self.order = grams, contexts, order
@@ -149,10 +142,13 @@ class Scorer:
 
     @staticmethod
     def _lookup(table, key):
-        marks, ratios = table
+        hashes, ratios, shared = table
+        if key in shared:
+            return shared[key]
         h = xxhash.xxh64_intdigest(key.encode("utf-8"), 42)  # as Spark's xxhash64
-        slot = h & (len(marks) - 1)
-        return float(ratios[slot]) if marks[slot] == h >> 48 else None
+        h = np.int64(h - (1 << 64) if h >> 63 else h)
+        place = hashes.searchsorted(h)
+        return float(ratios[place]) if place < len(hashes) and hashes[place] == h else None
 
     def sequence(self, gram):
         found = self._lookup(self.grams, gram)
@@ -282,9 +278,11 @@ def score(docs, labels, threshold=THRESHOLD, calibration_rows=CALIBRATION_ROWS):
     else:
         ratios, unseen = sequence_table(count_words(train.where("part < 2").select("text", "toxic")))
         ratios, unseen = cut_lineage(ratios), cut_lineage(unseen)
-        model = (_slots(ratios, "gram", SLOT_BITS), _slots(unseen, "context", CONTEXT_BITS))
+        model = (_packed(ratios, "gram"), _packed(unseen, "context"))
         shared = spark.sparkContext.broadcast(model)
-        key = xxhash.xxh64_hexdigest(b"".join(part.tobytes() for table in model for part in table))
+        key = xxhash.xxh64_hexdigest(
+            b"".join(p.tobytes() for table in model for p in table[:2]) + repr([sorted(t[2].items()) for t in model]).encode()
+        )
         share = calibration_rows / (sizes[False, 0] + sizes[False, 1])
         position = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
         fitted = _features(train.where(F.col("part") == 3).where(position < share), shared, key, ["toxic"]).toPandas()

@@ -274,3 +274,30 @@ def test_backoff_probabilities_sum_to_one(spark):
     assert all(np.isfinite(v) for v in [*ratios.values(), *unseen.values()])
     assert {g[:2] for g in ratios} == set(unseen)
     assert ratios["aba"] > ratios["abb"]  # one class alone has seen abb
+
+
+def test_every_sequence_keeps_its_ratio(spark):
+    """More sequences than 2^21, the size that the table once had: each is found, and an unseen one is not."""
+    many = spark.range(2_500_000).select(F.concat(F.lit("q"), F.conv("id", 10, 36)).alias("gram"), (F.col("id") % 1000 / 8).alias("ratio"))
+    table = toxicity._packed(many, "gram")
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def name(k):
+        found = ""
+        while k or not found:
+            k, last = divmod(k, 36)
+            found = digits[last] + found
+        return f"q{found}"
+
+    assert len(table[0]) + len(table[2]) == 2_500_000
+    for k in random.Random(2).sample(range(2_500_000), 5000):
+        assert toxicity.Scorer._lookup(table, name(k)) == k % 1000 / 8
+    assert toxicity.Scorer._lookup(table, "never") is None
+
+
+def test_sequences_that_share_a_hash_keep_their_own_ratio(monkeypatch, spark):
+    rows = spark.createDataFrame([("ab", 1.5), ("cd", -2.5), ("ef", 0.25)], "gram string, ratio double")
+    monkeypatch.setattr(toxicity.F, "xxhash64", lambda *_: F.lit(5).cast("long"))
+    hashes, _, shared = table = toxicity._packed(rows, "gram")
+    assert len(hashes) == 0 and shared == {"ab": 1.5, "cd": -2.5, "ef": 0.25}
+    assert [toxicity.Scorer._lookup(table, k) for k in ("ab", "cd", "ef", "gh")] == [1.5, -2.5, 0.25, None]
