@@ -246,10 +246,10 @@ def _likely(rows, marked):
 def score(docs, labels, threshold=THRESHOLD, calibration_rows=CALIBRATION_ROWS):
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    Rows whose crc32 of the id leaves 2 modulo 4 are held out. The models count
-    all words of labelled rows with remainder 0 or 1; weights and offset are
-    fitted on rows with remainder 3, sampled by hash beyond
-    ``calibration_rows``. A text without words, or null, has both features 0
+    Rows whose crc32 of the id leaves 2 modulo 4 are held out. Weights and
+    offset are fitted on rows with remainder 3, sampled by hash beyond
+    ``calibration_rows``; the models count all words of all other labelled
+    rows. A text without words, or null, has both features 0
     and the score they give. Labels that are null or belong to no row are not
     used; several labels of one id count as toxic if one is. Without toxic and
     ordinary rows in both parts the score is the mean label of what there is,
@@ -266,9 +266,12 @@ def score(docs, labels, threshold=THRESHOLD, calibration_rows=CALIBRATION_ROWS):
     wanted = texts.where("part <> 2 AND text IS NOT NULL").select("doc_id", "text", "part")
     train = _likely(wanted, marked).join(marked, "doc_id")
     train = cut_lineage(train.select("doc_id", "text", "part", "toxic"))
+    # The calibration sample comes first, and what is not in it is counted.
+    share = calibration_rows / max(1, train.where("part = 3").count())
+    position = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    train = train.withColumn("counts", (F.col("part") != 3) | (position >= share))
     sizes = {
-        (row["counts"], row["toxic"]): row["count"]
-        for row in train.groupBy((F.col("part") < 2).alias("counts"), "toxic").count().collect()
+        (row["counts"], row["toxic"]): row["count"] for row in train.groupBy("counts", "toxic").count().collect()
     }
     result = texts.select("doc_id", "text", (F.col("part") == 2).alias("held_out"))
     if len(sizes) < 4:
@@ -276,16 +279,14 @@ def score(docs, labels, threshold=THRESHOLD, calibration_rows=CALIBRATION_ROWS):
         constant = sum(n for (_, toxic), n in sizes.items() if toxic) / rows if rows else 0.0
         scored = result.select("doc_id", "held_out", F.lit(constant).alias("score"))
     else:
-        ratios, unseen = sequence_table(count_words(train.where("part < 2").select("text", "toxic")))
+        ratios, unseen = sequence_table(count_words(train.where("counts").select("text", "toxic")))
         ratios, unseen = cut_lineage(ratios), cut_lineage(unseen)
         model = (_packed(ratios, "gram"), _packed(unseen, "context"))
         shared = spark.sparkContext.broadcast(model)
         key = xxhash.xxh64_hexdigest(
             b"".join(p.tobytes() for table in model for p in table[:2]) + repr([sorted(t[2].items()) for t in model]).encode()
         )
-        share = calibration_rows / (sizes[False, 0] + sizes[False, 1])
-        position = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        fitted = _features(train.where(F.col("part") == 3).where(position < share), shared, key, ["toxic"]).toPandas()
+        fitted = _features(train.where("NOT counts"), shared, key, ["toxic"]).toPandas()
         weights, offset = logistic(
             fitted[["mean_ratio", "window_ratio"]].to_numpy(), fitted["toxic"].to_numpy(np.float64)
         )

@@ -265,6 +265,20 @@ def test_toxicity_of_held_out_texts(spark, empty):
     assert {r.score for r in unlabelled} == {0.0}
 
 
+def test_toxicity_counts_all_rows_outside_the_calibration_sample(spark, monkeypatch):
+    """Every labelled row that is not held out is counted or calibrated on, and none is both."""
+    docs, labels = toxic_rows()
+    counted, real, fitted, fit = [], toxicity.count_words, [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "count_words", lambda rows: counted.append(rows.count()) or real(rows))
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: fitted.append(len(y)) or fit(x, y))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.score(frame, marks, calibration_rows=60).count() == len(docs)
+    parts = Counter(zlib.crc32(str(k).encode()) % 4 for k, _, _ in docs)
+    assert counted[0] + fitted[0] == len(docs) - parts[2]
+    assert 30 < fitted[0] < 90 < parts[3]
+
+
 def test_backoff_probabilities_sum_to_one(spark):
     """The ratios come from proper distributions: over all next characters both models sum to 1."""
     words = spark.createDataFrame([("abab", 3, 1), ("abba", 0, 2), ("bab", 1, 1)], "word string, toxic long, ordinary long")
