@@ -28,9 +28,10 @@ ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
-#: What the models judge: a run of these, not next to a letter, digit or mark of a longer one.
+#: What the models judge: a run of these, not next to a letter, digit or mark of a longer one. Both sides
+#: of an equals sign are runs of their own, and so are the parts of a dotted token.
 CANDIDATE_CHARS = 16
-CANDIDATE = re.compile(rf"(?<![\w+/=.-])[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}={{0,2}}(?![\w+/=-])")
+CANDIDATE = re.compile(rf"(?<![\w+/-])[A-Za-z0-9+/_-]{{{CANDIDATE_CHARS},}}={{0,2}}(?![\w+/-])")
 IDENTIFIER = re.compile(r"(?<![\w+/=.-])[A-Za-z_][A-Za-z0-9_-]{7,}(?![\w+/=.-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: A candidate is a span from this share of the ratio per symbol that even random strings have,

@@ -197,6 +197,27 @@ def test_secret_spans(spark, empty):
     assert secrets.scan(empty, none).count() == 0 and secrets.redact(empty, none).count() == 0
 
 
+def test_secrets_behind_equals_signs_and_between_dots(spark):
+    """Env lines, URL parameters and the parts of a JWT are judged; names and paths stay."""
+    docs, _ = secret_texts(spark)
+    model = secrets.fit(docs)
+    value, other = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzEXAMq9Lk2Z", "9fQ2xLk81ZpTtR7uVwYb"
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"
+    parts = ["q7Rz4TbW9xKc2LmV8nPd", "Hj5Gt3Yw6QsZx1Nv7BkM", jwt.split(".")[2]]
+    assert secrets.CANDIDATE.findall(f"Bearer {jwt}") == jwt.split(".")  # each is judged
+    for text, hidden in (
+        (f"AWS_SECRET_ACCESS_KEY={value}", [value]), (f"export client_key={other}\n", [other]),
+        (f"https://x.example/a?sig={value}&page=2", [value]), (f"client_key={value}==", [value]),
+        (f"Authorization: Bearer {'.'.join(parts)}", parts), (f"{other}=on", [other]),
+    ):
+        found = [text[a:b].rstrip("=") for a, _, b in secrets.all_spans(text, model)[1]]
+        assert found == list(hidden), text
+    masked = secrets.redact(spark.createDataFrame([(1, f"client_key={other} {'.'.join(parts)}")], "doc_id long, text string"), model)
+    assert masked.first().text == "client_key=[SECRET] [SECRET].[SECRET].[SECRET]"
+    for text in ("responsibilities_of_users=internationalisation", "see www.responsibilities-of-users.example for more"):
+        assert secrets.all_spans(text, model)[1] == []
+
+
 def test_language_of_held_out_texts(spark, empty):
     rng = random.Random(8)
     kinds = {"aa": "the of and ing er".split(), "bb": "der und ein sch keit".split(), "cc": "que los ción mente".split()}
