@@ -16,13 +16,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, slices, texts_of
+from .common import bitmap_has, bitmap_of, cut_lineage, forget, slices, texts_of
 
 #: A subtree is template from this many pages of its host on, and this share of them.
 MIN_PAGES = 3
 MIN_SHARE = 0.01
-#: Bits of the table of template hashes; its size does not follow the number of pages.
+#: Prose inside an article needs more: this many pages, and more than this share of the host's.
+PROSE_PAGES = 10
+PROSE_SHARE = 0.5
+#: Least bits of a table of hashes, and bits for each hash where there are more.
 TABLE_BITS = 1 << 25
+BITS_PER_KEY = 8
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +47,9 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table tr td th tbody b i em strong a span figure figcaption".split())
+#: Of these, parts of a sentence where they stand beside text or in prose, and cells read with their row.
+INLINE = frozenset("b i em strong a span".split())
+CELLS = frozenset("td th dt dd".split())
 MAIN = frozenset({"article", "main"})
 #: Words in class, id or role that mark page furniture.
 MARKS = re.compile(
@@ -172,31 +179,34 @@ def host_of(url):
 
 
 def candidates(root):
-    """Subtrees that may be template, outermost first: no prose inside main content, no main content.
+    """Subtrees that may be template, outermost first, and whether each is prose inside an article.
 
-    Within an article only its containers are candidates, so that a sentence
-    that several articles quote stays.
+    Main content is none. In an article parts of a sentence are decided with
+    the block they are in, and cells with their row.
     """
     total = root.chars
     found, waiting = [], [(root, False)]
     while waiting:
         node, inside = waiting.pop()
         inside = inside or node.tag in MAIN
+        in_text = inside and (node.tag in PROSE or any(isinstance(c, str) and c.strip() for c in node.children))
         for child in node.children:
             if not isinstance(child, Node):
                 continue
-            if not child.main and child.chars and not (inside and child.tag in PROSE) and 2 * child.chars <= total:
-                found.append(child)
+            part = inside and (child.tag in CELLS or in_text and child.tag in INLINE)
+            if not child.main and child.chars and not part and 2 * child.chars <= total:
+                found.append((child, inside and child.tag in PROSE))
             waiting.append((child, inside))
     return found
 
 
-def _key(host, digest_value):
-    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace"), digest_value) & 0x7FFFFFFFFFFFFFFF
+def _key(host, digest_value, prose):
+    seeded = xxhash.xxh3_64_intdigest(f"{host}{chr(0) * prose}".encode("utf-8", "replace"), digest_value)
+    return seeded & 0x7FFFFFFFFFFFFFFF
 
 
 def template_counts(pages):
-    """``key``, ``host``, pages per host and subtree hash; a page counts once for each."""
+    """``host``, ``key``, ``prose`` and pages per host and subtree hash; a page counts once for each."""
 
     def run(batches):
         for batch in batches:
@@ -206,29 +216,81 @@ def template_counts(pages):
                     host = host_of(url)
                     root = parse(page)
                     digest(root)
-                    for key in {(host, node.digest) for node in candidates(root)} | {(host, None)}:
+                    own = {(host, node.digest, prose) for node, prose in candidates(root)}
+                    for key in own | {(host, None, False)}:
                         counts[key] = counts.get(key, 0) + 1
                 yield pa.record_batch(
                     {
-                        "host": pa.array([h for h, _ in counts], pa.string()),
-                        "key": pa.array([None if d is None else _key(h, d) for h, d in counts], pa.int64()),
+                        "host": pa.array([h for h, _, _ in counts], pa.string()),
+                        "key": pa.array([None if d is None else _key(h, d, p) for h, d, p in counts], pa.int64()),
+                        "prose": pa.array([p for _, _, p in counts], pa.bool_()),
                         "pages": pa.array(list(counts.values()), pa.int64()),
                     }
                 )
 
     return (
-        pages.select("url", "html").mapInArrow(run, "host string, key long, pages long")
-        .groupBy("host", "key").agg(F.sum("pages").alias("pages"))
+        pages.select("url", "html").mapInArrow(run, "host string, key long, prose boolean, pages long")
+        .groupBy("host", "key", "prose").agg(F.sum("pages").alias("pages"))
     )
 
 
-def templates(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE):
+def templates(counts, min_pages=MIN_PAGES, min_share=MIN_SHARE):
     """Keys of the subtrees that are template on their host."""
-    counts = template_counts(pages)
     # The null key counts the pages of the host; hosts are few beside subtrees and join by hash.
     hosts = counts.where("key IS NULL").select("host", F.col("pages").alias("all_pages"))
-    often = counts.where((F.col("key").isNotNull()) & (F.col("pages") >= min_pages))
-    return often.join(hosts, "host").where(F.col("pages") >= min_share * F.col("all_pages")).select("key")
+    least = F.when(F.col("prose"), max(PROSE_PAGES, min_pages)).otherwise(min_pages)
+    often = counts.where(F.col("key").isNotNull() & (F.col("pages") >= least)).join(hosts, "host")
+    most = F.col("pages") > PROSE_SHARE * F.col("all_pages")
+    enough = (F.col("pages") >= min_share * F.col("all_pages")) & (~F.col("prose") | most)
+    return often.where(enough).select("key").distinct()
+
+
+def _next_hashes(hashes):
+    """As Spark's xxhash64 of each number."""
+    digests = (xxhash.xxh64_intdigest(h.tobytes(), 42) for h in np.asarray(hashes, "<i8"))
+    return np.fromiter(digests, np.uint64, len(hashes)).view(np.int64)
+
+
+def cascade(wanted, others, table_bits=TABLE_BITS):
+    """Bitmaps that tell the keys of ``wanted`` from those of ``others`` (both tables of ``key``) exactly.
+
+    The first has the bits of ``wanted``, the second those of the others that
+    hit the first by chance, the third those of ``wanted`` that hit the second,
+    and so on until none is left. Each has BITS_PER_KEY bits a key at least, so
+    the sets shrink.
+    """
+    levels, h, spark = [], F.col("key"), wanted.sparkSession
+    first, made = wanted, []
+    while count := wanted.count():
+        bits = max(table_bits, 1 << (BITS_PER_KEY * count - 1).bit_length())
+        levels.append(bitmap_of(wanted.select(h.alias("h")), "h", bits))
+        shared = spark.sparkContext.broadcast(levels[-1])
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                yield batch.filter(pa.array(bitmap_has(shared.value, batch["h"].to_numpy()))).select(["key"])
+
+        hits = others.select("key", h.alias("h")).mapInArrow(run, "key long")
+        if len(levels) == 1:
+            hits = hits.join(first, "key", "left_anti").distinct()  # a key of both counts as wanted
+        wanted, others, h = cut_lineage(hits), wanted, F.xxhash64(h)
+        made.append(wanted)
+    forget(*made)
+    return levels
+
+
+def cascade_has(levels, keys):
+    """Boolean array: is each key, of those the ``levels`` were made of, a wanted one."""
+    hashes = np.asarray(keys, np.int64)
+    found, left = np.zeros(len(hashes), bool), np.arange(len(hashes))
+    for number, level in enumerate(levels):
+        if number:
+            hashes = _next_hashes(hashes)
+        hit = bitmap_has(level, hashes)
+        found[left[~hit]] = number % 2 == 1
+        left, hashes = left[hit], hashes[hit]
+    found[left] = len(levels) % 2 == 1
+    return found
 
 
 def main_text(root, is_template):
@@ -287,12 +349,14 @@ def extract(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE, table_bits=TABLE_BI
     counts as the host ''. Repeated rows are extracted each, and count as pages
     each; other columns are not read.
 
-    Template keys travel as a bitmap of ``table_bits`` bits, whatever their
-    number. Where a bit is shared by chance a candidate subtree outside the
-    templates goes; prose inside an article never does.
+    Template keys travel as bitmaps of ``table_bits`` bits or more, which tell
+    all keys of the pages apart: no subtree goes because it shares a bit.
     """
-    bits = bitmap_of(templates(pages, min_pages, min_share), "key", table_bits)
-    shared = pages.sparkSession.sparkContext.broadcast(bits)
+    counts = cut_lineage(template_counts(pages))
+    wanted = cut_lineage(templates(counts, min_pages, min_share))
+    levels = cascade(wanted, counts.where("key IS NOT NULL").select("key"), table_bits)
+    forget(counts, wanted)
+    shared = pages.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for batch in batches:
@@ -304,8 +368,8 @@ def extract(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE, table_bits=TABLE_BI
                     chosen = candidates(root)
                     known = {}
                     if chosen:
-                        hits = bitmap_has(shared.value, np.array([_key(host, n.digest) for n in chosen], np.int64))
-                        known = {id(n): bool(hit) for n, hit in zip(chosen, hits)}
+                        hits = cascade_has(shared.value, [_key(host, n.digest, prose) for n, prose in chosen])
+                        known = {id(n): bool(hit) for (n, _), hit in zip(chosen, hits)}
                     texts.append(main_text(root, lambda node, inside: known.get(id(node), False)))
                 yield pa.record_batch(
                     [

@@ -88,6 +88,35 @@ def test_repeated_sentences_of_articles_stay(spark):
     assert all(found[k].text == f"The same closing sentence. Own text {k}" for k in range(9))
 
 
+def test_notices_of_most_articles_of_a_host_go(spark):
+    body = (
+        "<article><p>Read our <b>terms</b> now.</p><ul><li>Follow us</ul><div><span>Members only</span></div>"
+        "<p>Own <b>terms</b> {0}</p>{1}<table><tr><td>yes<td>{0}</table></article>"
+    )
+    quote = "<p>A quoted sentence.</p>"
+    pages = [(k, "http://a.example/", PAGE.format(lead="", body=body.format(f"{k} of many more words to read", quote * (k % 3 == 0)))) for k in range(24)]
+    found = extracted(spark, pages)
+    for k in range(24):
+        own = f"{k} of many more words to read"
+        assert found[k].text == f"Own terms {own}" + " A quoted sentence." * (k % 3 == 0) + f" yes {own}"
+
+
+def test_no_paragraph_goes_by_a_shared_bit(spark):
+    common = "".join(f"<p>Line {k} of all pages</p>" for k in range(600))
+    pages = [(k, "http://a.example/", common + "".join(f"<p>own {k} {j}</p>" for j in range(30)), "x") for k in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    for r in html_extract.extract(frame, table_bits=1 << 15).collect():
+        assert r.text == " ".join(f"own {r.page_id} {j}" for j in range(30))
+
+
+def test_cascade_tells_all_keys_apart(spark):
+    keys = spark.range(60_000).select(F.shiftrightunsigned(F.xxhash64("id"), 1).alias("key"), "id").collect()
+    frame = spark.createDataFrame(keys)
+    levels = html_extract.cascade(frame.where("id < 9000").select("key"), frame.select("key"), 1 << 15)
+    assert len(levels) > 2
+    assert html_extract.cascade_has(levels, [r.key for r in keys]).tolist() == [r.id < 9000 for r in keys]
+
+
 def test_odd_pages(spark):
     pages = [
         (1, None, None), (2, "", ""), (3, "http://[bad", "<p>unclosed <b>x"), (4, "x", "plain text &eacute;"),
