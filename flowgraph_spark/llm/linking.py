@@ -28,7 +28,7 @@ def shared_rows(entries, needs_index=False, carry_reach=False):
 
     With ``needs_index`` one of the rows of a key has to be ``indexed``. Rows of
     one key stand together after a shuffle by key and are read as a stream, of
-    which the last undecided row or so is held.
+    which the rows of the last undecided key are held, each different one once.
     """
     kept = ["key", "id", "size", *(["reach"] if carry_reach else [])]
     columns = [*kept, *(["indexed"] if needs_index else [])]
@@ -61,8 +61,8 @@ def shared_rows(entries, needs_index=False, carry_reach=False):
             if not several[last] and not (open_key == keys[-1] and last == 0):
                 # The last key may go on in the next batch.
                 if not needs_index or indexed[last]:
-                    held = batch.slice(starts[last])
-                    held = held.slice(held.num_rows - 1)
+                    # All of one id, so few differ; the indexed one comes first.
+                    held = _different(batch.slice(starts[last]), columns)
                     open_key, wanted = None, False
                 else:
                     open_key, wanted = keys[-1], False
@@ -74,6 +74,15 @@ def shared_rows(entries, needs_index=False, carry_reach=False):
     return dealt.mapInArrow(run, _ROWS + (", reach long" if carry_reach else ""))
 
 
+def _different(batch, names):
+    """The different rows of a batch, in order of their first occurrence."""
+    rows = list(zip(*(batch[name].to_pylist() for name in names)))
+    first = {}
+    for place, row in enumerate(rows):
+        first.setdefault(row, place)
+    return batch.take(pa.array(list(first.values()), pa.int64()))
+
+
 def with_components(rows, components):
     if components is None:
         return rows.withColumn("component", F.col("id"))

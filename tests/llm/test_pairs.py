@@ -134,6 +134,23 @@ def test_cross_pairs_in_blocks_lose_nothing(spark):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_shared_rows_across_batch_borders(spark):
+    """An indexed row stays with its key, whatever rows of the same item stand between it and the next one."""
+    rows = [(1, 5, 30, True)] + [(1, 5, 30, False)] * 7 + [(1, 6, 30, False), (1, 7, 31, False)]
+    rows += [(2, 8, 20, True)] + [(2, 8, 20, False)] * 9 + [(3, 9, 20, False), (3, 10, 20, False)]
+    rows += [(4, 11, size, True) for size in (7, 8, 9)] + [(4, 12, 9, True)]
+    frame = spark.createDataFrame(rows, "key long, id long, size int, indexed boolean")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for size in (1, 2, 3, 10_000):
+            spark.conf.set(setting, str(size))
+            found = {tuple(r) for r in linking.shared_rows(frame, needs_index=True).collect()}
+            assert found == {(1, 5, 30), (1, 6, 30), (1, 7, 31), (4, 11, 7), (4, 11, 8), (4, 11, 9), (4, 12, 9)}, size
+    finally:
+        spark.conf.set(setting, before)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_divide_skip_equals_set_intersection(seed):
     rng = random.Random(seed)
