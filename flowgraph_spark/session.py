@@ -1,6 +1,8 @@
 """Session settings and the shared folder used to cut lineage."""
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,58 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class TableOwner:
+    """Tables of :func:`cut_lineage` that go when the work they serve ends."""
+
+    def __init__(self, outer):
+        self.outer, self.folders = outer, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` as a table that outlives this owner; an owner around it takes it over."""
+        before = set(self.folders)
+        kept = cut_lineage(df)
+        for folder in set(self.folders) - before:
+            spark = self.folders.pop(folder)
+            if self.outer is not None:
+                self.outer.folders[folder] = spark
+        return kept
+
+
+_OWNERS = threading.local()
+
+
+@contextlib.contextmanager
+def temporary_tables():
+    """Deletes at its end every table that this thread wrote by :func:`cut_lineage` inside.
+
+    Results that are read later are written by ``keep`` of the owner this yields.
+    Also after an error nothing stays.
+    """
+    outer = getattr(_OWNERS, "current", None)
+    owner = _OWNERS.current = TableOwner(outer)
+    try:
+        yield owner
+    finally:
+        _OWNERS.current = outer
+        for folder, spark in owner.folders.items():
+            _delete(spark, folder)
+
+
+def _delete(spark, folder):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A new folder for a table; the owner around it, if any, deletes it at its end."""
+    folder = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    owner = getattr(_OWNERS, "current", None)
+    if owner is not None:
+        owner.folders[folder] = spark
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -52,7 +106,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     cached frame it survives the loss of executors, and unlike a row checkpoint
     it is columnar: later readers load only the columns they need.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = table_folder(df.sparkSession)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,7 +116,5 @@ def forget(*tables):
     for table in tables:
         if table is None:
             continue
-        context = table.sparkSession.sparkContext
         for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(table.sparkSession, folder)
