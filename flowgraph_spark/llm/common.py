@@ -1,9 +1,11 @@
 """Small helpers shared by the text operators."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, forget  # noqa: F401  (re-exported)
+from ..session import cut_lineage, forget, table_folder, temporary_tables  # noqa: F401  (re-exported)
 
 
 def crc_remainder(id_column, modulus):
@@ -45,3 +47,33 @@ def bitmap_has(packed, slots):
     """Boolean array: is the bit ``slot % bits`` set for each slot."""
     slots = np.asarray(slots, np.int64) % (packed.size * 8)
     return (packed.ravel()[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def groups_in_order(batches, keys):
+    """Tables of rows that follow each other with equal ``keys``; null equals null.
+
+    For partitions sorted by ``keys``: each table is a whole group of the partition.
+    """
+    held, last = [], None
+
+    def close():
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return table
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            codes = pc.fill_null(batch[key].dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            cuts |= codes[1:] != codes[:-1]
+        starts = [0, *(np.flatnonzero(cuts) + 1).tolist()]
+        for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+            own = tuple(batch[key][low].as_py() for key in keys)
+            if held and own != last:
+                yield close()
+            last = own
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield close()

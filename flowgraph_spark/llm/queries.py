@@ -4,7 +4,8 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_bpe, topk, toxicity
+from . import html_extract, langid, line_dedup, merkle, ngram_join, packing, quality, secrets, sentencepiece_bpe
+from . import token_files, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -60,6 +61,17 @@ def html_extraction(spark, sf_dir):
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def token_id_files(spark, sf_dir):
+    folder = token_files.write(_table(spark, sf_dir, "documents"), _model_text("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, folder)
+
+
+def merkle_manifest(spark, sf_dir):
+    return merkle.build(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
 _WORDS_SQL = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
@@ -111,6 +123,42 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5"""
 
+def _field_sql(column):
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_HEAD_SQL = " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))
+#: The remainder of crc32 by 2, bit by bit: SQL has no crc32 function.
+_ODD_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+  lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))), lambda c, b: list_reduce(
+  [xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) & 1"""
+MERKLE_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_HEAD_SQL} || {_field_sql('text')}) AS leaf,
+  CASE WHEN {_ODD_CRC_SQL} = 0 THEN sha256({_HEAD_SQL} || {_field_sql("replace(text, chr(10), '')")}) END AS other FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d),
+nodes(s, level, i, n, h) AS (SELECT s, 0, i, n, leaf FROM o UNION ALL
+  SELECT s, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY s, level, i // 3, n),
+tops(level, i, n, h) AS (SELECT 0, s, (SELECT count(DISTINCT s) FROM o), h FROM nodes WHERE n = 1 UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 3, n),
+heights AS (SELECT s, max(level) AS top FROM nodes GROUP BY s),
+k AS (SELECT row_number() OVER () AS k, * FROM o JOIN heights USING (s)),
+sides AS (
+  SELECT k, x.level, x.i, x.h, x.i < k.i // CAST(pow(3, x.level) AS BIGINT) AS earlier FROM k JOIN nodes x ON x.s = k.s AND x.n > 1
+    AND x.i // 3 = k.i // CAST(pow(3, x.level + 1) AS BIGINT) AND x.i <> k.i // CAST(pow(3, x.level) AS BIGINT)
+  UNION ALL
+  SELECT k, k.top + x.level, x.i, x.h, x.i < k.s // CAST(pow(3, x.level) AS BIGINT) FROM k JOIN tops x ON x.n > 1
+    AND x.i // 3 = k.s // CAST(pow(3, x.level + 1) AS BIGINT) AND x.i <> k.s // CAST(pow(3, x.level) AS BIGINT)),
+proofs AS (SELECT k, sha256(string_agg(h, '' ORDER BY level, i)) AS proof FROM sides GROUP BY k),
+steps AS (SELECT k, level, coalesce(string_agg(h, '' ORDER BY i) FILTER (earlier), '') AS a,
+  coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT earlier), '') AS b FROM sides GROUP BY k, level),
+whole AS (SELECT h AS root, (SELECT max(level) FROM tops) AS high FROM tops WHERE n = 1),
+folds(k, level, last, h) AS (SELECT k, 0, top + high, coalesce(other, leaf) FROM k, whole UNION ALL
+  SELECT f.k, f.level + 1, last, sha256(coalesce(a, '') || h || coalesce(b, '')) FROM folds f
+  LEFT JOIN steps ON steps.k = f.k AND steps.level = f.level WHERE f.level < last)
+SELECT k.doc_id, leaf, x.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM k JOIN nodes x ON x.s = k.s AND x.n = 1 JOIN folds f ON f.k = k.k AND f.level = f.last
+LEFT JOIN proofs ON proofs.k = k.k, whole"""
+
 QUERIES = {
     "op1_ngram_jaccard_join": (ngram_jaccard_join, NGRAM_JOIN_SQL),
     "op2_toxicity": (toxic_documents, None),
@@ -122,4 +170,6 @@ QUERIES = {
     "op9_html_extraction": (html_extraction, None),
     "op6_language_id": (language_id, None),
     "op10_best_fit_packing": (best_fit_packing, None),
+    "op12_token_id_files": (token_id_files, None),
+    "op13_merkle_manifest": (merkle_manifest, MERKLE_SQL),
 }
