@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import html_extract, langid, line_dedup, merkle, ngram_join, packing, quality, secrets, sentencepiece_bpe
-from . import token_files, topk, toxicity
+from . import token_files, topk, toxicity, turns
 
 
 def _table(spark, sf_dir, name):
@@ -66,6 +66,10 @@ def token_id_files(spark, sf_dir):
     return token_files.read(spark, folder)
 
 
+def conversation_repair(spark, sf_dir):
+    return turns.repair(turns.damage(_table(spark, sf_dir, "conversations")))
+
+
 def merkle_manifest(spark, sf_dir):
     return merkle.build(_table(spark, sf_dir, "documents")).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
@@ -170,6 +174,7 @@ QUERIES = {
     "op9_html_extraction": (html_extraction, None),
     "op6_language_id": (language_id, None),
     "op10_best_fit_packing": (best_fit_packing, None),
+    "op11_conversation_repair": (conversation_repair, None),
     "op12_token_id_files": (token_id_files, None),
     "op13_merkle_manifest": (merkle_manifest, MERKLE_SQL),
 }
