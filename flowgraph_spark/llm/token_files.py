@@ -19,24 +19,32 @@ repeated tasks wrote. Block offsets give any id by reading one block, and a whol
 block is unpacked by numpy at once. ``manifest`` counts the ids before each file.
 """
 
+import array
+import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, table_folder, texts_of
+from .common import cut_lineage, table_folder
 
 MAGIC = b"IDPACK01"
 BLOCK_IDS = 1 << 16
 #: Bytes of text that a file is planned for.
 TEXT_BYTES_PER_FILE = 64 << 20
-#: Distinct words a worker keeps.
-MEMO_WORDS = 700_000
+#: Distinct words and parts of words a worker keeps, and bytes of text it splits at once.
+MEMO_WORDS = 500_000
+BATCH_BYTES = 4 << 20
+
+#: Latin letters whose lower case is one letter, and marks behind them: two pre-tokens.
+_PLAIN = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?$%&*#]*)")
 
 _HEADER = struct.Struct("<8sIIQ")
 _COUNTS = struct.Struct("<QQQ")
@@ -67,54 +75,102 @@ class WordIds:
     """Ids of whole texts by a model whose pre-tokens never cross white space.
 
     Such a model gives a text the ids of its words in a row, so distinct words
-    are encoded once. ASCII letters are lowered first, as the model does. Texts
-    with a special token in them are encoded as a whole.
+    are encoded once: Arrow splits a batch into words and numbers them, and the
+    ids are gathered by these numbers. ASCII letters are lowered first, as the
+    model does. Texts with a special token in them are encoded as a whole.
     """
 
     def __init__(self, model):
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.special = [
-            token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()
-        ]
-        self.by_word = all(self._plain(*pair) for pair in [("a b", "a"), ("A\tb", "a\n b"), ("é́ 'S", "é́ 's")])
+        self.special = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        samples = ["a b", "A\tb \n", "é\u0301 'S x.", "don't 12 ,;"]
+        self.by_word = all(self._ids(text) == sum(map(self._ids, text.lower().split()), []) for text in samples)
+        self.merge = self.tokenizer.model.tokenize
+        # The character that stands for each byte in pre-tokens.
+        self.shown = {}
+        for letter in map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)]):
+            for code, shown in zip(letter.encode("utf-8"), "".join(one for one, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))):
+                self.shown[code] = shown
+        samples = ["word.,;:!?$%&*#", "àÇñß,", "ĀſǅȺ", "straße"]
+        self.plain = self.by_word and all(
+            self._plain(*_PLAIN.fullmatch(text).groups()) == self._part(text) for text in samples
+        )
         self.memo = {}
 
+    def _plain(self, letters, marks):
+        """Ids of letters and the marks behind them, each merged as a pre-token."""
+        if not letters.isascii():
+            letters = letters.lower().encode("utf-8").decode("latin-1").translate(self.shown)
+        ids = [token.id for part in (letters, marks) if part for token in self.merge(part)]
+        return array.array("I", ids).tobytes()
+
+    def _part(self, part):
+        return np.array(self._ids(part), "<u4").tobytes()
+
     def _ids(self, text):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _plain(self, text, other):
-        words = [self._ids(word) for word in text.lower().split()]
-        return self._ids(text) == sum(words, []) and self._ids(other.upper()) == self._ids(other)
-
     def encode_all(self, texts):
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in texts:
-            data = text.encode("utf-8").lower()
-            whole = not self.by_word or any(token in data for token in self.special)
-            # bytes.split() cuts at ASCII white space only, which the model treats as such.
-            split.append(None if whole else data.split())
-        missing = list({word for words in split if words for word in words if word not in self.memo})
-        fresh = {}
-        if missing:
-            found = self.tokenizer.encode_batch_fast([word.decode("utf-8") for word in missing], add_special_tokens=False)
-            fresh = {word: np.array(one.ids, "<u4").tobytes() for word, one in zip(missing, found)}
-            if len(self.memo) + len(fresh) <= MEMO_WORDS:
-                self.memo.update(fresh)
-        for text, words in zip(texts, split):
-            if words is None:
-                yield np.array(self._ids(text), "<u4").tobytes()
-            elif fresh:
-                yield b"".join([fresh[word] if word in fresh else self.memo[word] for word in words])
-            else:
-                yield b"".join(map(self.memo.__getitem__, words))
+        """Ids of an Arrow column of texts (null is empty) as one array, and their number per text."""
+        texts = pc.fill_null(texts, "")
+        lowered = pc.ascii_lower(texts)
+        whole = np.full(len(texts), not self.by_word)
+        for token in self.special:
+            whole |= pc.match_substring(lowered, token).to_numpy(zero_copy_only=False)
+        found, start = [], 0
+        for place in [*np.flatnonzero(whole).tolist(), len(texts)]:
+            if place > start:
+                found.append(self._words(lowered.slice(start, place - start)))
+            if place < len(texts):
+                ids = np.array(self._ids(texts[place].as_py()), "<u4")
+                found.append((ids, np.array([len(ids)])))
+            start = place + 1
+        if not found:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def _words(self, texts):
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._known(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        gathered = lists.take(words.indices).flatten().to_numpy(zero_copy_only=False)
+        numbers = words.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[numbers])])
+        bounds = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])
+        return gathered, np.diff(upto[bounds])
+
+    def _known(self, words):
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        ids = list(map(self.memo.get, words))
+        missing = [k for k, one in enumerate(ids) if one is None]
+        if not missing:
+            return ids
+        memo, others = self.memo, []
+        for k in missing:
+            plain = _PLAIN.fullmatch(words[k]) if self.plain else None
+            if plain is None:
+                others.append(k)
+                continue
+            letters, marks = plain.groups()
+            known = memo.get(letters) if marks else None
+            ids[k] = self._plain(letters, marks) if known is None else known + self._plain("", marks)
+        encoded = self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False) if others else []
+        for k, one in zip(others, encoded):
+            ids[k] = np.array(one.ids, "<u4").tobytes()
+        memo.update((words[k], ids[k]) for k in missing[: max(0, MEMO_WORDS - len(memo))])
+        return ids
 
 
 def encoder(model):
     """The worker's encoder for a model given as JSON text."""
     key = hash(model)
     if key not in _ENCODERS:
+        # Spark has a worker per core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[key] = WordIds(model)
     return _ENCODERS[key]
 
@@ -136,19 +192,20 @@ class Writer:
     def open(self):
         yield self._part(self.header)
 
-    def add(self, doc_id, ids):
-        """``ids`` as bytes of unsigned 32-bit integers."""
-        self.ids.append(doc_id)
-        self.starts.append(self.total)
-        self.total += len(ids) // 4
-        self.held.append(np.frombuffer(ids, "<u4"))
-        self.held_ids += len(ids) // 4
+    def add(self, doc_ids, ids, sizes):
+        """Documents with ``sizes`` ids each, in a row in ``ids``."""
+        self.ids += doc_ids
+        starts = self.total + np.cumsum(sizes) - sizes
+        self.starts.append(starts)
+        self.total += len(ids)
+        self.held.append(ids)
+        self.held_ids += len(ids)
         if self.held_ids >= self.block_ids:
             joined = np.concatenate(self.held)
             whole = len(joined) // self.block_ids * self.block_ids
             for start in range(0, whole, self.block_ids):
                 yield self._block(joined[start : start + self.block_ids])
-            self.held, self.held_ids = [joined[whole:]], len(joined) - whole
+            self.held, self.held_ids = [joined[whole:].copy()], len(joined) - whole
 
     def _block(self, ids):
         self.offsets.append(self.place)
@@ -162,7 +219,7 @@ class Writer:
             _COUNTS.pack(len(self.ids), len(self.offsets), self.total)
             + np.array([i or 0 for i in self.ids], "<i8").tobytes()
             + np.array([i is None for i in self.ids], "u1").tobytes()
-            + np.array(self.starts, "<u8").tobytes()
+            + np.concatenate([np.empty(0), *self.starts]).astype("<u8").tobytes()
             + np.array(self.offsets, "<u8").tobytes()
         )
         # The text writer adds the last byte.
@@ -229,20 +286,19 @@ def write(docs, model, end_id, folder=None, text_bytes_per_file=TEXT_BYTES_PER_F
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
     )
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         words = encoder(model)
         writer = None
         for batch in batches:
-            for part in slices(batch):
+            for part in _by_bytes(batch, "text", BATCH_BYTES):
                 out = []
                 if writer is None:
                     bits = bits_for(max(words.vocabulary, end_id + 1))
                     writer = Writer(TaskContext.get().partitionId(), bits, block_ids)
                     out += writer.open()
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), words.encode_all(texts_of(part["text"]))):
-                    out += writer.add(doc_id, ids + tail)
+                ids, sizes = words.encode_all(part["text"])
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                out += writer.add(part["doc_id"].to_pylist(), ids, sizes + 1)
                 if out:
                     yield _parts(out)
         if writer is not None:
@@ -254,6 +310,17 @@ def write(docs, model, end_id, folder=None, text_bytes_per_file=TEXT_BYTES_PER_F
     return folder
 
 
+def _by_bytes(batch, column, limit):
+    """A batch in parts of about ``limit`` bytes of a text column, at least a row each."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    upto, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _parts(parts):
     return pa.record_batch({"part": pa.array(parts, pa.binary())})
 
@@ -279,8 +346,13 @@ def manifest(spark, folder):
             )
 
     files = _files(spark, folder).mapInArrow(run, "file long, path string, n_ids long, n_docs long")
+    return files.select("file", "path", _ids_before(), "n_ids", "n_docs")
+
+
+def _ids_before():
+    """Ids of earlier files, over a table with a row per file."""
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", "path", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("first"), "n_ids", "n_docs")
+    return F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("first")
 
 
 def read(spark, folder, keep_ids=False, ids_at_once=1 << 22):
@@ -314,8 +386,9 @@ def read(spark, folder, keep_ids=False, ids_at_once=1 << 22):
                     low = high
 
     schema = "file long, doc_id long, local long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    rows = _files(spark, folder).select("content").mapInArrow(run, schema)
-    placed = rows.join(manifest(spark, folder).select("file", "first"), "file")
+    rows = cut_lineage(_files(spark, folder).select("content").mapInArrow(run, schema))
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n_ids"))
+    placed = rows.join(totals.select("file", _ids_before()), "file")
     return placed.select(
         "doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])
     )
