@@ -355,8 +355,12 @@ def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFra
 
 
 def edge_classifier_rows(edges, by, features, keep=(), src="src", dst="dst") -> DataFrame:
-    """Node-aggregated features of both ends beside the edge's own features."""
-    means = edge_to_node_aggregate(edges, by, features, "mean", src, dst)
+    """Node-aggregated features of both ends beside the edge's own features.
+
+    The aggregate is written first: both joins then shuffle for themselves, so the
+    edges of a hub can be split over tasks.
+    """
+    means = cut_lineage(edge_to_node_aggregate(edges, by, features, "mean", src, dst))
 
     def side(end, prefix):
         return means.select(*by, F.col("node").alias(end), *[F.col(f).alias(f"{prefix}_{f}") for f in features])

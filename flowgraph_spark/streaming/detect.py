@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, neighbors
 from ..operators.features import FittedFeatures, feature_expressions
-from ..session import cut_lineage, forget
+from ..session import cut_lineage, temporary_tables
 from .alerts import apply_alert_policy, route_sensor, validate_detections
 
 WINDOW = ["sensor_id", "window_id"]
@@ -74,7 +74,8 @@ def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
         nodes = neighbors.encode_nodes(edges, WINDOW, columns, model.layers)
         width = len(model.layers[-1]["upd_b"])
     else:
-        means = neighbors.edge_to_node_aggregate(edges, WINDOW, columns)
+        # Written first: joined on its own grouping key, a busy address could not be split.
+        means = cut_lineage(neighbors.edge_to_node_aggregate(edges, WINDOW, columns))
         nodes = means.select(*WINDOW, "node", *[F.col(c).alias(f"h_{i}") for i, c in enumerate(columns)])
         width = len(columns)
     sizes = featured.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
@@ -103,24 +104,30 @@ def detections(scored: DataFrame, model: DetectionModel, policy: DetectionPolicy
 
 
 def write_detections(events: DataFrame, path, batch_id):
-    """Write one micro-batch under its own key, so a replay replaces itself."""
+    """Write one micro-batch under its own key, so a replay replaces itself.
+
+    Events are dealt by window and sorted within, so a replay writes the same lines.
+    """
     target = f"{path}/batch_id={batch_id}"
-    events.write.mode("overwrite").json(target)
+    dealt = events.repartition("sensor_id", "window_id").sortWithinPartitions(*events.columns)
+    dealt.write.mode("overwrite").json(target)
 
 
 def start_detection_stream(windows: DataFrame, schema, prepare, model, policy, path, checkpoint, trigger=None):
     """One streaming query: windows to scored flows to stored detections.
 
     ``windows`` comes from ``rolling_window_stream``; its state crosses micro-batch
-    borders. ``prepare`` cleans the unpacked payload rows.
+    borders. ``prepare`` cleans the unpacked payload rows. Every table that a
+    micro-batch writes on the way (its rows, features, nodes, encoder layers) is
+    deleted when it ends, also when it fails.
     """
 
     def process(batch, batch_id):
-        # Written once: every later read of the batch would run the stateful stage again.
-        held = cut_lineage(batch)
-        scored = score_windows(prepare(unpack_payload(held, schema)), model, policy.routes)
-        write_detections(detections(scored, model, policy), path, batch_id)
-        forget(held)
+        with temporary_tables():
+            # Written once: every later read of the batch would run the stateful stage again.
+            held = cut_lineage(batch)
+            scored = score_windows(prepare(unpack_payload(held, schema)), model, policy.routes)
+            write_detections(detections(scored, model, policy), path, batch_id)
 
     writer = windows.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if trigger:

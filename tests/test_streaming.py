@@ -1,12 +1,14 @@
 """Rolling windows: fixtures, brute force, batch against stream, detection stream."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowgraph_spark.operators import cleaning, features
+from flowgraph_spark.session import checkpoint_dir, cut_lineage, temporary_tables
 from flowgraph_spark.streaming import alerts, detect, rolling, rolling_stream
 
 FLOWS = "sensor_id string, seq long, ts double, uid string"
@@ -116,8 +118,6 @@ def test_stream_equals_batch(spark, tmp_path):
         lines = [json.dumps(dict(zip(("sensor_id", "seq", "ts", "payload"), chunk[i]))) for i in order]
         (source / f"{part}.json").write_text("\n".join(lines))
         # File order is by modification time.
-        import os
-
         os.utime(source / f"{part}.json", (1_000_000 + part, 1_000_000 + part))
     schema = "sensor_id string, seq long, ts double, payload string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
@@ -153,10 +153,28 @@ def test_idle_sensor_is_flushed(spark, tmp_path):
 def test_buffer_state_round_trip():
     one = rolling_stream.RollingBuffer(10, 3, 2, 2)
     one.offer(10.0, 1, "{}")
-    two = rolling_stream.RollingBuffer(10, 3, 2, 2, one.save())
+    two = rolling_stream.RollingBuffer(10, 3, 2, 2, one.counters(), one.came())
     assert two.offer(9.0, 2, "{}") and not two.offer(7.0, 3, "{}")
     rows = two.emit("s")
     assert [(r[5], r[8]) for r in rows] == [(2, True), (1, True)] and two.late == 1
+    assert [flow[1] for flow in two.came()] == [2] and not two.left and not two.pending()
+
+
+def test_large_batch_of_one_sensor(spark, tmp_path):
+    """100,000 flows of one sensor in one micro-batch, in Arrow batches of any order."""
+    rng = np.random.default_rng(3)
+    size = 100_000
+    times = np.arange(size) / 4 + rng.integers(-40, 40, size)
+    rows = spark.createDataFrame(
+        [("hot", i, float(t), "{}") for i, t in enumerate(times)], "sensor_id string, seq long, ts double, payload string"
+    )
+    source = str(tmp_path / "in")
+    rows.repartition(4, F.xxhash64("seq")).write.json(source)
+    stream = spark.readStream.schema(rows.schema).json(source)
+    out = run_stream(spark, rolling_stream.rolling_window_stream(stream, 60, 20, 500, 60), "large")
+    batch = rolling.rolling_windows(rows, 60, 20, 500, 60, flush=False)
+    got = windows_of(out)
+    assert got == windows_of(batch) and len(got) > 150
 
 
 def test_detection_stream(spark, tmp_path):
@@ -185,6 +203,8 @@ def test_detection_stream(spark, tmp_path):
     stream = spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 1).json(source)
     windows = rolling_stream.rolling_window_stream(stream, 100, 50, 5, 100)
     schema = spark.createDataFrame([], ", ".join(f"{n} string" for n in names)).schema
+    tables = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
     query = detect.start_detection_stream(
         windows, schema, cleaning.clean_unlabelled, model, policy, str(tmp_path / "out"), str(tmp_path / "cp"),
     )
@@ -192,6 +212,8 @@ def test_detection_stream(spark, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
+    # Whatever the micro-batches wrote on the way is gone.
+    assert set(os.listdir(tables)) <= before
     stored = spark.read.json(str(tmp_path / "out"))
     batch_rows = rolling.rolling_windows(flows.withColumn("flow_time", F.col("event_ts")), 100, 50, 5, 100, list(names), flush=False, ts="flow_time")
     scored = detect.score_windows(cleaning.clean_unlabelled(batch_rows), model, policy.routes)
@@ -200,6 +222,27 @@ def test_detection_stream(spark, tmp_path):
     assert stored.count() == expected.count() == 20
     assert set(stored.columns) - {"batch_id"} == set(alerts.DETECTION_EVENT.fieldNames())
     assert not set(stored.columns) & {"orig_h", "resp_h"}
+    # A replayed batch replaces its files by equal ones.
+    for _ in range(2):
+        detect.write_detections(expected, str(tmp_path / "again"), 7)
+        lines = [sorted(p.read_text() for p in (tmp_path / "again" / "batch_id=7").glob("part-*"))]
+        assert spark.read.json(str(tmp_path / "again")).count() == 20
+    detect.write_detections(expected.repartition(3), str(tmp_path / "again"), 7)
+    lines.append(sorted(p.read_text() for p in (tmp_path / "again" / "batch_id=7").glob("part-*")))
+    assert lines[0] == lines[1]
+
+
+def test_failed_batch_leaves_no_tables(spark):
+    tables = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "tables")
+    with pytest.raises(ZeroDivisionError), temporary_tables() as owner:
+        cut_lineage(spark.range(3))
+        kept = owner.keep(spark.range(5))
+        with temporary_tables() as inner:
+            handed = inner.keep(spark.range(2))
+        assert handed.count() == 2
+        before = set(os.listdir(tables))
+        1 / 0
+    assert kept.count() == 5 and len(before - set(os.listdir(tables))) == 2
 
 
 def test_privacy_gate(spark):
