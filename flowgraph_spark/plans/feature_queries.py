@@ -77,12 +77,12 @@ def _history(spark, sf_dir):
     )
 
 
-def _history_sql(flag):
+def history_sql(flag):
     text = "coalesce(history, '')"
     return f"length({text}) - length(replace({text}, '{flag}', '')) AS {fx.history_column(flag)}"
 
 
-_HISTORY_SQL = f"{CLEANED} SELECT seq, {', '.join(_history_sql(f) for f in HISTORY_FLAGS)} FROM clean_flows"
+_HISTORY_SQL = f"{CLEANED} SELECT seq, {', '.join(history_sql(f) for f in HISTORY_FLAGS)} FROM clean_flows"
 
 
 def _moments(spark, sf_dir):
@@ -178,7 +178,7 @@ def _assemble(spark, sf_dir):
     )
 
 
-def _seen(column, value, prefix):
+def seen_sql(column, value, prefix):
     return f"CAST(coalesce({column} = '{value}', FALSE) AS TINYINT) AS \"{prefix}_{value}\""
 
 
@@ -194,11 +194,11 @@ _ASSEMBLE_SQL = (
     + "CAST(resp_p >= 49152 AS TINYINT) AS resp_port_dynamic, "
     + "CAST(orig_p >= 0 AND orig_p < 1024 AS TINYINT) AS orig_port_is_wellknown, "
     + ", ".join(
-        [_seen("proto", v, "proto") for v in PROTOS]
-        + [_seen("service", v, "service") for v in SERVICES]
+        [seen_sql("proto", v, "proto") for v in PROTOS]
+        + [seen_sql("service", v, "service") for v in SERVICES]
         + [f"CAST(service NOT IN {SERVICES!r} AS TINYINT) AS service_other"]
-        + [_seen("conn_state", v, "conn_state") for v in STATES]
-        + [_history_sql(f) for f in HISTORY_FLAGS]
+        + [seen_sql("conn_state", v, "conn_state") for v in STATES]
+        + [history_sql(f) for f in HISTORY_FLAGS]
         + [f"round(CAST(CAST((ln(1 + {c}) - {c}_mean) / {c}_std AS FLOAT) AS DOUBLE), 3) AS {c}_scaled" for c in SCALED_COLUMNS]
         + list(FLAGS)
     )

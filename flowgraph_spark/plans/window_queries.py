@@ -4,11 +4,14 @@ from pyspark.sql import functions as F
 
 from ..functions import flows as fx
 from ..functions import vectors as vx
-from ..operators import metrics
+from ..operators import features, metrics
 from ..operators.neighbors import scored
+from ..schema import HISTORY_FLAGS, SCALED_COLUMNS
 from ..session import cut_lineage
 from ..streaming import alerts, detect, rolling
 from . import views
+from .feature_queries import FLAGS, PROTOS, SERVICES, STATES, history_sql, seen_sql
+from .flow_queries import CLEANED
 from .metric_queries import (
     BASE as PREDICTED,
     ENTROPY,
@@ -339,6 +342,92 @@ SELECT start, client_id, count(*) AS flows, count(*) FILTER (alerted) AS alerts,
   list_sort(list(age_ms))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INTEGER) + 1] AS latency_p95 FROM x GROUP BY ALL"""
 
 
+#: A fit and a head per client with fixed numbers.
+SCORE_FIT = features.FittedFeatures(
+    PROTOS, SERVICES, STATES, tuple((c, 1.0 + i, 2.0 + i / 2) for i, c in enumerate(SCALED_COLUMNS)), FLAGS
+)
+_FEATURES = list(SCORE_FIT.columns)
+SCORE_HEADS = {
+    client: {
+        "w1": [[((i * 7 + j * 5 + k * 3) % 11 - 5) / 16 for j in range(3 * len(_FEATURES))] for i in range(3)],
+        "b1": [(i - k % 3) / 4 for i in range(3)],
+        "w2": [[((i * 3 + j + k) % 5 - 2) / 4 for j in range(3)] for i in range(K)],
+        "b2": [(i % 3 - 1) / 8 for i in range(K)],
+    }
+    for k, client in enumerate(sorted(ROUTES.values()))
+}
+
+
+def _score_windows(spark, sf_dir):
+    """Every window as a graph of its own; each flow scored once, by its client's head."""
+    late = F.when(F.col("seq") % 17 == 0, 3600.0).otherwise(0.0)
+    clean = views.clean_flows(spark, sf_dir).withColumn("arrival", F.col("ts") - late).withColumnRenamed("scenario", "sensor_id")
+    payload = [c for c in clean.columns if c not in ("sensor_id", "seq", "arrival")]
+    rows = rolling.rolling_windows(clean, DURATION, MAX_FLOWS, STRIDE, LATENESS, payload, ts="arrival")
+    model = detect.DetectionModel(SCORE_FIT, SCORE_HEADS, CLASSES, {})
+    found = detect.score_windows(rows, model, ROUTES)
+    return found.select(
+        "window_id", "client_id", "flow_seq", "flow_count", "predicted_class",
+        views.rounded(F.col("confidence"), 5).alias("confidence"), views.rounded(F.col("entropy"), 5).alias("entropy"),
+    )
+
+
+_FEATURE_SQL = ", ".join(
+    [
+        "CAST(resp_p < 1024 AS TINYINT) AS resp_port_well_known",
+        "CAST(resp_p >= 1024 AND resp_p < 49152 AS TINYINT) AS resp_port_registered",
+        "CAST(resp_p >= 49152 AS TINYINT) AS resp_port_dynamic",
+        "CAST(orig_p >= 0 AND orig_p < 1024 AS TINYINT) AS orig_port_is_wellknown",
+    ]
+    + [seen_sql("proto", v, "proto") for v in PROTOS]
+    + [seen_sql("service", v, "service") for v in SERVICES]
+    + [f"CAST(service NOT IN {SERVICES!r} AS TINYINT) AS service_other"]
+    + [seen_sql("conn_state", v, "conn_state") for v in STATES]
+    + [history_sql(f) for f in HISTORY_FLAGS]
+    + [
+        f"CAST(CAST((ln(1 + {c}) - {mean!r}::DOUBLE) / {scale!r}::DOUBLE AS FLOAT) AS DOUBLE) AS {c}_scaled"
+        for c, mean, scale in SCORE_FIT.scaler
+    ]
+    + list(FLAGS)
+)
+
+
+def _weights_sql(layer):
+    """Rows of a layer by client, as nested lists."""
+    cases = " ".join(f"WHEN '{c}' THEN {[list(map(float, row)) for row in head[layer]]}::DOUBLE[][]" for c, head in SCORE_HEADS.items())
+    return f"CASE client_id {cases} END"
+
+
+def _bias_sql(layer):
+    cases = " ".join(f"WHEN '{c}' THEN {list(map(float, head[layer]))}::DOUBLE[]" for c, head in SCORE_HEADS.items())
+    return f"CASE client_id {cases} END"
+
+
+def _layer_sql(inputs, weights, bias):
+    return f"list_transform(range(1, len({bias}) + 1), lambda i: list_dot_product({inputs}, {weights}[i]) + {bias}[i])"
+
+
+_VECTOR = "[" + ", ".join(f'CAST("{c}" AS DOUBLE)' for c in _FEATURES) + "]"
+_SCORE_WINDOWS_SQL = f"""{CLEANED}, {EMITTED.removeprefix("WITH " + RAW_FLOWS + ",")},
+ft AS (SELECT seq AS flow_seq, {_FEATURE_SQL} FROM clean_flows),
+wf AS (SELECT sensor_id, window_id, w.flow_seq, is_new, orig_h, resp_h, ft.* EXCLUDE (flow_seq) FROM windows w JOIN ft USING (flow_seq)),
+ends AS (SELECT window_id, orig_h AS node, * EXCLUDE (window_id) FROM wf UNION ALL SELECT window_id, resp_h, * EXCLUDE (window_id) FROM wf),
+means AS (SELECT window_id, node, [{", ".join(f'avg("{c}")' for c in _FEATURES)}] AS h FROM ends GROUP BY ALL),
+sizes AS (SELECT window_id, count(*) AS flow_count FROM windows GROUP BY window_id),
+z AS (SELECT wf.window_id, replace(sensor_id, 'sensor', 'client') AS client_id, flow_seq, flow_count,
+  list_concat(list_concat(a.h, b.h), {_VECTOR}) AS z FROM wf JOIN sizes USING (window_id)
+  JOIN means a ON a.window_id = wf.window_id AND a.node = orig_h JOIN means b ON b.window_id = wf.window_id AND b.node = resp_h WHERE is_new),
+hw AS (SELECT client_id, {_weights_sql('w1')} AS w1, {_bias_sql('b1')} AS b1, {_weights_sql('w2')} AS w2, {_bias_sql('b2')} AS b2
+  FROM (SELECT unnest({sorted(SCORE_HEADS)!r}) AS client_id)),
+u AS (SELECT z.*, w2, b2, list_transform({_layer_sql('z', 'w1', 'b1')}, lambda x: greatest(x, 0)) AS units FROM z JOIN hw USING (client_id)),
+lg AS (SELECT *, {_layer_sql('units', 'w2', 'b2')} AS logits FROM u),
+pw AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS pows FROM lg),
+pr AS (SELECT *, list_transform(pows, lambda x: x / list_sum(pows)) AS probs FROM pw)
+SELECT window_id, client_id, flow_seq, flow_count, {list(CLASSES)!r}[list_position(probs, list_max(probs))] AS predicted_class,
+  {rounded_sql('list_max(probs)', 5)} AS confidence,
+  {rounded_sql('list_sum(list_transform(probs, lambda p: -p * ln(p + 1e-12)))', 5)} AS entropy FROM pr"""
+
+
 def _predicted_counts(spark, sf_dir):
     return alerts.predicted_counts(scored_flows(spark, sf_dir))
 
@@ -403,6 +492,7 @@ QUERIES = {
         _privacy, "SELECT 'k' AS key, count(*) AS n, count(*) AS digests, 0 AS upper_digests FROM events",
     ),
     "window_graph": (_graph_features, _GRAPH_SQL),
+    "score_windows": (_score_windows, _SCORE_WINDOWS_SQL),
     "detection_rollup": (_rollup, _ROLLUP_SQL),
     "detection_panels": (_panels, _PANELS_SQL),
     "predicted_counts": (
