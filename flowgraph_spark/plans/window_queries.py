@@ -146,19 +146,12 @@ def _grid_rows(spark, sf_dir):
     names = F.array(*[F.lit(c) for c in CLASSES])
     truth = labels.select("seq", (F.array_position(names, F.col("detailed_label")) - 1).cast("int").alias("true_idx"))
 
-    def aggregates(member):
-        same = member & (F.col("flow_orig_h") == F.col("orig_h"))
-        return {
-            "context": F.count_if(member),
-            "d": F.coalesce(F.avg(F.when(same, F.col("flow_flow_len"))), F.lit(0.0)),
-            "p": F.coalesce(F.avg(F.when(same, F.col("flow_resp_pkts"))), F.lit(0.0)),
-        }
-
     rows = rolling.grid_contexts(
-        flows.join(truth, "seq"), GRID_DURATIONS, GRID_LIMITS, LATENESS, aggregates,
-        ("orig_h", "flow_len", "resp_pkts"),
+        flows.join(truth, "seq"), GRID_DURATIONS, GRID_LIMITS, LATENESS, ["flow_len", "resp_pkts"], "orig_h",
+        keep=["flow_len", "resp_pkts", "true_idx"],
     )
-    inputs = [F.col("flow_len") / 500, F.col("resp_pkts") / 30, F.col("d") / 500, F.col("p") / 30]
+    means = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("flow_len_mean", "resp_pkts_mean")]
+    inputs = [F.col("flow_len") / 500, F.col("resp_pkts") / 30, means[0] / 500, means[1] / 30]
     logits = F.array(*vx.dense(inputs, GRID_HEAD["w"], GRID_HEAD["b"]))
     packed = rows.select(
         "sensor_id", "seq", "ts", "duration", "max_flows", "context", "true_idx",

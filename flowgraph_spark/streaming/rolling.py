@@ -14,11 +14,16 @@ of the flow limit and joined by equality: each window reads about
 duration holds.
 """
 
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import attach, group_offsets, in_ranges, rank_in_groups
 from ..session import cut_lineage
-from ..functions.ordering import rank_in_groups, running_max, running_sums
 
 
 def check_config(duration, max_flows, stride, lateness):
@@ -30,18 +35,36 @@ def check_config(duration, max_flows, stride, lateness):
         raise ValueError("Allowed lateness cannot be negative.")
 
 
-def flag_late(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", by=()) -> DataFrame:
-    """Add ``late`` and ``max_seen`` (after the row). At the watermark is accepted."""
+def arrival_ranges(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", by=()) -> DataFrame:
+    """Rows with ``late``, ``max_seen`` (after the row), ``__range`` and ``__place`` along arrival."""
     keys = [*by, sensor]
-    rows = running_max(df, keys, [seq], F.col(ts), "__before", exclusive=True)
+    rows = in_ranges(df, keys, [seq])
+    tops = rows.groupBy(*keys, "__range").agg(F.max(ts).alias("__top"))
+    past = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    joined = attach(rows, tops.select(*keys, "__range", F.max("__top").over(past).alias("__past")), [*keys, "__range"])
+    inside = Window.partitionBy(*keys, "__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    seen = joined.withColumn("__before", F.greatest(F.max(ts).over(inside), F.col("__past")))
     late = F.coalesce(F.col(ts) < F.col("__before") - F.lit(float(lateness)), F.lit(False))
-    return rows.withColumns({"late": late, "max_seen": F.greatest(F.col("__before"), F.col(ts))}).drop("__before")
+    return seen.withColumns({"late": late, "max_seen": F.greatest(F.col("__before"), F.col(ts))}).drop("__before", "__past")
+
+
+def flag_late(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts", by=()) -> DataFrame:
+    """Add ``late`` and ``max_seen`` (after the row). At the watermark is accepted."""
+    return arrival_ranges(df, lateness, sensor, seq, ts, by).drop("__range", "__place")
 
 
 def accept(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
-    """Accepted flows with their accepted ordinal (from 1) and the sensor's total."""
-    kept = flag_late(df, lateness, sensor, seq, ts).where(~F.col("late")).drop("late")
-    return running_sums(kept, [sensor], [seq], {"ordinal": F.lit(1)}).withColumnRenamed("ordinal_total", "accepted_total")
+    """Accepted flows with their accepted ordinal (from 1) and the sensor's total.
+
+    The flows are sorted by arrival once; the ordinal is the place among the accepted
+    ones of a range plus those of earlier ranges.
+    """
+    kept = cut_lineage(arrival_ranges(df, lateness, sensor, seq, ts).where(~F.col("late")).drop("late"))
+    counted = attach(kept, group_offsets(kept, [sensor], {"accepted": F.lit(1)}), [sensor, "__range"])
+    inside = Window.partitionBy(sensor, "__range").orderBy("__place")
+    return counted.select(
+        *df.columns, "max_seen", (F.row_number().over(inside) + F.col("accepted_before")).alias("ordinal"), "accepted_total"
+    )
 
 
 def accept_ranked(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
@@ -51,20 +74,18 @@ def accept_ranked(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts="ts
     sorts its rows into ranges of the sensor's order, of which a busy sensor
     spans many.
     """
-    kept = flag_late(df, lateness, sensor, seq, ts).where(~F.col("late")).drop("late")
-    counted = running_sums(kept, [sensor], [seq], {"ordinal": F.lit(1)})
-    counted = counted.withColumnRenamed("ordinal_total", "accepted_total")
+    counted = accept(df, lateness, sensor, seq, ts)
     return cut_lineage(rank_in_groups(counted, [sensor], [ts, seq], rank="rank"))
 
 
-def contexts(ranked: DataFrame, emissions: DataFrame, duration, max_flows, payload, sensor="sensor_id", seq="seq", ts="ts", bucket=None) -> DataFrame:
+def contexts(ranked: DataFrame, emissions: DataFrame, duration, max_flows, payload, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
     """Long form ``(emission columns..., payload, __ts, __seq, __ordinal, newest)``.
 
     One row per emission and flow in its buffer; ``newest`` counts from 1 for the
     newest flow. ``ranked`` comes from :func:`accept_ranked`; ``emissions`` are
     rows of it with ``ordinal`` and ``max_seen``.
     """
-    width = bucket or max_flows
+    width = max_flows
     reach = ranked.groupBy(F.col(sensor).alias("__s"), F.col(ts).alias("__t")).agg(
         F.max("rank").alias("__hi")
     )
@@ -201,35 +222,131 @@ def late_event_probe(df: DataFrame, lateness, sensor="sensor_id", seq="seq", ts=
     )
 
 
-def grid_contexts(df: DataFrame, durations, limits, lateness, aggregates, payload, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
-    """Context aggregates of every accepted flow under every (duration, limit).
+def grid_contexts(df: DataFrame, durations, limits, lateness, values, same, keep=(), sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
+    """Context of every accepted flow under every (duration, limit), from one sweep.
+
+    One row per flow and candidate: ``keep``, duration, max_flows, ``context`` (flows
+    in the buffer) and ``<value>_mean`` over the flows of the buffer with the same
+    ``same`` as the flow; null ``same`` meets none.
 
-    The widest window is joined once. A smaller candidate keeps the rows with
-    ``newest <= limit`` and age within its duration, so each candidate is a set
-    of conditional aggregates over the same rows. ``aggregates(member, age)``
-    maps names to aggregate expressions given the membership condition.
-    Returns one row per flow and candidate.
+    Flows are sorted into ranges of arrival. Each range is swept in order with the
+    newest flows that arrived before it, at most the largest limit of them; sums follow
+    the flows that enter and leave the buffer of each candidate. So every flow is
+    shuffled a fixed number of times, whatever the limits are.
     """
-    longest, largest = max(durations), max(limits)
-    accepted = accept_ranked(df, lateness, sensor, seq, ts)
-    kept = [c for c in df.columns if c not in (sensor, seq, ts)]
-    emissions = accepted.select(sensor, seq, ts, "ordinal", "max_seen", *kept)
-    rows = contexts(accepted, emissions, longest, largest, payload, sensor, seq, ts, bucket=min(limits))
-    age = F.col("max_seen") - F.col("__ts")
+    columns = list(dict.fromkeys([sensor, seq, ts, same, *values, *keep]))
+    accepted = arrival_ranges(df.select(*columns), lateness, sensor, seq, ts).where(~F.col("late")).drop("late")
+    accepted = cut_lineage(accepted)
+    halo = earlier_flows(accepted, max(limits), [same, *values], sensor, seq, ts)
+    marked = accepted.withColumn("__halo", F.lit(0)).unionByName(halo.withColumn("__halo", F.lit(1)), allowMissingColumns=True)
+    dealt = marked.repartition(sensor, "__range").sortWithinPartitions(sensor, "__range", F.desc("__halo"), "__place")
+    kept = list(dict.fromkeys([sensor, seq, ts, *keep]))
     candidates = [(float(d), int(m)) for d in durations for m in limits]
-    columns, packed = [], []
-    for i, (d, m) in enumerate(candidates):
-        member = (F.col("newest") <= m) & (age <= d)
-        named = aggregates(member)
-        columns += [expr.alias(f"c{i}_{name}") for name, expr in named.items()]
-        packed.append(
-            F.struct(
-                F.lit(d).alias("duration"), F.lit(m).alias("max_flows"),
-                *[F.col(f"c{i}_{name}").alias(name) for name in named],
-            )
-        )
-    grouped = rows.groupBy(sensor, seq, ts, *kept).agg(*columns)
-    return grouped.select(sensor, seq, ts, *kept, F.inline(F.array(*packed)))
+    kinds = dict(accepted.dtypes)
+    schema = ", ".join(
+        [f"`{c}` {kinds[c]}" for c in kept] + ["duration double", "max_flows int", "context int"]
+        + [f"`{v}_mean` double" for v in values]
+    )
+    return dealt.mapInArrow(_sweep(candidates, list(values), same, kept, sensor, seq, ts), schema)
+
+
+def earlier_flows(accepted: DataFrame, limit, carried, sensor="sensor_id", seq="seq", ts="ts") -> DataFrame:
+    """For each range of ``accepted`` the newest ``limit`` flows that arrived before it.
+
+    A range hands on its own newest flows only, so a sensor's ranges meet as
+    ``limit`` rows each, however many flows they hold.
+    """
+    newest = Window.partitionBy(sensor, "__range").orderBy(F.desc(ts), F.desc(seq))
+    own = accepted.select(sensor, "__range", ts, seq, *carried, F.row_number().over(newest).alias("__n"))
+    own = own.where(F.col("__n") <= limit).drop("__n")
+    names = [ts, seq, *carried]
+
+    def run(batches):
+        current, held, waiting, reached = None, [], [], None
+        for batch in batches:
+            out = []
+            for key, number, *flow in zip(*(batch[c].to_pylist() for c in [sensor, "__range", *names])):
+                if key != current or reached is None:
+                    current, held, waiting, reached = key, [], [], number
+                elif number != reached:
+                    held = heapq.nlargest(limit, held + waiting, key=lambda one: one[:2])
+                    out += [(key, number, *one) for one in held]
+                    waiting, reached = [], number
+                waiting.append(flow)
+            if out:
+                columns = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, batch.schema.field(n).type) for c, n in zip(columns, [sensor, "__range", *names])],
+                    names=[sensor, "__range", *names],
+                )
+
+    dealt = own.repartition(sensor).sortWithinPartitions(sensor, "__range")
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+class CandidateWindow:
+    """Buffer of one (duration, limit) with counts and compensated sums per key."""
+
+    def __init__(self, duration, limit, values):
+        self.duration, self.limit, self.width = duration, limit, values
+        self.heap, self.sums, self.taken = [], {}, 0
+
+    def _add(self, key, sign, values):
+        if key is None:
+            return
+        own = self.sums.setdefault(key, [0] + [0.0] * (2 * self.width))
+        own[0] += sign
+        if not own[0]:
+            del self.sums[key]
+            return
+        for k, value in enumerate(values):
+            if value is None:
+                continue
+            total, value = own[1 + 2 * k], sign * value
+            new = total + value
+            # What the rounded sum lost is kept beside it.
+            own[2 + 2 * k] += (total - new) + value if abs(total) >= abs(value) else (value - new) + total
+            own[1 + 2 * k] = new
+
+    def take(self, ts, seq, key, values, max_seen):
+        self.taken += 1
+        heapq.heappush(self.heap, (ts, seq, self.taken, key, values))
+        self._add(key, 1, values)
+        while len(self.heap) > self.limit or self.heap[0][0] < max_seen - self.duration:
+            _, _, _, gone, held = heapq.heappop(self.heap)
+            self._add(gone, -1, held)
+
+    def means(self, key):
+        own = self.sums.get(key) if key is not None else None
+        return [None] * self.width if own is None else [(own[1 + 2 * k] + own[2 + 2 * k]) / own[0] for k in range(self.width)]
+
+
+def _sweep(candidates, values, same, kept, sensor, seq, ts):
+    def run(batches):
+        current, windows = None, []
+        for batch in batches:
+            places, out = [], []
+            columns = [batch[c].to_pylist() for c in (sensor, "__range", "__halo", ts, seq, same, "max_seen", *values)]
+            for place, (key, number, halo, when, arrival, group, seen, *held) in enumerate(zip(*columns)):
+                if (key, number) != current:
+                    current = key, number
+                    windows = [CandidateWindow(d, m, len(values)) for d, m in candidates]
+                for window in windows:
+                    # A flow of before waits for the next arrival to age it.
+                    window.take(when, arrival, group, held, -math.inf if halo else seen)
+                if not halo:
+                    places.append(place)
+                    out += [(w.duration, w.limit, len(w.heap), *w.means(group)) for w in windows]
+            if not places:
+                continue
+            rows = pa.Table.from_batches([batch.select(kept)]).take(pa.array(np.repeat(places, len(candidates))))
+            types = [pa.float64(), pa.int32(), pa.int32()] + [pa.float64()] * len(values)
+            names = ["duration", "max_flows", "context"] + [f"{v}_mean" for v in values]
+            for name, column, kind in zip(names, zip(*out), types):
+                rows = rows.append_column(name, pa.array(column, kind))
+            yield from rows.combine_chunks().to_batches()
+
+    return run
 
 
 def coverage(scored: DataFrame, expected: DataFrame, by, identity) -> DataFrame:

@@ -97,6 +97,56 @@ def test_batch_equals_brute_force(spark, seed):
     assert got == counters
 
 
+def grid_by_hand(rows, durations, limits, lateness):
+    """(sensor, seq, duration, limit) to (context, mean of a, mean of b) from the plain definition."""
+    found = {}
+    for sensor in {r[0] for r in rows}:
+        seen, accepted = None, []
+        for _, seq, ts, host, a, b in sorted((r for r in rows if r[0] == sensor), key=lambda r: r[1]):
+            if seen is not None and ts < seen - lateness:
+                continue
+            seen = ts if seen is None else max(seen, ts)
+            accepted.append((ts, seq, host, a, b))
+            for d in durations:
+                for m in limits:
+                    members = sorted(f[:2] + f[2:] for f in accepted if f[0] >= seen - d)[-m:]
+                    same = [f for f in members if f[2] == host and host is not None]
+                    means = [sum(f[k] for f in same) / len(same) if same else None for k in (3, 4)]
+                    found[sensor, seq, float(d), m] = (len(members), *means)
+    return found
+
+
+@pytest.mark.parametrize("ranges", ("1", "7"))
+def test_grid_equals_plain_definition(spark, ranges):
+    """A sensor over many ranges; sums follow the flows that enter and leave."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for sensor, size in (("hot", 400), ("cold", 15), (None, 3)):
+        times = np.round(np.arange(size) / 3 + rng.integers(-9, 9, size), 1)
+        hosts = rng.choice(["h1", "h2", "h3", ""], size)
+        rows += [(sensor, i, float(t), str(h) or None, float(rng.normal() * 1e6), float(i)) for i, (t, h) in enumerate(zip(times, hosts))]
+    df = spark.createDataFrame(rows, "sensor_id string, seq long, ts double, host string, a double, b double")
+    durations, limits, lateness = (2, 15, 60), (1, 8, 50), 11
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rolling.grid_contexts(df, durations, limits, lateness, ["a", "b"], "host", keep=["host"]).collect()
+        accepted = cut_lineage(rolling.arrival_ranges(df, lateness).where("not late"))
+        spread = accepted.select("__range").distinct().count()
+        handed = rolling.earlier_flows(accepted, 50, ["host"]).groupBy("sensor_id", "__range").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    want = grid_by_hand([r if r[0] else ("", *r[1:]) for r in rows], durations, limits, lateness)
+    assert len(got) == len(want)
+    for r in got:
+        context, a, b = want[r["sensor_id"] or "", r["seq"], r["duration"], r["max_flows"]]
+        assert r["context"] == context
+        assert r["a_mean"] == (a if a is None else pytest.approx(a, rel=1e-9, abs=1e-6)) and r["b_mean"] == (b if b is None else pytest.approx(b))
+    assert spread == int(ranges) and all(r["count"] <= 50 for r in handed)
+
+
 def run_stream(spark, windows, name):
     query = windows.writeStream.format("memory").queryName(name).outputMode("append").start()
     try:
