@@ -103,34 +103,42 @@ def rank_in_groups(df, keys, order, rank="rank", total=None, limit=None):
     return ranked.drop("__place", "__range", "__first", "__before", "__total")
 
 
-def hash_segments(df, keys, order_hash, cuts, segment="segment", total=None):
+#: Bits of a hash that one histogram tells apart, bits compared as a number, and distinct
+#: hashes near a cut that one task sorts.
+HISTOGRAM_BITS, PREFIX_BITS, NEAR_LIMIT = 12, 56, 100_000
+
+
+def hash_segments(df, keys, order_hash, cuts, segment="segment", total=None, near_limit=NEAR_LIMIT):
     """Cuts every group into segments along a hash order without ranking it.
 
     ``cuts(n)`` gives ascending row counts for a group of ``n`` rows; a row of
-    rank r gets the number of cuts c with r > c. A count by the first 16 bits of
-    the hash shows in which of these buckets each cut lies; only the rows of
-    those buckets are ranked, which gives the hash at each cut. All other rows
-    are compared with it, so the rows of ``df`` are not shuffled by rank.
+    rank r gets the number of cuts c with r > c. Keys and hashes are written once,
+    so ``df`` is read for that and for the result. Counts by the first bits of the
+    hash show in which of these buckets each cut lies; buckets with too many rows
+    are counted by further bits. The few hashes left around a cut are sorted, which
+    gives the hash at it. All rows are compared with that, so the rows of ``df`` are
+    not shuffled by rank. Rows with equal hashes share a segment.
     """
     keys = list(keys)
-    rows = df.withColumn("__order", order_hash)
-    bucket = F.conv(F.substring("__order", 1, 4), 16, 10).cast("int")
-    narrow = rows.select(*keys, "__order", bucket.alias("__b"))
-    counts = cut_lineage(_bucket_counts(narrow, keys))
+    rows = df.withColumn("__order", F.unhex(order_hash))
+    prefix = F.conv(F.hex(F.substring("__order", 1, PREFIX_BITS // 8)), 16, 10).cast("long")
+    narrow = cut_lineage(rows.select(*keys, "__order", prefix.alias("__p")))
     n = F.col("__total")
     width = len(cuts(n))
-    found = counts.select(
-        *keys, "__b", "__before", "__n", F.posexplode(F.array(*[c.cast("long") for c in cuts(n)])).alias("__i", "__c")
-    ).where((F.col("__before") < F.col("__c")) & (F.col("__c") <= F.col("__before") + F.col("__n")))
-    found = cut_lineage(found)
-    near = attach(narrow, found.select(*keys, "__b").distinct(), [*keys, "__b"], "inner")
-    ranked = rank_in_groups(near, [*keys, "__b"], ["__order"], rank="__r")
-    at = attach(ranked, found, [*keys, "__b"], "inner").where(F.col("__before") + F.col("__r") == F.col("__c"))
+    found = cut_lineage(_cut_buckets(narrow, keys, cuts))
+    bits = PREFIX_BITS - HISTOGRAM_BITS
+    while bits > 0 and not found.where(F.col("__n") > near_limit).isEmpty():
+        bits = max(0, bits - HISTOGRAM_BITS)
+        found = cut_lineage(_refined(narrow, found, keys, bits))
+    # Equal hashes are one row here, so a repeated identity cannot fill a task.
+    near = _inside_buckets(narrow, found, keys).groupBy(*keys, "__i", "__c", "__before", "__order").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__i").orderBy("__order")) + F.col("__before")
+    at = near.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__c")) & (F.col("__upto") - F.col("__n") < F.col("__c")))
     bounds = at.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__i") == i, F.col("__order"))).alias(f"__h{i}") for i in range(width)]
     )
-    sizes = counts.groupBy(*keys).agg(F.max("__total").alias("__total"))
-    joined = attach(rows, attach(sizes, bounds, keys), keys)
+    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
+    joined = attach(rows, cut_lineage(attach(sizes, bounds, keys)), keys)
     passed = [
         F.when(c <= 0, 1).when(F.col("__order") > F.col(f"__h{i}"), 1).otherwise(0)
         for i, c in enumerate(cuts(n))
@@ -141,14 +149,40 @@ def hash_segments(df, keys, order_hash, cuts, segment="segment", total=None):
     return result.drop("__order", "__total", *[f"__h{i}" for i in range(width)])
 
 
-def _bucket_counts(narrow, keys):
-    """Rows of each hash bucket with those of earlier buckets; 65,536 rows a group at most."""
-    counts = narrow.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    return counts.select(
+def _cut_buckets(narrow, keys, cuts):
+    """Per group and cut the bucket of first bits it lies in: its bounds, rows before and rows in it."""
+    bits = PREFIX_BITS - HISTOGRAM_BITS
+    counts = narrow.groupBy(*keys, F.shiftright("__p", bits).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = counts.select(
         *keys, "__b", "__n",
         F.coalesce(F.sum("__n").over(_earlier(keys, "__b")), F.lit(0)).alias("__before"),
         F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
+    wanted = F.posexplode(F.array(*[c.cast("long") for c in cuts(F.col("__total"))])).alias("__i", "__c")
+    return _holding(ranked.select(*keys, "__b", "__before", "__n", wanted), keys, bits)
+
+
+def _holding(counted, keys, bits):
+    holds = (F.col("__before") < F.col("__c")) & (F.col("__c") <= F.col("__before") + F.col("__n"))
+    return counted.where(holds).select(
+        *keys, "__i", "__c", "__before", "__n",
+        F.shiftleft("__b", bits).alias("__low"), (F.shiftleft(F.col("__b") + 1, bits) - 1).alias("__high"),
+    )
+
+
+def _inside_buckets(narrow, found, keys):
+    """Rows of ``narrow`` within the bounds of a cut of their group, once per cut."""
+    return attach(found, narrow, keys, "inner").where(F.col("__p").between(F.col("__low"), F.col("__high")))
+
+
+def _refined(narrow, found, keys, bits):
+    """As :func:`_cut_buckets` by further bits, inside the buckets found so far."""
+    inside = _inside_buckets(narrow, found, keys)
+    counts = inside.groupBy(*keys, "__i", "__c", "__before", F.shiftright("__p", bits).alias("__b")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    earlier = F.coalesce(F.sum("__n").over(_earlier([*keys, "__i"], "__b")), F.lit(0))
+    return _holding(counts.withColumn("__before", F.col("__before") + earlier), keys, bits)
 
 
 def running_sums(df, keys, order, sums, exclusive=False):

@@ -55,6 +55,9 @@ def test_ranks_do_not_depend_on_ranges(spark, ranges):
             "segment <> 1 + int(want > floor(n * 0.3)) + int(want > n - 1)"
         )
         assert cut.count() == 5000 and wrong.count() == 0
+        # Buckets counted by further bits, down to a hash each, give the same cut.
+        fine = ordering.hash_segments(df, ["g"], ordering.hash_order(3, "id"), cuts, near_limit=0)
+        assert fine.exceptAll(cut.drop("n")).count() == 0
         sums = ordering.running_sums(df, ["g"], ["h"], {"s": F.col("id")})
         assert sums.exceptAll(
             plain.selectExpr("id", "g", "h", "sum(id) over (partition by g order by h) s", "sum(id) over (partition by g) s_total")
@@ -68,6 +71,15 @@ def test_ranks_do_not_depend_on_ranges(spark, ranges):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_repeated_identities_share_a_segment(spark):
+    """Equal hashes cannot be told apart: all rows of an identity are on one side."""
+    df = spark.range(300).select((F.col("id") % 3).alias("same"), F.lit("g").alias("g"))
+    cut = ordering.hash_segments(df, ["g"], ordering.hash_order(1, "same"), lambda n: [F.lit(1), F.lit(150)], near_limit=1)
+    per_id = cut.groupBy("same").agg(F.collect_set("segment").alias("s")).collect()
+    assert sorted(tuple(r["s"]) for r in per_id) == [(0,), (1,), (2,)]
+    assert ordering.hash_segments(df.limit(0), ["g"], ordering.hash_order(1, "same"), lambda n: [n - 1]).count() == 0
+
+
 def test_rows_without_label_are_a_class_of_their_own(spark):
     df = spark.createDataFrame([(i, None if i < 10 else "a") for i in range(30)], "id long, label string")
     split = splitting.split_per_class(df, ["label"], "id")
