@@ -19,6 +19,7 @@ from ..schema import (
     SCALED_COLUMNS,
     SERVICE_MIN_SHARE,
 )
+from ..session import cut_lineage
 
 # One-hot columns of one field; a field with more values is refused, as it is no category.
 # ``label_index`` has no limit.
@@ -92,19 +93,20 @@ def used_flags(train: DataFrame, by=()) -> DataFrame:
     return wide.select(*by, F.inline(pairs)).where(F.col("used") == 1).select(*by, "flag")
 
 
-def _values(df, column):
-    rows = df.select(column).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"More than {MAX_CATEGORIES} categories in {column}.")
-    return tuple(sorted(row[0] for row in rows))
+def category_values(train: DataFrame, columns) -> DataFrame:
+    """Distinct non-null values of several columns with their counts: column_no, value, n."""
+    cells = F.array(*[F.struct(F.lit(i).alias("column_no"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    pairs = train.select(F.inline(cells)).where(F.col("value").isNotNull())
+    return pairs.groupBy("column_no", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_features(train: DataFrame) -> FittedFeatures:
+def fit_features(train: DataFrame, max_categories=MAX_CATEGORIES) -> FittedFeatures:
     """Learn vocabularies, scaler and flags from train rows only.
 
-    One aggregation gives the moments and the flags. Vocabularies are distinct
-    values, whose number is bounded before they reach the driver. Without train
-    rows there is nothing to learn, which is an error.
+    One aggregation gives the moments and the flags, another the values of all
+    categories. Each becomes a column, so more than ``max_categories`` of them are an
+    error; :func:`category_index` and :func:`transform_sparse` take any number.
+    Without train rows there is nothing to learn, which is an error.
     """
     flags = sorted(c for c in train.columns if c.endswith("_missing"))
     columns = []
@@ -118,15 +120,62 @@ def fit_features(train: DataFrame) -> FittedFeatures:
     ).first()
     if not row["train_rows"]:
         raise ValueError("There are no train rows to fit features on.")
+    named = ("proto", "service", "conn_state")
+    total = row["train_rows"]
+    frequent = (F.col("n") / F.lit(total) >= SERVICE_MIN_SHARE) & ~F.col("value").isin("unknown", "")
+    values = category_values(train, named).where((F.col("column_no") != 1) | frequent)
+    found = values.select("column_no", "value").limit(max_categories + 1).collect()
+    if len(found) > max_categories:
+        raise ValueError(f"More than {max_categories} categories in {', '.join(named)}; use transform_sparse.")
+    proto, service, conn_state = (tuple(sorted(v for k, v in found if k == i)) for i in range(3))
     return FittedFeatures(
-        proto=_values(vocabulary(train, "proto"), "proto"),
-        service=_values(frequent_values(train), "service"),
-        conn_state=_values(vocabulary(train, "conn_state"), "conn_state"),
+        proto=proto, service=service, conn_state=conn_state,
         scaler=tuple((c, row[f"{c}__mean"], row[f"{c}__std"] or 1.0) for c in SCALED_COLUMNS),
         flags=tuple(c for c in flags if row[c] == 1),
     )
 
 
+def category_index(train: DataFrame, columns) -> DataFrame:
+    """Dimension ``column_no, value, position`` of the non-null values in train rows.
+
+    Positions run from 0 over all columns in order, values sorted within a column. It
+    is a table ranked by Spark, of any number of values.
+    """
+    values = category_values(train, columns).select("column_no", "value")
+    ranked = rank_in_groups(values, [], ["column_no", "value"], rank="__r")
+    return cut_lineage(ranked.select("column_no", "value", (F.col("__r") - 1).alias("position")))
+
+
+def transform_sparse(df: DataFrame, fit: FittedFeatures, index: DataFrame, columns, keep=()) -> DataFrame:
+    """``keep``, and ``features``: struct of size, indices (ascending) and values without zeros.
+
+    The first places are those of ``fit``, the others one-hot places of ``columns`` by
+    ``index``. Values the index does not hold are left out, as are nulls. Every column
+    is one equality join, which AQE makes a broadcast of a small dimension and splits
+    on a value that many rows share. Kept columns may have any names.
+    """
+    base = len(fit.columns)
+    rows = df.select(
+        F.struct(*[F.col(c) for c in keep]).alias("__kept"),
+        F.array(*[e.cast("double") for e in feature_expressions(fit, df.columns)]).alias("__dense"),
+        *[F.col(c).cast("string").alias(f"__c{i}") for i, c in enumerate(columns)],
+    )
+    for i in range(len(columns)):
+        own = index.where(F.col("column_no") == i).select(F.col("value").alias(f"__c{i}"), (F.col("position") + base).alias(f"__i{i}"))
+        rows = rows.join(own, f"__c{i}", "left")
+    places = F.transform("__dense", lambda x, k: F.struct(k.cast("long").alias("k"), x.alias("x")))
+    ones = F.array(*[F.struct(F.col(f"__i{i}").alias("k"), F.lit(1.0).alias("x")) for i in range(len(columns))])
+    cells = F.filter(F.concat(places, ones), lambda cell: cell["k"].isNotNull() & (cell["x"] != 0))
+    size = index.agg(F.count(F.lit(1))).scalar() + base
+    return rows.select("__kept", size.alias("size"), cells.alias("__cells")).select(
+        *[F.col(f"__kept.`{c}`").alias(c) for c in keep],
+        F.struct(
+            F.col("size"), F.transform("__cells", lambda cell: cell["k"]).alias("indices"),
+            F.transform("__cells", lambda cell: cell["x"]).alias("values"),
+        ).alias("features"),
+    )
+
+
 def fit_shared(frames) -> FittedFeatures:
     """One fit over the train rows of several scenarios."""
     frames = list(frames)

@@ -206,6 +206,44 @@ _ASSEMBLE_SQL = (
 )
 
 
+#: Categories with far more than 1,000 values together; addresses and ports of test rows may be unseen.
+CATEGORIES = ("proto", "conn_state", "orig_h", "resp_p")
+SPARSE_FIT = features.FittedFeatures((), (), (), tuple((c, 1.0, 2.0) for c in SCALED_COLUMNS), FLAGS)
+
+
+def _sparse(spark, sf_dir):
+    flows = cut_lineage(split_flows(spark, sf_dir))
+    index = features.category_index(flows.where(F.col("split") == "train"), CATEGORIES)
+    rows = features.transform_sparse(flows, SPARSE_FIT, index, CATEGORIES, keep=["seq", "split"])
+    return rows.select(
+        "seq", "split", "features.size", F.concat_ws(",", F.transform("features.indices", lambda i: i.cast("string"))).alias("indices"),
+        F.round(F.aggregate("features.values", F.lit(0.0), lambda acc, x: acc + x), 4).alias("total"),
+    )
+
+
+_DENSE = (
+    ["CAST(resp_p < 1024 AS INTEGER)", "CAST(resp_p >= 1024 AND resp_p < 49152 AS INTEGER)", "CAST(resp_p >= 49152 AS INTEGER)",
+     "CAST(orig_p >= 0 AND orig_p < 1024 AS INTEGER)", "1"]
+    + [history_sql(f).rpartition(" AS ")[0] for f in HISTORY_FLAGS]
+    + [f"CAST((ln(1 + {c}) - 1) / 2 AS FLOAT)" for c in SCALED_COLUMNS] + list(FLAGS)
+)
+_SPARSE_SQL = (
+    f"{SPLIT}, pairs AS ("
+    + " UNION ".join(
+        f"SELECT {i} AS no, CAST({c} AS VARCHAR) AS v FROM split_flows WHERE split = 'train' AND {c} IS NOT NULL"
+        for i, c in enumerate(CATEGORIES)
+    )
+    + f"), dim AS (SELECT no, v, row_number() OVER (ORDER BY no, v) - 1 + {len(_DENSE)} AS k FROM pairs), "
+    + f"dense AS (SELECT seq, split, {', '.join(CATEGORIES)}, [{', '.join(f'CAST({e} AS DOUBLE)' for e in _DENSE)}] AS x FROM split_flows), "
+    + "cells AS (SELECT seq, split, unnest(range(len(x))) AS k, unnest(x) AS x FROM dense"
+    + "".join(
+        f" UNION ALL SELECT seq, split, k, 1 FROM dense JOIN dim ON no = {i} AND v = CAST({c} AS VARCHAR)" for i, c in enumerate(CATEGORIES)
+    )
+    + f") SELECT seq, split, (SELECT count(*) FROM dim) + {len(_DENSE)} AS size, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS indices, "
+    "round(sum(x), 4) AS total FROM cells WHERE x <> 0 GROUP BY seq, split"
+)
+
+
 def _index_benign_first(spark, sf_dir):
     return features.label_index(views.labelled_flows(spark, sf_dir), "benign_first")
 
@@ -262,6 +300,7 @@ QUERIES = {
     "saved_features": (_saved, _SHARED_SQL),
     "used_missing_flags": (_flags, _FLAGS_SQL),
     "assemble_features": (_assemble, _ASSEMBLE_SQL),
+    "sparse_features": (_sparse, _SPARSE_SQL),
     "label_index_benign_first": (
         _index_benign_first,
         f"{LABELLED}, l AS (SELECT DISTINCT detailed_label FROM labelled_flows) SELECT detailed_label, row_number() OVER (ORDER BY detailed_label <> 'Benign', detailed_label) - 1 AS label_idx FROM l",

@@ -4,6 +4,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, features
@@ -62,6 +63,39 @@ def _read_log(spark, sf_dir):
     return conn_log.read_conn_log(spark, f"{_log_files(spark, sf_dir)}/*").select(*CONN_FIELDS)
 
 
+def _ordered_logs(spark, rows):
+    """Rows (scenario, seq, value) as one log file per scenario, in order of ``seq``."""
+    folder = f"{checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    dealt = rows.repartition("scenario").sortWithinPartitions("scenario", "seq", "part")
+    dealt.select("scenario", "value").write.partitionBy("scenario").text(folder)
+    return f"{folder}/*"
+
+
+def _changing_headers(spark, sf_dir):
+    """Logs whose fields change their order after every hundred rows, each time under a new header."""
+    orders = [CONN_FIELDS[:-4], tuple(reversed(CONN_FIELDS[:-4]))]
+    headers = ["\t".join(["#fields", *first, *HEADER[-2:]]) for first in orders]
+    block = F.floor(F.col("seq") / 100)
+    even = block % 2 == 0
+    flows = views.raw_flows(spark, sf_dir).withColumn(
+        "place", F.row_number().over(Window.partitionBy("scenario", block).orderBy("seq"))
+    )
+    line = F.when(even, _log_line(orders[0])).otherwise(_log_line(orders[1]))
+    lines = F.array(F.when(F.col("place") == 1, F.when(even, headers[0]).otherwise(headers[1])), line)
+    rows = flows.select("scenario", "seq", F.posexplode(lines).alias("part", "value")).where("value is not null")
+    return conn_log.read_conn_log(spark, _ordered_logs(spark, rows)).select(*CONN_FIELDS)
+
+
+def _file_positions(spark, sf_dir):
+    """Rows of written logs with their place in the file, and the identity made of it."""
+    flows = views.raw_flows(spark, sf_dir).select("scenario", "seq", F.lit(0).alias("part"), F.col("uid").alias("value"))
+    lines = spark.read.text(_ordered_logs(spark, flows)).withColumn(
+        "scenario", F.regexp_extract("_metadata.file_path", "scenario=([^/]+)", 1)
+    )
+    placed = conn_log.with_stable_row_id(conn_log.with_file_position(lines), "scenario", "position")
+    return placed.select(F.col("value").alias("uid"), "position", "row_id")
+
+
 _GOOD = "seq % 23 <> 0"
 _SHORT = "seq % 29 = 0"
 
@@ -317,6 +351,9 @@ FROM events GROUP BY ALL"""
 
 
 QUERIES = {
+    "read_changing_headers": (
+        _changing_headers, f"{BASE} SELECT {', '.join(_log_field(c) for c in CONN_FIELDS)} FROM raw_flows WHERE {_GOOD}",
+    ),
     "read_conn_log": (
         _read_log, f"{BASE} SELECT {', '.join(_log_field(c) for c in CONN_FIELDS)} FROM raw_flows WHERE {_GOOD}",
     ),
@@ -340,6 +377,11 @@ QUERIES = {
         _row_ids,
         f"{BASE} SELECT seq, sha256('phase1-clean-v1:' || scenario || ':' || seq) AS row_id FROM raw_flows",
     ),
+    "file_position": (
+        _file_positions,
+        f"""{BASE}, p AS (SELECT uid, scenario, row_number() OVER (PARTITION BY scenario ORDER BY seq) - 1 AS position FROM raw_flows)
+SELECT uid, position, sha256('phase1-clean-v1:' || scenario || ':' || position) AS row_id FROM p""",
+    ),
     "observed_requests_to_flows": (_requests, _REQUESTS_SQL),
     "read_event_log": (_event_log, _EVENT_LOG_SQL),
     "canonical_label": (

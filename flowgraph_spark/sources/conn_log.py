@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import PLACE_BITS
 from ..schema import FIELD_RENAMES, LABEL_COLUMNS
+from ..session import cut_lineage
 
 LABEL_COLUMN_NAMES = ("label", "detailed_label")
 # Different header names over all logs of one scan; beyond this the input is no connection log.
@@ -76,44 +78,58 @@ def split_label_column(df: DataFrame) -> DataFrame:
 
 
 def _file_lines(spark: SparkSession, path) -> DataFrame:
-    """Lines of text files with the file they come from."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"))
+    """Lines of text files with the file they come from and ``__at``, their order in it."""
+    # Ids rise within a task, and a block is read by one task.
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), at.alias("__at"))
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """``__file, __names``: the field names of each file's first ``#fields`` line."""
+    """``__file, __headers``: field names of each file's ``#fields`` lines in order, as
+    structs ``at, names``. A header that repeats the one before it is left out."""
     names = F.slice(F.split(F.rtrim("value", F.lit("\r\n")), "\t", -1), 2, 1 << 20)
     renamed = F.transform(
         names, lambda n: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in FIELD_RENAMES.items() for x in p]), n), n)
     )
-    # A log has one header; of several the smallest text is taken, whatever the order of reading.
-    return lines.where(F.col("value").startswith("#fields")).groupBy("__file").agg(F.min(renamed).alias("__names"))
+    found = lines.where(F.col("value").startswith("#fields")).groupBy("__file").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("__at").alias("at"), renamed.alias("names")))).alias("__all")
+    )
+    changed = F.filter(
+        "__all", lambda h, k: (k == 0) | (F.try_element_at("__all", F.when(k > 0, k))["names"] != h["names"])
+    )
+    return found.select("__file", changed.alias("__headers"))
 
 
-def parse_files(lines: DataFrame, carry=()) -> DataFrame:
-    """Rows of many log files, each read by the header of its own file.
+def parse_files(lines: DataFrame, carry=(), max_fields=MAX_FIELDS) -> DataFrame:
+    """Rows of many log files, each read by the header before it in its own file.
 
-    ``lines`` has ``value`` and ``__file``. The columns are the union of all
-    header names, sorted by their first place; a field that a file lacks is
+    ``lines`` has ``value``, ``__file`` and ``__at`` as of :func:`_file_lines`. Rows in
+    front of a file's first header are read by that one. The columns are the union of
+    all header names, sorted by their first place; a field that a header lacks is
     null. Lines with more fields than their header are skipped, shorter ones
-    padded. A file with data but no header is an error. A last field that holds
-    three labels is split in each file that has no label columns of its own.
+    padded. A file with data but no header is an error, and so are more than
+    ``max_fields`` different names. A last field that holds three labels is split
+    under each header that has no label columns of its own.
     """
     headers = file_headers(lines)
     own = F.array_contains("__names", LABEL_COLUMN_NAMES[0]) & F.array_contains("__names", LABEL_COLUMN_NAMES[1])
     # One row per name over all files: as many as a log has fields, not as there are logs.
-    named = headers.select(own.alias("own"), F.size("__names").alias("n"), F.posexplode("__names").alias("place", "name"))
+    each = headers.select(F.explode("__headers.names").alias("__names"))
+    named = each.select(own.alias("own"), F.size("__names").alias("n"), F.posexplode("__names").alias("place", "name"))
     holds_labels = ~F.col("own") & (F.col("place") == F.col("n") - 1)
     found = (
         named.groupBy("name").agg(F.min("place").alias("place"), F.max(holds_labels).alias("labels"))
-        .orderBy("place", "name").limit(MAX_FIELDS + 1).collect()
+        .orderBy("place", "name").limit(max_fields + 1).collect()
     )
     if not found:
         raise ValueError("The logs have no #fields header.")
-    if len(found) > MAX_FIELDS:
-        raise ValueError(f"The logs have more than {MAX_FIELDS} different fields.")
+    if len(found) > max_fields:
+        raise ValueError(f"The logs have more than {max_fields} different fields.")
     plain = [row["name"] for row in found if not row["labels"] and row["name"] not in LABEL_COLUMNS]
     rows = _tokens(lines, "value").join(headers, "__file", "left")
+    before = F.filter("__headers", lambda h: h["at"] <= F.col("__at"))
+    latest = F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at("__headers", F.lit(1)))
+    rows = rows.withColumn("__names", latest["names"])
     width = F.size("__names")
     known = F.when(
         F.col("__names").isNull(), F.raise_error(F.concat(F.lit("no #fields header in "), F.col("__file")))
@@ -133,9 +149,10 @@ def parse_files(lines: DataFrame, carry=()) -> DataFrame:
 
 
 def read_conn_log(spark: SparkSession, path) -> DataFrame:
-    """All data rows of one or many log files as text columns, by each file's own header.
+    """All data rows of one or many log files as text columns.
 
-    Text is decoded as UTF-8; undecodable bytes become the replacement character.
+    Each row is read by the header before it in its file, so rotated and concatenated
+    logs may change their fields. Text is decoded as UTF-8; undecodable bytes become the replacement character.
     """
     return parse_files(_file_lines(spark, path))
 
@@ -158,16 +175,23 @@ def scan_scenarios(spark: SparkSession, paths) -> DataFrame:
     found = F.array_compact(F.array(*tagged))
     longest = F.array_max(F.transform("__found", lambda t: t["size"]))
     own = F.filter("__found", lambda t: t["size"] == longest)
-    placed = lines.withColumn("__found", found).select("value", "__file", F.inline(own))
+    placed = lines.withColumn("__found", found).select("value", "__file", "__at", F.inline(own))
     return parse_files(placed, ["scenario"])
 
 
-def with_file_position(lines: DataFrame, position="position") -> DataFrame:
+#: Input blocks whose offsets are broadcast: about 100 bytes each.
+BROADCAST_BLOCKS = 1_000_000
+
+
+def with_file_position(lines: DataFrame, position="position", broadcast_blocks=BROADCAST_BLOCKS) -> DataFrame:
     """0-based row number in file order for rows read straight from files.
 
-    Positions come from per-block row counts: one row per input block is
-    aggregated and joined back, so no row moves and no single task sorts.
-    ``lines`` must be a file scan with at most filters on top.
+    Positions come from per-block row counts: an input block is one row of a table
+    that goes to the tasks, so no line moves and no single task sorts. There are at
+    most the input's bytes over ``spark.sql.files.maxPartitionBytes`` blocks and one per
+    file; beyond ``broadcast_blocks`` they are joined as Spark decides. ``lines`` must be
+    a file scan with at most filters on top. A block that the second scan gives to
+    another task than the first is an error, never a wrong number.
     """
     tagged = lines.select(
         *lines.columns,
@@ -181,15 +205,20 @@ def with_file_position(lines: DataFrame, position="position") -> DataFrame:
     earlier = (
         Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = blocks.select(
-        F.col("__file").alias("__f"), F.col("__block").alias("__b"), "__first",
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+    offsets = cut_lineage(
+        blocks.select(
+            F.col("__file").alias("__f"), F.col("__block").alias("__b"), "__first",
+            F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+        )
     )
-    return (
-        tagged.join(offsets, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
-        .withColumn(position, F.col("__before") + F.col("__id") - F.col("__first"))
-        .drop("__file", "__block", "__id", "__f", "__b", "__first", "__before")
+    side = F.broadcast(offsets) if offsets.count() <= broadcast_blocks else offsets
+    joined = tagged.join(side, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")), "left")
+    # The upper bits of an id are the task's number.
+    same_task = F.shiftright("__first", PLACE_BITS) == F.shiftright("__id", PLACE_BITS)
+    number = F.when(same_task, F.col("__before") + F.col("__id") - F.col("__first")).otherwise(
+        F.raise_error(F.concat(F.lit("the blocks changed between two scans of "), F.col("__file")))
     )
+    return joined.withColumn(position, number).drop("__file", "__block", "__id", "__f", "__b", "__first", "__before")
 
 
 # Fixed value: namespace of stable row identities.

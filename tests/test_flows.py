@@ -88,6 +88,28 @@ def test_every_file_is_read_by_its_own_header(spark, tmp_path):
         conn_log.read_conn_log(spark, [str(tmp_path / "a.log"), str(tmp_path / "c.log")]).collect()
 
 
+def test_rows_are_read_by_the_header_before_them(spark, tmp_path):
+    """A concatenated log changes its fields; headers and rows lie in different blocks."""
+    first, second = ["#fields", "ts", "uid", "label", "detailed-label"], ["#fields", "detailed-label", "label", "uid", "ts"]
+    lines = ["0.5\tC-1\tBenign\tahead", "\t".join(first)]
+    lines += [f"{i}\tC{i}\tBenign\td{i}" for i in range(900)] + ["\t".join(second)]
+    lines += [f"d{i}\tMalicious\tC{i}\t{i}" for i in range(900, 1800)] + ["\t".join(first), "\t".join(first), "1800\tC1800\tBenign\td1800"]
+    path = tmp_path / "rotated.log"
+    path.write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = conn_log.read_conn_log(spark, str(path))
+        assert read.rdd.getNumPartitions() > 3
+        rows = {r["uid"]: r for r in read.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 1802 and rows["C-1"]["detailed_label"] == "ahead"
+    for i in range(1801):
+        label = "Malicious" if 900 <= i < 1800 else "Benign"
+        assert (rows[f"C{i}"]["ts"], rows[f"C{i}"]["label"], rows[f"C{i}"]["detailed_label"]) == (str(i), label, f"d{i}")
+
+
 def test_scan_scenarios_and_positions(spark, log):
     rows = conn_log.scan_scenarios(spark, {"a": log, "b": log})
     assert {r["scenario"]: r["count"] for r in rows.groupBy("scenario").count().collect()} == {"a": 7, "b": 7}
@@ -107,6 +129,11 @@ def test_positions_over_many_blocks(spark, tmp_path):
         assert lines.rdd.getNumPartitions() > 3
         placed = conn_log.with_file_position(lines)
         assert placed.where(F.col("position") != F.col("value").cast("long")).count() == 0
+        # The offsets go to the lines; no line is exchanged.
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        joined = conn_log.with_file_position(lines, broadcast_blocks=0)
+        assert joined.where(F.col("position") != F.col("value").cast("long")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgraph_spark.functions import ordering
-from flowgraph_spark.operators import balance, graph, metrics, neighbors, params, repartition, runs, sampling, splitting
+from flowgraph_spark.operators import balance, features, graph, metrics, neighbors, params, repartition, runs, sampling, splitting
 
 
 def counts(df, *keys):
@@ -401,3 +401,26 @@ def test_balance_scopes(spark):
     summary = {r["scope"]: r for r in balance.balance_summary(scoped, 2).collect()}
     assert summary["global"]["entropy_bits"] == pytest.approx(1.0)
     assert summary["c1"]["js_from_union_bits"] == pytest.approx(0.0)
+
+
+def test_categories_without_a_limit(spark):
+    """2,000 addresses: refused as columns, one place each in a sparse vector."""
+    flows = spark.range(3000).select(
+        "id", F.concat(F.lit("h"), F.col("id") % 2000).alias("orig_h"), F.when(F.col("id") % 3 == 0, "tcp").alias("proto"),
+        F.lit("x").alias("__kept"), F.lit(80).alias("resp_p"), F.lit(1).alias("orig_p"), F.lit("S").alias("history"),
+        F.lit("http").alias("service"), *[F.lit(0.0).alias(c) for c in features.SCALED_COLUMNS],
+    )
+    fit = features.FittedFeatures((), (), (), (), ())
+    with pytest.raises(ValueError, match="transform_sparse"):
+        features.fit_features(flows.withColumn("conn_state", F.col("orig_h")))
+    index = features.category_index(flows.where("id < 1500"), ["proto", "orig_h"])
+    assert index.count() == 1501 and index.agg(F.max("position")).first()[0] == 1500
+    rows = {r["id"]: r for r in features.transform_sparse(flows, fit, index, ["proto", "orig_h"], keep=["id", "__kept"]).collect()}
+    assert len(rows) == 3000
+    base, names = len(fit.columns), sorted({f"h{i}" for i in range(1500)})
+    for i in (0, 1, 3, 1499, 1500, 1999, 2000, 2999):
+        cells = dict(zip(rows[i]["features"]["indices"], rows[i]["features"]["values"]))
+        want = {base} if i % 3 == 0 else set()
+        want |= {base + 1 + names.index(f"h{i % 2000}")} if i % 2000 < 1500 else set()
+        assert {k for k in cells if k >= base} == want and rows[i]["features"]["size"] == base + 1501
+        assert list(cells) == sorted(cells) and 0.0 not in cells.values()
