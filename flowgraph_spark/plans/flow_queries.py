@@ -318,10 +318,17 @@ def _unknown_labels(spark, sf_dir):
 
 
 def _event_log_lines(spark, sf_dir):
-    """Operational events rendered from the events table."""
+    """Operational events rendered from the events table; some hide a name 3, 9 or 30 levels deep."""
     events = views.table(spark, sf_dir, "events")
     i = F.col("event_id")
-    return events.select(
+
+    def hidden(levels):
+        return F.lit('"user":' + '{"a":' * levels + '[{"Password":1}]' + "}" * levels + ',"user":')
+
+    plain = F.lit('"user":')
+    deep = F.when(i % 67 == 0, hidden(3)).when(i % 71 == 0, hidden(9)).when(i % 73 == 0, hidden(30)).otherwise(plain)
+    rows = events.select(
+        deep.alias("deep"),
         F.to_json(
             F.struct(
                 F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
@@ -333,8 +340,9 @@ def _event_log_lines(spark, sf_dir):
                     F.col("user_id").alias("user"),
                 ).alias("fields"),
             )
-        ).alias("value")
+        ).alias("value"),
     )
+    return rows.select(F.replace("value", plain, F.col("deep")).alias("value"))
 
 
 def _event_log(spark, sf_dir):
@@ -346,6 +354,7 @@ def _event_log(spark, sf_dir):
 
 _EVENT_LOG_SQL = """SELECT CASE WHEN event_id % 9 = 0 THEN 'WARNING' ELSE 'INFO' END AS level,
   event_type AS event, CASE WHEN event_id % 59 = 0 THEN 'sensitive field: api_token'
+    WHEN event_id % 67 = 0 OR event_id % 71 = 0 OR event_id % 73 = 0 THEN 'sensitive field: Password'
     WHEN event_id % 61 = 0 THEN 'field too large: items' END AS event_error, count(*) AS n
 FROM events GROUP BY ALL"""
 

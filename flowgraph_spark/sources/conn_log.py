@@ -77,7 +77,7 @@ def split_label_column(df: DataFrame) -> DataFrame:
     )
 
 
-def _file_lines(spark: SparkSession, path) -> DataFrame:
+def file_lines(spark: SparkSession, path) -> DataFrame:
     """Lines of text files with the file they come from and ``__at``, their order in it."""
     # Ids rise within a task, and a block is read by one task.
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
@@ -103,7 +103,7 @@ def file_headers(lines: DataFrame) -> DataFrame:
 def parse_files(lines: DataFrame, carry=(), max_fields=MAX_FIELDS) -> DataFrame:
     """Rows of many log files, each read by the header before it in its own file.
 
-    ``lines`` has ``value``, ``__file`` and ``__at`` as of :func:`_file_lines`. Rows in
+    ``lines`` has ``value``, ``__file`` and ``__at`` as of :func:`file_lines`. Rows in
     front of a file's first header are read by that one. The columns are the union of
     all header names, sorted by their first place; a field that a header lacks is
     null. Lines with more fields than their header are skipped, shorter ones
@@ -154,7 +154,7 @@ def read_conn_log(spark: SparkSession, path) -> DataFrame:
     Each row is read by the header before it in its file, so rotated and concatenated
     logs may change their fields. Text is decoded as UTF-8; undecodable bytes become the replacement character.
     """
-    return parse_files(_file_lines(spark, path))
+    return parse_files(file_lines(spark, path))
 
 
 def scan_scenarios(spark: SparkSession, paths) -> DataFrame:
@@ -165,7 +165,7 @@ def scan_scenarios(spark: SparkSession, paths) -> DataFrame:
     that of fields matters. A file belongs to the scenario of the longest path
     that begins its own, and to all scenarios that share this path.
     """
-    lines = _file_lines(spark, sorted(set(paths.values())))
+    lines = file_lines(spark, sorted(set(paths.values())))
     tagged = []
     for name, path in paths.items():
         # The file's name may have another scheme or authority in front.

@@ -10,8 +10,6 @@ ROUND_SCHEMA = (
     "`macro-f1` double, weighted_f1 double, `weighted-f1` double"
 )
 EVENT_MAX_ITEMS = 100
-# Levels of an event document that are looked through; deeper ones are refused.
-EVENT_MAX_DEPTH = 8
 
 
 def normalise_rounds(rounds: DataFrame) -> DataFrame:
@@ -87,32 +85,44 @@ def _document_faults():
     return opened, size_of, is_sensitive
 
 
-def parse_event_log(lines: DataFrame, column="value", depth=EVENT_MAX_DEPTH) -> DataFrame:
+def parse_event_log(lines: DataFrame, column="value") -> DataFrame:
     """Operational events ``timestamp, level, event, fields``; fields stay text.
 
-    ``event_error`` names a sensitive field or a collection of more than 100
-    items, at every level; good rows have null. Documents nested beyond
-    ``depth`` levels are refused, since nothing below would be looked at.
+    ``event_error`` names a sensitive field or a collection of more than 100 items, at
+    any depth; good rows have null. A document is opened level by level, as many times
+    as it has brackets at most, within one expression; so it works on a stream too. Text
+    that is no JSON object, or nested deeper than the parser reads (1,000 levels), is an
+    error of its own, since nothing in it was looked at.
     """
     opened, size_of, is_sensitive = _document_faults()
-    document = F.from_json(F.col(column), "timestamp string, level string, event string, fields string")
-    root = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col(column).alias("text")))
-    rows = lines.select(document.alias("d"), root.alias("__level"))
-    sensitive, large = F.lit(None).cast("string"), F.lit(None).cast("string")
-    rows = rows.withColumns({"__sensitive": sensitive, "__large": large})
-    for level in range(depth):
-        rows = rows.withColumn("__level", F.flatten(F.transform("__level", opened)))
-        first_sensitive = F.try_element_at(F.filter("__level", is_sensitive), F.lit(1))["name"]
-        first_large = F.try_element_at(F.filter("__level", lambda n: size_of(n) > EVENT_MAX_ITEMS), F.lit(1))["name"]
-        rows = rows.withColumns(
-            {"__sensitive": F.coalesce("__sensitive", first_sensitive), "__large": F.coalesce("__large", first_large)}
+    text = F.col(column)
+    document = F.from_json(text, "timestamp string, level string, event string, fields string")
+    root = F.array(F.struct(F.lit(None).cast("string").alias("name"), text.alias("text")))
+    nothing = F.lit(None).cast("string")
+    brackets = F.length(F.regexp_replace(text, r"[^\[{]", ""))
+    steps = F.when(brackets > 0, F.sequence(F.lit(1), brackets)).otherwise(F.array().cast("array<int>"))
+
+    def open_level(found, _):
+        level = F.flatten(F.transform(found["level"], opened))
+
+        def first(test):
+            return F.try_element_at(F.filter(level, test), F.lit(1))["name"]
+
+        return F.struct(
+            level.alias("level"),
+            F.coalesce(found["sensitive"], first(is_sensitive)).alias("sensitive"),
+            F.coalesce(found["large"], first(lambda n: size_of(n) > EVENT_MAX_ITEMS)).alias("large"),
         )
-    deeper = F.exists("__level", lambda n: size_of(n) > 0)
+
+    start = F.struct(root.alias("level"), nothing.alias("sensitive"), nothing.alias("large"))
+    rows = lines.select(
+        document.alias("d"), F.json_object_keys(text).isNull().alias("__unread"), F.aggregate(steps, start, open_level).alias("__found")
+    )
     return rows.select(
         "d.timestamp", "d.level", "d.event", "d.fields",
-        F.when(F.col("__sensitive").isNotNull(), F.concat(F.lit("sensitive field: "), "__sensitive"))
-        .when(F.col("__large").isNotNull(), F.concat(F.lit("field too large: "), "__large"))
-        .when(deeper, F.lit("nested too deep")).alias("event_error"),
+        F.when(F.col("__unread"), F.lit("not a readable object"))
+        .when(F.col("__found.sensitive").isNotNull(), F.concat(F.lit("sensitive field: "), "__found.sensitive"))
+        .when(F.col("__found.large").isNotNull(), F.concat(F.lit("field too large: "), "__found.large")).alias("event_error"),
     )
 
 

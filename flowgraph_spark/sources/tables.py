@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import membership_digest
 from ..operators import cleaning
 from ..schema import CONN_FIELDS, FLOAT_COLUMNS, MISSING_TOKENS, PORT_COLUMNS
+from ..session import cut_lineage
 from . import conn_log
 
 CLEANING_VERSION = 1
@@ -21,13 +22,8 @@ def source_fingerprint(spark: SparkSession, path):
     Only file metadata is read. The digests of the files are summed, so neither
     their order nor their number matters to the driver.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    identity = F.concat_ws("\u0001", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
-    totals = membership_digest(files, [], identity).first()
-    contract = [CLEANING_VERSION, list(CONN_FIELDS), list(FLOAT_COLUMNS), list(PORT_COLUMNS), list(MISSING_TOKENS)]
-    code = "".join(inspect.getsource(module) for module in (conn_log, cleaning))
-    text = json.dumps([totals["n_rows"], totals["digest"], hashlib.sha256(code.encode()).hexdigest(), contract])
-    return hashlib.sha256(text.encode()).hexdigest()
+    totals = membership_digest(file_identities(spark, path), [], F.col("key")).first()
+    return hashlib.sha256(json.dumps([totals["n_rows"], totals["digest"], contract_digest()]).encode()).hexdigest()
 
 
 def canonical_manifest(clean: DataFrame, scenario="scenario", label="detailed_label") -> DataFrame:
@@ -61,6 +57,58 @@ def write_canonical(spark: SparkSession, path, scenario, directory, build):
     return rows, "MISS"
 
 
+def contract_digest():
+    """Digest of the parsing and cleaning code and of the schema contract."""
+    contract = [CLEANING_VERSION, list(CONN_FIELDS), list(FLOAT_COLUMNS), list(PORT_COLUMNS), list(MISSING_TOKENS)]
+    code = "".join(inspect.getsource(module) for module in (conn_log, cleaning))
+    return hashlib.sha256(json.dumps([hashlib.sha256(code.encode()).hexdigest(), contract]).encode()).hexdigest()
+
+
+def file_identities(spark: SparkSession, path) -> DataFrame:
+    """``path`` and ``key`` of every file: its path, size and time. Contents are not read."""
+    facts = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").cast("string").alias("size"),
+        F.unix_micros("modificationTime").cast("string").alias("time"),
+    )
+    return facts.select("path", F.sha2(F.concat_ws("\u0001", "path", "size", "time"), 256).alias("key"))
+
+
+def canonical_files(spark: SparkSession, path, directory, clean=cleaning.clean):
+    """Clean rows of many log files, of which only new and changed ones are parsed.
+
+    Returns the rows of the files that are there now, with ``source_file``, and a report
+    ``path, status, rows`` with status HIT or PARSED. Each file is a partition of the table
+    under its identity. Rows are written first and the record that makes them count
+    after them, so a job that stops in between parses those files again. Code or schema
+    that changed begin a new table. A file that is gone is no longer read; its rows stay
+    on storage. Without files the rows are an error, as there is no header.
+    """
+    base = f"{directory}/{contract_digest()}"
+    present = cut_lineage(file_identities(spark, path))
+    if _exists(spark, f"{base}/files"):
+        recorded = spark.read.parquet(f"{base}/files").select("key", "rows").dropDuplicates(["key"])
+    else:
+        recorded = spark.createDataFrame([], "key string, rows long")
+    missing = cut_lineage(present.join(recorded, "key", "left_anti"))
+    # As many paths as files changed; the file scan lists them on the driver as well.
+    changed = [row["path"] for row in missing.select("path").collect()]
+    if changed:
+        lines = conn_log.file_lines(spark, changed)
+        rows = clean(conn_log.parse_files(lines, ["__file"])).withColumnRenamed("__file", "source_file")
+        keyed = rows.join(missing.select(F.col("path").alias("source_file"), "key"), "source_file")
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(f"{base}/rows")
+        counts = spark.read.parquet(f"{base}/rows").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+        done = missing.join(counts, "key", "left").select("key", "path", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+        done.write.mode("append").parquet(f"{base}/files")
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{base}/rows")
+    counts = spark.read.parquet(f"{base}/files").select("key", "rows").dropDuplicates(["key"])
+    parsed = missing.select("key", F.lit("PARSED").alias("status"))
+    report = present.join(parsed, "key", "left").join(counts, "key", "left").select(
+        "path", F.coalesce("status", F.lit("HIT")).alias("status"), "rows"
+    )
+    return stored.join(present.select("key"), "key", "left_semi").drop("key"), report
+
+
 def write_labelled_replay(heldout: DataFrame, directory, client="client"):
     """Held-out rows as gzip JSON lines by client and split, with their counts."""
     heldout.write.mode("errorifexists").partitionBy(client, "split").option("compression", "gzip").json(

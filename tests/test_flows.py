@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import os
 import math
 
 import pytest
@@ -211,10 +212,17 @@ def test_event_log(spark):
         json.dumps({"event": "e", "fields": {"a": [{"c": {"api_token": 1}}]}}),
         json.dumps({"event": "e", "fields": {"a": 'the word "password": in a text'}}),
         json.dumps({"event": "e", "fields": {"a": [[[[[[[[[1]]]]]]]]]}}),
+        '{"fields":' + '{"a":[' * 30 + '{"x_secret":0}' + "]}" * 30 + "}",
+        '{"fields":' + "[" * 200 + ",".join(["1"] * 101) + "]" * 200 + "}",
+        "no object", "[1]", None, '{"a":' * 1500 + "1" + "}" * 1500,
     ]
     lines = spark.createDataFrame([(t,) for t in texts], "value string")
     errors = [r["event_error"] for r in logs.parse_event_log(lines).collect()]
-    assert errors == ["field too large: b", "sensitive field: password", "sensitive field: api_token", None, "nested too deep"]
+    unread = ["not a readable object"] * 4
+    assert errors == [
+        "field too large: b", "sensitive field: password", "sensitive field: api_token", None, None,
+        "sensitive field: x_secret", "field too large: fields", *unread,
+    ]
 
 
 def test_entity_hash_equals_hmac(spark):
@@ -240,6 +248,34 @@ def test_canonical_reuse(spark, log, tmp_path):
     assert third == "MISS" and changed.count() == 8
 
 
+def test_only_changed_files_are_parsed_again(spark, tmp_path):
+    text, cache = log_text(), str(tmp_path / "cache")
+    (tmp_path / "logs").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "logs" / f"{name}.log").write_text(text)
+    parsed = []
+
+    def clean(rows):
+        parsed.append(sorted(os.path.basename(r[0]) for r in rows.select("__file").distinct().collect()))
+        return cleaning.clean(rows)
+
+    def run():
+        rows, report = tables.canonical_files(spark, str(tmp_path / "logs"), cache, clean)
+        found = {os.path.basename(r["path"]): (r["status"], r["rows"]) for r in report.collect()}
+        assert rows.count() == sum(n for _, n in found.values())
+        return found
+
+    assert run() == {"a.log": ("PARSED", 7), "b.log": ("PARSED", 7)}
+    assert run() == {"a.log": ("HIT", 7), "b.log": ("HIT", 7)}
+    (tmp_path / "logs" / "c.log").write_text(text)
+    with open(tmp_path / "logs" / "a.log", "a") as handle:
+        handle.write(text.rstrip("\n").split("\n")[-1] + "\n")
+    assert run() == {"a.log": ("PARSED", 8), "b.log": ("HIT", 7), "c.log": ("PARSED", 7)}
+    os.remove(tmp_path / "logs" / "b.log")
+    assert run() == {"a.log": ("HIT", 8), "c.log": ("HIT", 7)}
+    assert parsed == [["a.log", "b.log"], ["a.log", "c.log"]]
+
+
 def test_replay_and_graph_tables(spark, tmp_path):
     rows = spark.createDataFrame(
         [("c1", "test", "A", 1.0, 5), ("c1", "validation", "B", 2.0, 6)],
