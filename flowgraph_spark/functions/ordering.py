@@ -241,10 +241,14 @@ def value_counts(df, keys, value):
     """Distinct values per group with their row counts, materialised.
 
     Rows are counted per value first, so a value shared by a third of all rows
-    is one row here. The table has several readers.
+    is one row here. The table has several readers. A row without a value is an error,
+    so that no summary leaves rows out unseen; filter them where they are meant to go.
     """
-    rows = df.where(F.col(value).isNotNull())
-    return cut_lineage(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+    known = F.when(
+        F.col(value).isNull(), F.raise_error(F.lit(f"a row without a value in {value}"))
+    ).otherwise(F.col(value)).cast(df.schema[value].dataType)
+    counts = df.select(*keys, known.alias(value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counts)
 
 
 def exact_quantiles(counts, keys, value, fractions, nearest=False):

@@ -70,18 +70,22 @@ def degree(df: DataFrame, by, ends=ENDS) -> DataFrame:
 
 
 def graph_stats(df: DataFrame, by, features, num_classes, ends=ENDS, label="detailed_label", stated=None) -> DataFrame:
-    """Sizes of each graph.
+    """Sizes of each graph, with ``label_counts``: a map from label to edges.
 
     ``stated(by..., stated_nodes)`` may give more nodes than the edges touch;
-    the others are isolated.
+    the others are isolated. Edges without a label count under the label ``null``.
     """
     nodes = degree(df, by, ends).groupBy(*by).agg(F.count(F.lit(1)).alias("num_nodes"))
     binary = binary_label(F.col(label))
-    edges = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("num_edges"),
-        (2 * F.count(F.lit(1))).alias("num_edges_mp"),
-        F.count_if(binary == 0).alias("benign_edges"),
-        F.count_if(binary == 1).alias("malicious_edges"),
+    # Edges are counted by label first; a graph's labels are as many as the taxonomy has.
+    per_label = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct(F.coalesce(F.col(label), F.lit("null")), F.col("n"))
+    edges = per_label.groupBy(*by).agg(
+        F.sum("n").alias("num_edges"),
+        (2 * F.sum("n")).alias("num_edges_mp"),
+        F.coalesce(F.sum(F.when(binary == 0, F.col("n"))), F.lit(0)).alias("benign_edges"),
+        F.coalesce(F.sum(F.when(binary == 1, F.col("n"))), F.lit(0)).alias("malicious_edges"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("label_counts"),
     )
     joined = edges.join(nodes, list(by)).withColumn("num_isolated", F.lit(0).cast("long"))
     if stated is not None:
@@ -93,7 +97,7 @@ def graph_stats(df: DataFrame, by, features, num_classes, ends=ENDS, label="deta
     return joined.select(
         *by, "num_nodes", "num_edges", "num_edges_mp",
         F.lit(len(features)).alias("feature_dim"), F.lit(num_classes).alias("num_classes"),
-        "num_isolated", "benign_edges", "malicious_edges",
+        "num_isolated", "benign_edges", "malicious_edges", "label_counts",
     )
 
 

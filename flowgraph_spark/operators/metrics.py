@@ -377,10 +377,25 @@ def oracle_evaluate(df: DataFrame, mapping: DataFrame, num_classes, head="head")
     return confusion(rows.where(own).drop("__chosen"), num_classes)
 
 
-def with_train_support(df: DataFrame, train: DataFrame, true="true_idx") -> DataFrame:
-    """Attach the train support of the true class and the absence flag."""
+#: Classes whose train support travels to the rows as a map.
+SUPPORT_CLASSES = 10_000
+
+
+def with_train_support(df: DataFrame, train: DataFrame, true="true_idx", max_classes=SUPPORT_CLASSES) -> DataFrame:
+    """Attach the train support of the true class and the absence flag.
+
+    The supports of up to ``max_classes`` classes go to the rows as one map, so no row is
+    shuffled; more are joined.
+    """
     support = train.groupBy(F.col(true)).agg(F.count(F.lit(1)).alias("train_support"))
-    return df.join(support, true, "left").withColumns(
+    known = support.where(F.col(true).isNotNull()).limit(max_classes + 1).collect()
+    if len(known) > max_classes:
+        joined = df.join(support, true, "left")
+    else:
+        pairs = [F.lit(v) for row in known for v in (row[true], row["train_support"])]
+        found = F.try_element_at(F.create_map(*pairs), F.col(true)) if pairs else F.lit(None)
+        joined = df.withColumn("train_support", found.cast("long"))
+    return joined.withColumns(
         {
             "train_support": F.coalesce("train_support", F.lit(0)),
             "absent": F.col("train_support").isNull(),

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
@@ -263,61 +265,123 @@ def score_edges(repr_df: DataFrame, head, width) -> DataFrame:
     return scored(head_probabilities(repr_df, {"probabilities": head}, width))
 
 
+#: Bytes of head weights that are sent whole to every task.
+HEAD_BYTES = 256 << 20
+
+
+def head_arrays(heads):
+    """Weights by name as NumPy arrays; more than ``HEAD_BYTES`` of them are an error."""
+    arrays = {name: {k: np.asarray(v, dtype=float) for k, v in head.items()} for name, head in heads.items()}
+    size = sum(a.nbytes for head in arrays.values() for a in head.values())
+    if size > HEAD_BYTES:
+        raise ValueError(f"{size} bytes of head weights; give them as a table to score_clients_table.")
+    return arrays
+
+
+def head_table(spark, heads) -> DataFrame:
+    """Heads as rows ``head, w1, b1, w2, b2``."""
+    rows = [(name, *[np.asarray(head[k], dtype=float).tolist() for k in ("w1", "b1", "w2", "b2")]) for name, head in heads.items()]
+    return spark.createDataFrame(rows, _HEAD_SCHEMA)
+
+
+_HEAD_SCHEMA = "head string, w1 array<array<double>>, b1 array<double>, w2 array<array<double>>, b2 array<double>"
+
+
+def packed(repr_df: DataFrame, width, vector="z") -> DataFrame:
+    """``z_0, z_1, ...`` as one array column."""
+    kept = [c for c in repr_df.columns if not c.startswith("z_")]
+    return repr_df.select(*kept, F.array(*[F.col(f"z_{i}").cast("double") for i in range(width)]).alias(vector))
+
+
+def _probabilities(logits):
+    powers = np.exp(logits - logits.max(axis=-1, keepdims=True))
+    return powers / powers.sum(axis=-1, keepdims=True)
+
+
+def _matrix(column):
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
 def score_all_heads(repr_df: DataFrame, heads, width) -> DataFrame:
     """One row per edge and head; the representation is computed once.
 
-    ``heads`` maps a name to its weights, which become literals, so nothing is
-    joined.
+    The first layers of all heads are one matrix, so an Arrow batch takes one product
+    for all of them, whatever their number. Heads have the same shape.
     """
-    kept = [c for c in repr_df.columns if not c.startswith("z_")]
-    names = sorted(heads)
-    wide = head_probabilities(repr_df, {f"__p{i}": heads[n] for i, n in enumerate(names)}, width)
-    each = F.array(
-        *[
-            F.struct(F.lit(n).alias("head"), F.col(f"__p{i}").alias("probabilities"))
-            for i, n in enumerate(names)
-        ]
-    )
-    return scored(wide.select(*kept, F.inline(each)))
+    arrays = head_arrays(heads)
+    names = sorted(arrays)
+    stacked = {k: np.stack([arrays[n][k] for n in names]) for k in ("w1", "b1", "w2", "b2")}
+    shared = repr_df.sparkSession.sparkContext.broadcast((names, stacked))
+    rows = packed(repr_df, width)
+    kept = [c for c in rows.columns if c != "z"]
+
+    def run(batches):
+        names, head = shared.value
+        count, inner, classes = len(names), head["w1"].shape[1], head["w2"].shape[1]
+        first, offset = head["w1"].reshape(count * inner, -1).T, head["b1"].reshape(-1)
+        for whole in batches:
+            # The products of a slice are as many numbers as a batch of 10,000 rows has for one head.
+            step = max(1, 10_000 // count)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                units = np.maximum(_matrix(batch["z"]) @ first + offset, 0.0).reshape(-1, count, inner)
+                found = _probabilities(np.einsum("rhi,hci->rhc", units, head["w2"]) + head["b2"])
+                out = pa.Table.from_batches([batch.select(kept)]).take(pa.array(np.repeat(np.arange(batch.num_rows), count)))
+                out = out.append_column("head", pa.array(names * batch.num_rows))
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, classes, dtype=np.int32), found.ravel())
+                yield from out.append_column("probabilities", lists).combine_chunks().to_batches()
+
+    schema = StructType([*rows.select(*kept).schema.fields]).add("head", "string").add("probabilities", ArrayType(DoubleType()))
+    return scored(rows.mapInArrow(run, schema))
 
 
 def score_own_head(repr_df: DataFrame, heads, width, client="scenario") -> DataFrame:
-    """Each row under the head of its own client only; a missing head fails.
+    """Each row under the head of its own client only; a missing head fails."""
+    return score_clients_wide(packed(repr_df, width), heads, client)
 
-    ``heads`` maps a client to its weights. Clients are disjoint filters of one
-    input, so every row meets one head.
+
+def score_clients_table(rows: DataFrame, heads: DataFrame, client, vector="z", salt=8) -> DataFrame:
+    """As :func:`score_clients_wide` with the weights as a table of any size.
+
+    ``heads`` is a :func:`head_table`. Rows and weights of a client meet in ``salt``
+    places, where the weights come first; a task holds one head and one Arrow batch.
     """
-    known = F.col(client).isin(*heads)
-    checked = repr_df.withColumn(
-        client,
-        F.when(~known, F.raise_error(F.concat(F.lit("no head for client "), F.col(client))))
-        .otherwise(F.col(client)).cast("string"),
+    kept = [c for c in rows.columns if c != vector]
+    spread = rows.withColumns(
+        {"__key": F.col(client), "__salt": F.pmod(F.xxhash64(*kept, vector), F.lit(salt)), "__weights": F.lit(0)}
     )
-    inputs = [F.col(f"z_{i}") for i in range(width)]
-    kept = [c for c in repr_df.columns if not c.startswith("z_")]
-    sizes = {(len(h["b1"]), len(h["b2"])) for h in heads.values()}
-    if len(sizes) != 1:
-        raise ValueError("All heads must have the same shape.")
-    hidden_size, classes = sizes.pop()
-
-    def chosen(columns_of):
-        """Unit by unit, the value of the row's own head."""
-        result = None
-        for name, head in sorted(heads.items()):
-            columns = columns_of(head)
-            if result is None:
-                result = [F.when(F.col(client) == name, c) for c in columns]
-            else:
-                result = [r.when(F.col(client) == name, c) for r, c in zip(result, columns)]
-        return result
-
-    units = chosen(lambda h: [vx.relu(c) for c in vx.dense(inputs, h["w1"], h["b1"])])
-    rows = checked.select(*kept, *[u.alias(f"__u_{i}") for i, u in enumerate(units)])
-    inner = [F.col(f"__u_{i}") for i in range(hidden_size)]
-    outer = chosen(lambda h: vx.dense(inner, h["w2"], h["b2"]))
-    names = [f"__l_{i}" for i in range(classes)]
-    logits = rows.select(*kept, *[o.alias(n) for o, n in zip(outer, names)])
-    return scored(vx.softmax_scalars(logits, kept, {"probabilities": names}))
+    weights = heads.select(
+        F.col("head").alias("__key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("__salt"),
+        F.lit(1).alias("__weights"), F.struct("w1", "b1", "w2", "b2").alias("__head"),
+    )
+    dealt = spread.unionByName(weights, allowMissingColumns=True).repartition("__key", "__salt")
+    dealt = dealt.sortWithinPartitions("__key", "__salt", F.desc("__weights"))
+
+    def run(batches):
+        name, head = None, None
+        for batch in batches:
+            keys, first = batch["__key"].to_pylist(), 0
+            marks = batch["__weights"].to_numpy()
+            for place in range(batch.num_rows + 1):
+                ends = place == batch.num_rows or marks[place] or keys[place] != keys[first] or marks[first]
+                if not ends or place == first:
+                    continue
+                if marks[first]:
+                    name, head = keys[first], {k: np.array(v, float) for k, v in batch["__head"][first].as_py().items()}
+                else:
+                    if head is None or keys[first] != name:
+                        raise ValueError(f"no head for client {keys[first]}")
+                    part = batch.slice(first, place - first)
+                    units = np.maximum(_matrix(part[vector]) @ head["w1"].T + head["b1"], 0.0)
+                    found = _probabilities(units @ head["w2"].T + head["b2"])
+                    lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), found.ravel())
+                    out = pa.Table.from_batches([part.select(kept)]).append_column("probabilities", lists)
+                    yield from out.combine_chunks().to_batches()
+                first = place
+
+    schema = StructType([*rows.select(*kept).schema.fields]).add("probabilities", ArrayType(DoubleType()))
+    return scored(dealt.mapInArrow(run, schema))
 
 
 def score_edges_wide(repr_df: DataFrame, head, vector="z") -> DataFrame:
@@ -328,12 +392,11 @@ def score_edges_wide(repr_df: DataFrame, head, vector="z") -> DataFrame:
 def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFrame:
     """Every row under the head of its client, in one pass over the rows.
 
-    ``heads`` maps a client to its weights. They are sent to the tasks once, and
-    each Arrow batch takes one matrix product per client in it. A client without
-    a head is an error.
+    ``heads`` maps a client to its weights. They are sent to the tasks once, up to
+    ``HEAD_BYTES``, and each Arrow batch takes one matrix product per client in it. A
+    client without a head is an error.
     """
-    arrays = {name: {k: np.asarray(v, dtype=float) for k, v in head.items()} for name, head in heads.items()}
-    shared = repr_df.sparkSession.sparkContext.broadcast(arrays)
+    shared = repr_df.sparkSession.sparkContext.broadcast(head_arrays(heads))
 
     @pandas_udf("array<double>")
     def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -148,12 +148,13 @@ def split_personalised(params: DataFrame, prefixes):
     return params.where(~private), params.where(private)
 
 
-def merge_personalised(shared: DataFrame, private: DataFrame) -> DataFrame:
+def merge_personalised(shared: DataFrame, private: DataFrame, places=64) -> DataFrame:
     """Per-client states from shared ``(param, pos, row, value)`` and private rows.
 
-    A parameter on both sides is an error.
+    A parameter on both sides is an error. Shared rows go to ``places`` places, each of
+    which holds some of the clients, and meet them there by an equality join.
     """
-    clients = private.select("client").distinct()
+    clients = private.select("client").distinct().withColumn("__place", F.pmod(F.xxhash64("client"), F.lit(places)))
     repeated = private.select("param").distinct().withColumn("__both", F.lit(1))
     checked = shared.join(repeated, "param", "left").withColumn(
         "value",
@@ -161,8 +162,8 @@ def merge_personalised(shared: DataFrame, private: DataFrame) -> DataFrame:
         .otherwise(F.col("value")).cast("double"),
     )
     spread = checked.groupBy(*POSITION).agg(F.first("value").alias("value"))
-    every = clients.groupBy().agg(F.collect_set("client").alias("c")).scalar()
-    copies = spread.withColumn("client", F.explode(every))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long")))
+    copies = spread.withColumn("__place", every).join(clients, "__place")
     columns = ["client", *POSITION, "value"]
     return copies.select(*columns).unionByName(private.select(*columns))
 

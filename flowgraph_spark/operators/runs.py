@@ -165,7 +165,8 @@ def class_support_table(support: DataFrame, protocol="protocol") -> DataFrame:
 
 
 def prediction_audit(predictions: DataFrame, has_train_support, classes):
-    """Per field of a prediction table: exported, derived or not available."""
+    """Per field of a prediction table: exported, derived or not available, and ``filled``,
+    the rows that have a value (null where the table has no such field)."""
     columns = set(predictions.columns)
     rows = [
         (c, "EXPORTED" if c in columns else "NOT_AVAILABLE")
@@ -189,7 +190,11 @@ def prediction_audit(predictions: DataFrame, has_train_support, classes):
         scores = "NOT_AVAILABLE"
     rows.append(("probabilities_or_logits", scores))
     rows.append(("entropy", "EXPORTED" if "entropy" in columns else "DERIVABLE_FROM_SCORES"))
-    return predictions.sparkSession.createDataFrame(rows, "field string, status string")
+    present = [f for f, _ in rows if f in columns]
+    counts = predictions.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(f).alias(f) for f in present])
+    filled = counts.select(F.map_from_arrays(F.array(*[F.lit(f) for f in present]).cast("array<string>"), F.array(*present).cast("array<long>"))).scalar()
+    table = predictions.sparkSession.createDataFrame(rows, "field string, status string")
+    return table.withColumn("filled", F.try_element_at(filled, F.col("field")))
 
 
 def per_class_f1_matrix(runs: DataFrame, classes, metrics="test_metrics", per_class="per_class") -> DataFrame:

@@ -96,12 +96,16 @@ def _bidirect(spark, sf_dir):
 
 
 def _stats(spark, sf_dir):
-    return graph.graph_stats(views.raw_edges(spark, sf_dir), BY, EDGE_FEATURES, len(EDGE_CLASSES))
+    rows = graph.graph_stats(views.raw_edges(spark, sf_dir), BY, EDGE_FEATURES, len(EDGE_CLASSES))
+    counts = F.transform(F.map_entries("label_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return rows.withColumn("label_counts", F.concat_ws(",", counts))
 
 
 _STATS_SQL = f"""{RAW}, {NODE_IDS} SELECT e.scenario, any_value(k) AS num_nodes, count(*) AS num_edges, 2 * count(*) AS num_edges_mp,
   {NF} AS feature_dim, {len(EDGE_CLASSES)} AS num_classes, 0 AS num_isolated,
-  count(*) FILTER (detailed_label = 'Benign') AS benign_edges, count(*) FILTER (detailed_label <> 'Benign') AS malicious_edges
+  count(*) FILTER (detailed_label = 'Benign') AS benign_edges, count(*) FILTER (detailed_label <> 'Benign') AS malicious_edges,
+  (SELECT string_agg(detailed_label || '=' || c, ',' ORDER BY detailed_label) FROM
+    (SELECT detailed_label, count(*) AS c FROM raw_edges x WHERE x.scenario = e.scenario GROUP BY detailed_label)) AS label_counts
 FROM raw_edges e JOIN (SELECT scenario, count(*) AS k FROM ends GROUP BY scenario) n ON n.scenario = e.scenario GROUP BY e.scenario"""
 
 
@@ -369,11 +373,29 @@ def all_heads(spark, sf_dir):
 
 
 def _all_heads(spark, sf_dir):
-    return all_heads(spark, sf_dir).groupBy("scenario", "head", "pred_idx").agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.avg("confidence"), 5).alias("confidence")
+    return all_heads(spark, sf_dir).select(
+        "scenario", "edge_key", "head", "pred_idx", rounded(F.col("confidence"), 5).alias("confidence"),
+        rounded(F.col("entropy"), 5).alias("entropy"),
     )
 
 
+CLIENT_HEADS = 500
+
+
+def _clients_table(spark, sf_dir):
+    """500 clients, each scored by its own head from a table of heads."""
+    number = F.conv(F.substring(F.md5("edge_key"), 1, 8), 16, 10).cast("long") % CLIENT_HEADS
+    rows = neighbors.packed(representation(spark, sf_dir), REPR_WIDTH).withColumn("client", number.cast("string"))
+    heads = {str(i): SCORE_HEADS[HEAD_NAMES[i % len(HEAD_NAMES)]] for i in range(CLIENT_HEADS)}
+    found = neighbors.score_clients_table(rows, neighbors.head_table(spark, heads), "client")
+    return found.select("scenario", "edge_key", "client", "pred_idx", rounded(F.col("confidence"), 5).alias("confidence"))
+
+
+_CLIENTS_TABLE_SQL = f"""{scored_sql(HEAD_NAMES)}, own AS (SELECT *, CAST('0x' || substr(md5(edge_key), 1, 8) AS BIGINT) % {CLIENT_HEADS} AS k FROM scored)
+SELECT scenario, edge_key, CAST(k AS VARCHAR) AS client, pred_idx, {rounded_sql('confidence', 5)} AS confidence FROM own
+WHERE head = {list(HEAD_NAMES)!r}[k % {len(HEAD_NAMES)} + 1]"""
+
+
 def _validate(spark, sf_dir):
     rows = cut_lineage(views.split_edges(spark, sf_dir))
     nodes = graph.node_dictionary(rows, BY)
@@ -447,8 +469,9 @@ QUERIES = {
     "score_edges_wide": (_score_wide, _score_sql("head-b")),
     "score_all_heads": (
         _all_heads,
-        f"{scored_sql(HEAD_NAMES)} SELECT scenario, head, pred_idx, count(*) AS n, {rounded_sql('avg(confidence)', 5)} AS confidence FROM scored GROUP BY ALL",
+        f"{scored_sql(HEAD_NAMES)} SELECT scenario, edge_key, head, pred_idx, {rounded_sql('confidence', 5)} AS confidence, {rounded_sql('entropy', 5)} AS entropy FROM scored",
     ),
+    "score_clients_table": (_clients_table, _CLIENTS_TABLE_SQL),
     "validate_graph": (_validate, _VALIDATE_SQL),
     "fit_edge_classifier": (
         _classifier, f"{EDGES} SELECT split, label_idx, count(*) AS n, count(*) AS scored FROM split_edges GROUP BY ALL",

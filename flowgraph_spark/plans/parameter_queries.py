@@ -119,26 +119,17 @@ _PROJECT_SQL = f"""{BASE} SELECT client, param, CAST(pos - CASE WHEN row > 3 AND
 
 
 def _scalars(spark, sf_dir):
-    """Client metrics; one of them is not reported by every client."""
+    """One metric per place of the vectors; every ninth is not reported by client 0."""
     vectors = views.table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("c"), F.col("label").cast("string")).alias("client"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("first").alias("metric"), F.col("embedding")[0].cast("double").alias("value")),
-                F.struct(F.lit("last").alias("metric"), F.col("embedding")[63].cast("double").alias("value")),
-                F.struct(
-                    F.when(F.col("label") > 0, F.lit("partial")).alias("metric"),
-                    F.col("embedding")[5].cast("double").alias("value"),
-                ),
-            )
-        ),
+        "label", F.concat(F.lit("c"), F.col("label").cast("string")).alias("client"), F.posexplode("embedding").alias("place", "x")
     )
-    metrics = vectors.where(F.col("metric").isNotNull()).groupBy("client", "metric").agg(F.avg("value").alias("value"))
+    named = vectors.where((F.col("label") > 0) | (F.col("place") % 9 != 0))
+    metrics = named.groupBy("client", F.format_string("m%02d", "place").alias("metric")).agg(F.avg(F.col("x").cast("double")).alias("value"))
     return _state(ops.weighted_scalar_metrics(metrics, views.client_weights(spark, sf_dir)))
 
 
-_SCALARS_SQL = f"""SELECT 'first' AS metric, {rounded_sql('avg(CAST(embedding[1] AS DOUBLE))', 6)} AS value FROM embeddings
-UNION ALL SELECT 'last', {rounded_sql('avg(CAST(embedding[64] AS DOUBLE))', 6)} FROM embeddings"""
+_SCALARS_SQL = f"""SELECT printf('m%02d', k - 1) AS metric, {rounded_sql('avg(CAST(embedding[k] AS DOUBLE))', 6)} AS value
+FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE (k - 1) % 9 <> 0 GROUP BY k"""
 
 
 def _payload(spark, sf_dir):

@@ -328,6 +328,28 @@ s AS (SELECT client, {", ".join(f"{rounded_sql(_nearest(v, p), 6)} AS {v}_{name}
 SELECT * FROM o JOIN s USING (client)"""
 
 
+def _audit(spark, sf_dir):
+    """What an export of predictions holds; labels of one class are withheld."""
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    rows = views.predictions(spark, sf_dir).select(
+        F.lit(1).alias("seed"), F.col("client").alias("scenario"), "split",
+        F.when(F.col("true_idx") != 2, F.element_at(names, F.col("true_idx") + 1)).alias("true_label"),
+        F.element_at(names, F.col("pred_idx") + 1).alias("predicted_label"), F.when(F.col("seq") % 3 > 0, F.col("confidence")).alias("entropy"),
+        *[F.col("probabilities")[i].alias(f"probability::{c}") for i, c in enumerate(CLASSES)],
+    )
+    return runs.prediction_audit(rows, True, CLASSES)
+
+
+_AUDIT_SQL = f"""{PREDICTED} SELECT 'seed' AS field, 'EXPORTED' AS status, count(*) AS filled FROM predictions
+UNION ALL SELECT 'protocol', 'NOT_AVAILABLE', NULL UNION ALL SELECT 'scenario', 'EXPORTED', count(client) FROM predictions
+UNION ALL SELECT 'split', 'EXPORTED', count(split) FROM predictions
+UNION ALL SELECT 'true_label', 'EXPORTED', count(*) FILTER (true_idx <> 2) FROM predictions
+UNION ALL SELECT 'predicted_label', 'EXPORTED', count(pred_idx) FROM predictions
+UNION ALL SELECT 'held_out', 'DERIVED_FROM_METADATA', NULL UNION ALL SELECT 'class_present_in_train', 'DERIVED_FROM_CLASS_SUPPORT', NULL
+UNION ALL SELECT 'probabilities_or_logits', 'PROBABILITIES_EXPORTED', NULL
+UNION ALL SELECT 'entropy', 'EXPORTED', count(*) FILTER (seq % 3 > 0) FROM predictions"""
+
+
 def _personalised(spark, sf_dir):
     """Each client's edges under its own head, heads shared by pairs of clients."""
     names = tuple(SCORE_HEADS)
@@ -383,4 +405,5 @@ QUERIES = {
     "analysable_predictions": (_analysable, _ANALYSABLE_SQL),
     "routed_report": (_routed, _ROUTED_SQL),
     "personalised_report": (_personalised, _PERSONALISED_SQL),
+    "prediction_audit": (_audit, _AUDIT_SQL),
 }

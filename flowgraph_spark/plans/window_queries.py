@@ -325,6 +325,18 @@ def _panels(spark, sf_dir):
     )
 
 
+def _latency(spark, sf_dir):
+    rows = scored_flows(spark, sf_dir).withColumns(
+        {"timestamp": F.timestamp_seconds(F.floor("flow_ts")), "age_ms": F.pmod(F.col("seq") * 37, F.lit(1009))}
+    )
+    alerted = F.col("predicted_class").isin(*SEVERITY) & (F.col("confidence") >= 0.7)
+    found = alerts.latency_rollup(rows, alerted, "age_ms", "1 day", accuracy=1_000_000)
+    return found.select(
+        F.unix_timestamp("window_start").alias("start"), "client_id", "flows", "alerts",
+        F.round("alert_rate", 6).alias("alert_rate"), "latency_p50", "latency_p95",
+    )
+
+
 _ALERTED = "predicted_class IN ('click', 'error', 'purchase') AND confidence >= 0.7"
 _PANELS_SQL = f"""{EVENTS}, x AS (SELECT CAST(floor(flow_ts / 86400) * 86400 AS BIGINT) AS start, client_id, {_ALERTED} AS alerted,
     true_idx = 0 AS benign, (seq * 37) % 1009 AS age_ms FROM sf)
@@ -351,6 +363,13 @@ SCORE_HEADS = {
 }
 
 
+_LATENCY_SQL = f"""{EVENTS}, x AS (SELECT CAST(floor(flow_ts / 86400) * 86400 AS BIGINT) AS start, client_id, {_ALERTED} AS alerted,
+    (seq * 37) % 1009 AS age_ms FROM sf)
+SELECT start, client_id, count(*) AS flows, count(*) FILTER (alerted) AS alerts, round(count(*) FILTER (alerted) / count(*), 6) AS alert_rate,
+  list_sort(list(age_ms))[CAST(ceil(count(*) * 0.5) AS INTEGER)] AS latency_p50,
+  list_sort(list(age_ms))[CAST(ceil(count(*) * 0.95) AS INTEGER)] AS latency_p95 FROM x GROUP BY ALL"""
+
+
 def _score_windows(spark, sf_dir):
     """Every window as a graph of its own; each flow scored once, by its client's head."""
     late = F.when(F.col("seq") % 17 == 0, 3600.0).otherwise(0.0)
@@ -488,6 +507,7 @@ QUERIES = {
     "score_windows": (_score_windows, _SCORE_WINDOWS_SQL),
     "detection_rollup": (_rollup, _ROLLUP_SQL),
     "detection_panels": (_panels, _PANELS_SQL),
+    "latency_rollup": (_latency, _LATENCY_SQL),
     "predicted_counts": (
         _predicted_counts, f"{EVENTS} SELECT window_id, predicted_class, count(*) AS n FROM sf GROUP BY ALL",
     ),

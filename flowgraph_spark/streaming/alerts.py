@@ -190,6 +190,26 @@ def detection_panels(scored: DataFrame, alerted, benign, latency, width="1 hour"
     return counts.join(ranks, by, "left")
 
 
+def latency_rollup(scored: DataFrame, alerted, latency, width="1 hour", watermark=None, accuracy=10_000) -> DataFrame:
+    """Per tumbling window and client: flows, alerts, alert rate, latency p50 and p95; on a stream too.
+
+    The percentiles come from a mergeable quantile sketch: they are actual values whose
+    rank is off by at most the window's flows over ``accuracy``. With ``watermark`` a
+    stream gives a window out once it is complete. :func:`detection_panels` has exact
+    ones for stored rows. Null latencies count as flows but not in percentiles.
+    """
+    source = scored.withWatermark("timestamp", watermark) if watermark else scored
+    found = source.groupBy(F.window("timestamp", width).alias("w"), "client_id").agg(
+        F.count(F.lit(1)).alias("flows"), F.count_if(alerted).alias("alerts"),
+        F.percentile_approx(F.col(latency), [0.5, 0.95], accuracy).alias("ranks"),
+    )
+    return found.select(
+        F.col("w.start").alias("window_start"), "client_id", "flows", "alerts",
+        (F.col("alerts") / F.col("flows")).alias("alert_rate"),
+        F.try_element_at("ranks", F.lit(1)).alias("latency_p50"), F.try_element_at("ranks", F.lit(2)).alias("latency_p95"),
+    )
+
+
 def predicted_counts(df: DataFrame) -> DataFrame:
     """Labels predicted per emitted window."""
     return df.groupBy("window_id", "predicted_class").agg(F.count(F.lit(1)).alias("n"))

@@ -277,6 +277,86 @@ def test_heads_agree(spark):
             assert other[key]["pred_idx"] == row["pred_idx"]
 
 
+def test_500_clients_score_by_their_own_heads(spark):
+    rng = np.random.default_rng(8)
+    heads = {
+        f"c{i}": {"w1": rng.normal(size=(3, 5)).tolist(), "b1": rng.normal(size=3).tolist(),
+                  "w2": rng.normal(size=(4, 3)).tolist(), "b2": rng.normal(size=4).tolist()}
+        for i in range(500)
+    }
+    # One client has a third of all rows.
+    data = [(i, f"c{0 if i % 3 == 0 else i % 500}", [float(v) for v in rng.normal(size=5)]) for i in range(3000)]
+    rows = spark.createDataFrame(data, "id long, client string, z array<double>")
+    broadcast = {r["id"]: r for r in neighbors.score_clients_wide(rows, heads, "client").collect()}
+    table = {r["id"]: r for r in neighbors.score_clients_table(rows, neighbors.head_table(spark, heads), "client").collect()}
+    assert len(table) == len(broadcast) == 3000
+    for i, client, z in data:
+        head = {k: np.array(v) for k, v in heads[client].items()}
+        logits = head["w2"] @ np.maximum(head["w1"] @ z + head["b1"], 0) + head["b2"]
+        want = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert np.allclose(table[i]["probabilities"], want) and np.allclose(broadcast[i]["probabilities"], want)
+    wide = rows.limit(20).select("id", *[F.col("z")[k].alias(f"z_{k}") for k in range(5)])
+    every = neighbors.score_all_heads(wide, heads, 5)
+    assert every.count() == 10_000 and every.select("head").distinct().count() == 500
+    lost = neighbors.head_table(spark, {k: v for k, v in heads.items() if k != "c7"})
+    with pytest.raises(Exception, match="no head for client c7"):
+        neighbors.score_clients_table(rows, lost, "client").collect()
+    one = {"a": {"w1": np.zeros((1, 40_000_000)), "b1": [0.0], "w2": [[0.0]], "b2": [0.0]}}
+    with pytest.raises(ValueError, match="score_clients_table"):
+        neighbors.head_arrays(one)
+
+
+def test_hub_rows_can_be_split(spark):
+    """The aggregate of a hub is a table of its own, so both joins shuffle for themselves."""
+    edges = spark.range(600).selectExpr(
+        "'g' as g", "case when id % 3 > 0 then 0 else id end as src", "id + 1000 as dst", "double(id) as f0", "id"
+    )
+    rows = neighbors.edge_classifier_rows(edges, ["g"], ["f0"], keep=["id"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("FileScan parquet") == 2
+    found = {r["id"]: (r["s_f0"], r["t_f0"]) for r in rows.collect()}
+    # Edges of the hub: two thirds, and the edge of row 0.
+    hub = np.mean([i for i in range(600) if i % 3 or i == 0])
+    assert len(found) == 600 and found[1] == (pytest.approx(hub), 1.0) and found[3] == (3.0, 3.0)
+
+
+def test_rows_without_value_are_not_left_out(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
+    with pytest.raises(Exception, match="without a value"):
+        metrics.numeric_summary(df, [], "v").collect()
+    with pytest.raises(Exception, match="without a value"):
+        metrics.describe(df.withColumn("g", F.lit(1)), ["g"], "v").collect()
+    assert metrics.numeric_summary(df.where("v is not null"), [], "v").first()["mean"] == 2.0
+
+
+def test_label_counts_of_graphs(spark):
+    rows = [("g", "a", "b", "DDoS"), ("g", "a", "b", "Benign"), ("g", "b", "c", "DDoS"), ("h", "x", "x", None)]
+    df = spark.createDataFrame(rows, "g string, orig_h string, resp_h string, detailed_label string")
+    found = {r["g"]: r for r in graph.graph_stats(df, ["g"], ["f"], 2).collect()}
+    assert found["g"]["label_counts"] == {"Benign": 1, "DDoS": 2} and found["g"]["malicious_edges"] == 2
+    assert found["h"]["label_counts"] == {"null": 1} and found["h"]["num_edges"] == 1 and found["h"]["num_edges_mp"] == 2
+
+
+def test_support_of_many_classes(spark):
+    df = spark.range(50).selectExpr("int(id % 5) as true_idx")
+    train = spark.createDataFrame([(0,), (0,), (3,)], "true_idx int")
+    for limit in (1, 10_000):
+        found = metrics.with_train_support(df, train, max_classes=limit).distinct().collect()
+        assert {(r["true_idx"], r["train_support"], r["absent"]) for r in found} == {
+            (0, 2, False), (1, 0, True), (2, 0, True), (3, 1, False), (4, 0, True)
+        }
+
+
+def test_shared_parameters_reach_every_client(spark):
+    shared = spark.createDataFrame([("enc", 0, None, 1.5), ("enc", 1, None, 2.5)], "param string, pos int, row int, value double")
+    private = spark.createDataFrame([(f"c{i}", "head", 0, 0, float(i)) for i in range(300)], "client string, param string, pos int, row int, value double")
+    merged = params.merge_personalised(shared, private)
+    assert merged.count() == 900 and merged.where("param = 'enc'").groupBy("client").count().where("count = 2").count() == 300
+    both = shared.unionByName(private.limit(1).drop("client"))
+    with pytest.raises(Exception, match="shared and private"):
+        params.merge_personalised(both, private).collect()
+
+
 def state(spark, rows):
     return spark.createDataFrame(rows, "client string, param string, pos int, row int, value double")
 
@@ -388,6 +468,10 @@ def test_prediction_audit(spark):
     audit = {r["field"]: r["status"] for r in runs.prediction_audit(df, False, ("a",)).collect()}
     assert audit["seed"] == "EXPORTED" and audit["split"] == "NOT_AVAILABLE"
     assert audit["class_present_in_train"] == "DERIVED_FROM_EXPORTED_ABSENCE_FLAG"
+    filled = {r["field"]: r["filled"] for r in runs.prediction_audit(df.union(df.selectExpr("null", "'q'", "true")), False, ("a",)).collect()}
+    assert filled["seed"] == 1 and filled["protocol"] == 2 and filled["split"] is None
+    nothing = runs.prediction_audit(df.select("true_class_absent_from_train"), False, ("a",))
+    assert nothing.where("filled is not null").count() == 0
 
 
 def test_balance_scopes(spark):

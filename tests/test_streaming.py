@@ -295,6 +295,33 @@ def test_failed_batch_leaves_no_tables(spark):
     assert kept.count() == 5 and len(before - set(os.listdir(tables))) == 2
 
 
+def test_latency_percentiles_on_a_stream(spark, tmp_path):
+    """Sketched percentiles of complete windows lie within the stated rank error of the exact ones."""
+    rng = np.random.default_rng(4)
+    size, accuracy = 6000, 50
+    rows = spark.createDataFrame(
+        [(f"c{i % 2}", 1_700_000_000 + i, float(v)) for i, v in enumerate(rng.gamma(2.0, 30.0, size))],
+        "client_id string, second long, latency double",
+    )
+    source = str(tmp_path / "in")
+    rows.repartitionByRange(6, "second").write.json(source)
+    # File order is by modification time.
+    for place, path in enumerate(sorted((tmp_path / "in").glob("part-*"))):
+        os.utime(path, (1_000_000 + place, 1_000_000 + place))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).json(source)
+    timed = stream.withColumn("timestamp", F.timestamp_seconds("second"))
+    rolled = alerts.latency_rollup(timed, F.col("latency") > 90, "latency", "20 minutes", "1 minute", accuracy)
+    found = run_stream(spark, rolled, "latencies").collect()
+    assert len(found) >= 8
+    held = rows.collect()
+    for row in found:
+        start = row["window_start"].timestamp()
+        own = sorted(r["latency"] for r in held if r["client_id"] == row["client_id"] and start <= r["second"] < start + 1200)
+        assert row["flows"] == len(own) and row["alerts"] == sum(v > 90 for v in own)
+        for name, p in (("latency_p50", 0.5), ("latency_p95", 0.95)):
+            assert abs(own.index(row[name]) + 1 - p * len(own)) <= len(own) / accuracy + 1
+
+
 def test_privacy_gate(spark):
     nested = spark.createDataFrame([(1,)], "a int").select(F.struct(F.lit("x").alias("raw_ip")).alias("doc"))
     with pytest.raises(ValueError, match="raw_ip"):
