@@ -165,6 +165,34 @@ SELECT scenario, coalesce(n, 0) AS raw_rows, coalesce(n, 0) AS clean_rows, 0 AS
   coalesce(b, 0) AS benign_rows FROM need LEFT JOIN st USING (scenario) LEFT JOIN mis USING (scenario) LEFT JOIN une USING (scenario)"""
 
 
+def _statuses(spark, sf_dir):
+    """Scenarios that are whole, that lack a label, that have one too many, that have bad lines, and one without rows."""
+    label = F.col("detailed_label")
+    flows = views.clean_flows(spark, sf_dir).select("scenario", "orig_h", "resp_h", "detailed_label")
+    known = label.isin("Benign", "click", "error") | (F.col("scenario") == SENSORS[2])
+    rows = flows.where(known & ((label != "error") | (F.col("scenario") != SENSORS[1])))
+    bad = flows.groupBy("scenario").agg(F.count_if(F.col("scenario") == SENSORS[4]).alias("parse_error_rows"))
+    found = balance.verify_dataset(rows, (*SENSORS, "sensor-9"), ("Benign", "click", "error"), bad_rows=bad)
+    return found.select(
+        "scenario", "raw_rows", "clean_rows", "parse_error_rows", "status",
+        F.concat_ws(",", "missing_labels").alias("missing_labels"), F.concat_ws(",", "unexpected_labels").alias("unexpected_labels"),
+    )
+
+
+_STATUSES_SQL = f"""{CLEANED}, need AS (SELECT unnest({[*SENSORS, 'sensor-9']!r}) AS scenario),
+tax AS (SELECT unnest(['Benign', 'click', 'error']) AS label),
+v AS (SELECT scenario, detailed_label AS label FROM clean_flows WHERE (detailed_label IN (SELECT label FROM tax) OR scenario = '{SENSORS[2]}')
+  AND (detailed_label <> 'error' OR scenario <> '{SENSORS[1]}')),
+c AS (SELECT scenario, count(*) AS n FROM v GROUP BY scenario),
+e AS (SELECT scenario, count(*) FILTER (scenario = '{SENSORS[4]}') AS bad FROM clean_flows GROUP BY scenario),
+mis AS (SELECT scenario, string_agg(label, ',' ORDER BY label) AS m FROM need, tax WHERE (scenario, label) NOT IN (SELECT (scenario, label) FROM v) GROUP BY scenario),
+une AS (SELECT scenario, string_agg(label, ',' ORDER BY label) AS u FROM (SELECT DISTINCT * FROM v) WHERE label NOT IN (SELECT label FROM tax) GROUP BY scenario)
+SELECT scenario, coalesce(n, 0) + coalesce(bad, 0) AS raw_rows, coalesce(n, 0) AS clean_rows, coalesce(bad, 0) AS parse_error_rows,
+  CASE WHEN u IS NOT NULL OR bad > 0 OR n IS NULL THEN 'ERROR' WHEN m IS NOT NULL THEN 'WARNING' ELSE 'OK' END AS status,
+  coalesce(m, '') AS missing_labels, coalesce(u, '') AS unexpected_labels
+FROM need LEFT JOIN c USING (scenario) LEFT JOIN e USING (scenario) LEFT JOIN mis USING (scenario) LEFT JOIN une USING (scenario)"""
+
+
 QUERIES = {
     "class_distribution": (
         _distribution, f"{SCOPED} SELECT scope, split, detailed_label, n, {rounded_sql('share', 6)} AS share FROM shares",
@@ -179,4 +207,5 @@ QUERIES = {
     "presence_matrix": (_presence, _PRESENCE_SQL),
     "suggest_cap": (_cap, _CAP_SQL),
     "verify_dataset": (_verify, _VERIFY_SQL),
+    "verify_dataset_statuses": (_statuses, _STATUSES_SQL),
 }

@@ -173,9 +173,9 @@ _FLOW_CLOSURE = _closure("SELECT DISTINCT scenario, orig_h AS a, resp_h AS b FRO
 def _duplicates(spark, sf_dir):
     """Duplicates of the edge view cut to coarse features, so that some exist."""
     rows = views.raw_edges(spark, sf_dir).select(
-        "scenario", "orig_h", "resp_h", "detailed_label", F.round("f_tax", 1).alias("f_tax")
+        "scenario", "orig_h", F.lit("any").alias("resp_h"), "detailed_label", *[F.floor(F.col(f) * 3).alias(f) for f in EDGE_FEATURES]
     )
-    return graph.exact_duplicate_edges(rows, BY, ["orig_h", "resp_h", "detailed_label", "f_tax"])
+    return graph.exact_duplicate_edges(rows, BY, ["orig_h", "resp_h", "detailed_label", *EDGE_FEATURES])
 
 
 def _namespace(spark, sf_dir):
@@ -445,7 +445,7 @@ QUERIES = {
     ),
     "exact_duplicate_edges": (
         _duplicates,
-        f"""{RAW} SELECT scenario, count(*) - count(DISTINCT (orig_h, resp_h, detailed_label, round(f_tax, 1))) AS exact_duplicate_edges
+        f"""{RAW} SELECT scenario, count(*) - count(DISTINCT (orig_h, detailed_label, {', '.join(f'floor({f} * 3)' for f in EDGE_FEATURES)})) AS exact_duplicate_edges
   FROM raw_edges GROUP BY scenario""",
     ),
     "namespace_nodes": (

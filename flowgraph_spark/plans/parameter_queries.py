@@ -46,10 +46,13 @@ def _sql(mode):
 
 
 def _problems(spark, sf_dir):
+    """A client without a bias, clients without examples, and values that are not finite."""
     params, weights, _ = _inputs(spark, sf_dir)
-    # One client's bias is taken away, so that incomplete keys are counted.
-    broken = params.where(~((F.col("client") == "c0") & (F.col("param") == "head.bias")))
-    return ops.state_problems(broken, weights)
+    broken = params.where(~((F.col("client") == "c0") & (F.col("param") == "head.bias"))).withColumn(
+        "value", F.when(F.col("pos") % 7 == 3, float("nan")).when(F.col("pos") % 7 == 4, float("inf")).when(F.col("pos") % 7 != 5, F.col("value"))
+    )
+    empty = weights.withColumn("num_examples", F.when(F.col("client").isin("c1", "c2"), 0).otherwise(F.col("num_examples")))
+    return ops.state_problems(broken, empty)
 
 
 def _complex(spark, sf_dir):
@@ -145,7 +148,9 @@ QUERIES = {
 FROM parameters JOIN client_weights USING (client) GROUP BY ALL""",
     ),
     "parameter_state_problems": (
-        _problems, f"{BASE} SELECT 0 AS bad_weights, count(DISTINCT pos) AS bad_keys, 0 AS bad_values FROM parameters WHERE param = 'head.bias'",
+        _problems, f"""{BASE} SELECT (SELECT count(*) FROM client_weights WHERE client IN ('c1', 'c2')) AS bad_weights,
+  count(DISTINCT pos) FILTER (param = 'head.bias') AS bad_keys,
+  count(*) FILTER (pos % 7 IN (3, 4, 5) AND NOT (client = 'c0' AND param = 'head.bias')) AS bad_values FROM parameters""",
     ),
     "class_support_head_average": (_average("support_head"), _sql("support_head")),
     "class_balanced_client_weights": (
