@@ -3,8 +3,9 @@
 Placing a piece changes how many open sequences have each residual gap; it
 goes where the sum of the squared counts becomes smallest. Groups of pieces
 are packed apart, filled sequences are final, and the pieces of the others
-meet again in fewer groups until one is left, so the waste does not grow with
-the number of groups.
+meet again in other groups of the same size, as long as that fills more of
+them. No task gets more than a group, and what a group wastes in the end is
+little beside its pieces.
 """
 
 import zlib
@@ -21,8 +22,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs; groups are as many as the pieces need.
 PIECES_PER_GROUP = 40_000
-#: Groups that meet in one on the next level.
-FAN_IN = 16
+#: Share of the pieces that a level has to settle for another one to follow.
+LEAST_SETTLED = 0.02
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,18 +92,46 @@ def place(lengths, capacity=CAPACITY):
     return sequence, offset, levels
 
 
+def place_tightly(lengths, capacity=CAPACITY):
+    """As :func:`place`, but each piece goes to the fullest open sequence that has room."""
+    count = np.zeros(capacity + 1, np.int64)
+    open_at = [[] for _ in range(capacity + 1)]
+    levels, sequence, offset = [], [], []
+    for size in lengths:
+        fits = np.flatnonzero(count[: capacity - size + 1])
+        level = int(fits[-1]) if len(fits) else 0
+        if level:
+            number = open_at[level].pop()
+            count[level] -= 1
+        else:
+            number = len(levels)
+            levels.append(0)
+        sequence.append(number)
+        offset.append(level)
+        levels[number] = level + size
+        if level + size < capacity:
+            open_at[level + size].append(number)
+            count[level + size] += 1
+    return sequence, offset, levels
+
+
 def place_all(lengths, capacity=CAPACITY, least_filled=0.02):
     """As :func:`place`, but pieces of sequences not filled are placed again.
 
     Each pass keeps the filled sequences and shuffles the other pieces; when
     under ``least_filled`` of the sequences fill, a last pass in descending
-    order of length takes the rest.
+    order of length takes the rest. Lengths that fill no sequence exactly, such as
+    many pieces of one length, leave the rule nothing to balance, so the last pass
+    goes by the fullest sequence that has room where that needs fewer.
     """
     lengths = np.asarray(lengths, np.int64)
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     waiting, used, turn, last = np.arange(len(lengths)), 0, 0, False
     while len(waiting):
         numbers, offsets, levels = place(lengths[waiting].tolist(), capacity)
+        if last:
+            tight = place_tightly(lengths[waiting].tolist(), capacity)
+            numbers, offsets, levels = min((numbers, offsets, levels), tight, key=lambda one: len(one[2]))
         filled = np.array(levels) == capacity
         numbers = np.array(numbers)
         keep = np.ones(len(waiting), bool) if last else filled[numbers]
@@ -120,12 +149,14 @@ def place_all(lengths, capacity=CAPACITY, least_filled=0.02):
     return sequence, offset, used
 
 
-def pack(pieces, capacity=CAPACITY, pieces_per_group=PIECES_PER_GROUP, fan_in=FAN_IN):
+def pack(pieces, capacity=CAPACITY, pieces_per_group=PIECES_PER_GROUP, least_settled=LEAST_SETTLED):
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Sequences hold at most ``capacity`` tokens, gapless from offset 0. Full
     pieces fill a sequence each and are not shuffled. The order within a group
-    is that of hashes, so it does not follow ids or sources. Empty in, empty out.
+    is that of hashes, so it does not follow ids or sources. Levels end when one
+    group is left or a level settles under ``least_settled`` of its pieces; then each
+    group places all it has. Empty in, empty out.
     """
     pieces = cut_lineage(pieces)
     full = pieces.where(F.col("length") >= capacity).select(
@@ -135,11 +166,12 @@ def pack(pieces, capacity=CAPACITY, pieces_per_group=PIECES_PER_GROUP, fan_in=FA
     )
     done = [full]
     rest = pieces.where(F.col("length") < capacity)
-    groups = max(1, -(-rest.count() // pieces_per_group))
-    level = 0
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    left, level, stalled = rest.count(), 0, False
     while True:
-        final = groups == 1
+        groups = max(1, -(-left // pieces_per_group))
+        final = groups == 1 or stalled
+        # Other groups on every level; rows that are equal in all are told apart by their place.
+        key = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level), F.monotonically_increasing_id())
         dealt = (
             rest.withColumn("group", F.pmod(key, F.lit(groups)))
             .repartition(groups, "group")
@@ -152,7 +184,8 @@ def pack(pieces, capacity=CAPACITY, pieces_per_group=PIECES_PER_GROUP, fan_in=FA
         if final:
             break
         rest = packed.where("sequence_id is null").drop("sequence_id", "offset")
-        groups, level = -(-groups // fan_in), level + 1
+        before, left = left, rest.count()
+        stalled, level = left > (1 - least_settled) * before, level + 1
     result = done[0]
     for one in done[1:]:
         result = result.unionByName(one)

@@ -8,6 +8,8 @@ Both are trained on samples labelled by the patterns themselves.
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +120,24 @@ def ratio(table, string):
     return float(table[triples].mean()) if len(triples[0]) else -np.inf
 
 
+class Covered:
+    """What spans sorted by start cover; a question takes logarithmic time."""
+
+    def __init__(self, spans):
+        self.starts = [start for start, _, _ in spans]
+        self.upto = list(accumulate((end for _, _, end in spans), max))
+
+    def meets(self, start, end):
+        """Does a span share a place with ``start`` to ``end``."""
+        place = bisect_left(self.starts, end)
+        return place > 0 and self.upto[place - 1] > start
+
+    def holds(self, start, end):
+        """Does one span hold all of ``start`` to ``end``."""
+        place = bisect_right(self.starts, start)
+        return place > 0 and self.upto[place - 1] >= end
+
+
 def samples(docs, train_rows=TRAIN_ROWS):
     """``secret`` and ``string``: labelled strings of about ``train_rows`` documents sampled by hash.
 
@@ -136,10 +156,8 @@ def samples(docs, train_rows=TRAIN_ROWS):
                     spans = base_spans(text)
                     secret += [m.group(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= ASSIGN_CHARS]
                     secret += [text[a:b] for a, kind, b in spans if kind]
-                    ordinary += {
-                        m.group() for m in IDENTIFIER.finditer(text)
-                        if not any(a < m.end() and m.start() < b for a, _, b in spans)
-                    }
+                    covered = Covered(spans)
+                    ordinary += {m.group() for m in IDENTIFIER.finditer(text) if not covered.meets(*m.span())}
                 flags = [True] * len(secret) + [False] * len(ordinary)
                 yield pa.record_batch(
                     {"secret": pa.array(flags, pa.bool_()), "string": pa.array(secret + ordinary, pa.string())}
@@ -187,13 +205,17 @@ def fit(docs, train_rows=TRAIN_ROWS):
 
 
 def all_spans(text, model):
-    """Base spans, and candidates outside them that look random."""
+    """Base spans, and candidates that look random and do not lie within one of them.
+
+    A candidate that reaches beyond a base span is judged as a whole, and its span
+    stands beside the base one.
+    """
     table, least = model
     base = base_spans(text)
-    found = list(base)
+    found, covered = list(base), Covered(base)
     for match in CANDIDATE.finditer(text):
         start, end = match.span()
-        if not any(a < end and start < b for a, _, b in base) and ratio(table, match.group()) >= least:
+        if not covered.holds(start, end) and ratio(table, match.group()) >= least:
             found.append((start, 3, end))
     return base, sorted(found)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -77,7 +78,7 @@ def check_sequences(rows, capacity):
 
 def test_packing(documents, empty):
     library = Tokenizer.from_str(BYTE_MODEL)
-    rows = packing.pack(packing.cut_pieces(documents, BYTE_MODEL), pieces_per_group=9, fan_in=2).collect()
+    rows = packing.pack(packing.cut_pieces(documents, BYTE_MODEL), pieces_per_group=9).collect()
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -92,6 +93,24 @@ def test_packing(documents, empty):
     assert packing.pack(packing.cut_pieces(empty, BYTE_MODEL)).count() == 0
 
 
+def test_packing_of_pieces_that_fill_nothing(spark):
+    """100,000 pieces of 600 tokens fill no sequence; they are placed in groups, none in one last task."""
+    pieces = spark.range(100_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "600L as length", "id as ids_crc32")
+    packed = packing.pack(pieces, pieces_per_group=5000).selectExpr("sequence_id", "offset", "shiftright(sequence_id, 34) as task")
+    rows = packed.collect()
+    assert len(rows) == len({r.sequence_id for r in rows}) == 100_000 and {r.offset for r in rows} == {0}
+    tasks = {}
+    for r in rows:
+        tasks[r.task] = tasks.get(r.task, 0) + 1
+    assert len(tasks) > 4
+    mixed = spark.range(40_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + pmod(xxhash64(id), 1023) as length", "id as ids_crc32")
+    found = packing.pack(mixed, pieces_per_group=2000).collect()
+    assert check_sequences(found, 1024) <= 1.07 * sum(r.length for r in found) / 1024 + 1 and len(found) == 40_000
+    # Rows that are equal in all are spread over groups as well; a sequence holds 20 of them.
+    same = spark.createDataFrame([(1, 0, 0, 50, 7)] * 3000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert 150 <= check_sequences(packing.pack(same, pieces_per_group=1000).collect(), 1024) <= 153
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_wastes_little(seed):
     rng = random.Random(seed)
@@ -178,6 +197,24 @@ def secret_texts(spark):
     return spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans string"), base62
 
 
+def test_tokens_that_reach_beyond_a_base_span(spark):
+    """A random token with a run of hex in it is a span as a whole; the base span stays, and nothing of it is left."""
+    rng = random.Random(41)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    token = f"{word(30)}Z{hexes}Z{word(30)}"
+    rows = [(k, f"password={word(24)} id {word(32)} and some_plain_identifier_name") for k in range(200)] + [(999, f"key {token} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.fit(docs)
+    base, spans = secrets.all_spans(rows[-1][1], model)
+    assert base == [(35, 2, 75)] and spans == [(4, 3, 4 + len(token)), (35, 2, 75)]
+    masked = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
+    assert masked[999] == "key [SECRET] end"
+    started = time.process_time()
+    long = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30_000))
+    assert len(secrets.all_spans(long, model)[0]) == 30_000 and time.process_time() - started < 10
+
+
 def test_secret_spans(spark, empty):
     docs, base62 = secret_texts(spark)
     table = secrets.fit(docs)
