@@ -2,13 +2,17 @@
 
 Every page becomes a tree of elements. Each subtree is hashed with all it
 holds, Spark counts on how many pages of its host a hash occurs, and subtrees
-that recur there are removed as template. Elements that are page furniture by
-name or class are removed as well, since a host with few pages shows no
-recurrence.
+that recur there are removed as template, inside articles and outside. Elements that
+are page furniture by name or class are removed as well, since a host with few
+pages shows no recurrence and what readers write differs from page to page.
+Where a host has enough pages to count, all other text stays, wherever on the
+page it is; elsewhere an article is the text of its page alone.
 """
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -24,6 +28,8 @@ MIN_SHARE = 0.01
 #: Prose inside an article needs more: this many pages, and more than this share of the host's.
 PROSE_PAGES = 10
 PROSE_SHARE = 0.5
+#: The digest that stands for a host as such, counted like prose: its key is wanted from PROSE_PAGES on.
+HOST_MARK = 0
 #: Least bits of a table of hashes, and bits for each hash where there are more.
 TABLE_BITS = 1 << 25
 BITS_PER_KEY = 8
@@ -59,11 +65,19 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
+#: Inside an article one of these words has to end a class, or to begin it before a word of layout.
+_IN_ARTICLE = re.compile(
+    MARKS.pattern.rpartition("(?=")[0]
+    + r"(?=$|\s|[\s_-]+(?:area|bar|block|body|bottom|box|button|container|content|form|frame|group|inner|item|label|left|"
+    r"link|links|list|main|outer|panel|right|row|section|slot|text|title|top|unit|wrap|wrapper|\d+)\b)",
+    re.IGNORECASE,
+)
+
+#: A tag with its attributes, where it ends before the next ``<``; of others the name alone.
+_OPEN = re.compile(
+    r"<(?:(/?)([a-zA-Z][^\s/>]*)(?:((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>)?|!--|!\[CDATA\[|[!?])"
 )
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
 
@@ -74,37 +88,98 @@ class Node:
         self.tag, self.marks, self.children = tag, marks, []
 
 
+class _Tags:
+    """Tags of a page from left to right; a scan that found no end is not run again."""
+
+    def __init__(self, page):
+        self.page, self.last = page, {mark: page.rfind(mark) for mark in ">\"'"}
+        self.failed = []
+
+    def end(self, at):
+        """Place behind the ``>`` that ends a tag, not counting those in quotes; -1 if there is none."""
+        if self.last[">"] < at or any(self._same(at, *scan) for scan in self.failed):
+            return -1
+        lows, highs = [], []
+        while True:
+            stop = _STOP.search(self.page, at)
+            mark, at = (stop.group(), stop.end()) if stop else (None, at)
+            if mark == ">":
+                return at
+            if mark is None or self.last[mark] < at:
+                # No end, or a quote that nothing closes.
+                self.failed.append((lows, highs))
+                return -1
+            close = self.page.find(mark, at)
+            lows.append(at - 1)
+            highs.append(close)
+            at = close + 1
+
+    @staticmethod
+    def _same(at, lows, highs):
+        """Would a scan from ``at`` go on as one that failed: its place is outside the quotes of that."""
+        place = bisect_left(lows, at) - 1
+        return place < 0 or at > highs[place]
+
+
 def parse(page):
     """Tree of a page; text nodes are decoded strings. Any input gives a tree."""
     root = Node("html")
-    stack = [root]
-    at, size = 0, len(page)
+    stack, opened = [root], Counter()
+    tags, at, text_from, size = _Tags(page), 0, 0, len(page)
+
+    def text_until(place):
+        if place > text_from:
+            stack[-1].children.append(html.unescape(page[text_from:place]))
+
+    def cut(place):
+        for node in stack[place:]:
+            opened[node.tag] -= 1
+        del stack[place:]
+
     while at < size:
-        match = _TOKEN.search(page, at)
+        match = _OPEN.search(page, at)
         if match is None:
-            stack[-1].children.append(html.unescape(page[at:]))
             break
-        if match.start() > at:
-            stack[-1].children.append(html.unescape(page[at : match.start()]))
-        at = match.end()
+        start, at = match.start(), match.end()
         name = match.group(2)
         if name is None:
-            if match.group().startswith("<![CDATA["):
-                stack[-1].children.append(match.group()[9:].removesuffix("]]>"))
+            kind = match.group()
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(kind, ">")
+            stop = page.find(close, at) if tags.last[">"] >= at else -1
+            if stop < 0 and close == ">":
+                continue  # no tag, so text
+            text_until(start)
+            stop = size if stop < 0 else stop
+            if close == "]]>":
+                stack[-1].children.append(page[at:stop])
+            text_from = at = min(size, stop + len(close))
             continue
+        attributes, end = match.group(3), at
+        if attributes is None:
+            end = tags.end(at)
+            if end < 0:
+                continue
+            attributes = page[at : end - 1]
+        text_until(start)
+        text_from = at = end
         name = name.lower()
         if match.group(1):
-            _close(stack, name)
+            _close(stack, opened, cut, name)
             continue
         if name in ("html", "body"):
             continue  # one of each is implied
-        if name in BLOCKS and any(node.tag == "p" for node in stack):
-            _close(stack, "p", stop=BLOCKS - {"p"})
+        if name in BLOCKS:
+            _close(stack, opened, cut, "p", stop=BLOCKS - {"p"})
         if name in CLOSES:
             ended, stop = CLOSES[name]
-            while len(stack) > 1 and any(n.tag in ended for n in _until(stack, stop)):
-                stack.pop()
-        attributes = match.group(3)
+            if any(opened[tag] for tag in ended):
+                outermost = None
+                for place in range(len(stack) - 1, 0, -1):
+                    if stack[place].tag in stop:
+                        break
+                    outermost = place if stack[place].tag in ended else outermost
+                if outermost is not None:
+                    cut(outermost)
         marks = " ".join(
             (k if not v else v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes)
         ) if attributes else ""
@@ -113,27 +188,23 @@ def parse(page):
         if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in RAW:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(page, at)
-            node.children.append(page[at : end.start() if end else size])
-            at = end.end() if end else size
+            stop = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(page, at) if tags.last[">"] >= at else None
+            node.children.append(page[at : stop.start() if stop else size])
+            text_from = at = stop.end() if stop else size
             continue
         stack.append(node)
+        opened[name] += 1
+    text_until(size)
     return root
 
 
-def _until(stack, stop):
-    """Open elements above the innermost one in ``stop``, innermost first."""
-    for node in reversed(stack[1:]):
-        if node.tag in stop:
-            return
-        yield node
-
-
-def _close(stack, name, stop=frozenset()):
+def _close(stack, opened, cut, name, stop=frozenset()):
     """Ends the innermost open ``name``; nothing if there is none before ``stop``."""
+    if not opened[name]:
+        return
     for place in range(len(stack) - 1, 0, -1):
         if stack[place].tag == name:
-            del stack[place:]
+            cut(place)
             return
         if stack[place].tag in stop:
             return
@@ -163,11 +234,12 @@ def digest(root):
     return order
 
 
-def is_furniture(node):
-    """Page furniture by name, class, id or role."""
+def is_furniture(node, inside=False):
+    """Page furniture by name, class, id or role; ``inside`` an article the class has to say so plainly."""
     if node.tag in MAIN or node.main:
         return False
-    return node.tag in FURNITURE or bool(node.marks and (node.marks == "hidden" or MARKS.search(node.marks)))
+    words = _IN_ARTICLE if inside else MARKS
+    return node.tag in FURNITURE or bool(node.marks and (node.marks == "hidden" or words.search(node.marks)))
 
 
 def host_of(url):
@@ -217,7 +289,8 @@ def template_counts(pages):
                     root = parse(page)
                     digest(root)
                     own = {(host, node.digest, prose) for node, prose in candidates(root)}
-                    for key in own | {(host, None, False)}:
+                    # A page without a host belongs to no site.
+                    for key in own | {(host, None, False)} | ({(host, HOST_MARK, True)} if host else set()):
                         counts[key] = counts.get(key, 0) + 1
                 yield pa.record_batch(
                     {
@@ -293,9 +366,12 @@ def cascade_has(levels, keys):
     return found
 
 
-def main_text(root, is_template):
-    """Text of the blocks left, in page order, joined by one space."""
-    inside_main = _first_main(root)
+def main_text(root, is_template, counted=True):
+    """Text of the blocks left, in page order, joined by one space.
+
+    Where templates are not ``counted`` an article is all the text of its page.
+    """
+    inside_main = [] if counted else _first_main(root)
     blocks, current = [], []
 
     def flush():
@@ -305,7 +381,7 @@ def main_text(root, is_template):
             blocks.append(text)
 
     # Depth first without recursion: a marker ends each block element.
-    waiting = [(node, node.tag in MAIN) for node in reversed(inside_main)] or [(root, False)]
+    waiting = [(node, True) for node in reversed(inside_main)] or [(root, False)]
     while waiting:
         node, inside = waiting.pop()
         if node is None:
@@ -314,7 +390,7 @@ def main_text(root, is_template):
         if isinstance(node, str):
             current.append(node)
             continue
-        if is_furniture(node) or is_template(node, inside):
+        if is_furniture(node, inside) or is_template(node, inside):
             current.append(" ")
             continue
         if node.tag == "br":
@@ -346,7 +422,8 @@ def extract(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE, table_bits=TABLE_BI
     """page_id, url, text, n_chars of every row.
 
     Null or empty html gives an empty text, any other input a tree. A null url
-    counts as the host ''. Repeated rows are extracted each, and count as pages
+    counts as the host '', which is no site: templates of it are counted, but its
+    pages with an article have that alone, as those of hosts with few pages. Repeated rows are extracted each, and count as pages
     each; other columns are not read.
 
     Template keys travel as bitmaps of ``table_bits`` bits or more, which tell
@@ -366,11 +443,13 @@ def extract(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE, table_bits=TABLE_BI
                     host, root = host_of(url), parse(page)
                     digest(root)
                     chosen = candidates(root)
-                    known = {}
-                    if chosen:
-                        hits = cascade_has(shared.value, [_key(host, n.digest, prose) for n, prose in chosen])
-                        known = {id(n): bool(hit) for (n, _), hit in zip(chosen, hits)}
-                    texts.append(main_text(root, lambda node, inside: known.get(id(node), False)))
+                    keys = [_key(host, n.digest, prose) for n, prose in chosen]
+                    if host:
+                        keys.append(_key(host, HOST_MARK, True))
+                    hits = cascade_has(shared.value, keys) if keys else []
+                    known = {id(n): bool(hit) for (n, _), hit in zip(chosen, hits)}
+                    counted = bool(host) and bool(hits[-1])
+                    texts.append(main_text(root, lambda node, inside: known.get(id(node), False), counted))
                 yield pa.record_batch(
                     [
                         part["page_id"], part["url"], pa.array(texts, pa.string()),

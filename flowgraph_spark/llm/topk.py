@@ -19,6 +19,8 @@ SCALE = 256
 #: Rows of a shard and of a query block; a tile holds their product.
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
+#: By how many candidates usually outnumber queries; it sets how often shards and blocks are copied.
+CANDIDATES_PER_QUERY = 50
 #: Lists that meet on one level of the tree.
 FAN_IN = 16
 #: Whole numbers up to here are exact as double.
@@ -132,7 +134,7 @@ def _tiles(k):
                     others = np.flatnonzero(~own[number])
                     kept = best_of(scores[number, others][None, :], ids[others], k)[0]
                     out += [
-                        (row["block"], row["shard"], query_id, int(ids[others[p]]), int(scores[number, others[p]]))
+                        (row["block"], row["shard"], query_id, int(ids[others[p]]), _as_long(scores[number, others[p]]))
                         for p in kept
                     ]
                 yield _records(out)
@@ -140,6 +142,11 @@ def _tiles(k):
     return run
 
 
+def _as_long(score):
+    """A score as long; beyond its range the end of it."""
+    return max(-(1 << 63), min((1 << 63) - 1, int(score)))
+
+
 def _records(rows):
     names = ["block", "shard", "query_id", "vec_id", "score"]
     columns = list(zip(*rows)) or [[]] * 5
@@ -153,18 +160,18 @@ def search(vectors, is_query, k=K, scale=SCALE, shard_rows=SHARD_ROWS, block_row
     other ids of vectors as long as its own; a repeated row is a candidate of
     its own, and rows of one query id give one list. Ties go to the smaller
     id. A query without candidates, and an empty table, give no rows. Scores
-    are whole and exact within the range of long. Other columns are not read.
+    are whole and exact within the range of long; beyond it they are its ends, which
+    tie. Other columns are not read.
     """
     rows = quantise(vectors, scale=scale)
     shards = _stack(rows, shard_rows, "shard")
     asked = rows.where(is_query).dropDuplicates(["vec_id"])
     blocks = _stack(asked, block_rows, "block").withColumnsRenamed({"ids": "q_ids", "values": "q_values", "kind": "q_kind"})
-    # Every block meets every shard of its width, dealt over a square of cells: a shard goes to
-    # the cells of a row, a block to those of a column, and each pair meets in one cell.
-    lanes = _lanes(vectors.sparkSession)
-    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
-    shards = shards.withColumn("down", F.pmod(F.hash("shard"), F.lit(lanes))).withColumn("across", every)
-    blocks = blocks.withColumn("across", F.pmod(F.hash("block"), F.lit(lanes))).withColumn("down", every)
+    # Every block meets every shard of its width, dealt over a rectangle of cells: a shard goes to
+    # the few cells of a row, a block to those of a column, and each pair meets in one cell.
+    down, across = _cells(vectors.sparkSession)
+    shards = shards.withColumn("down", F.pmod(F.hash("shard"), F.lit(down))).withColumn("across", _each(across))
+    blocks = blocks.withColumn("across", F.pmod(F.hash("block"), F.lit(across))).withColumn("down", _each(down))
     tiles = shards.join(blocks, ["dim", "down", "across"]).mapInArrow(_tiles(k), _LISTS)
     lists = _merge(tiles, k, F.pmod(F.xxhash64("shard"), F.lit(fan_in)))
     merged = _merge(lists, k, F.lit(0).cast("long"))
@@ -172,9 +179,19 @@ def search(vectors, is_query, k=K, scale=SCALE, shard_rows=SHARD_ROWS, block_row
     return merged.select("query_id", place.alias("rank"), "vec_id", "score")
 
 
-def _lanes(spark):
-    """Side of the square of cells: about one cell per shuffle partition."""
-    return max(1, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+def _cells(spark):
+    """Height and width of the rectangle: about one cell per shuffle partition.
+
+    Candidates outnumber queries by CANDIDATES_PER_QUERY, so a shard has that many times
+    fewer copies than a block.
+    """
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, round(math.sqrt(cells / CANDIDATES_PER_QUERY)))
+    return max(1, math.ceil(cells / across)), across
+
+
+def _each(count):
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
 
 def _ranked(*keys):

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -55,6 +56,16 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><scrip
 <form><input value="q"><button>Go</button></form><footer>&copy; site</footer></body></html>"""
 
 
+def test_top_k_beyond_the_range_of_long(spark):
+    """Products out of range are the ends of the range and tie; none ends the job."""
+    rows = [(0, [1e150, 0.0]), (50, [-1e150, 1.0]), (3, [1e150, 5.0]), (4, [2.0, 1.0]), (2, [3e150, 0.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    high, low = (1 << 63) - 1, -(1 << 63)
+    assert [found[0, k] for k in (1, 2, 3, 4)] == [(2, high), (3, high), (4, high), (50, low)]
+    assert [found[50, k][1] for k in (1, 2, 3, 4)] == [low] * 4 and [found[50, k][0] for k in (1, 2, 3, 4)] == [0, 2, 3, 4]
+
+
 def extracted(spark, pages):
     frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
     return {r.page_id: r for r in html_extract.extract(frame).collect()}
@@ -128,9 +139,77 @@ def test_odd_pages(spark):
     assert texts == {1: "", 2: "", 3: "unclosed x", 4: "plain text é", 5: "a b", 6: "x y", 7: "q", 8: "deep"}
 
 
+def test_templates_equal_a_plain_count(spark):
+    """Keys that are template, recounted per host in plain Python; the text changes without the counts."""
+    rng = random.Random(30)
+    menu = "<div id=x>Home and more</div>"
+    pages = []
+    for k in range(60):
+        host = ("a.example", "b.example")[k % 2] if k < 56 else f"lone{k}.example"
+        story = f"<p>Story {k} {rng.random()}</p>" + ("<section><p>Said on every page.</p></section>" if k % 3 else "")
+        story = f"<article>{story}</article>" if k % 2 else f"<div>{story}</div>"
+        pages.append((k, f"http://{host}:80/{k}", f"{menu if k < 56 else ''}{story}<div>tail {k % 3}</div>"))
+    pages += [(60, None, menu), (61, "http://[bad", ""), (62, "http://a.example/n", None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    counts, hosts = {}, {}
+    for _, url, page in pages:
+        host, root = html_extract.host_of(url), html_extract.parse(page or "")
+        html_extract.digest(root)
+        hosts[host] = hosts.get(host, 0) + 1
+        marks = {(host, html_extract.HOST_MARK, True)} if host else set()
+        for key in {(host, node.digest, prose) for node, prose in html_extract.candidates(root)} | marks:
+            counts[key] = counts.get(key, 0) + 1
+    want = {
+        html_extract._key(*key) for key, n in counts.items()
+        if n >= (10 if key[2] else 3) and n >= 0.01 * hosts[key[0]] and (not key[2] or n > 0.5 * hosts[key[0]])
+    }
+    found = html_extract.templates(html_extract.template_counts(frame)).collect()
+    assert want and {r.key for r in found} == want
+    texts = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    whole = {r.page_id: r.text for r in html_extract.extract(frame, min_pages=10**6).collect()}
+    assert "Home and more" in whole[0] and "Home and more" not in texts[0]
+    assert sum(texts[k] != whole[k] for k in texts) >= 28
+
+
+def test_text_outside_articles_and_plain_class_words(spark):
+    """On a host with pages enough to count, only what recurs goes; a lone page is its article."""
+    pages = [(100, "http://lone.example/", "<p>Lead text</p><article><p>Middle</p></article>", "Middle")]
+    for k in range(12):
+        page = f"<p>Menu of all</p><p>Lead text {k}</p><article><p>Middle {k}</p></article><div><p>Second half {k}</p></div>"
+        pages.append((k, "http://site.example/", page, f"Lead text {k} Middle {k} Second half {k}"))
+    pages += [
+        (200, "http://h1.example/", '<article><section class="notice-board-history"><p>Kept</p></section><div class="ad">x</div><p>End</p></article>', "Kept End"),
+        (201, "http://h2.example/", '<article><p>A</p><div class="post-comments">b</div><div class="share-box">c</div><div class="newsletter signup">d</div></article>', "A"),
+    ]
+    frame = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(frame).collect()} == {p[0]: p[3] for p in pages}
+
+
+HOSTILE = {
+    "open blocks": "<div>x" * 170_000, "no end": "<a b " * 200_000, "quotes": '<a "b" ' * 150_000 + '">"', "odd quotes": "<a \"" * 250_000,
+    "lists": "<ul><li>" * 120_000, "items": "<li><b>" * 140_000, "paragraphs": "<p><b>" * 160_000, "comments": "<!--" * 250_000,
+    "scripts": "<script>" * 120_000, "declarations": "<!x " * 250_000, "mixed": "<a b 'c>d' " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_a_megabyte_of_broken_markup_takes_seconds(name):
+    started = time.process_time()
+    root = html_extract.parse(HOSTILE[name])
+    html_extract.digest(root)
+    html_extract.candidates(root)
+    html_extract.main_text(root, lambda node, inside: False)
+    assert time.process_time() - started < 12
+
+
+def test_pages_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_extract.extract(empty).count() == 0
+
+
 def test_every_query_is_registered():
     names = entry.queries()
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) <= set(names)
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and set(QUERIES) <= set(names)
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
 
@@ -138,6 +217,8 @@ def test_every_query_is_registered():
 def test_query_gives_rows(spark, name):
     table = "embeddings" if "top_k" in name else "pages" if "html" in name else "documents"
     count = spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
+    if "conversation" in name:
+        count = spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id").distinct().count()
     rows = entry.queries()[name](spark, SF_DIR).count()
     assert rows == (5 * -(-count // 50) if "top_k" in name else rows)
     assert rows >= count if "packing" in name else rows == count or "top_k" in name
