@@ -49,6 +49,16 @@ def bitmap_has(packed, slots):
     return (packed.ravel()[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
+#: Rows of a narrow table (an id and a number or two) that are broadcast: some 10 MB.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(table, rows=BROADCAST_ROWS):
+    """A narrow written table, to be broadcast if it has at most ``rows`` rows; a larger
+    one is joined as Spark decides."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def groups_in_order(batches, keys):
     """Tables of rows that follow each other with equal ``keys``; null equals null.
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, forget
 
 
 def connect(links):
@@ -29,14 +29,19 @@ def connect(links):
                 "id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")
             )
             moved = cut_lineage(moved)
+            forget(hooks)
             hooks = moved.select("id", "to")
             if moved.where("moved").isEmpty():
                 break
+        earlier, left = found, edges
         found = hooks if found is None else _follow(found, hooks)
         edges = cut_lineage(
             _rename(_rename(edges, hooks, "lo"), hooks, "hi").where("lo <> hi")
             .select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
         )
+        forget(left)
+        if earlier is not None:
+            forget(earlier, hooks)
     if found is None:
         return edges.select(F.col("lo").alias("id"), F.col("hi").alias("component"))
     # Ends of hooks are components themselves.

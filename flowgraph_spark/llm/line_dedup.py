@@ -170,11 +170,8 @@ def probe_rows(docs, edits=MAX_EDITS, min_chars=MIN_CHARS):
     return docs.select("text").mapInArrow(run, "key long, id long, size int, reach long, indexed boolean")
 
 
-def verifier(docs, rows, edits=MAX_EDITS, min_chars=MIN_CHARS):
-    """A function that gives the pairs (a, b) of line ids within ``edits``.
-
-    The lines that share a key are read once; they are few beside all lines.
-    """
+def known_lines(docs, rows, min_chars=MIN_CHARS):
+    """id, size and payload, the text, of the lines that share a key; few beside all lines."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(rows, "id", TABLE_BITS))
 
     def found(batches):
@@ -183,13 +180,31 @@ def verifier(docs, rows, edits=MAX_EDITS, min_chars=MIN_CHARS):
                 lines = list({line for text in texts_of(part["text"]) for _, line in lines_of(text, min_chars)})
                 numbers = np.array([line_id(line) for line in lines], np.int64)
                 keep = bitmap_has(wanted.value, numbers) if lines else np.zeros(0, bool)
-                yield pa.record_batch(
-                    {"id": pa.array(numbers[keep]), "line": pa.array([x for x, k in zip(lines, keep) if k], pa.string())}
-                )
+                kept = [x for x, k in zip(lines, keep) if k]
+                sizes = pa.array([len(x) for x in kept], pa.int32())
+                yield pa.record_batch([pa.array(numbers[keep]), sizes, pa.array(kept, pa.string())], names=["id", "size", "payload"])
 
-    lines = docs.select("text").mapInArrow(found, "id long, line string")
+    lines = docs.select("text").mapInArrow(found, "id long, size int, payload string")
     # One text per number; the copies of a line meet in partial sums first.
-    lines = cut_lineage(lines.groupBy("id").agg(F.first("line").alias("line")))
+    return cut_lineage(lines.groupBy("id", "size").agg(F.first("payload").alias("payload")))
+
+
+class Near:
+    """Compares lines of a block: within ``edits`` of each other or not."""
+
+    def __init__(self, edits=MAX_EDITS):
+        self.edits = edits
+
+    def prepare(self, column):
+        return column.to_pylist()
+
+    def passes(self, lines, sizes, left, right):
+        return np.array([within(lines[a], lines[b], self.edits) for a, b in zip(left, right)], bool)
+
+
+def verifier(lines, edits=MAX_EDITS):
+    """A function that gives the pairs (a, b) of line ids within ``edits``."""
+    texts = lines.select("id", "payload")
 
     def compare(batches):
         for batch in batches:
@@ -199,8 +214,8 @@ def verifier(docs, rows, edits=MAX_EDITS, min_chars=MIN_CHARS):
 
     def verify(pairs):
         return (
-            pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-            .join(lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+            pairs.join(texts.select(F.col("id").alias("a"), F.col("payload").alias("line_a")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("payload").alias("line_b")), "b")
             .select("a", "b", "line_a", "line_b").mapInArrow(compare, "a long, b long")
         )
 
@@ -229,8 +244,9 @@ def removals(docs, edits=MAX_EDITS, min_chars=MIN_CHARS):
     """doc_id and the numbers of the lines to remove, for documents that lose some."""
     probes = probe_rows(docs, edits, min_chars)
     rows = cut_lineage(shared_rows(probes, needs_index=True, carry_reach=True))
-    components = link(rows, _admissible, verifier(docs, rows, edits, min_chars))
-    forget(rows)
+    lines = known_lines(docs, rows, min_chars)
+    components = link(rows, _admissible, lines, Near(edits), verifier(lines, edits))
+    forget(rows, lines)
     seen = cut_lineage(occurrences(docs, min_chars))
     # The first occurrence of each line, with the number of occurrences, and of each class.
     lines = seen.groupBy("id").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -5,22 +5,25 @@ connected components are asked for, so links inside a component that is known
 already need no test. Hence each key first tests its items against one of
 them, its leader, which is linear in the rows; components that these links
 make mostly leave one component per key. What stays open is settled exactly:
-every pair of different components under a key is tested, in blocks.
+every pair of different components under a key is compared, block against block,
+in the task that holds both blocks. Only pairs that join components leave it, fewer
+than there are rows.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, forget
+from .common import bounded, cut_lineage, forget
 from .components import connect
 
 #: Rows of one key that meet in one block of the exact step.
 BLOCK_ROWS = 2048
-#: Rounds of tests against leaders before the exact step.
-STAR_ROUNDS = 1
+#: Rows of one key that are simply paired with each other.
+FEW_ROWS = 8
 
 _ROWS = "key long, id long, size int"
+_ROW = ["key", "id", "size", "reach"]
 
 
 def shared_rows(entries, needs_index=False, carry_reach=False):
@@ -86,45 +89,64 @@ def _different(batch, names):
 def with_components(rows, components):
     if components is None:
         return rows.withColumn("component", F.col("id"))
-    return rows.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return rows.join(bounded(components), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _star_pairs(rows, admissible, turn):
-    """Each item of a key with the key's leader, where their components differ.
+def _starred(rows, admissible):
+    """Different rows of every key but its leader, with ``lead``, the leader's id, and ``test``: may the two link.
 
-    The first leader is the item that can share most of itself, since copies
-    of one item differ less from it than from each other; later ones go by hash.
+    The leader is the item that can share most of itself, since copies of one item
+    differ less from it than from each other. Rows of a key stand together after a
+    shuffle by key, the leader first, and are read as a stream.
     """
-    own = 1 - F.col("reach") / F.col("size") if turn == 0 else F.lit(0.0)
-    rank = F.struct(own.alias("own"), F.xxhash64("id", F.lit(turn)).alias("r"), "id", "size", "reach", "component")
-    leaders = cut_lineage(rows.groupBy("key").agg(F.min(rank).alias("lead")))
-    pairs = (
-        rows.join(leaders, "key")
-        .where(
-            (F.col("component") != F.col("lead.component"))
-            & admissible(F.col("size"), F.col("reach"), F.col("lead.size"), F.col("lead.reach"))
-        )
-        .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), F.col("lead.id").alias("lead"))
-        .groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    columns = ["key", "id", "size", "reach", "component"]
+    dealt = rows.select(*columns).repartition("key").sortWithinPartitions(
+        "key", 1 - F.col("reach") / F.col("size"), F.xxhash64("id"), "id", "size", "reach"
     )
-    return pairs, leaders
-
-
-def _pivots(measured):
-    """``id, pivot, common``: the leader an item has most in common with, and how much.
 
-    A leader is its own pivot. Only pairs measured once count: an item with
-    several contents has no single overlap.
-    """
-    once = (
-        measured.groupBy("a", "b", "lead").agg(F.max("common").alias("common"), F.count(F.lit(1)).alias("n"))
-        .where("n = 1")
-    )
-    other = F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    own = once.select(F.col("lead").alias("id"), F.col("lead").alias("pivot"), F.lit((1 << 31) - 1).alias("common"))
-    every = once.select(other.alias("id"), F.col("lead").alias("pivot"), "common").union(own)
-    best = F.max(F.struct("common", "pivot")).alias("best")
-    return every.groupBy("id").agg(best).select("id", "best.pivot", "best.common")
+    def run(batches):
+        last, before = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = {name: batch[name].to_numpy().astype(np.int64) for name in columns}
+            # A line or document that lists a key several times is one row of it.
+            again = np.ones(batch.num_rows, bool)
+            for name in ("key", "id", "size", "reach"):
+                again[1:] &= own[name][1:] == own[name][:-1]
+                again[0] &= before is not None and own[name][0] == before[name]
+            before = {name: values[-1] for name, values in own.items()}
+            own = {name: values[~again] for name, values in own.items()}
+            if not len(own["key"]):
+                continue
+            if last is not None:
+                own = {name: np.r_[last[name], values] for name, values in own.items()}
+            first = np.r_[True, own["key"][1:] != own["key"][:-1]]
+            place = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            last = {name: values[place[-1]] for name, values in own.items()}
+            lead = {name: values[place] for name, values in own.items()}
+            test = admissible(own["size"], own["reach"], lead["size"], lead["reach"]) & (own["component"] != lead["component"])
+            follows = np.flatnonzero((own["id"] != lead["id"]))
+            yield pa.record_batch(
+                {
+                    "key": pa.array(own["key"][follows]), "id": pa.array(own["id"][follows]),
+                    "size": pa.array(own["size"][follows], pa.int32()), "reach": pa.array(own["reach"][follows]),
+                    "lead": pa.array(lead["id"][follows]), "test": pa.array(test[follows]),
+                }
+            )
+
+    return dealt.mapInArrow(run, "key long, id long, size int, reach long, lead long, test boolean")
+
+
+def _few_pairs(rows, open_keys, admissible):
+    """All admissible pairs of different components under keys of a few rows."""
+    chosen = rows.join(open_keys.where(F.col("rows") <= FEW_ROWS).select("key"), "key", "left_semi")
+    names = ["id", "size", "reach", "component"]
+    one = chosen.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    other = chosen.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
+    met = one.join(other, "key").where("id_a < id_b AND component_a <> component_b")
+    fits = met.where(admissible(F.col("size_a"), F.col("reach_a"), F.col("size_b"), F.col("reach_b")))
+    return fits.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _open_keys(rows):
@@ -138,33 +160,25 @@ def _open_keys(rows):
     )
 
 
-def _cross_pairs(rows, open_keys, admissible, pivots=None, block_rows=BLOCK_ROWS):
-    """All admissible pairs of different components under a key, block against block.
+def _cross_pairs(rows, open_keys, payload, admissible, compare, spanning, block_rows=BLOCK_ROWS):
+    """Pairs (a, b) of different components under a key that ``compare`` lets pass.
 
-    With a pivot in common two items share at most what both share with it, and
-    what both have outside it.
+    Rows meet block against block with their ``payload`` (id, size, payload). With ``spanning`` a pair that passes joins two components in its cell, whose
+    other pairs are left out then: a cell gives out fewer pairs than it has rows.
     """
-    if pivots is None:
-        rows = rows.withColumns({"pivot": F.col("id"), "common": F.col("size")})
-    else:
-        rows = rows.join(pivots, "id", "left").withColumns(
-            {
-                "pivot": F.coalesce("pivot", "id"),
-                "common": F.least(F.coalesce("common", "size"), "size"),
-            }
-        )
     blocks = F.ceil(F.col("rows") / F.lit(block_rows)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     cells = (
-        rows.join(open_keys.select("key", blocks.alias("blocks")), "key")
+        rows.join(bounded(open_keys.select("key", blocks.alias("blocks"))), "key")
+        .join(payload, ["id", "size"])
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        .select("key", "low", "high", "id", "size", "reach", "component", "own", "payload")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high", "component", "id")
     )
-
-    names = ("key", "low", "high", "id", "size", "reach", "component", "own", "pivot", "common")
+    names = ("key", "low", "high", "id", "size", "reach", "component", "own")
 
     def run(batches):
         held = None
@@ -180,81 +194,117 @@ def _cross_pairs(rows, open_keys, admissible, pivots=None, block_rows=BLOCK_ROWS
             starts = np.flatnonzero(np.r_[True, new[1:]])
             # The last cell may go on in the next batch.
             held = batch.slice(starts[-1])
-            yield from pairs({name: values[: starts[-1]] for name, values in rows.items()}, starts)
+            yield from pairs(batch.slice(0, starts[-1]), starts)
         if held is not None:
-            rows = {name: held[name].to_numpy().astype(np.int64) for name in names}
-            yield from pairs(rows, np.array([0, held.num_rows]))
+            yield from pairs(held, np.array([0, held.num_rows]))
 
-    def pairs(rows, starts):
+    def pairs(batch, starts):
         """Pairs of all cells at once: every row with the next of its cell, the one after it, and so on."""
+        rows = {name: batch[name].to_numpy().astype(np.int64) for name in names}
+        ready = compare.prepare(batch["payload"])
+        # Components are joined within a cell, so they are numbered by cell.
+        cell = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        _, own = np.unique(np.stack([cell, rows["component"]]), axis=1, return_inverse=True)
+        own = own.ravel()
         end = np.repeat(starts[1:], np.diff(starts))
-        first, step, found = np.arange(len(rows["id"])), 0, []
+        first, step, found = np.arange(len(cell)), 0, []
         while True:
             step += 1
             first = first[first + step < end[first]]
             if not len(first):
                 break
             second = first + step
-            fits = rows["component"][first] != rows["component"][second]
+            fits = own[first] != own[second]
             fits &= (rows["low"][first] == rows["high"][first]) | (rows["own"][first] != rows["own"][second])
-            n, m = rows["size"][first], rows["size"][second]
-            r, s = rows["reach"][first], rows["reach"][second]
-            c, d = rows["common"][first], rows["common"][second]
-            # A pivot itself has all in common with itself, and nothing outside.
-            bound = np.minimum(c, d) + np.minimum(n - c, m - d)
-            bound[rows["pivot"][first] != rows["pivot"][second]] = np.iinfo(np.int64).max
-            fits &= admissible(n, np.minimum(r, bound), m, np.minimum(s, bound))
-            if fits.any():
-                found.append((rows["id"][first[fits]], rows["id"][second[fits]]))
+            fits &= rows["id"][first] != rows["id"][second]
+            if not fits.any():
+                continue
+            left, right = first[fits], second[fits]
+            near = admissible(rows["size"][left], rows["reach"][left], rows["size"][right], rows["reach"][right])
+            left, right = left[near], right[near]
+            near = compare.passes(ready, rows["size"], left, right)
+            left, right = left[near], right[near]
+            if spanning and len(left):
+                kept, own = _join(own, left, right)
+                left, right = left[kept], right[kept]
+            found.append((rows["id"][left], rows["id"][right]))
         if found:
             # Copies share many keys, so each pair goes out once per batch.
             a, b = (np.concatenate(side) for side in zip(*found))
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.record_batch({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
-    return cells.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
 
+def _join(own, left, right):
+    """Which of the pairs (left, right) join two components, and the components after it."""
+    parent = {}
 
-def link(rows, admissible, verify, extra_links=None, measure=None):
+    def root(one):
+        while parent.get(one, one) != one:
+            parent[one] = one = parent.get(parent[one], parent[one])
+        return one
+
+    kept = []
+    for a, b in zip(own[left].tolist(), own[right].tolist()):
+        a, b = root(a), root(b)
+        kept.append(a != b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    names = np.arange(own.max() + 1)
+    for one in list(parent):
+        names[one] = root(one)
+    return np.array(kept, bool), names[own]
+
+
+def link(rows, admissible, payload, compare, verify, sift=None, extra_links=None):
     """``id`` and ``component`` of every item that is linked, smallest id of its component.
 
     ``rows`` (key, id, size, reach) is read several times, so it should be a
     table; ``reach`` is what ``admissible`` bounds the overlap by, or what else
     it compares.
     ``admissible(n, r, m, s)`` says for two sizes and reaches, as columns or
-    arrays, whether a link is possible; ``verify(pairs)`` gives the links (a, b)
-    among ``pairs``. ``extra_links`` are taken as given. ``measure(pairs)`` gives
-    pairs with leaders (a, b, lead), a row for each content, with ``linked`` and
-    ``common``, how much they share; it narrows down the exact step.
+    arrays, whether a link is possible. ``payload`` (id, size, payload) is what ``compare``
+    looks at: ``prepare`` takes a column of it, ``passes`` tells for places of two sides
+    which pairs may link. ``verify(pairs)`` gives the links (a, b) among ``pairs``, after
+    ``sift(pairs)`` has refused what surely is none. Pairs with leaders go that way.
+    Without ``sift`` a pair that passes ``compare`` is a link; with it the exact step
+    first tests pairs that would join components, then all pairs that are left.
+    ``extra_links`` are taken as given.
     """
     links = cut_lineage(extra_links) if extra_links is not None else None
-    components = connect(links) if links is not None and not links.isEmpty() else None
-    tested, measured = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = cut_lineage(with_components(rows, components))
-        open_keys = cut_lineage(_open_keys(placed))
-        if open_keys.isEmpty():
-            break
-        leaders = None
-        if turn < STAR_ROUNDS:
-            still = placed.join(open_keys.select("key"), "key", "left_semi")
-            pairs, leaders = _star_pairs(still, admissible, turn)
+    components = cut_lineage(connect(links)) if links is not None and not links.isEmpty() else None
+    starred = cut_lineage(_starred(with_components(rows, components), admissible))
+    tested = None
+    for step in ["star", "cross"] if sift is None else ["star", "spanning", "cross"]:
+        # Pairs with leaders are settled in the first step, so most keys, of two items, are.
+        if step == "star":
+            pairs = starred.where("test").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            certain, placed, open_keys = None, None, None
         else:
-            pivots = cut_lineage(_pivots(measured)) if measured is not None else None
-            pairs = _cross_pairs(placed, open_keys, admissible, pivots)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if measure is not None and turn < STAR_ROUNDS:
-            found = cut_lineage(measure(pairs))
-            measured = found if measured is None else measured.union(found)
-            new = found.where("linked").select("a", "b").distinct()
+            placed = cut_lineage(with_components(starred.select(*_ROW), components))
+            open_keys = cut_lineage(_open_keys(placed))
+            if open_keys.isEmpty():
+                break
+            many = open_keys.where(F.col("rows") > FEW_ROWS)
+            crossed = _cross_pairs(placed, many, payload, admissible, compare, step == "spanning" or sift is None)
+            # Few rows under a key are paired as they are; their payload moves once per pair.
+            few = _few_pairs(placed, open_keys, admissible) if step != "cross" or sift is None else None
+            certain = crossed if sift is None else None
+            pairs = few if sift is None else crossed if few is None else few.union(crossed).distinct()
+        if sift is None:
+            new = verify(pairs) if certain is None else verify(pairs).union(certain)
+            new = cut_lineage(new.select("a", "b").distinct())
         else:
-            new = verify(pairs.select("a", "b"))
-        new, pairs = cut_lineage(new), pairs.select("a", "b")
+            sifted = cut_lineage(sift(pairs))
+            if tested is not None:
+                sifted = cut_lineage(sifted.join(tested, ["a", "b"], "left_anti"))
+            new = cut_lineage(verify(sifted))
+            tested = sifted if tested is None else cut_lineage(tested.union(sifted))
         if not new.isEmpty():
             links = cut_lineage(links.union(new)) if links is not None else new
             components = cut_lineage(connect(links))
-        tested = pairs if tested is None else cut_lineage(tested.union(pairs))
-        forget(placed, open_keys, leaders)
+        forget(open_keys, placed)
+    forget(starred)
     return components

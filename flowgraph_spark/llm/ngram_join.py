@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, bitmap_of, cut_lineage, forget, slices, texts_of
+from .common import bitmap_has, bitmap_of, bounded, cut_lineage, forget, groups_in_order, slices, temporary_tables, texts_of
 from .linking import link, shared_rows
 
 WORDS = 5
@@ -29,6 +29,10 @@ FREQUENT = 32
 CHUNK_SHINGLES = 1 << 22
 #: Bits of the table of frequent shingles, and of the filter for documents to be verified.
 TABLE_BITS = 1 << 23
+#: Bits of a parity sketch; blocks are compared by the least number.
+LEAST_BITS, MOST_BITS = 2048, 8192
+#: Partners of a document whose inverted lists are searched at once.
+BLOCK_MEMBERS = 128
 #: Weight of a probe against a step of the heap; it sets how many lists count as long.
 PROBE_WEIGHT = 0.02
 
@@ -113,13 +117,13 @@ def frequent_shingles(docs):
 
 
 def describe(docs, frequent):
-    """doc_id, n_shingles, digest of the set, its short lists and how many of them are frequent."""
+    """doc_id, n_shingles, digest of the set, its short lists, how many of them are frequent, and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                sizes, digests, lists, often = [], [], [], []
+                sizes, digests, lists, often, sketches = [], [], [], [], []
                 for text in texts_of(part["text"]):
                     found = shingles(text)
                     sizes.append(len(found))
@@ -127,17 +131,18 @@ def describe(docs, frequent):
                     rare, late = short_lists(found, shared.value) if len(found) else (found, 0)
                     lists.append(rare)
                     often.append(late)
+                    sketches.append(sketch(found))
                 offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 yield pa.record_batch(
                     [
                         part["doc_id"], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))),
-                        pa.array(often, pa.int32()),
+                        pa.array(often, pa.int32()), pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "size", "digest", "rare", "late"],
+                    names=["doc_id", "size", "digest", "rare", "late", "sketch"],
                 )
 
-    schema = "doc_id long, size int, digest binary, rare array<bigint>, late int"
+    schema = "doc_id long, size int, digest binary, rare array<bigint>, late int, sketch binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -198,13 +203,89 @@ def divide_skip(query, members):
     return linked
 
 
+def sketch_bits(size):
+    """Bits of the sketch of a set: a power of two that follows its size."""
+    return min(max(1 << (4 * size - 1).bit_length(), LEAST_BITS), MOST_BITS) if size else LEAST_BITS
+
+
+def sketch(shingle_set):
+    """Parity sketch: every shingle flips one bit. Two sets differ in at least as many
+    shingles as their sketches do in bits, so a pair refused by sketches cannot link."""
+    bits = sketch_bits(len(shingle_set))
+    flips = np.bincount(shingle_set & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def folded(data, bits):
+    """A sketch with fewer bits: that of the same set, as halves are added without carry."""
+    found = np.frombuffer(data, np.uint64)
+    while len(found) * 64 > bits:
+        half = len(found) // 2
+        found = found[:half] ^ found[half:]
+    return found
+
+
+def difference_allowed(n, m, percent=PERCENT):
+    """Shingles in one of two sets but not in both, at most, if they link."""
+    return n + m + 2 * (-percent * (n + m) // (100 + percent))
+
+
+def may_link(n, one, m, other):
+    """Do the sketches of two sets leave room for a link."""
+    bits = 8 * min(len(one), len(other))
+    apart = int(np.bitwise_count(folded(one, bits) ^ folded(other, bits)).sum())
+    return apart <= difference_allowed(n, m)
+
+
+class Sketches:
+    """Compares the sketches of a block, all folded to LEAST_BITS."""
+
+    def prepare(self, column):
+        found = [folded(data, LEAST_BITS) for data in column.to_pylist()]
+        return np.stack(found) if found else np.zeros((0, LEAST_BITS // 64), np.uint64)
+
+    def passes(self, sketches, sizes, left, right):
+        apart = np.zeros(len(left), np.int64)
+        for start in range(0, len(left), 1 << 16):
+            part = slice(start, start + (1 << 16))
+            apart[part] = np.bitwise_count(sketches[left[part]] ^ sketches[right[part]]).sum(axis=1)
+        return apart <= difference_allowed(sizes[left], sizes[right])
+
+
+def _shortened(batches):
+    """Sketches folded to the bits that blocks are compared by."""
+    for batch in batches:
+        short = [folded(data, LEAST_BITS).tobytes() for data in batch["payload"].to_pylist()]
+        yield pa.record_batch([batch["id"], batch["size"], pa.array(short, pa.binary())], names=["id", "size", "payload"])
+
+
+def sifter(sketches):
+    """A function that refuses pairs (a, b) by their sketches (id, size, payload)."""
+
+    def compare(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                columns = [part[c].to_pylist() for c in ("n", "one", "m", "other")]
+                yield part.filter(pa.array([may_link(*row) for row in zip(*columns)], pa.bool_())).select(["a", "b"])
+
+    def sift(pairs):
+        one = sketches.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("payload").alias("one"))
+        other = sketches.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("payload").alias("other"))
+        met = pairs.join(one, "a").join(other, "b").select("a", "b", "n", "one", "m", "other")
+        return met.mapInArrow(compare, "a long, b long").distinct()
+
+    return sift
+
+
 def verifier(docs):
-    """Two functions of pairs (a, b) of doc ids: ``verify`` gives the links among them,
-    ``measure`` all of them with ``linked`` and ``common``, the size of the intersection."""
+    """A function that gives the links among pairs (a, b) of doc ids.
+
+    The partners of one document are cut into blocks. The document is sent once to each
+    of its blocks, whose members' shingles are the inverted lists: DivideSkip merges the
+    short ones, probes the long ones and retains the members that reach the overlap.
+    """
 
-    def with_sets(pairs):
-        """Pairs with both sets, and the table of sets."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    def known_sets(ids):
         wanted = bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h", TABLE_BITS)
         shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -213,68 +294,51 @@ def verifier(docs):
                 for part in slices(batch):
                     part = part.filter(pa.array(bitmap_has(shared.value, part["h"].to_numpy())))
                     found = [shingles(text).tobytes() for text in texts_of(part["text"])]
-                    yield pa.record_batch([part["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "found"])
+                    yield pa.record_batch([part["doc_id"], pa.array(found, pa.binary())], names=["id", "found"])
 
         rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
             "doc_id", "text", F.xxhash64("doc_id").alias("h")
         )
-        known = cut_lineage(rows.mapInArrow(sets, "doc_id long, found binary"))
-        joined = (
-            pairs.join(known.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a")
-            .join(known.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
-        )
-        return joined, known
+        return cut_lineage(rows.mapInArrow(sets, "id long, found binary"))
+
+    def search(batches):
+        for table in groups_in_order(batches, ["query", "block"]):
+            roles, ids, found = (table[c].to_pylist() for c in ("member", "id", "found"))
+            sets = [np.frombuffer(data, np.int64) for data in found]
+            members = [k for k, role in enumerate(roles) if role and len(sets[k])]
+            out = []
+            for k, role in enumerate(roles):
+                if not role and len(sets[k]) and members:
+                    out += [(ids[k], ids[members[hit]]) for hit in divide_skip(sets[k], [sets[m] for m in members])]
+            yield pa.record_batch(
+                {"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())}
+            )
 
     def verify(pairs):
-        joined, known = with_sets(pairs)
-        links = cut_lineage(joined.select("b", "found_b", "a", "found_a").mapInArrow(search, "a long, b long"))
-        forget(known)
+        known = known_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        # The document with more partners is the query, so fewer sets are sent.
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        ends = cut_lineage(ends)
+        counted = (
+            pairs.join(ends.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a")
+            .join(ends.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+        )
+        first = F.col("n_a") >= F.col("n_b")
+        asked = counted.select(
+            F.when(first, F.col("a")).otherwise(F.col("b")).alias("query"),
+            F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"),
+            F.ceil(F.greatest("n_a", "n_b") / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks"),
+        )
+        asked = cut_lineage(asked.select("query", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
+        members = asked.select("query", "block", F.lit(True).alias("member"), "id")
+        queries = asked.select("query", "block").distinct().select("*", F.lit(False).alias("member"), F.col("query").alias("id"))
+        sent = members.unionByName(queries).join(known, "id").select("query", "block", "member", "id", "found")
+        dealt = sent.repartition("query", "block").sortWithinPartitions("query", "block", "member")
+        links = cut_lineage(dealt.mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        forget(known, ends, asked)
         return links
 
-    def measure(pairs):
-        joined, known = with_sets(pairs)
-        rows = joined.select("b", "found_b", "a", "found_a", "lead")
-        found = cut_lineage(rows.mapInArrow(count, "a long, b long, lead long, linked boolean, common int"))
-        forget(known)
-        return found
-
-    def count(batches):
-        for batch in batches:
-            for part in slices(batch, 512):
-                linked, common = [], []
-                for left, right in zip(part["found_a"].to_pylist(), part["found_b"].to_pylist()):
-                    left, right = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
-                    both = min(len(left), len(right)) > 0
-                    linked.append(both and bool(divide_skip(right, [left])))
-                    common.append(len(np.intersect1d(left, right, assume_unique=True)))
-                yield pa.record_batch(
-                    [part["a"], part["b"], part["lead"], pa.array(linked, pa.bool_()), pa.array(common, pa.int32())],
-                    names=["a", "b", "lead", "linked", "common"],
-                )
-
-    def search(batches):
-        for batch in batches:
-            for part in slices(batch, 512):
-                queries = part["found_b"].to_pylist()
-                members = [np.frombuffer(m, np.int64) for m in part["found_a"].to_pylist()]
-                a, b = part["a"].to_pylist(), part["b"].to_pylist()
-                out, start = [], 0
-                while start < len(b):
-                    stop = start + 1
-                    while stop < len(b) and b[stop] == b[start] and queries[stop] == queries[start]:
-                        stop += 1
-                    query = np.frombuffer(queries[start], np.int64)
-                    if len(query):
-                        full = [k for k in range(start, stop) if len(members[k])]
-                        if full:
-                            hits = divide_skip(query, [members[k] for k in full])
-                            out += [(a[full[k]], b[start]) for k in hits]
-                    start = stop
-                yield pa.record_batch(
-                    {"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())}
-                )
-
-    return verify, measure
+    return verify
 
 
 def with_reach(rows, rare, alone):
@@ -291,7 +355,7 @@ def with_reach(rows, rare, alone):
     lost = lists.join(found, "id", "left").select(
         "id", F.when(F.col("sets") == 1, F.col("listed") - F.coalesce("shared", F.lit(0))).otherwise(0).alias("lost")
     )
-    return rows.join(cut_lineage(lost), "id").select("key", "id", "size", (F.col("size") - F.col("lost")).cast("int").alias("reach"))
+    return rows.join(bounded(cut_lineage(lost)), "id").select("key", "id", "size", (F.col("size") - F.col("lost")).cast("int").alias("reach"))
 
 
 def classes(docs):
@@ -305,7 +369,11 @@ def classes(docs):
     has a null component and links with nothing. An empty table gives no rows.
     Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    with temporary_tables() as owner:
+        return owner.keep(_classes(docs.select("doc_id", "text")))
+
+
+def _classes(docs):
     described = cut_lineage(describe(docs, frequent_shingles(docs)))
     sets = described.where("size > 0 AND doc_id IS NOT NULL")
     first = cut_lineage(sets.groupBy("digest").agg(F.min("doc_id").alias("first")))
@@ -327,12 +395,14 @@ def classes(docs):
         .agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a <> z")
     )
     extra = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b")).where("a <> b")
-    verify, measure = verifier(docs)
-    components = link(rows, admissible, verify, extra, measure)
-    forget(described, rows)
+    sketches = cut_lineage(alone.select(F.col("doc_id").alias("id"), "size", F.col("sketch").alias("payload")))
+    forget(described)
+    short = cut_lineage(sketches.mapInArrow(_shortened, "id long, size int, payload binary"))
+    components = link(rows, admissible, short, Sketches(), verifier(docs), sifter(sketches), extra)
+    forget(rows, sketches, short)
     result = members
     if components is not None:
-        result = members.join(components.withColumnRenamed("id", "first"), "first", "left")
+        result = members.join(bounded(components).withColumnRenamed("id", "first"), "first", "left")
     else:
         result = members.withColumn("component", F.lit(None).cast("long"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from flowgraph_spark.llm import line_dedup, linking, ngram_join
 from flowgraph_spark.llm.components import connect
@@ -126,12 +127,83 @@ def test_cross_pairs_in_blocks_lose_nothing(spark):
     rows = [(rng.randrange(3), k, 10 + k % 4, rng.randrange(6)) for k in range(120)]
     frame = spark.createDataFrame(rows, "key long, id long, size int, component long").withColumn("reach", F.col("size"))
     fits = lambda n, r, m, s: (n - m <= 1) & (m - n <= 1)
-    got = linking._cross_pairs(frame, linking._open_keys(frame), fits, block_rows=7).collect()
+    payload = frame.select("id", "size", F.lit("x").alias("payload"))
+
+    class All:
+        """Lets every pair pass; defined here, so that tasks need not import it."""
+
+        def prepare(self, column):
+            return column
+
+        def passes(self, ready, sizes, left, right):
+            return np.ones(len(left), bool)
+
+    open_keys = linking._open_keys(frame)
+    got = linking._cross_pairs(frame, open_keys, payload, fits, All(), False, block_rows=7).collect()
     want = {
         (min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows
         if a[0] == b[0] and a[3] != b[3] and a[1] != b[1] and abs(a[2] - b[2]) <= 1
     }
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    # Of the same pairs those that join components: they join the same ones, with fewer pairs than rows.
+    few = linking._cross_pairs(frame, open_keys, payload, fits, All(), True, block_rows=2048).collect()
+    owner = {k: c for _, k, _, c in rows}
+    joined = lambda pairs: closure(range(6), [(owner[a], owner[b]) for a, b in pairs])
+    assert {(r.a, r.b) for r in few} <= want and joined([(r.a, r.b) for r in few]) == joined(want)
+    assert len(few) < len(rows)
+
+
+def edits_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        fresh = [i]
+        for j, y in enumerate(b, 1):
+            fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (x != y)))
+        row = fresh
+    return row[-1]
+
+
+def test_line_dedup_of_a_segment_that_many_lines_share(spark):
+    """5,000 lines with one segment in common and three or more edits apart, and a few near ones among them."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = "all of these lines begin alike "
+    lines = set()
+    while len(lines) < 5000:
+        code = "".join(rng.choice(letters) for _ in range(5))
+        # Every letter stands three times, so two codes differ in three places at least.
+        lines.add(base + "".join(3 * c for c in code))
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    assert min(edits_apart(lines[0], other) for other in lines[1:400]) >= 3
+    near = [lines[k][:-1] + "#" for k in range(0, 100, 10)]
+    rows = [(k, line) for k, line in enumerate(lines + near)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.n_removed for r in line_dedup.summarise(frame).collect()}
+    assert {k for k, n in got.items() if n} == set(range(5000, 5010))
+
+
+def test_parity_sketches_refuse_no_link():
+    """The sketches of two sets differ in no more bits than the sets in shingles, at every size."""
+    rng = np.random.default_rng(2)
+    links = refused = 0
+    for _ in range(3000):
+        size = int(rng.integers(1, 1500))
+        base = rng.integers(-(1 << 62), 1 << 62, size)
+        keep = base[rng.random(size) > rng.choice([0.02, 0.1, 0.3])]
+        other = np.unique(np.concatenate([keep, rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, size // 4 + 2)))]))
+        base = np.unique(base)
+        one, two = ngram_join.sketch(base), ngram_join.sketch(other)
+        both = len(np.intersect1d(base, other))
+        link = len(other) and 100 * both >= 75 * (len(base) + len(other) - both)
+        fits = ngram_join.may_link(len(base), one, len(other), two)
+        ready = ngram_join.Sketches()
+        column = pa.array([one, two], pa.binary())
+        in_block = ready.passes(ready.prepare(column), np.array([len(base), len(other)]), np.array([0]), np.array([1]))[0]
+        assert not link or (fits and in_block)
+        links += bool(link)
+        refused += not link and not fits
+    assert links > 500 and refused > 500
 
 
 def test_shared_rows_across_batch_borders(spark):
