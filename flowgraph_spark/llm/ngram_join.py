@@ -26,7 +26,7 @@ WORDS = 5
 PERCENT = 75
 #: A shingle found this often, where it recurs within a chunk of CHUNK_SHINGLES, is frequent.
 FREQUENT = 32
-CHUNK_SHINGLES = 1 << 22
+CHUNK_SHINGLES = 1 << 21
 #: Bits of the table of frequent shingles, and of the filter for documents to be verified.
 TABLE_BITS = 1 << 23
 #: Bits of a parity sketch; blocks are compared by the least number.
