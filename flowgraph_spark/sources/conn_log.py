@@ -84,20 +84,50 @@ def file_lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), at.alias("__at"))
 
 
-def file_headers(lines: DataFrame) -> DataFrame:
-    """``__file, __headers``: field names of each file's ``#fields`` lines in order, as
-    structs ``at, names``. A header that repeats the one before it is left out."""
+def _header_names():
+    """Field names of a ``#fields`` line; null on other lines."""
     names = F.slice(F.split(F.rtrim("value", F.lit("\r\n")), "\t", -1), 2, 1 << 20)
     renamed = F.transform(
         names, lambda n: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in FIELD_RENAMES.items() for x in p]), n), n)
     )
-    found = lines.where(F.col("value").startswith("#fields")).groupBy("__file").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("__at").alias("at"), renamed.alias("names")))).alias("__all")
-    )
-    changed = F.filter(
-        "__all", lambda h, k: (k == 0) | (F.try_element_at("__all", F.when(k > 0, k))["names"] != h["names"])
+    return F.when(F.col("value").startswith("#fields"), renamed)
+
+
+def block_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row per file and input block: ``__before``, the field names in force where it
+    begins (the file's first ones in front of any header), and ``__turns``, whether a
+    header in it gives others. ``headers`` are the header lines with ``__block`` and ``__names``."""
+    keys = ["__file", "__block"]
+    own = headers.groupBy(*keys).agg(
+        F.min_by("__names", "__at").alias("__first"), F.max_by("__names", "__at").alias("__last"),
+        F.min("__names").alias("__least"), F.max("__names").alias("__most"),
     )
-    return found.select("__file", changed.alias("__headers"))
+    blocks = lines.select("__file", F.col("__at.block").alias("__block")).distinct().join(own, keys, "left")
+    along = Window.partitionBy("__file").orderBy("__block")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.last("__last", True).over(past), F.first("__first", True).over(whole))
+    turns = (F.col("__least") != F.col("__before")) | (F.col("__most") != F.col("__before"))
+    return blocks.withColumn("__before", before).select(*keys, "__before", F.coalesce(turns, F.lit(False)).alias("__turns"))
+
+
+def _read_by_headers(lines, headers, layout):
+    """Data lines as ``__tokens`` with ``__layout``, that of the names in the header before each.
+
+    Lines of a block whose fields do not change take those it begins with and stay where
+    they are. The lines of other blocks are sorted by block, which one task reads in any
+    case, and take the newest header: a log may change its fields any number of times.
+    """
+    keys = ["__file", "__block"]
+    blocks = block_headers(lines, headers)
+    blocks = cut_lineage(blocks.withColumn("__before", layout(F.col("__before"))))
+    placed = lines.withColumn("__block", F.col("__at.block"))
+    steady = _tokens(placed, "value").join(blocks, keys, "left").where(~F.coalesce("__turns", F.lit(False)))
+    so_far = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turning = placed.join(blocks.where("__turns"), keys).withColumn("__own", layout(_header_names()))
+    newest = F.coalesce(F.last("__own", True).over(so_far), F.col("__before"))
+    turning = _tokens(turning.withColumn("__layout", newest).drop("__own"), "value")
+    return steady.withColumn("__layout", F.col("__before")).unionByName(turning).drop("__before", "__turns", "__block")
 
 
 def parse_files(lines: DataFrame, carry=(), max_fields=MAX_FIELDS) -> DataFrame:
@@ -111,11 +141,13 @@ def parse_files(lines: DataFrame, carry=(), max_fields=MAX_FIELDS) -> DataFrame:
     ``max_fields`` different names. A last field that holds three labels is split
     under each header that has no label columns of its own.
     """
-    headers = file_headers(lines)
+    headers = cut_lineage(
+        lines.select("__file", "__at", F.col("__at.block").alias("__block"), _header_names().alias("__names"))
+        .where(F.col("__names").isNotNull())
+    )
     own = F.array_contains("__names", LABEL_COLUMN_NAMES[0]) & F.array_contains("__names", LABEL_COLUMN_NAMES[1])
     # One row per name over all files: as many as a log has fields, not as there are logs.
-    each = headers.select(F.explode("__headers.names").alias("__names"))
-    named = each.select(own.alias("own"), F.size("__names").alias("n"), F.posexplode("__names").alias("place", "name"))
+    named = headers.select("__names").distinct().select(own.alias("own"), F.size("__names").alias("n"), F.posexplode("__names").alias("place", "name"))
     holds_labels = ~F.col("own") & (F.col("place") == F.col("n") - 1)
     found = (
         named.groupBy("name").agg(F.min("place").alias("place"), F.max(holds_labels).alias("labels"))
@@ -126,26 +158,29 @@ def parse_files(lines: DataFrame, carry=(), max_fields=MAX_FIELDS) -> DataFrame:
     if len(found) > max_fields:
         raise ValueError(f"The logs have more than {max_fields} different fields.")
     plain = [row["name"] for row in found if not row["labels"] and row["name"] not in LABEL_COLUMNS]
-    rows = _tokens(lines, "value").join(headers, "__file", "left")
-    before = F.filter("__headers", lambda h: h["at"] <= F.col("__at"))
-    latest = F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at("__headers", F.lit(1)))
-    rows = rows.withColumn("__names", latest["names"])
-    width = F.size("__names")
-    known = F.when(
-        F.col("__names").isNull(), F.raise_error(F.concat(F.lit("no #fields header in "), F.col("__file")))
-    ).otherwise(F.size("__tokens") <= width)
-    rows = rows.where(known)
+    wanted = [*plain, *LABEL_COLUMNS]
 
-    def field(name):
-        place = F.array_position("__names", name)
-        return F.when(place > 0, F.try_element_at("__tokens", place.cast("int")))
+    def layout(names):
+        # Places are looked up per header, not per row.
+        places = F.transform(F.array(*[F.lit(n) for n in wanted]), lambda n: F.array_position(names, n).cast("int"))
+        labelled = F.array_contains(names, LABEL_COLUMN_NAMES[0]) & F.array_contains(names, LABEL_COLUMN_NAMES[1])
+        return F.when(names.isNotNull(), F.struct(places.alias("places"), F.size(names).alias("width"), labelled.alias("own")))
 
+    rows = _read_by_headers(lines, headers, layout)
+    width = F.col("__layout.width")
+    known = F.when(
+        F.col("__layout").isNull(), F.raise_error(F.concat(F.lit("no #fields header in "), F.col("__file")))
+    ).otherwise(F.size("__tokens") <= width)
+    # One small expression for all fields: generated code stays below what the JIT compiles.
+    values = F.transform("__layout.places", lambda p: F.when(p > 0, F.try_element_at("__tokens", p)))
     last = F.split(F.trim(F.try_element_at("__tokens", width)), r"\s+", 3)
+    rows = rows.where(known).select(*carry, values.alias("__values"), last.alias("__last"), F.col("__layout.own").alias("__own"))
+    fields = [F.col("__values")[i] for i in range(len(wanted))]
     labels = [
-        F.when(own, field(name)).otherwise(F.try_element_at(last, F.lit(i + 1))).alias(name)
+        F.when(F.col("__own"), fields[len(plain) + i]).otherwise(F.try_element_at("__last", F.lit(i + 1))).alias(name)
         for i, name in enumerate(LABEL_COLUMNS)
     ]
-    return rows.select(*carry, *[field(n).alias(n) for n in plain], *labels)
+    return rows.select(*carry, *[f.alias(n) for f, n in zip(fields, plain)], *labels)
 
 
 def read_conn_log(spark: SparkSession, path) -> DataFrame:
