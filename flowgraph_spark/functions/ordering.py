@@ -112,17 +112,19 @@ def hash_segments(df, keys, order_hash, cuts, segment="segment", total=None, nea
     """Cuts every group into segments along a hash order without ranking it.
 
     ``cuts(n)`` gives ascending row counts for a group of ``n`` rows; a row of
-    rank r gets the number of cuts c with r > c. Keys and hashes are written once,
-    so ``df`` is read for that and for the result. Counts by the first bits of the
-    hash show in which of these buckets each cut lies; buckets with too many rows
-    are counted by further bits. The few hashes left around a cut are sorted, which
-    gives the hash at it. All rows are compared with that, so the rows of ``df`` are
-    not shuffled by rank. Rows with equal hashes share a segment.
+    rank r gets the number of cuts c with r > c. Keys and the first bits of the hashes
+    are written once; ``df`` is read for that, for the few hashes left around a cut and
+    for the result. Counts by the first bits of the hash show in which of these buckets
+    each cut lies; buckets with too many rows are counted by further bits. The hashes
+    left around a cut are sorted, which gives the hash at it. All rows are compared with
+    that, so the rows of ``df`` are not shuffled by rank. Rows with equal hashes share a
+    segment.
     """
     keys = list(keys)
     rows = df.withColumn("__order", F.unhex(order_hash))
     prefix = F.conv(F.hex(F.substring("__order", 1, PREFIX_BITS // 8)), 16, 10).cast("long")
-    narrow = cut_lineage(rows.select(*keys, "__order", prefix.alias("__p")))
+    placed = rows.select(*keys, "__order", prefix.alias("__p"))
+    narrow = cut_lineage(placed.drop("__order"))
     n = F.col("__total")
     width = len(cuts(n))
     found = cut_lineage(_cut_buckets(narrow, keys, cuts))
@@ -131,7 +133,7 @@ def hash_segments(df, keys, order_hash, cuts, segment="segment", total=None, nea
         bits = max(0, bits - HISTOGRAM_BITS)
         found = cut_lineage(_refined(narrow, found, keys, bits))
     # Equal hashes are one row here, so a repeated identity cannot fill a task.
-    near = _inside_buckets(narrow, found, keys).groupBy(*keys, "__i", "__c", "__before", "__order").agg(F.count(F.lit(1)).alias("__n"))
+    near = _inside_buckets(placed, found, keys).groupBy(*keys, "__i", "__c", "__before", "__order").agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*keys, "__i").orderBy("__order")) + F.col("__before")
     at = near.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__c")) & (F.col("__upto") - F.col("__n") < F.col("__c")))
     bounds = at.groupBy(*keys).agg(

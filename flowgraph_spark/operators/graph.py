@@ -32,11 +32,26 @@ def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
     return cut_lineage(ranked.withColumn("node_id", F.col("node_id") - 1))
 
 
-def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_label") -> DataFrame:
-    """Edges with node ids ``src`` and ``dst``; all parallel edges stay."""
+def end_nodes(nodes: DataFrame, edges: DataFrame, by, end) -> DataFrame:
+    """Rows of ``nodes`` that ``edges`` have at ``end``, written.
+
+    Their real size decides the join with the edges: where one end has few nodes, as
+    sources of flows often do, edges do not move for it, however many nodes there are.
+    """
+    own = edges.select(*by, F.col(end).alias("node")).distinct()
+    return cut_lineage(nodes.join(own, [*by, "node"], "left_semi"))
+
+
+def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_label", by_end=True) -> DataFrame:
+    """Edges with node ids ``src`` and ``dst``; all parallel edges stay.
+
+    ``by_end`` joins each end with the nodes that occur there (see :func:`end_nodes`);
+    it does not pay where a graph's nodes are few and most occur at both ends.
+    """
 
     def side(end, name):
-        return nodes.select(*by, F.col("node").alias(end), F.col("node_id").alias(name))
+        own = end_nodes(nodes, df, by, end) if by_end else nodes
+        return own.select(*by, F.col("node").alias(end), F.col("node_id").alias(name))
 
     first, second = ends
     edges = df.join(side(first, "src"), [*by, first]).join(side(second, "dst"), [*by, second])

@@ -139,10 +139,14 @@ def replay_order(rows: DataFrame, ts="ts", ordinal="source_edge_index") -> DataF
 
 
 def write_graph_tables(nodes: DataFrame, edges: DataFrame, directory, by):
-    """Graph tables partitioned by graph; existing tables are never overwritten."""
+    """Graph tables partitioned by graph; existing tables are never overwritten.
+
+    Counts come from the edges as stored, so those are made once.
+    """
     for name, frame in (("nodes", nodes), ("edges", edges)):
         frame.write.mode("errorifexists").partitionBy(*by).parquet(f"{directory}/{name}")
-    counts = edges.groupBy(*by, "split", "label_idx").agg(F.count(F.lit(1)).alias("n"))
+    stored = edges.sparkSession.read.schema(edges.schema).parquet(f"{directory}/edges")
+    counts = stored.groupBy(*by, "split", "label_idx").agg(F.count(F.lit(1)).alias("n"))
     counts.write.mode("errorifexists").parquet(f"{directory}/counts")
 
 
