@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
-from .graph import bidirect, endpoints
+from .graph import bidirect, end_nodes, endpoints
 
 LEAKY_SLOPE = 0.2
 
@@ -61,14 +61,17 @@ def edge_sage_layer(nodes, edges, by, features, weights, width, src="src", dst="
     ``weights`` holds ``msg_w, msg_b, upd_w, upd_b``; ``width`` is the input width.
     ``nodes`` None stands for the constant feature 1 on every endpoint: messages
     then depend on edge attributes alone, so the layer is one grouped average
-    without any join.
+    without any join. Otherwise each direction meets the nodes of its senders alone.
     """
     names = hidden(width)
-    mp = bidirect(edges.select(*by, src, dst, *features), src, dst)
+    own = edges.select(*by, src, dst, *features)
     if nodes is None:
-        gathered, senders = mp, [F.lit(1.0)]
+        gathered, senders = bidirect(own, src, dst), [F.lit(1.0)]
     else:
-        gathered = gather(mp, nodes, by, src, names, "s", salt)
+        back = own.select(*by, F.col(dst).alias(src), F.col(src).alias(dst), *features)
+        gathered = gather(own, end_nodes(nodes, own, by, src), by, src, names, "s", salt).unionByName(
+            gather(back, end_nodes(nodes, back, by, src), by, src, names, "s", salt)
+        )
         senders = [F.col(c) for c in hidden(width, "s")]
     inputs = senders + [F.col(f) for f in features]
     messages = [vx.relu(m) for m in vx.dense(inputs, weights["msg_w"], weights["msg_b"])]
@@ -221,10 +224,13 @@ def gatv2_layer(
     return sums.select(*by, "node", *[u.alias(f"h_{i}") for i, u in enumerate(out)])
 
 
-def edge_representation(edges, nodes, by, features, width, keep=(), src="src", dst="dst", salt=1) -> DataFrame:
-    """``[h_src, h_dst, e]`` as columns ``z_0, z_1, ...`` on the original edges."""
+def edge_representation(
+    edges, nodes, by, features, width, keep=(), src="src", dst="dst", salt=1, by_end=True
+) -> DataFrame:
+    """``[h_src, h_dst, e]`` as columns ``z_0, z_1, ...`` on the original edges; ``by_end`` as in :func:`build_edges`."""
     names = hidden(width)
-    both = gather(gather(edges, nodes, by, src, names, "s", salt), nodes, by, dst, names, "t", salt)
+    at_src, at_dst = [end_nodes(nodes, edges, by, end) if by_end else nodes for end in (src, dst)]
+    both = gather(gather(edges, at_src, by, src, names, "s", salt), at_dst, by, dst, names, "t", salt)
     parts = [f"s_{i}" for i in range(width)] + [f"t_{i}" for i in range(width)] + list(features)
     return both.select(*by, *keep, src, dst, *[F.col(p).alias(f"z_{i}") for i, p in enumerate(parts)])
 

@@ -49,7 +49,7 @@ def window_graph(rows: DataFrame, features, by=WINDOW, sensor="sensor_id", keep=
     """
     spaced = graph.namespace_nodes(rows, sensor).select(*by, *keep, "orig_h", "resp_h", *features)
     nodes = graph.node_dictionary(spaced, by)
-    return graph.build_edges(spaced, nodes, by)
+    return graph.build_edges(spaced, nodes, by, by_end=False)
 
 
 def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
@@ -67,9 +67,11 @@ def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
         )
     )
     kept = ["flow_seq", "is_new", "flow_ts", "entity"]
-    edges = window_graph(
-        featured.withColumn("entity", F.col("orig_h")), columns, keep=kept
-    ).select(*WINDOW, *kept, "src", "dst", *columns)
+    # Written: the nodes and the flows to score both read it.
+    edges = cut_lineage(
+        window_graph(featured.withColumn("entity", F.col("orig_h")), columns, keep=kept)
+        .select(*WINDOW, *kept, "src", "dst", *columns)
+    )
     if model.layers:
         nodes = neighbors.encode_nodes(edges, WINDOW, columns, model.layers)
         width = len(model.layers[-1]["upd_b"])
@@ -82,7 +84,7 @@ def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
     new = edges.where("is_new").join(sizes, WINDOW)
     represented = neighbors.edge_representation(
         route_sensor(new, routes), nodes, WINDOW, columns, width,
-        keep=["client_id", "flow_seq", "flow_ts", "flow_count", "entity"],
+        keep=["client_id", "flow_seq", "flow_ts", "flow_count", "entity"], by_end=False,
     )
     packed = represented.select(
         *WINDOW, "client_id", "flow_seq", "flow_ts", "flow_count", "entity",

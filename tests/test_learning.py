@@ -508,3 +508,27 @@ def test_categories_without_a_limit(spark):
         want |= {base + 1 + names.index(f"h{i % 2000}")} if i % 2000 < 1500 else set()
         assert {k for k in cells if k >= base} == want and rows[i]["features"]["size"] == base + 1501
         assert list(cells) == sorted(cells) and 0.0 not in cells.values()
+
+
+def test_few_sources_do_not_move_the_edges(spark):
+    """Edges meet their few sources without a shuffle, however many nodes there are; ids and vectors stay."""
+    rows = spark.range(60000).selectExpr(
+        "'g' scenario", "concat('s', id % 7) orig_h", "concat('long-name-of-a-target-', id) resp_h", "double(id) f"
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        nodes = graph.node_dictionary(rows, ["scenario"])
+        ids = {r["node"]: r["node_id"] for r in nodes.collect()}
+        edges = graph.build_edges(rows, nodes, ["scenario"])
+        assert all((r["src"], r["dst"]) == (ids[r["orig_h"]], ids[r["resp_h"]]) for r in edges.collect())
+        vectors = nodes.selectExpr("scenario", "node", "double(node_id) h_0")
+        links = rows.withColumnsRenamed({"orig_h": "src", "resp_h": "dst"})
+        both = neighbors.edge_representation(links, vectors, ["scenario"], ["f"], 1)
+        assert all((r["z_0"], r["z_1"]) == (ids[r["src"]], ids[r["dst"]]) for r in both.collect())
+        for found in (edges, both):
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            sizes = found._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("Join Inner") == 2 and sizes.count("BroadcastHashJoin") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
