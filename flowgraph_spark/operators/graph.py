@@ -32,14 +32,21 @@ def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
     return cut_lineage(ranked.withColumn("node_id", F.col("node_id") - 1))
 
 
-def end_nodes(nodes: DataFrame, edges: DataFrame, by, end) -> DataFrame:
+#: Marks of node frames that know at which end of the edges a node occurs.
+SENDS, RECEIVES = "__sends", "__receives"
+
+
+def end_nodes(nodes: DataFrame, edges: DataFrame, by, end, mark=None) -> DataFrame:
     """Rows of ``nodes`` that ``edges`` have at ``end``, written.
 
     Their real size decides the join with the edges: where one end has few nodes, as
     sources of flows often do, edges do not move for it, however many nodes there are.
+    ``mark`` names the column that tells them; without it the edges are read for that.
     """
+    if mark in nodes.columns:
+        return cut_lineage(nodes.where(mark).drop(SENDS, RECEIVES))
     own = edges.select(*by, F.col(end).alias("node")).distinct()
-    return cut_lineage(nodes.join(own, [*by, "node"], "left_semi"))
+    return cut_lineage(nodes.join(own, ["node", *by], "left_semi"))
 
 
 def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_label", by_end=True) -> DataFrame:
@@ -54,21 +61,26 @@ def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_
         return own.select(*by, F.col("node").alias(end), F.col("node_id").alias(name))
 
     first, second = ends
-    edges = df.join(side(first, "src"), [*by, first]).join(side(second, "dst"), [*by, second])
+    # Joins sort by the first bytes of the first key, so the address leads.
+    edges = df.join(side(first, "src"), [first, *by]).join(side(second, "dst"), [second, *by])
     if label in df.columns:
         edges = edges.withColumn("binary_label", binary_label(F.col(label)))
     return edges
 
 
-def bidirect(edges: DataFrame, src="src", dst="dst") -> DataFrame:
-    """Each edge and its reverse with the same attributes, from one scan."""
+def bidirect(edges: DataFrame, src="src", dst="dst", forward=None) -> DataFrame:
+    """Each edge and its reverse with the same attributes, from one scan.
+
+    ``forward`` names a boolean column that is true on the edge itself.
+    """
     others = [c for c in edges.columns if c not in (src, dst)]
     both = F.array(
-        F.struct(F.col(src).alias("s"), F.col(dst).alias("d")),
-        F.struct(F.col(dst).alias("s"), F.col(src).alias("d")),
+        F.struct(F.col(src).alias("s"), F.col(dst).alias("d"), F.lit(True).alias("f")),
+        F.struct(F.col(dst).alias("s"), F.col(src).alias("d"), F.lit(False).alias("f")),
     )
+    flag = [F.col("__e.f").alias(forward)] if forward else []
     return edges.select(*others, F.explode(both).alias("__e")).select(
-        *others, F.col("__e.s").alias(src), F.col("__e.d").alias(dst)
+        *others, F.col("__e.s").alias(src), F.col("__e.d").alias(dst), *flag
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
-from .graph import bidirect, end_nodes, endpoints
+from .graph import RECEIVES, SENDS, bidirect, end_nodes, endpoints
 
 LEAKY_SLOPE = 0.2
 
@@ -37,22 +37,38 @@ def constant_nodes(edges: DataFrame, by, src="src", dst="dst") -> DataFrame:
 
 
 def gather(edges: DataFrame, nodes: DataFrame, by, end, columns, prefix, salt=1) -> DataFrame:
-    """Attach the vector of the node at ``end`` under the names ``prefix_i``."""
+    """Attach the vector of the node at ``end`` under the names ``prefix_i``.
+
+    The node leads the keys: a join sorts by the first bytes of its first key, and
+    those of ``by`` are the same on many edges.
+    """
     side = nodes.select(
         *by, F.col("node").alias(end), *[F.col(c).alias(f"{prefix}_{i}") for i, c in enumerate(columns)]
     )
     if salt == 1:
-        return edges.join(side, [*by, end])
+        return edges.join(side, [end, *by])
     spread = edges.withColumn("__salt", F.pmod(F.xxhash64(*edges.columns), F.lit(salt)))
     repeated = side.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {salt - 1}L)")))
-    return spread.join(repeated, [*by, end, "__salt"]).drop("__salt")
+    return spread.join(repeated, [end, *by, "__salt"]).drop("__salt")
 
 
 def edge_to_node_aggregate(edges: DataFrame, by, features, how="mean", src="src", dst="dst") -> DataFrame:
     """Mean or sum of the attributes of incident edges per node."""
+    return marked_aggregate(edges, by, features, how, src, dst).drop(SENDS, RECEIVES)
+
+
+def marked_aggregate(edges, by, features, how="mean", src="src", dst="dst"):
+    """As :func:`edge_to_node_aggregate`, with the ends at which a node occurs."""
     pick = {"mean": F.avg, "sum": F.sum}[how]
-    both = bidirect(edges.select(*by, src, dst, *features), src, dst)
-    return both.groupBy(*by, F.col(dst).alias("node")).agg(*[pick(f).alias(f) for f in features])
+    both = bidirect(edges.select(*by, src, dst, *features), src, dst, "__forward")
+    return both.groupBy(F.col(dst).alias("node"), *by).agg(*[pick(f).alias(f) for f in features], *_marks()).select(
+        *by, "node", *features, SENDS, RECEIVES
+    )
+
+
+def _marks():
+    """At which ends of the edges the target of a bidirected edge occurs."""
+    return [F.max(~F.col("__forward")).alias(SENDS), F.max("__forward").alias(RECEIVES)]
 
 
 def edge_sage_layer(nodes, edges, by, features, weights, width, src="src", dst="dst", salt=1) -> DataFrame:
@@ -61,31 +77,34 @@ def edge_sage_layer(nodes, edges, by, features, weights, width, src="src", dst="
     ``weights`` holds ``msg_w, msg_b, upd_w, upd_b``; ``width`` is the input width.
     ``nodes`` None stands for the constant feature 1 on every endpoint: messages
     then depend on edge attributes alone, so the layer is one grouped average
-    without any join. Otherwise each direction meets the nodes of its senders alone.
+    without any join, and its nodes are marked with the ends at which they occur.
+    Otherwise each direction meets the nodes of its senders alone, and marks are kept.
     """
     names = hidden(width)
     own = edges.select(*by, src, dst, *features)
     if nodes is None:
-        gathered, senders = bidirect(own, src, dst), [F.lit(1.0)]
+        gathered, senders, marks = bidirect(own, src, dst, "__forward"), [F.lit(1.0)], _marks()
     else:
         back = own.select(*by, F.col(dst).alias(src), F.col(src).alias(dst), *features)
-        gathered = gather(own, end_nodes(nodes, own, by, src), by, src, names, "s", salt).unionByName(
-            gather(back, end_nodes(nodes, back, by, src), by, src, names, "s", salt)
+        gathered = gather(own, end_nodes(nodes, own, by, src, SENDS), by, src, names, "s", salt).unionByName(
+            gather(back, end_nodes(nodes, back, by, src, RECEIVES), by, src, names, "s", salt)
         )
+        marks = []
         senders = [F.col(c) for c in hidden(width, "s")]
     inputs = senders + [F.col(f) for f in features]
     messages = [vx.relu(m) for m in vx.dense(inputs, weights["msg_w"], weights["msg_b"])]
     out = len(messages)
-    means = gathered.groupBy(*by, F.col(dst).alias("node")).agg(
-        *[F.avg(m).alias(f"m_{i}") for i, m in enumerate(messages)]
+    means = gathered.groupBy(F.col(dst).alias("node"), *by).agg(
+        *[F.avg(m).alias(f"m_{i}") for i, m in enumerate(messages)], *marks
     )
     if nodes is None:
         joined, own = means, [F.lit(1.0)]
     else:
-        joined, own = nodes.join(means, [*by, "node"], "left"), [F.col(c) for c in names]
+        joined, own = nodes.join(means, ["node", *by], "left"), [F.col(c) for c in names]
     own = own + [F.coalesce(F.col(f"m_{i}"), F.lit(0.0)) for i in range(out)]
     updated = [vx.relu(u) for u in vx.dense(own, weights["upd_w"], weights["upd_b"])]
-    return joined.select(*by, "node", *[u.alias(f"h_{i}") for i, u in enumerate(updated)])
+    kept = [c for c in (SENDS, RECEIVES) if c in joined.columns]
+    return joined.select(*by, "node", *[u.alias(f"h_{i}") for i, u in enumerate(updated)], *kept)
 
 
 def encode_nodes(edges: DataFrame, by, features, layers, src="src", dst="dst", salt=1) -> DataFrame:
@@ -109,7 +128,7 @@ def _parallel_counts(edges, by, src, dst):
     are counted before any vector is joined.
     """
     mp = bidirect(edges.select(*by, src, dst), src, dst)
-    return mp.groupBy(*by, src, dst).agg(F.count(F.lit(1)).alias("__n"))
+    return mp.groupBy(src, dst, *by).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def sage_mean_layer(nodes, edges, by, weights, width, src="src", dst="dst", salt=1) -> DataFrame:
@@ -229,7 +248,9 @@ def edge_representation(
 ) -> DataFrame:
     """``[h_src, h_dst, e]`` as columns ``z_0, z_1, ...`` on the original edges; ``by_end`` as in :func:`build_edges`."""
     names = hidden(width)
-    at_src, at_dst = [end_nodes(nodes, edges, by, end) if by_end else nodes for end in (src, dst)]
+    at_src, at_dst = [
+        end_nodes(nodes, edges, by, end, mark) if by_end else nodes for end, mark in ((src, SENDS), (dst, RECEIVES))
+    ]
     both = gather(gather(edges, at_src, by, src, names, "s", salt), at_dst, by, dst, names, "t", salt)
     parts = [f"s_{i}" for i in range(width)] + [f"t_{i}" for i in range(width)] + list(features)
     return both.select(*by, *keep, src, dst, *[F.col(p).alias(f"z_{i}") for i, p in enumerate(parts)])
@@ -429,12 +450,13 @@ def edge_classifier_rows(edges, by, features, keep=(), src="src", dst="dst") ->
     The aggregate is written first: both joins then shuffle for themselves, so the
     edges of a hub can be split over tasks.
     """
-    means = cut_lineage(edge_to_node_aggregate(edges, by, features, "mean", src, dst))
+    means = cut_lineage(marked_aggregate(edges, by, features, "mean", src, dst))
 
-    def side(end, prefix):
-        return means.select(*by, F.col("node").alias(end), *[F.col(f).alias(f"{prefix}_{f}") for f in features])
+    def side(end, prefix, mark):
+        own = end_nodes(means, edges, by, end, mark)
+        return own.select(*by, F.col("node").alias(end), *[F.col(f).alias(f"{prefix}_{f}") for f in features])
 
-    rows = edges.join(side(src, "s"), [*by, src]).join(side(dst, "t"), [*by, dst])
+    rows = edges.join(side(src, "s", SENDS), [src, *by]).join(side(dst, "t", RECEIVES), [dst, *by])
     columns = [f"{p}_{f}" for p in ("s", "t") for f in features] + list(features)
     return rows.select(*by, *keep, F.array(*columns).alias("__x"), *columns)
 

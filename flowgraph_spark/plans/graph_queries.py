@@ -237,9 +237,10 @@ def _rounded(nodes, width=WIDTH):
 
 def feature_nodes(spark, sf_dir):
     """Node vectors from incident edge attributes, input of the other layers."""
-    rows = neighbors.edge_to_node_aggregate(edges_of(spark, sf_dir), BY, EDGE_FEATURES)
+    rows = neighbors.marked_aggregate(edges_of(spark, sf_dir), BY, EDGE_FEATURES)
     # Layers read the vectors several times.
-    return cut_lineage(rows).select("scenario", "node", *[F.col(f).alias(f"h_{i}") for i, f in enumerate(EDGE_FEATURES)])
+    vectors = [F.col(f).alias(f"h_{i}") for i, f in enumerate(EDGE_FEATURES)]
+    return cut_lineage(rows).select("scenario", "node", *vectors, graph.SENDS, graph.RECEIVES)
 
 
 FEATURED = LINKS + ",\nvec AS (SELECT scenario, dst AS node, " + ", ".join(
