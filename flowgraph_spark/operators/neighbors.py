@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructType
@@ -25,6 +25,8 @@ from ..session import cut_lineage
 from .graph import RECEIVES, SENDS, bidirect, end_nodes, endpoints
 
 LEAKY_SLOPE = 0.2
+#: Scores of one magnitude differ by less than this; its powers stay far from overflow.
+SCORE_STEP = 64.0
 
 
 def hidden(width, prefix="h"):
@@ -71,6 +73,14 @@ def _marks():
     return [F.max(~F.col("__forward")).alias(SENDS), F.max("__forward").alias(RECEIVES)]
 
 
+def _both_directions(edges, nodes, by, columns, salt, src="src", dst="dst"):
+    """Bidirected edges with the vector of the sender as ``s_i``; each direction meets its own senders."""
+    others = [c for c in edges.columns if c not in (*by, src, dst)]
+    back = edges.select(*by, F.col(dst).alias(src), F.col(src).alias(dst), *others)
+    at_src = gather(edges, end_nodes(nodes, edges, by, src, SENDS), by, src, columns, "s", salt)
+    return at_src.unionByName(gather(back, end_nodes(nodes, back, by, src, RECEIVES), by, src, columns, "s", salt))
+
+
 def edge_sage_layer(nodes, edges, by, features, weights, width, src="src", dst="dst", salt=1) -> DataFrame:
     """``h' = relu(Wu [h, mean relu(Wm [h_src, e])])``; no in-edge means zero.
 
@@ -85,11 +95,7 @@ def edge_sage_layer(nodes, edges, by, features, weights, width, src="src", dst="
     if nodes is None:
         gathered, senders, marks = bidirect(own, src, dst, "__forward"), [F.lit(1.0)], _marks()
     else:
-        back = own.select(*by, F.col(dst).alias(src), F.col(src).alias(dst), *features)
-        gathered = gather(own, end_nodes(nodes, own, by, src, SENDS), by, src, names, "s", salt).unionByName(
-            gather(back, end_nodes(nodes, back, by, src, RECEIVES), by, src, names, "s", salt)
-        )
-        marks = []
+        gathered, marks = _both_directions(own, nodes, by, names, salt, src, dst), []
         senders = [F.col(c) for c in hidden(width, "s")]
     inputs = senders + [F.col(f) for f in features]
     messages = [vx.relu(m) for m in vx.dense(inputs, weights["msg_w"], weights["msg_b"])]
@@ -132,15 +138,17 @@ def _parallel_counts(edges, by, src, dst):
 
 
 def sage_mean_layer(nodes, edges, by, weights, width, src="src", dst="dst", salt=1) -> DataFrame:
-    """``h' = Wl mean(h_neighbours) + bl + Wr h``, without edge attributes."""
+    """``h' = Wl mean(h_neighbours) + bl + Wr h``, without edge attributes.
+
+    Each direction meets the nodes of its senders alone. Parallel edges need no count of
+    their own: sums are combined per target before they move.
+    """
     names = hidden(width)
-    pairs = _parallel_counts(edges, by, src, dst)
-    gathered = gather(pairs, nodes, by, src, names, "s", salt)
-    sums = gathered.groupBy(*by, F.col(dst).alias("node")).agg(
-        F.sum("__n").alias("__t"),
-        *[F.sum(F.col(f"s_{i}") * F.col("__n")).alias(f"a_{i}") for i in range(width)],
+    gathered = _both_directions(edges.select(*by, src, dst), nodes, by, names, salt, src, dst)
+    sums = gathered.groupBy(F.col(dst).alias("node"), *by).agg(
+        F.count(F.lit(1)).alias("__t"), *[F.sum(f"s_{i}").alias(f"a_{i}") for i in range(width)]
     )
-    joined = nodes.join(sums, [*by, "node"], "left")
+    joined = nodes.drop(SENDS, RECEIVES).join(sums, ["node", *by], "left")
     means = [F.coalesce(F.col(f"a_{i}") / F.col("__t"), F.lit(0.0)) for i in range(width)]
     rooted = vx.dense(
         means + [F.col(c) for c in names],
@@ -185,30 +193,41 @@ def gatv2_layer(
     whose attributes are the mean of its incoming edges (zero without any).
     Heads are concatenated, or averaged when ``concat`` is False.
 
-    The softmax is two grouped aggregations (maximum, then sums of shifted
-    powers) rather than a window. Both read the scored edges, which cost two
-    gathers and are written once. The maxima are written as well: the join that
-    brings them back then shuffles both sides, and Spark splits a hub's edges.
+    Each direction meets the nodes that occur at its ends. The softmax is grouped sums
+    rather than a window: powers are summed per target and magnitude of the scores,
+    shifted by that magnitude, and the few sums of a target are brought to its largest
+    one. So the scored edges are neither written nor moved, and a hub's edges are
+    combined before they meet.
     """
     names = hidden(width)
     total = len(weights["left_w"])
     size = total // heads
-    mp = bidirect(edges.select(*by, src, dst, *features), src, dst).where(F.col(src) != F.col(dst))
-    incoming = mp.groupBy(*by, F.col(dst).alias("node")).agg(*[F.avg(f).alias(f) for f in features])
-    loops = nodes.select(*by, "node").join(incoming, [*by, "node"], "left").select(
-        *by, F.col("node").alias(src), F.col("node").alias(dst),
-        *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features],
-    )
-    every = mp.select(*by, src, dst, *features).unionByName(loops)
+    own = edges.select(*by, src, dst, *features).where(F.col(src) != F.col(dst))
+    incoming = bidirect(own, src, dst).groupBy(F.col(dst).alias("node"), *by).agg(*[F.avg(f).alias(f) for f in features])
     inputs = [F.col(c) for c in names]
-    projected = nodes.select(
-        *by, "node",
-        *[c.alias(f"l_{i}") for i, c in enumerate(vx.dense(inputs, weights["left_w"], weights["left_b"]))],
-        *[c.alias(f"r_{i}") for i, c in enumerate(vx.dense(inputs, weights["right_w"], weights["right_b"]))],
-    )
+
+    def projected(rows):
+        return rows.select(
+            *by, "node",
+            *[c.alias(f"l_{i}") for i, c in enumerate(vx.dense(inputs, weights["left_w"], weights["left_b"]))],
+            *[c.alias(f"r_{i}") for i, c in enumerate(vx.dense(inputs, weights["right_w"], weights["right_b"]))],
+        )
+
     left, right = [f"l_{i}" for i in range(total)], [f"r_{i}" for i in range(total)]
-    gathered = gather(every, projected, by, src, left, "x", salt)
-    gathered = gather(gathered, projected, by, dst, right, "y", salt)
+    ends = {end: projected(end_nodes(nodes, own, by, end, mark)) for end, mark in ((src, SENDS), (dst, RECEIVES))}
+
+    def directed(rows, sender, target):
+        met = gather(gather(rows, ends[sender], by, sender, left, "x", salt), ends[target], by, target, right, "y", salt)
+        return met.select(
+            *by, F.col(target).alias(dst), *features,
+            *[f"{side}_{i}" for side in ("x", "y") for i in range(total)],
+        )
+
+    loops = projected(nodes).join(incoming, ["node", *by], "left").select(
+        *by, F.col("node").alias(dst), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features],
+        *[F.col(f"{c}_{i}").alias(f"{side}_{i}") for c, side in (("l", "x"), ("r", "y")) for i in range(total)],
+    )
+    gathered = directed(own, src, dst).unionByName(directed(own, dst, src)).unionByName(loops)
     attributes = vx.dense([F.col(f) for f in features], weights["edge_w"], [0.0] * total)
     scores = []
     for head in range(heads):
@@ -218,19 +237,27 @@ def gatv2_layer(
             leaky = F.when(z > 0, z).otherwise(z * LEAKY_SLOPE)
             score = score + F.lit(float(weights["att"][i])) * leaky
         scores.append(score)
-    scored = cut_lineage(
-        gathered.select(
-            *by, dst, *[f"x_{i}" for i in range(total)], *[s.alias(f"e_{h}") for h, s in enumerate(scores)]
-        )
+    scored = gathered.select(
+        *by, dst, *[f"x_{i}" for i in range(total)], *[s.alias(f"e_{h}") for h, s in enumerate(scores)]
     )
-    peaks = cut_lineage(scored.groupBy(*by, dst).agg(*[F.max(f"e_{h}").alias(f"p_{h}") for h in range(heads)]))
-    shifted = scored.join(peaks, [*by, dst])
-    power = [F.exp(F.col(f"e_{h}") - F.col(f"p_{h}")) for h in range(heads)]
-    sums = shifted.groupBy(*by, F.col(dst).alias("node")).agg(
+    levels = [F.floor(F.col(f"e_{h}") / SCORE_STEP).cast("double") * SCORE_STEP for h in range(heads)]
+    power = [F.exp(F.col(f"e_{h}") - levels[h]) for h in range(heads)]
+    part = scored.groupBy(F.col(dst).alias("node"), *by, *[b.alias(f"b_{h}") for h, b in enumerate(levels)]).agg(
         *[F.sum(power[h]).alias(f"z_{h}") for h in range(heads)],
         *[F.sum(power[i // size] * F.col(f"x_{i}")).alias(f"o_{i}") for i in range(total)],
     )
-    ratios = [F.col(f"o_{i}") / F.col(f"z_{i // size}") for i in range(total)]
+    # A target has a row per magnitude here, however many edges it has.
+    own_rows = Window.partitionBy("node", *by)
+    peaked = part.withColumns({f"p_{h}": F.max(f"b_{h}").over(own_rows) for h in range(heads)})
+    shift = [F.exp(F.col(f"b_{h}") - F.col(f"p_{h}")) for h in range(heads)]
+    sums = peaked.groupBy("node", *by).agg(
+        *[F.sum(F.col(f"z_{h}") * shift[h]).alias(f"z_{h}") for h in range(heads)],
+        *[F.sum(F.col(f"o_{i}") * shift[i // size]).alias(f"o_{i}") for i in range(total)],
+    )
+    ratios = [
+        F.when(F.col(f"z_{i // size}") == 0, float("nan")).otherwise(F.col(f"o_{i}") / F.col(f"z_{i // size}"))
+        for i in range(total)
+    ]
     if concat:
         out = [r + F.lit(float(b)) for r, b in zip(ratios, weights["bias"])]
     else:

@@ -1,7 +1,9 @@
 """What steps read, write and move, apart from their results."""
 
+import numpy as np
 
 from flowgraph_spark.operators import graph, neighbors
+from flowgraph_spark.session import temporary_tables
 
 SCHEMA = "g string, src string, dst string, f0 double"
 ROWS = [("a", "x", "y", 1.0), ("a", "x", "y", 3.0), ("a", "z", "y", 5.0), ("a", "y", "z", 2.0), ("b", "x", "x", 4.0), (None, "x", "y", 7.0)]
@@ -27,3 +29,34 @@ def test_joins_lead_with_the_node(spark):
     nodes = neighbors.edge_to_node_aggregate(edges, ["g"], ["f0"]).withColumnRenamed("f0", "h_0")
     text = plan(neighbors.gather(edges.hint("merge"), nodes, ["g"], "dst", ["h_0"], "s"))
     assert "Sort [dst#" in text and "Sort [g#" not in text
+
+
+def test_attention_does_not_write_its_edges(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", f"n{i % 7}", f"n{(i * 3 + 1) % 5}", float(rng.normal())) for i in range(60)]
+    edges = spark.createDataFrame(rows, SCHEMA)
+    nodes = spark.createDataFrame([("a", f"n{i}", float(i - 3)) for i in range(7)], "g string, node string, h_0 double")
+    # Scores reach over several hundreds, beyond what one shift of the powers holds.
+    gat = {"left_w": [[40.0]], "left_b": [0.0], "right_w": [[25.0]], "right_b": [1.0], "edge_w": [[30.0]], "att": [2.0], "bias": [0.5]}
+    with temporary_tables() as owner:
+        found = neighbors.gatv2_layer(nodes, edges, ["g"], ["f0"], gat, 1, 1)
+        got = {r["node"]: r["h_0"] for r in found.collect()}
+        assert all(spark.read.parquet(folder).count() <= 7 for folder in owner.folders)
+    mp = [(s, d, f) for _, s, d, f in rows if s != d] + [(d, s, f) for _, s, d, f in rows if s != d]
+    h = {f"n{i}": float(i - 3) for i in range(7)}
+    for node in h:
+        own = [(s, f) for s, d, f in mp if d == node]
+        own.append((node, float(np.mean([f for _, f in own])) if own else 0.0))
+        z = np.array([40 * h[s] + 25 * h[node] + 1 + 30 * f for s, f in own])
+        e = 2 * np.where(z > 0, z, 0.2 * z)
+        p = np.exp(e - e.max())
+        assert np.isclose(got[node], (p / p.sum() * np.array([40 * h[s] for s, _ in own])).sum() + 0.5)
+
+
+def test_mean_layer_does_not_group_pairs(spark):
+    edges = spark.createDataFrame(ROWS[:5], SCHEMA)
+    nodes = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("a", "z", 6.0), ("b", "x", 3.0)], "g string, node string, h_0 double")
+    weights = {"left_w": [[1.0]], "left_b": [0.0], "root_w": [[0.0]]}
+    found = neighbors.sage_mean_layer(nodes, edges, ["g"], weights, 1)
+    assert {(r["g"], r["node"]): r["h_0"] for r in found.collect()} == {("a", "x"): 2.0, ("a", "y"): 3.5, ("a", "z"): 2.0, ("b", "x"): 3.0}
+    assert "keys=[src#" not in plan(found)
