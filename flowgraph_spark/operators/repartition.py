@@ -48,14 +48,26 @@ def drop_and_remap_class(df: DataFrame, dropped, label="label_idx") -> DataFrame
 
 
 def validate_provenance(source: DataFrame, derived: DataFrame, keys) -> DataFrame:
-    """One row: source rows duplicated, lost, or added by a derivation."""
-    left = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_source"))
-    right = derived.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_derived"))
-    joined = left.join(right, list(keys), "full")
-    return joined.agg(
+    """One row: source rows duplicated, lost, or added by a derivation.
+
+    Rows of both sides meet once, in one grouping. A key with a null is never found on
+    the other side.
+    """
+    sides = [
+        rows.select(*keys, F.lit(int(rows is source)).alias("__s"), F.lit(int(rows is derived)).alias("__d"))
+        for rows in (source, derived)
+    ]
+    # A group that is sorted goes by the first bytes of its first key, so the narrowest one leads.
+    counts = sides[0].unionByName(sides[1]).groupBy(*reversed(keys)).agg(
+        F.sum("__s").alias("n_source"), F.sum("__d").alias("n_derived")
+    )
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return counts.agg(
         F.count_if(F.col("n_derived") > 1).alias("duplicated"),
-        F.count_if(F.col("n_derived").isNull()).alias("lost"),
-        F.count_if(F.col("n_source").isNull()).alias("added"),
+        F.count_if((F.col("n_source") > 0) & ((F.col("n_derived") == 0) | ~known)).alias("lost"),
+        F.count_if((F.col("n_derived") > 0) & ((F.col("n_source") == 0) | ~known)).alias("added"),
     )
 
 
@@ -78,7 +90,8 @@ def reindex_nodes(df: DataFrame, client, order, source="scenario", ends=("src",
         )
     ).alias("end")
     appearances = df.select(client, source, F.col(order).alias("__o"), sides)
-    nodes = appearances.groupBy(client, source, F.col("end.node").alias("node")).agg(
+    # The least text is found by sorting, which goes by the first bytes of the first key: the node.
+    nodes = appearances.groupBy(F.col("end.node").alias("node"), source, client).agg(
         F.min(F.struct(F.col("__o").alias("o"), F.col("end.side").alias("side"))).alias("seen")
     )
     flat = nodes.select(client, source, "node", F.col("seen.o").alias("__o"), F.col("seen.side").alias("__s"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from flowgraph_spark.operators import graph, neighbors
+from flowgraph_spark.operators import graph, neighbors, repartition
 from flowgraph_spark.session import temporary_tables
 
 SCHEMA = "g string, src string, dst string, f0 double"
@@ -60,3 +60,19 @@ def test_mean_layer_does_not_group_pairs(spark):
     found = neighbors.sage_mean_layer(nodes, edges, ["g"], weights, 1)
     assert {(r["g"], r["node"]): r["h_0"] for r in found.collect()} == {("a", "x"): 2.0, ("a", "y"): 3.5, ("a", "z"): 2.0, ("b", "x"): 3.0}
     assert "keys=[src#" not in plan(found)
+
+
+def test_provenance_meets_once(spark):
+    schema = "s string, k string"
+    source = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3"), (None, "4"), ("a", "1")], schema)
+    derived = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "2"), ("b", "9"), (None, "4"), (None, "4")], schema)
+    found = repartition.validate_provenance(source, derived, ["s", "k"])
+    # A key with a null is never found on the other side: it is lost and added.
+    assert tuple(found.first()) == (2, 2, 2)
+    assert "Join" not in plan(found)
+
+
+def test_first_places_are_sorted_by_node(spark):
+    rows = spark.createDataFrame([("c", "s", "x", "y", "o1"), ("c", "s", "y", "z", "o0")], "c string, s string, src string, dst string, o string")
+    found = repartition.reindex_nodes(rows, "c", "o", "s")
+    assert [r["node"] for r in found.orderBy("node_id").collect()] == ["y", "z", "x"]
