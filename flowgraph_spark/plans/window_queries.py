@@ -375,7 +375,8 @@ def _score_windows(spark, sf_dir):
     late = F.when(F.col("seq") % 17 == 0, 3600.0).otherwise(0.0)
     clean = views.clean_flows(spark, sf_dir).withColumn("arrival", F.col("ts") - late).withColumnRenamed("scenario", "sensor_id")
     payload = [c for c in clean.columns if c not in ("sensor_id", "seq", "arrival")]
-    rows = rolling.rolling_windows(clean, DURATION, MAX_FLOWS, STRIDE, LATENESS, payload, ts="arrival")
+    # Written: the sort by arrival samples its input first, which would clean every flow twice.
+    rows = rolling.rolling_windows(cut_lineage(clean), DURATION, MAX_FLOWS, STRIDE, LATENESS, payload, ts="arrival")
     model = detect.DetectionModel(SCORE_FIT, SCORE_HEADS, CLASSES, {})
     found = detect.score_windows(rows, model, ROUTES)
     return found.select(

@@ -1,8 +1,11 @@
 """What steps read, write and move, apart from their results."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from flowgraph_spark.operators import graph, neighbors, repartition
+from flowgraph_spark.plans import window_queries
 from flowgraph_spark.session import temporary_tables
 
 SCHEMA = "g string, src string, dst string, f0 double"
@@ -76,3 +79,23 @@ def test_first_places_are_sorted_by_node(spark):
     rows = spark.createDataFrame([("c", "s", "x", "y", "o1"), ("c", "s", "y", "z", "o0")], "c string, s string, src string, dst string, o string")
     found = repartition.reindex_nodes(rows, "c", "o", "s")
     assert [r["node"] for r in found.orderBy("node_id").collect()] == ["y", "z", "x"]
+
+
+class Reached(Exception):
+    pass
+
+
+def test_windows_clean_flows_once(spark, tmp_path, monkeypatch):
+    rows = [(i, 7, "view", 1.5, '{"k": 1}') for i in range(3)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+
+    def look(flows, *args, **kwargs):
+        # The sort by arrival samples its input, so that has to be a written table.
+        assert all("/tables/" in name for name in flows.inputFiles())
+        assert flows.count() == 3
+        raise Reached
+
+    monkeypatch.setattr(window_queries.rolling, "rolling_windows", look)
+    with pytest.raises(Reached):
+        window_queries._score_windows(spark, str(tmp_path))
