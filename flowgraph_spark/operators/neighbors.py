@@ -223,7 +223,11 @@ def gatv2_layer(
             *[f"{side}_{i}" for side in ("x", "y") for i in range(total)],
         )
 
-    loops = projected(nodes).join(incoming, ["node", *by], "left").select(
+    # As an edge, a loop of an unnamed node meets no node.
+    named = F.col("node").isNotNull()
+    for key in by:
+        named = named & F.col(key).isNotNull()
+    loops = projected(nodes.where(named)).join(incoming, ["node", *by], "left").select(
         *by, F.col("node").alias(dst), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features],
         *[F.col(f"{c}_{i}").alias(f"{side}_{i}") for c, side in (("l", "x"), ("r", "y")) for i in range(total)],
     )

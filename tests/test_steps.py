@@ -38,12 +38,15 @@ def test_attention_does_not_write_its_edges(spark):
     rng = np.random.default_rng(3)
     rows = [("a", f"n{i % 7}", f"n{(i * 3 + 1) % 5}", float(rng.normal())) for i in range(60)]
     edges = spark.createDataFrame(rows, SCHEMA)
-    nodes = spark.createDataFrame([("a", f"n{i}", float(i - 3)) for i in range(7)], "g string, node string, h_0 double")
+    # Nodes without a name or graph have no loop of their own.
+    unnamed = [("a", None, 1.0), (None, "n0", 1.0)]
+    nodes = spark.createDataFrame([("a", f"n{i}", float(i - 3)) for i in range(7)] + unnamed, "g string, node string, h_0 double")
     # Scores reach over several hundreds, beyond what one shift of the powers holds.
     gat = {"left_w": [[40.0]], "left_b": [0.0], "right_w": [[25.0]], "right_b": [1.0], "edge_w": [[30.0]], "att": [2.0], "bias": [0.5]}
     with temporary_tables() as owner:
         found = neighbors.gatv2_layer(nodes, edges, ["g"], ["f0"], gat, 1, 1)
         got = {r["node"]: r["h_0"] for r in found.collect()}
+        assert len(got) == found.count() == 7
         assert all(spark.read.parquet(folder).count() <= 7 for folder in owner.folders)
     mp = [(s, d, f) for _, s, d, f in rows if s != d] + [(d, s, f) for _, s, d, f in rows if s != d]
     h = {f"n{i}": float(i - 3) for i in range(7)}
