@@ -193,7 +193,7 @@ def gatv2_layer(
     whose attributes are the mean of its incoming edges (zero without any).
     Heads are concatenated, or averaged when ``concat`` is False.
 
-    Each direction meets the nodes that occur at its ends. The softmax is grouped sums
+    Edges meet the nodes that occur at their ends before they are turned. The softmax is grouped sums
     rather than a window: powers are summed per target and magnitude of the scores,
     shifted by that magnitude, and the few sums of a target are brought to its largest
     one. So the scored edges are neither written nor moved, and a hub's edges are
@@ -216,13 +216,24 @@ def gatv2_layer(
     left, right = [f"l_{i}" for i in range(total)], [f"r_{i}" for i in range(total)]
     ends = {end: projected(end_nodes(nodes, own, by, end, mark)) for end, mark in ((src, SENDS), (dst, RECEIVES))}
 
-    def directed(rows, sender, target):
-        met = gather(gather(rows, ends[sender], by, sender, left, "x", salt), ends[target], by, target, right, "y", salt)
-        return met.select(
-            *by, F.col(target).alias(dst), *features,
-            *[f"{side}_{i}" for side in ("x", "y") for i in range(total)],
-        )
-
+    # The edges meet each end once, with all that either direction needs of it.
+    both = gather(own, ends[dst], by, dst, left + right, "t", salt)
+    both = gather(both, ends[src], by, src, left + right, "s", salt)
+    met = both.select(
+        *by, *features,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.col(target).alias("node"),
+                        *[F.col(f"{a}_{i}").alias(f"x_{i}") for i in range(total)],
+                        *[F.col(f"{b}_{total + i}").alias(f"y_{i}") for i in range(total)],
+                    )
+                    for target, a, b in ((dst, "s", "t"), (src, "t", "s"))
+                ]
+            )
+        ).alias("__e"),
+    ).select(*by, F.col("__e.node").alias(dst), *features, *[f"__e.{side}_{i}" for side in ("x", "y") for i in range(total)])
     # As an edge, a loop of an unnamed node meets no node.
     named = F.col("node").isNotNull()
     for key in by:
@@ -231,7 +242,7 @@ def gatv2_layer(
         *by, F.col("node").alias(dst), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features],
         *[F.col(f"{c}_{i}").alias(f"{side}_{i}") for c, side in (("l", "x"), ("r", "y")) for i in range(total)],
     )
-    gathered = directed(own, src, dst).unionByName(directed(own, dst, src)).unionByName(loops)
+    gathered = met.unionByName(loops)
     attributes = vx.dense([F.col(f) for f in features], weights["edge_w"], [0.0] * total)
     scores = []
     for head in range(heads):
