@@ -13,11 +13,11 @@ layer is a set of column expressions. :func:`score_edges_wide` takes wide ones.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import vectors as vx
@@ -68,6 +68,64 @@ def marked_aggregate(edges, by, features, how="mean", src="src", dst="dst"):
     )
 
 
+def mean_vectors(edges: DataFrame, by, vector, src="src", dst="dst") -> DataFrame:
+    """As :func:`edge_to_node_aggregate` for attributes that are one array column of equal lengths.
+
+    Rows of a node are sorted next to each other and added up as matrices, so many
+    attributes cost little; a task holds one Arrow batch and the sums of one node. They
+    are not combined before the shuffle: meant for windows, whose flow limit bounds them.
+    """
+    keys = [*by, "node"]
+    both = bidirect(edges.select(*by, src, dst, vector), src, dst)
+    rows = both.select(*by, F.col(dst).alias("node"), vector)
+    marked = rows.withColumn("__g", F.xxhash64(*keys))
+    # The hash leads: texts of keys often begin alike, and a sort compares their first bytes first.
+    dealt = marked.repartition("__g").sortWithinPartitions("__g", *keys)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(keys)
+            starts = np.flatnonzero(np.r_[True, _changes(own)])
+            values, cells = _matrix(batch[vector]), batch[vector].flatten()
+            counts = np.diff(np.r_[starts, batch.num_rows])[:, None].repeat(values.shape[1], axis=1)
+            if cells.null_count:
+                known = cells.is_valid().to_numpy(zero_copy_only=False).reshape(values.shape)
+                values, counts = np.where(known, values, 0.0), np.add.reduceat(known.astype(int), starts, axis=0)
+            sums = np.add.reduceat(values, starts, axis=0, dtype=float)
+            if held is not None:
+                if held[0].to_pylist() == own.slice(0, 1).to_pylist():
+                    sums[0] += held[1]
+                    counts[0] += held[2]
+                else:
+                    yield means(held[0], held[1][None], held[2][None])
+            # The last node may go on in the next batch.
+            if len(starts) > 1:
+                yield means(own.take(pa.array(starts[:-1])), sums[:-1], counts[:-1])
+            held = own.slice(int(starts[-1]), 1), sums[-1], counts[-1]
+        if held is not None:
+            yield means(held[0], held[1][None], held[2][None])
+
+    def means(own, sums, counts):
+        found = pa.array(np.divide(sums, counts, where=counts > 0, out=np.zeros_like(sums)).ravel(), mask=(counts == 0).ravel())
+        lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32), found)
+        return pa.record_batch([*own.columns, lists], names=[*keys, vector])
+
+    return dealt.mapInArrow(run, StructType([*rows.select(*keys).schema.fields]).add(vector, ArrayType(DoubleType())))
+
+
+def _changes(keys):
+    """Where a row of sorted keys differs from the one before it; null equals null."""
+    changed = np.zeros(keys.num_rows - 1, bool)
+    for column in keys.columns:
+        before, after = column.slice(0, len(column) - 1), column.slice(1)
+        apart = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+        changed |= apart | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
+    return changed
+
+
 def _marks():
     """At which ends of the edges the target of a bidirected edge occurs."""
     return [F.max(~F.col("__forward")).alias(SENDS), F.max("__forward").alias(RECEIVES)]
@@ -467,23 +525,26 @@ def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFra
     """
     shared = repr_df.sparkSession.sparkContext.broadcast(head_arrays(heads))
 
-    @pandas_udf("array<double>")
-    def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @arrow_udf("array<double>")
+    def probabilities(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for names, vectors in batches:
-            rows = [None] * len(vectors)
-            for name in names.unique():
+            codes = names.dictionary_encode(null_encoding="encode")
+            places, parts, sizes = codes.indices.to_numpy(), [], np.zeros(len(names) + 1, np.int32)
+            for k, name in enumerate(codes.dictionary.to_pylist()):
                 if name not in shared.value:
                     raise ValueError(f"no head for client {name}")
-                head, own = shared.value[name], np.flatnonzero((names == name).to_numpy())
-                x = np.stack(vectors.to_numpy()[own])
-                inner = np.maximum(x @ head["w1"].T + head["b1"], 0.0)
-                for place, row in zip(own, inner @ head["w2"].T + head["b2"]):
-                    rows[place] = row
-            yield pd.Series(rows, dtype=object)
+                head, own = shared.value[name], np.flatnonzero(places == k)
+                inner = np.maximum(_matrix(vectors.take(pa.array(own))) @ head["w1"].T + head["b1"], 0.0)
+                parts.append((own, _probabilities(inner @ head["w2"].T + head["b2"])))
+                sizes[own + 1] = parts[-1][1].shape[1]
+            offsets = np.cumsum(sizes, dtype=np.int32)
+            flat = np.empty(offsets[-1])
+            for own, found in parts:
+                flat[offsets[own][:, None] + np.arange(found.shape[1])] = found
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     kept = [c for c in repr_df.columns if c != vector]
-    rows = repr_df.select(*kept, logits(F.col(client), F.col(vector)).alias("__logits"))
-    return scored(rows.select(*kept, vx.softmax(F.col("__logits")).alias("probabilities")))
+    return scored(repr_df.select(*kept, probabilities(F.col(client), F.col(vector)).alias("probabilities")))
 
 
 def edge_classifier_rows(edges, by, features, keep=(), src="src", dst="dst") -> DataFrame:

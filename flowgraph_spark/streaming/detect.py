@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, neighbors
-from ..operators.features import FittedFeatures, feature_expressions
+from ..operators.features import FittedFeatures, feature_expressions, with_feature_array
 from ..session import cut_lineage, temporary_tables
 from .alerts import apply_alert_policy, route_sensor, validate_detections
 
@@ -48,8 +48,7 @@ def window_graph(rows: DataFrame, features, by=WINDOW, sensor="sensor_id", keep=
     Rows are window rows with ``orig_h``, ``resp_h`` and feature columns.
     """
     spaced = graph.namespace_nodes(rows, sensor).select(*by, *keep, "orig_h", "resp_h", *features)
-    nodes = graph.node_dictionary(spaced, by)
-    return graph.build_edges(spaced, nodes, by, by_end=False)
+    return graph.build_small_edges(spaced, by)
 
 
 def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
@@ -60,35 +59,34 @@ def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
     sensor's client. All clients are scored in one pass.
     """
     columns = list(model.fit.columns)
-    featured = cut_lineage(
-        rows.select(
-            *WINDOW, "flow_seq", "is_new", "flow_ts", "orig_h", "resp_h",
-            *feature_expressions(model.fit, rows.columns),
-        )
+    featured = rows.select(
+        *WINDOW, "flow_seq", "is_new", "flow_ts", "orig_h", "resp_h", F.col("orig_h").alias("entity"),
+        *feature_expressions(model.fit, rows.columns),
     )
     kept = ["flow_seq", "is_new", "flow_ts", "entity"]
-    # Written: the nodes and the flows to score both read it.
+    # Written: the nodes and the flows to score both read it. Features are one array, which
+    # is sorted, moved and written as one value.
     edges = cut_lineage(
-        window_graph(featured.withColumn("entity", F.col("orig_h")), columns, keep=kept)
-        .select(*WINDOW, *kept, "src", "dst", *columns)
+        window_graph(with_feature_array(featured, model.fit), ["features"], keep=kept)
+        .select(*WINDOW, *kept, "src", "dst", "features")
     )
     if model.layers:
-        nodes = neighbors.encode_nodes(edges, WINDOW, columns, model.layers)
-        width = len(model.layers[-1]["upd_b"])
+        apart = edges.select(*WINDOW, "src", "dst", *[F.col("features")[i].alias(c) for i, c in enumerate(columns)])
+        encoded = neighbors.encode_nodes(apart, WINDOW, columns, model.layers)
+        vector = F.array(*[F.col(c) for c in neighbors.hidden(len(model.layers[-1]["upd_b"]))])
+        nodes = encoded.select(*WINDOW, "node", vector.alias("h_0"))
     else:
-        # Written first: joined on its own grouping key, a busy address could not be split.
-        means = cut_lineage(neighbors.edge_to_node_aggregate(edges, WINDOW, columns))
-        nodes = means.select(*WINDOW, "node", *[F.col(c).alias(f"h_{i}") for i, c in enumerate(columns)])
-        width = len(columns)
-    sizes = featured.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
+        # Written first: both ends read it, and its real size decides how they join.
+        nodes = cut_lineage(neighbors.mean_vectors(edges, WINDOW, "features").withColumnRenamed("features", "h_0"))
+    sizes = edges.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
     new = edges.where("is_new").join(sizes, WINDOW)
     represented = neighbors.edge_representation(
-        route_sensor(new, routes), nodes, WINDOW, columns, width,
+        route_sensor(new, routes), nodes, WINDOW, ["features"], 1,
         keep=["client_id", "flow_seq", "flow_ts", "flow_count", "entity"], by_end=False,
     )
     packed = represented.select(
         *WINDOW, "client_id", "flow_seq", "flow_ts", "flow_count", "entity",
-        F.array(*[F.col(f"z_{i}").cast("double") for i in range(2 * width + len(columns))]).alias("z"),
+        F.concat(*[F.col(f"z_{i}").cast("array<double>") for i in range(3)]).alias("z"),
     )
     scored = neighbors.score_clients_wide(packed, model.heads, "client_id")
     names = F.array(*[F.lit(c) for c in model.classes])
