@@ -370,7 +370,8 @@ def _score_sql(name):
 
 
 def all_heads(spark, sf_dir):
-    return neighbors.score_all_heads(representation(spark, sf_dir), SCORE_HEADS, REPR_WIDTH)
+    # Python hides from Spark what the result leaves unread, so it goes before the joins.
+    return neighbors.score_all_heads(representation(spark, sf_dir).drop("detailed_label", "src", "dst"), SCORE_HEADS, REPR_WIDTH)
 
 
 def _all_heads(spark, sf_dir):
@@ -386,7 +387,9 @@ CLIENT_HEADS = 500
 def _clients_table(spark, sf_dir):
     """500 clients, each scored by its own head from a table of heads."""
     number = F.conv(F.substring(F.md5("edge_key"), 1, 8), 16, 10).cast("long") % CLIENT_HEADS
-    rows = neighbors.packed(representation(spark, sf_dir), REPR_WIDTH).withColumn("client", number.cast("string"))
+    # Rows are dealt to the heads with what the result holds; Python hides from Spark what it leaves unread.
+    own = representation(spark, sf_dir).drop("detailed_label", "src", "dst")
+    rows = neighbors.packed(own, REPR_WIDTH).withColumn("client", number.cast("string"))
     heads = {str(i): SCORE_HEADS[HEAD_NAMES[i % len(HEAD_NAMES)]] for i in range(CLIENT_HEADS)}
     found = neighbors.score_clients_table(rows, neighbors.head_table(spark, heads), "client")
     return found.select("scenario", "edge_key", "client", "pred_idx", rounded(F.col("confidence"), 5).alias("confidence"))

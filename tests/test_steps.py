@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowgraph_spark.operators import graph, neighbors, repartition
-from flowgraph_spark.plans import window_queries
+from flowgraph_spark.plans import graph_queries, window_queries
 from flowgraph_spark.session import temporary_tables
+from flowgraph_spark.streaming import detect
 
 SCHEMA = "g string, src string, dst string, f0 double"
 ROWS = [("a", "x", "y", 1.0), ("a", "x", "y", 3.0), ("a", "z", "y", 5.0), ("a", "y", "z", 2.0), ("b", "x", "x", 4.0), (None, "x", "y", 7.0)]
@@ -102,3 +103,73 @@ def test_windows_clean_flows_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(window_queries.rolling, "rolling_windows", look)
     with pytest.raises(Reached):
         window_queries._score_windows(spark, str(tmp_path))
+
+
+def test_windows_become_graphs_in_one_move(spark):
+    rows = [
+        ("a", "w1", 1, "x", "y"), ("a", "w1", 1, "x", "y"), ("a", "w1", 2, "z", "x"), ("a", "w1", 3, "b", "b"), ("a", "w1", 4, None, "x"),
+        ("a", "w2", 5, "z", "x"), ("b", "w1", 6, "q", "p"), (None, "w1", 7, "x", "y"), ("b", None, 8, "x", "y"),
+    ]
+    flows = spark.createDataFrame(rows, "sensor_id string, window_id string, flow_seq int, orig_h string, resp_h string")
+    found = detect.window_graph(flows, [], keep=["flow_seq"])
+    text = plan(found)
+    assert "Join" not in text and "rangepartitioning" not in text and text.count("Exchange hashpartitioning") == 1
+    got = sorted((r["sensor_id"], r["window_id"], r["flow_seq"], r["src"], r["dst"]) for r in found.collect())
+    # A missing address is named by its sensor alone; rows without a window are in no graph.
+    assert got == [
+        ("a", "w1", 1, 2, 3), ("a", "w1", 1, 2, 3), ("a", "w1", 2, 4, 2), ("a", "w1", 3, 1, 1), ("a", "w1", 4, 0, 2),
+        ("a", "w2", 5, 1, 0), ("b", "w1", 6, 1, 0),
+    ]
+
+
+def test_mean_vectors_equal_means_of_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [
+        (f"g{i % 3}" if i % 17 else None, f"n{rng.integers(6)}" if i % 11 else None, f"n{rng.integers(4)}",
+         float(rng.normal()) if i % 5 else None, float(i), None)
+        for i in range(400)
+    ]
+    edges = spark.createDataFrame(rows, "g string, src string, dst string, a double, b float, c float")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        packed = edges.select("g", "src", "dst", F.array("a", "b", "c").alias("v"))
+        got = {(r["g"], r["node"]): r["v"] for r in neighbors.mean_vectors(packed, ["g"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = neighbors.edge_to_node_aggregate(edges, ["g"], ["a", "b", "c"]).collect()
+    assert len(want) == len(got)
+    for r in want:
+        a, b, c = got[(r["g"], r["node"])]
+        assert (a is None and r["a"] is None) or np.isclose(a, r["a"])
+        assert np.isclose(b, r["b"]) and c is None and r["c"] is None
+
+
+def test_head_scoring_carries_only_its_result(spark, monkeypatch):
+    def look(rows, *args, **kwargs):
+        # What reaches Python moves whole, so nothing may come along that the result leaves out.
+        assert not {"detailed_label", "src", "dst"} & set(rows.columns)
+        raise Reached
+
+    columns = "scenario string, edge_key string, detailed_label string, src string, dst string, "
+    rows = spark.createDataFrame([], columns + ", ".join(f"z_{i} double" for i in range(graph_queries.REPR_WIDTH)))
+    monkeypatch.setattr(graph_queries, "representation", lambda spark, sf_dir: rows)
+    for name, query in (("score_all_heads", graph_queries._all_heads), ("score_clients_table", graph_queries._clients_table)):
+        with monkeypatch.context() as patch:
+            patch.setattr(neighbors, name, look)
+            with pytest.raises(Reached):
+                query(spark, "")
+
+
+def test_wide_heads_of_other_shapes(spark):
+    rows = [(0, "a", [1.0, -2.0]), (1, "b", [3.0]), (2, "a", [0.5, 1.0]), (3, "b", [None])]
+    found = neighbors.score_clients_wide(
+        spark.createDataFrame(rows, "id int, client string, z array<double>"),
+        {"a": {"w1": [[1, 0], [0, 1]], "b1": [0, 0], "w2": [[1, 1], [2, 0], [0, 2]], "b2": [0, 0, 0]},
+         "b": {"w1": [[2]], "b1": [1], "w2": [[1], [-1]], "b2": [0, 0.5]}}, "client",
+    )
+    got = {r["id"]: r["probabilities"] for r in found.collect()}
+    for place, logits in ((0, [1, 2, 0]), (1, [7, -6.5]), (2, [1.5, 1, 2])):
+        powers = np.exp(logits)
+        assert np.allclose(got[place], powers / powers.sum())
+    assert np.isnan(got[3]).all()
