@@ -535,13 +535,16 @@ def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFra
                     raise ValueError(f"no head for client {name}")
                 head, own = shared.value[name], np.flatnonzero(places == k)
                 inner = np.maximum(_matrix(vectors.take(pa.array(own))) @ head["w1"].T + head["b1"], 0.0)
-                parts.append((own, _probabilities(inner @ head["w2"].T + head["b2"])))
+                parts.append((own, inner @ head["w2"].T + head["b2"]))
                 sizes[own + 1] = parts[-1][1].shape[1]
             offsets = np.cumsum(sizes, dtype=np.int32)
-            flat = np.empty(offsets[-1])
-            for own, found in parts:
-                flat[offsets[own][:, None] + np.arange(found.shape[1])] = found
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            flat, unknown = np.empty(offsets[-1]), np.zeros(offsets[-1], bool)
+            for own, scores in parts:
+                cells = offsets[own][:, None] + np.arange(scores.shape[1])
+                flat[cells] = _probabilities(scores)
+                # A row with a missing value has no scores.
+                unknown[cells] = np.isnan(scores).any(axis=1)[:, None]
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=unknown))
 
     kept = [c for c in repr_df.columns if c != vector]
     return scored(repr_df.select(*kept, probabilities(F.col(client), F.col(vector)).alias("probabilities")))
