@@ -5,8 +5,12 @@ separate graphs (scenario, client or window); every operator keeps it in its
 keys, so many graphs are handled in one pass.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.flows import binary_label
 from ..functions.ordering import rank_in_groups
@@ -68,33 +72,77 @@ def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_
     return edges
 
 
+def changes(keys):
+    """Where a row of an Arrow batch of keys differs from the one before it; null equals null."""
+    changed = np.zeros(keys.num_rows - 1, bool)
+    for column in keys.columns:
+        before, after = column.slice(0, len(column) - 1), column.slice(1)
+        apart = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+        changed |= apart | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
+    return changed
+
+
+def whole_graphs(batches, by):
+    """Batches that hold whole graphs, with the first rows of these, from rows that stand together by graph."""
+    held = []
+
+    def close():
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return batch, np.flatnonzero(np.r_[True, changes(batch.select(by))])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = np.flatnonzero(changes(batch.select(by))) + 1
+        last = held[-1].select(by).slice(held[-1].num_rows - 1).to_pylist() if held else None
+        if held and last != batch.select(by).slice(0, 1).to_pylist():
+            cuts = np.r_[0, cuts]
+        if len(cuts):
+            # The last graph may go on in the next batch.
+            if cuts[-1]:
+                held.append(batch.slice(0, int(cuts[-1])))
+            if held:
+                yield close()
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield close()
+
+
 def build_small_edges(df: DataFrame, by, ends=ENDS) -> DataFrame:
     """Edges with node ids ``src`` and ``dst`` as :func:`build_edges` gives them, for many small graphs.
 
-    A graph's ends meet in one task, sorted and streamed, so the rows move once and no
-    dictionary is written. Meant for graphs of bounded size, such as windows with a flow
-    limit. An edge without an end or a key of its graph has no nodes and goes.
+    A graph's edges meet in one task and are numbered there, so the rows move once, an edge
+    as one row, and no dictionary is written. The rows of a graph stand together in the
+    result, for steps that stream them (:func:`whole_graphs`). Meant for graphs of bounded
+    size, such as windows with a flow limit. An edge without an end or a key of its graph has
+    no nodes and goes.
     """
     first, second = ends
     known = F.col(first).isNotNull() & F.col(second).isNotNull()
     for key in by:
         known = known & F.col(key).isNotNull()
-    others = [c for c in df.columns if c not in by]
+    kept = [*by, *[c for c in df.columns if c not in by]]
     # The hash leads: texts of keys often begin alike, and a sort compares their first bytes first.
-    edges = df.where(known).select(
-        F.xxhash64(*by).alias("__g"), *by, F.monotonically_increasing_id().alias("__edge"), F.struct(*others).alias("__row"),
-    )
-    row = F.col("__row")
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), row[first].alias("node"), row.alias("row")),
-        # The rest of the edge travels with its first end only.
-        F.struct(F.lit(1).alias("side"), row[second].alias("node"), F.lit(None).cast(edges.schema["__row"].dataType).alias("row")),
-    )
-    halves = edges.select("__g", *by, "__edge", F.inline(sides))
-    graph = ["__g", *by]
-    ranked = halves.withColumn("src", (F.dense_rank().over(Window.partitionBy(*graph).orderBy("node")) - 1).cast("long"))
-    pair = Window.partitionBy(*graph, "__edge").orderBy("side")
-    return ranked.withColumn("dst", F.lead("src").over(pair)).where("side = 0").select(*by, "row.*", "src", "dst")
+    edges = df.where(known).select(F.xxhash64(*by).alias("__g"), *kept)
+    dealt = edges.repartition("__g").sortWithinPartitions("__g", *by)
+
+    def run(batches):
+        for batch, starts in whole_graphs(batches, by):
+            graph = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, batch.num_rows]))
+            names = pa.concat_arrays([batch[first], batch[second]]).dictionary_encode()
+            ranks = np.empty(len(names.dictionary), np.int64)
+            ranks[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(ranks))
+            places = np.r_[graph, graph] * len(ranks) + ranks[names.indices.to_numpy()]
+            nodes, numbers = np.unique(places, return_inverse=True)
+            # Nodes are numbered through; those of a graph begin at its first one.
+            ids = numbers - np.searchsorted(nodes, np.r_[graph, graph] * len(ranks))
+            columns = [batch[c] for c in kept] + [pa.array(side) for side in np.split(ids, 2)]
+            yield pa.record_batch(columns, names=[*kept, "src", "dst"])
+
+    schema = StructType([*edges.select(*kept).schema.fields]).add("src", "long").add("dst", "long")
+    return dealt.mapInArrow(run, schema)
 
 
 def bidirect(edges: DataFrame, src="src", dst="dst", forward=None) -> DataFrame:

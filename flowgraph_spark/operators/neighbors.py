@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
-from .graph import RECEIVES, SENDS, bidirect, end_nodes, endpoints
+from .graph import RECEIVES, SENDS, bidirect, changes, end_nodes, endpoints, whole_graphs
 
 LEAKY_SLOPE = 0.2
 #: Scores of one magnitude differ by less than this; its powers stay far from overflow.
@@ -88,7 +88,7 @@ def mean_vectors(edges: DataFrame, by, vector, src="src", dst="dst") -> DataFram
             if not batch.num_rows:
                 continue
             own = batch.select(keys)
-            starts = np.flatnonzero(np.r_[True, _changes(own)])
+            starts = np.flatnonzero(np.r_[True, changes(own)])
             values, cells = _matrix(batch[vector]), batch[vector].flatten()
             counts = np.diff(np.r_[starts, batch.num_rows])[:, None].repeat(values.shape[1], axis=1)
             if cells.null_count:
@@ -116,14 +116,49 @@ def mean_vectors(edges: DataFrame, by, vector, src="src", dst="dst") -> DataFram
     return dealt.mapInArrow(run, StructType([*rows.select(*keys).schema.fields]).add(vector, ArrayType(DoubleType())))
 
 
-def _changes(keys):
-    """Where a row of sorted keys differs from the one before it; null equals null."""
-    changed = np.zeros(keys.num_rows - 1, bool)
-    for column in keys.columns:
-        before, after = column.slice(0, len(column) - 1), column.slice(1)
-        apart = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
-        changed |= apart | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
-    return changed
+def represent_small_graphs(edges: DataFrame, by, vector, only, size, keep=(), src="src", dst="dst") -> DataFrame:
+    """``z``, ``[h_src, h_dst, e]``, of the edges that are ``only``, where a node's vector is the mean of its incident edges.
+
+    As :func:`mean_vectors` and :func:`edge_representation` in one pass that moves nothing,
+    over the result of :func:`graph.build_small_edges`: rows of a graph stand together and
+    nodes are numbered from 0. ``size`` names the number of edges of the graph.
+    """
+    kept = [*by, *keep]
+    rows = edges.select(*kept, only, src, dst, F.col(vector).cast("array<double>").alias(vector))
+
+    def run(batches):
+        for batch, starts in whole_graphs(batches, by):
+            sizes = np.diff(np.r_[starts, batch.num_rows])
+            graph = np.repeat(np.arange(len(starts)), sizes)
+            one, other = batch[src].to_numpy(), batch[dst].to_numpy()
+            tops = np.maximum.reduceat(np.maximum(one, other), starts) + 1
+            begin = np.r_[0, np.cumsum(tops)[:-1]][graph]
+            one, other = one + begin, other + begin
+            nodes = np.r_[one, other]
+            order = np.argsort(nodes, kind="stable")
+            at = np.searchsorted(nodes[order], np.arange(tops.sum()))
+            order %= batch.num_rows
+            values, cells = _matrix(batch[vector]), batch[vector].flatten()
+            counts = np.bincount(nodes)[:, None]
+            known = None
+            if cells.null_count:
+                known = cells.is_valid().to_numpy(zero_copy_only=False).reshape(values.shape)
+                values = np.where(known, values, 0.0)
+                counts = np.add.reduceat(known.astype(int)[order], at, axis=0)
+            means = np.add.reduceat(values[order], at, axis=0) / np.maximum(counts, 1)
+            chosen = np.flatnonzero(pc.fill_null(batch[only], False).to_numpy(zero_copy_only=False))
+            found = np.hstack([means[one[chosen]], means[other[chosen]], values[chosen]])
+            missing = None
+            if known is not None:
+                missing = np.hstack([counts[one[chosen]] == 0, counts[other[chosen]] == 0, ~known[chosen]]).ravel()
+            lists = pa.ListArray.from_arrays(
+                np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel(), mask=missing)
+            )
+            own = batch.select(kept).take(pa.array(chosen))
+            yield pa.record_batch([*own.columns, pa.array(sizes[graph[chosen]]), lists], names=[*kept, size, "z"])
+
+    schema = StructType([*rows.select(*kept).schema.fields]).add(size, "long").add("z", ArrayType(DoubleType()))
+    return rows.mapInArrow(run, schema)
 
 
 def _marks():

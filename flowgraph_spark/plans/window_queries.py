@@ -370,18 +370,17 @@ SELECT start, client_id, count(*) AS flows, count(*) FILTER (alerted) AS alerts,
   list_sort(list(age_ms))[CAST(ceil(count(*) * 0.95) AS INTEGER)] AS latency_p95 FROM x GROUP BY ALL"""
 
 
-#: Clean columns that features read beside the scaled ones and the flags.
-FEATURE_INPUTS = ("orig_p", "resp_p", "proto", "service", "conn_state", "history")
-
-
 def _score_windows(spark, sf_dir):
     """Every window as a graph of its own; each flow scored once, by its client's head."""
     late = F.when(F.col("seq") % 17 == 0, 3600.0).otherwise(0.0)
     clean = views.clean_flows(spark, sf_dir).withColumn("arrival", F.col("ts") - late).withColumnRenamed("scenario", "sensor_id")
-    # What ends and features are made of; flows are written and sorted with nothing else.
-    payload = list(dict.fromkeys(["orig_h", "resp_h", *FEATURE_INPUTS, *SCALED_COLUMNS, *FLAGS]))
+    # A flow has its features before it goes into several windows.
+    own = clean.select("sensor_id", "seq", "arrival", "orig_h", "resp_h", *features.feature_expressions(SCORE_FIT, clean.columns))
     # Written: the sort by arrival samples its input first, which would clean every flow twice.
-    rows = rolling.rolling_windows(cut_lineage(clean.select("sensor_id", "seq", "arrival", *payload)), DURATION, MAX_FLOWS, STRIDE, LATENESS, payload, ts="arrival")
+    flows = cut_lineage(features.with_feature_array(own, SCORE_FIT).withColumn("flow", F.monotonically_increasing_id()))
+    # Windows are found from numbers; the flows meet them afterwards, by a number of their own.
+    found = rolling.rolling_windows(flows.select("sensor_id", "seq", "arrival", "flow"), DURATION, MAX_FLOWS, STRIDE, LATENESS, ["flow"], ts="arrival")
+    rows = found.join(flows.select("flow", "orig_h", "resp_h", "features"), "flow")
     model = detect.DetectionModel(SCORE_FIT, SCORE_HEADS, CLASSES, {})
     found = detect.score_windows(rows, model, ROUTES)
     return found.select(

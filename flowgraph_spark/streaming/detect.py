@@ -54,45 +54,44 @@ def window_graph(rows: DataFrame, features, by=WINDOW, sensor="sensor_id", keep=
 def score_windows(rows: DataFrame, model: DetectionModel, routes) -> DataFrame:
     """Predictions of the flows each window emits for the first time.
 
-    ``rows`` are clean window rows. Every window is a graph of its own, whose
-    nodes are encoded by the model's layers; a flow is scored by the head of its
-    sensor's client. All clients are scored in one pass.
+    ``rows`` are clean window rows, or have the ``features`` of the model's fit as one
+    array already. Every window is a graph of its own, whose nodes are encoded by the
+    model's layers; a flow is scored by the head of its sensor's client. All clients are
+    scored in one pass.
     """
-    columns = list(model.fit.columns)
-    featured = rows.select(
-        *WINDOW, "flow_seq", "is_new", "flow_ts", "orig_h", "resp_h", F.col("orig_h").alias("entity"),
-        *feature_expressions(model.fit, rows.columns),
-    )
     kept = ["flow_seq", "is_new", "flow_ts", "entity"]
-    # Written: the nodes and the flows to score both read it. Features are one array, which
-    # is sorted, moved and written as one value.
-    edges = cut_lineage(
-        window_graph(with_feature_array(featured, model.fit), ["features"], keep=kept)
-        .select(*WINDOW, *kept, "src", "dst", "features")
-    )
+    named = [*WINDOW, "flow_seq", "is_new", "flow_ts", "orig_h", "resp_h", F.col("orig_h").alias("entity")]
+    if "features" in rows.columns:
+        featured = rows.select(*named, "features")
+    else:
+        featured = with_feature_array(rows.select(*named, *feature_expressions(model.fit, rows.columns)), model.fit)
+    # Features are one array, which is sorted and moved as one value.
+    edges = window_graph(featured, ["features"], keep=kept)
     if model.layers:
-        apart = edges.select(*WINDOW, "src", "dst", *[F.col("features")[i].alias(c) for i, c in enumerate(columns)])
-        encoded = neighbors.encode_nodes(apart, WINDOW, columns, model.layers)
-        vector = F.array(*[F.col(c) for c in neighbors.hidden(len(model.layers[-1]["upd_b"]))])
-        nodes = encoded.select(*WINDOW, "node", vector.alias("h_0"))
+        represented = _encoded(cut_lineage(edges), model, kept)
     else:
-        # Written first: both ends read it, and its real size decides how they join.
-        nodes = cut_lineage(neighbors.mean_vectors(edges, WINDOW, "features").withColumnRenamed("features", "h_0"))
-    sizes = edges.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
-    new = edges.where("is_new").join(sizes, WINDOW)
-    represented = neighbors.edge_representation(
-        route_sensor(new, routes), nodes, WINDOW, ["features"], 1,
-        keep=["client_id", "flow_seq", "flow_ts", "flow_count", "entity"], by_end=False,
-    )
-    packed = represented.select(
-        *WINDOW, "client_id", "flow_seq", "flow_ts", "flow_count", "entity",
-        F.concat(*[F.col(f"z_{i}").cast("array<double>") for i in range(3)]).alias("z"),
-    )
-    scored = neighbors.score_clients_wide(packed, model.heads, "client_id")
+        carried = ["flow_seq", "flow_ts", "entity"]
+        represented = neighbors.represent_small_graphs(edges, WINDOW, "features", "is_new", "flow_count", carried)
+    scored = neighbors.score_clients_wide(route_sensor(represented, routes), model.heads, "client_id")
     names = F.array(*[F.lit(c) for c in model.classes])
     return scored.withColumn("predicted_class", F.element_at(names, F.col("pred_idx") + 1))
 
 
+def _encoded(edges, model, kept):
+    """Written edges of windows, new ones only, with ``z`` of nodes encoded by the model's layers."""
+    columns = list(model.fit.columns)
+    apart = edges.select(*WINDOW, "src", "dst", *[F.col("features")[i].alias(c) for i, c in enumerate(columns)])
+    encoded = neighbors.encode_nodes(apart, WINDOW, columns, model.layers)
+    vector = F.array(*[F.col(c) for c in neighbors.hidden(len(model.layers[-1]["upd_b"]))])
+    nodes = encoded.select(*WINDOW, "node", vector.alias("h_0"))
+    sizes = edges.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("flow_count"))
+    new = edges.where("is_new").join(sizes, WINDOW)
+    carried = [c for c in kept if c != "is_new"] + ["flow_count"]
+    represented = neighbors.edge_representation(new, nodes, WINDOW, ["features"], 1, keep=carried, by_end=False)
+    parts = [F.col(f"z_{i}").cast("array<double>") for i in range(3)]
+    return represented.select(*WINDOW, *carried, F.concat(*parts).alias("z"))
+
+
 def detections(scored: DataFrame, model: DetectionModel, policy: DetectionPolicy) -> DataFrame:
     """Validated detection documents of scored flows, keyed by window and flow."""
     when = F.timestamp_micros((F.col("flow_ts") * 1e6).cast("long"))

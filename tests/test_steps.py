@@ -173,3 +173,53 @@ def test_wide_heads_of_other_shapes(spark):
         powers = np.exp(logits)
         assert np.allclose(got[place], powers / powers.sum())
     assert got[3] == [None, None]
+
+
+def test_windows_are_found_from_numbers(spark, tmp_path, monkeypatch):
+    rows = [(i, 7, "view", 1.5, '{"k": 1}') for i in range(3)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+
+    def look(flows, duration, max_flows, stride, lateness, payload, ts):
+        # Addresses and features would be sorted and moved at every step.
+        assert set(flows.columns) == {"sensor_id", "seq", "arrival", *payload} and len(payload) == 1
+        raise Reached
+
+    monkeypatch.setattr(window_queries.rolling, "rolling_windows", look)
+    with pytest.raises(Reached):
+        window_queries._score_windows(spark, str(tmp_path))
+
+
+def test_small_graphs_are_represented_where_they_are(spark):
+    rng = np.random.default_rng(7)
+    rows = [
+        (f"g{rng.integers(9)}" if i % 23 else None, f"n{rng.integers(5)}" if i % 19 else None, f"n{rng.integers(4)}", i,
+         bool(rng.integers(2)) if i % 7 else None, float(rng.normal()) if i % 5 else None, float(i), None)
+        for i in range(300)
+    ]
+    flows = spark.createDataFrame(rows, "g string, orig_h string, resp_h string, id int, new boolean, a double, b double, c double")
+    flows = flows.select("g", "orig_h", "resp_h", "id", "new", F.array("a", "b", "c").alias("v"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        edges = graph.build_small_edges(flows, ["g"])
+        found = neighbors.represent_small_graphs(edges, ["g"], "v", "new", "n", ["id"])
+        assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+        got = {r["id"]: (r["g"], r["n"], r["z"]) for r in found.collect()}
+        numbered = edges.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    dictionary = graph.node_dictionary(flows.where("orig_h IS NOT NULL AND g IS NOT NULL"), ["g"])
+    want = {r["id"]: (r["src"], r["dst"]) for r in graph.build_edges(flows, dictionary, ["g"]).collect()}
+    assert {r["id"]: (r["src"], r["dst"]) for r in numbered} == want
+    nodes = neighbors.mean_vectors(spark.createDataFrame(numbered, edges.schema), ["g"], "v").withColumnRenamed("v", "h_0")
+    sizes = spark.createDataFrame(numbered, edges.schema).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    wide = neighbors.edge_representation(
+        spark.createDataFrame(numbered, edges.schema).where("new").join(sizes, "g"), nodes, ["g"], ["v"], 1, ["id", "n"], by_end=False
+    )
+    rest = {r["id"]: (r["g"], r["n"], [*r["z_0"], *r["z_1"], *r["z_2"]]) for r in wide.collect()}
+    assert set(got) == set(rest) and len(got) > 80
+    for key, (g, n, z) in rest.items():
+        assert got[key][:2] == (g, n)
+        assert [x is None for x in got[key][2]] == [x is None for x in z]
+        assert np.allclose([x for x in got[key][2] if x is not None], [x for x in z if x is not None])
