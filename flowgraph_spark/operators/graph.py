@@ -40,6 +40,20 @@ def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
 SENDS, RECEIVES = "__sends", "__receives"
 
 
+#: Values of a node frame that are broadcast: some 500,000 nodes of two numbers, about 10 MB.
+NODE_VALUES = 2_000_000
+
+
+def met_by_hash(nodes: DataFrame) -> DataFrame:
+    """A written node frame whose joins with edges do not sort them.
+
+    Few nodes are broadcast. Of more, a task holds those of its partition in a hash table
+    and the edges stream by, so nothing is sorted or spilled for them.
+    """
+    few = nodes.count() * len(nodes.columns) <= NODE_VALUES
+    return F.broadcast(nodes) if few else nodes.hint("shuffle_hash")
+
+
 def end_nodes(nodes: DataFrame, edges: DataFrame, by, end, mark=None) -> DataFrame:
     """Rows of ``nodes`` that ``edges`` have at ``end``, written.
 
@@ -48,9 +62,9 @@ def end_nodes(nodes: DataFrame, edges: DataFrame, by, end, mark=None) -> DataFra
     ``mark`` names the column that tells them; without it the edges are read for that.
     """
     if mark in nodes.columns:
-        return cut_lineage(nodes.where(mark).drop(SENDS, RECEIVES))
+        return met_by_hash(cut_lineage(nodes.where(mark).drop(SENDS, RECEIVES)))
     own = edges.select(*by, F.col(end).alias("node")).distinct()
-    return cut_lineage(nodes.join(own, ["node", *by], "left_semi"))
+    return met_by_hash(cut_lineage(nodes.join(own, ["node", *by], "left_semi")))
 
 
 def build_edges(df: DataFrame, nodes: DataFrame, by, ends=ENDS, label="detailed_label", by_end=True) -> DataFrame:
