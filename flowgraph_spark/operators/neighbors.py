@@ -429,6 +429,8 @@ def score_edges(repr_df: DataFrame, head, width) -> DataFrame:
 
 #: Bytes of head weights that are sent whole to every task.
 HEAD_BYTES = 256 << 20
+#: Numbers in a table of heads that is sent whole; rows are dealt to the heads of a larger one.
+TABLE_NUMBERS = 2_000_000
 
 
 def head_arrays(heads):
@@ -506,10 +508,16 @@ def score_own_head(repr_df: DataFrame, heads, width, client="scenario") -> DataF
 def score_clients_table(rows: DataFrame, heads: DataFrame, client, vector="z", salt=8) -> DataFrame:
     """As :func:`score_clients_wide` with the weights as a table of any size.
 
-    ``heads`` is a :func:`head_table`. Rows and weights of a client meet in ``salt``
+    ``heads`` is a :func:`head_table`. Up to ``TABLE_NUMBERS`` weights are sent to the
+    rows, which do not move for them. Of more, rows and weights of a client meet in ``salt``
     places, where the weights come first; a task holds one head and one Arrow batch.
     """
     kept = [c for c in rows.columns if c != vector]
+    inner = F.aggregate("w1", F.lit(0), lambda n, row: n + F.size(row))
+    outer = F.aggregate("w2", F.lit(0), lambda n, row: n + F.size(row))
+    if (heads.agg(F.sum((inner + outer).cast("long"))).first()[0] or 0) <= TABLE_NUMBERS:
+        known = {head["head"]: {k: head[k] for k in ("w1", "b1", "w2", "b2")} for head in heads.collect()}
+        return score_clients_wide(rows, known, client, vector, missing=float("nan"))
     spread = rows.withColumns(
         {"__key": F.col(client), "__salt": F.pmod(F.xxhash64(*kept, vector), F.lit(salt)), "__weights": F.lit(0)}
     )
@@ -551,12 +559,13 @@ def score_edges_wide(repr_df: DataFrame, head, vector="z") -> DataFrame:
     return score_clients_wide(repr_df.withColumn("__client", F.lit("")), {"": head}, "__client", vector).drop("__client")
 
 
-def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFrame:
+def score_clients_wide(repr_df: DataFrame, heads, client, vector="z", missing=None) -> DataFrame:
     """Every row under the head of its client, in one pass over the rows.
 
     ``heads`` maps a client to its weights. They are sent to the tasks once, up to
     ``HEAD_BYTES``, and each Arrow batch takes one matrix product per client in it. A
-    client without a head is an error.
+    client without a head is an error. ``missing`` is what a row with a missing value
+    has for probabilities.
     """
     shared = repr_df.sparkSession.sparkContext.broadcast(head_arrays(heads))
 
@@ -565,10 +574,12 @@ def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFra
         for names, vectors in batches:
             codes = names.dictionary_encode(null_encoding="encode")
             places, parts, sizes = codes.indices.to_numpy(), [], np.zeros(len(names) + 1, np.int32)
+            order = np.argsort(places, kind="stable")
+            ends = np.cumsum(np.bincount(places, minlength=len(codes.dictionary)))
             for k, name in enumerate(codes.dictionary.to_pylist()):
                 if name not in shared.value:
                     raise ValueError(f"no head for client {name}")
-                head, own = shared.value[name], np.flatnonzero(places == k)
+                head, own = shared.value[name], order[ends[k - 1] if k else 0 : ends[k]]
                 inner = np.maximum(_matrix(vectors.take(pa.array(own))) @ head["w1"].T + head["b1"], 0.0)
                 parts.append((own, inner @ head["w2"].T + head["b2"]))
                 sizes[own + 1] = parts[-1][1].shape[1]
@@ -577,8 +588,9 @@ def score_clients_wide(repr_df: DataFrame, heads, client, vector="z") -> DataFra
             for own, scores in parts:
                 cells = offsets[own][:, None] + np.arange(scores.shape[1])
                 flat[cells] = _probabilities(scores)
-                # A row with a missing value has no scores.
-                unknown[cells] = np.isnan(scores).any(axis=1)[:, None]
+                if missing is None:
+                    # A row with a missing value has no scores.
+                    unknown[cells] = np.isnan(scores).any(axis=1)[:, None]
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=unknown))
 
     kept = [c for c in repr_df.columns if c != vector]

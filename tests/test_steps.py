@@ -237,3 +237,19 @@ def test_edges_meet_many_nodes_unsorted(spark, monkeypatch):
         got = sorted(map(tuple, found.collect()))
         want = want or got
         assert got == want and len(got) == 5
+
+
+def test_rows_stay_where_a_table_of_heads_is_small(spark, monkeypatch):
+    rows = [(i, f"c{i % 3}", [float(i), 1.0] if i % 4 else [None, 2.0]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id int, client string, z array<double>")
+    heads = {f"c{k}": {"w1": [[1, k], [k, 1]], "b1": [0, k], "w2": [[1, 1], [2, 0], [0, k]], "b2": [0, k, 0]} for k in range(3)}
+    table = neighbors.head_table(spark, heads)
+    small = neighbors.score_clients_table(frame, table, "client")
+    assert "Exchange" not in plan(small)
+    monkeypatch.setattr(neighbors, "TABLE_NUMBERS", 29)
+    large = neighbors.score_clients_table(frame, table, "client")
+    assert "Exchange" in plan(large)
+    assert repr(sorted(map(tuple, small.collect()))) == repr(sorted(map(tuple, large.collect())))
+    with pytest.raises(Exception, match="no head for client"):
+        monkeypatch.undo()
+        neighbors.score_clients_table(frame, table.where("head <> 'c1'"), "client").collect()
