@@ -40,18 +40,19 @@ def node_dictionary(df: DataFrame, by, ends=ENDS) -> DataFrame:
 SENDS, RECEIVES = "__sends", "__receives"
 
 
-#: Values of a node frame that are broadcast: some 500,000 nodes of two numbers, about 10 MB.
-NODE_VALUES = 2_000_000
-
-
 def met_by_hash(nodes: DataFrame) -> DataFrame:
     """A written node frame whose joins with edges do not sort them.
 
-    Few nodes are broadcast. Of more, a task holds those of its partition in a hash table
-    and the edges stream by, so nothing is sorted or spilled for them.
+    Few nodes are left to Spark, which broadcasts them up to its threshold. Of more, a task
+    holds those of its partition in a hash table and the edges stream by, so nothing is
+    sorted or spilled for them.
     """
-    few = nodes.count() * len(nodes.columns) <= NODE_VALUES
-    return F.broadcast(nodes) if few else nodes.hint("shuffle_hash")
+    spark = nodes.sparkSession
+    stored = int(str(nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not limit.startswith("-"):
+        limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    return nodes if stored <= int(limit) else nodes.hint("shuffle_hash")
 
 
 def end_nodes(nodes: DataFrame, edges: DataFrame, by, end, mark=None) -> DataFrame:

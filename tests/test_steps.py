@@ -225,18 +225,21 @@ def test_small_graphs_are_represented_where_they_are(spark):
         assert np.allclose([x for x in got[key][2] if x is not None], [x for x in z if x is not None])
 
 
-def test_edges_meet_many_nodes_unsorted(spark, monkeypatch):
+def test_edges_meet_many_nodes_unsorted(spark):
     edges = spark.createDataFrame(ROWS, SCHEMA)
     nodes = neighbors.marked_aggregate(edges, ["g"], ["f0"]).withColumnRenamed("f0", "h_0")
-    want = None
-    for values, join in ((0, "ShuffledHashJoin"), (graph.NODE_VALUES, "BroadcastHashJoin")):
-        monkeypatch.setattr(graph, "NODE_VALUES", values)
-        found = neighbors.edge_representation(edges, nodes, ["g"], ["f0"], 1)
-        text = plan(found)
-        assert text.count(join) == 2 and "Sort" not in text
-        got = sorted(map(tuple, found.collect()))
-        want = want or got
-        assert got == want and len(got) == 5
+    before, want = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), None
+    try:
+        for limit, join in ((before, "BroadcastHashJoin"), ("1b", "ShuffledHashJoin"), ("-1", "ShuffledHashJoin")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            found = neighbors.edge_representation(edges, nodes, ["g"], ["f0"], 1)
+            text = plan(found)
+            assert text.count(join) == 2 and "Sort" not in text
+            got = sorted(map(tuple, found.collect()))
+            want = want or got
+            assert got == want and len(got) == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_rows_stay_where_a_table_of_heads_is_small(spark, monkeypatch):
